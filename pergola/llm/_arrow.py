@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
+def sampled(df: DataFrame, group: str, most: int, key: str = "doc_id", salts: int = 64) -> DataFrame:
+    """At most `most` rows of each group, those least by a hash of the key, as column n from 1.
+
+    Each of `salts` parts of a group is cut first, so a task ranks at most most * salts rows however large the group.
+    """
+    h = F.xxhash64(key)
+    part = Window.partitionBy(group, F.pmod(h, F.lit(salts))).orderBy(h, key)
+    cut = df.withColumn("n", F.row_number().over(part)).where(F.col("n") <= most)
+    return cut.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(h, key))).where(F.col("n") <= most)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of about SLICE_BYTES of text each."""
     if batch.num_rows == 0:
@@ -105,8 +116,10 @@ def runs_of(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.full(n, 0x243F6A8885A308D3 + seed, np.uint64)
     for i in range(width):
-        out = mix(out + words[i : i + n]) if i % 4 == 3 or i == width - 1 else out * np.uint64(0xD1342543DE82EF95) + words[i : i + n]
-    return out
+        out = out * np.uint64(0xD1342543DE82EF95) + words[i : i + n]
+        if i % 4 == 3:
+            out = mix(out)
+    return mix(out)
 
 
 def shared_dir(spark: SparkSession) -> str:

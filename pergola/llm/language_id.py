@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, map_slices, slices, spread, struct
+from pergola.llm._arrow import documents, map_slices, sampled, slices, spread, struct
 from pergola.llm._bpe import LETTERS, narrow
 
 #: The learning sample: so many documents of each language at most, by a hash of their id, and of each language's words the most frequent.
@@ -64,8 +64,7 @@ def train(df: DataFrame, docs_per_lang: int = DOCS_PER_LANG, text: str = "text",
     """Learns from at most docs_per_lang rows of each non-null language; rows without a text or key teach nothing."""
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("doc_id").distinct()
+    chosen = sampled(known.select("doc_id", "lang"), "lang", docs_per_lang).select("doc_id").distinct()
     sample = known.join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
