@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergola.llm import bpe_codec, decontaminate, language_id, quality_rules, token_counts, toxicity
+from pergola.llm import bpe_codec, decontaminate, language_id, lm_score, quality_rules, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=("held_out",))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tenth = language_id.remainder("doc_id", 10)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(tenth == 0, F.lit(False)))
+    model = lm_score.train(docs.where(tenth != 0))
+    return lm_score.score(docs, model, keep=("held_out",))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -46,7 +53,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_toxicity, op4_quality_rules, op5_decontaminate, op7_bpe_codec, op9_language_id)
+    own = (op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op7_bpe_codec, op9_language_id)
     return {f.__name__: f for f in own}
 
 
