@@ -177,3 +177,37 @@ def passes(filter_bytes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     bits = (len(filter_bytes) * 8).bit_length() - 1
     slot = mix(keys) >> np.uint64(64 - bits)
     return (filter_bytes[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
+
+#: Values in a row of a vector that tasks add up.
+CHUNK = 16_384
+
+
+def vector_sum(df: DataFrame, make: Callable[[], tuple[Callable[[pa.RecordBatch], None], Callable[[], np.ndarray | None]]], column: str = "text") -> np.ndarray | None:
+    """The sum of one vector from each task, all of the same bounded length; None if no task has one.
+
+    make() gives what takes a slice and what returns the task's vector at its end. The vectors travel in chunks and are added up in two
+    steps, first within salted parts, so no task holds a chunk from every other.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take, total = make()
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for part in slices(batch, column):
+                take(part)
+        values = total()
+        if values is not None:
+            for k in range(0, len(values), CHUNK):
+                cut = np.ascontiguousarray(values[k : k + CHUNK], np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([rows % 61], pa.int32()), pa.array([cut.tobytes()], pa.binary())], names=["chunk", "salt", "sums"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(b, np.float64) for b in rows.column("sums").to_pylist()], axis=0)
+        return pa.table({"chunk": rows.column("chunk")[:1].cast(pa.int32()), "salt": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    shape = "chunk int, salt int, sums binary"
+    summed = df.mapInArrow(run, shape).groupBy("chunk", "salt").applyInArrow(add, shape).groupBy("chunk").applyInArrow(add, shape)
+    rows = sorted(summed.collect(), key=lambda r: r.chunk)
+    return np.concatenate([np.frombuffer(r.sums, np.float64) for r in rows]) if rows else None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergola.llm import bpe_codec, decontaminate, language_id, lm_score, quality_rules, token_counts, toxicity
+from pergola.llm import bpe_codec, decontaminate, jaccard_join, language_id, lm_score, quality_rules, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_read(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(_read(spark, sf_dir, "documents"))))
 
@@ -53,7 +57,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op7_bpe_codec, op9_language_id)
+    own = (op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op6_jaccard_join, op7_bpe_codec, op9_language_id)
     return {f.__name__: f for f in own}
 
 
