@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergola.llm import bpe_codec, decontaminate, jaccard_join, language_id, lm_score, quality_rules, token_counts, toxicity
+from pergola.llm import bpe_codec, decontaminate, jaccard_join, language_id, lm_score, quality_rules, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=("held_out",))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_read(spark, sf_dir, "documents")).drop("ranges")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op6_jaccard_join, op7_bpe_codec, op9_language_id)
+    own = (op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op6_jaccard_join, op7_bpe_codec, op9_language_id, op10_substring_dedup)
     return {f.__name__: f for f in own}
 
 
