@@ -26,7 +26,13 @@ def documents(df: DataFrame, *more: str, text: str = "text", key: str = "doc_id"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows on every core where a small table comes in fewer partitions than there are cores."""
+    """The same rows on every core where a small table comes in fewer partitions than there are cores.
+
+    Only plans without a shuffle are asked for their partitions; asking others would run them.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Limit")):
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 

@@ -16,10 +16,10 @@ from pergola.llm._arrow import documents, map_slices, slices, spread, struct
 from pergola.llm._bpe import merges, spaced_words
 
 #: Rows of the word table that are sent to every task, and the longest word among them: with these two the size is bounded.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 300_000
 TABLE_WORD_CHARS = 64
 #: Other words whose identifiers a task keeps before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 #: Distinct words a task counts before it hands them on.
 COUNTED_WORDS = 300_000
 
@@ -89,7 +89,7 @@ class _Ids(dict):
 def word_table(df: DataFrame, path: str) -> dict[str, bytes]:
     """The TABLE_WORDS most frequent words of at most TABLE_WORD_CHARS characters with their ids, each encoded once."""
     words = distinct_words(df, path).where(F.length("word") <= TABLE_WORD_CHARS).orderBy(F.desc("n"), "word").limit(TABLE_WORDS)
-    return {r.word: bytes(r.ids) for r in encode_words(spread(words), path).collect()}
+    return {r.word: bytes(r.ids) for r in encode_words(words.repartition(df.sparkSession.sparkContext.defaultParallelism), path).collect()}
 
 
 def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:

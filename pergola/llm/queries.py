@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergola.llm import bpe_codec, decontaminate, jaccard_join, language_id, lm_score, quality_rules, substring_dedup, token_counts, toxicity
+from pergola.llm import bpe_codec, decontaminate, jaccard_join, language_id, lm_score, pii, quality_rules, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(_read(spark, sf_dir, "documents"))))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.train(docs)))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(language_id.remainder("doc_id", 4) == 2, F.lit(False)))
     model = language_id.train(docs.where(language_id.remainder("doc_id", 4) != 2))
@@ -61,7 +66,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op6_jaccard_join, op7_bpe_codec, op9_language_id, op10_substring_dedup)
+    own = (op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op6_jaccard_join, op7_bpe_codec, op8_pii, op9_language_id, op10_substring_dedup)
     return {f.__name__: f for f in own}
 
 
