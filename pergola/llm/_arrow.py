@@ -22,7 +22,7 @@ MEMO_WORDS = 400_000
 
 def documents(df: DataFrame, *more: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the columns an operator reads; other columns, whatever their names, stay out of its way."""
-    return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
+    return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *(m for m in more if m not in ("doc_id", "text")))
 
 
 def spread(df: DataFrame) -> DataFrame:

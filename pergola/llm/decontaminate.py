@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, map_slices, raw, runs_of, slices, spread, struct
+from pergola.llm._arrow import documents, map_slices, raw, runs_of, slices, spread
 
 #: Words of a window, and of the shingles by which windows are found.
 WINDOW = 13
@@ -150,11 +150,12 @@ class _Finder:
                         items.update(self.block.items[w])
 
 
+RESULT = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("contaminated", T.BooleanType()))
 STATE = (("text", T.StringType()), ("mask", T.BinaryType()), ("items", T.ArrayType(T.StringType())))
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids as strings), contaminated for each document.
+def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in keep, n_words, n_hit, items (sorted ids as strings), contaminated for each document.
 
     Shingles of SHINGLE words are ordered by the number of documents that have them; a window is looked up by its rarest one alone,
     which any document containing it must have. Bounds on place and length follow, then the window's words are compared.
@@ -162,32 +163,30 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words and are clean; items without words match nothing;
     an item with a null id still hits words but is not listed; repeated rows give a row each; an empty benchmark hits nothing.
     """
-    docs = spread(documents(df, text=text, key=key))
+    docs = spread(documents(df, *keep, text=text, key=key))
     windows = item_windows(benchmark, item, item_text, window)
     n_windows = windows.count()
     blocks = max(1, -(-n_windows // block_windows))
     parts = windows.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(blocks)))
-    state, schema = docs, struct(docs, *STATE)
+    kept = [docs.schema[n] for n in keep]
+    state, schema = docs, T.StructType([docs.schema["doc_id"], *kept, *(T.StructField(n, t) for n, t in STATE if n not in keep)])
+    last = T.StructType([docs.schema["doc_id"], *kept, *(T.StructField(n, t) for n, t in RESULT)])
     for b in range(blocks):
         rows = parts.where(F.col("block") == b).select("win", "items").collect() if n_windows else []
         rows.sort(key=lambda r: bytes(r.win))
         block = Block([bytes(r.win).split() for r in rows], [list(r["items"]) for r in rows])
         shingles = block.all_shingles()
         sent = df.sparkSession.sparkContext.broadcast(_Finder(block, block.prefixes(shingles, _frequencies(docs, block, shingles)) if rows else {}))
-        state = map_slices(state, _searching(sent, b == 0, b == blocks - 1), _final(docs) if b == blocks - 1 else schema)
+        state = map_slices(state, _searching(sent, keep, b == 0, b == blocks - 1), last if b == blocks - 1 else schema)
     return state
 
 
-def _final(docs: DataFrame) -> T.StructType:
-    return struct(docs, ("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("contaminated", T.BooleanType()))
-
-
-def _searching(sent, first: bool, last: bool):
+def _searching(sent, keep: tuple[str, ...], first: bool, last: bool):
     def make():
         finder = sent.value
 
         def step(part: pa.RecordBatch) -> list:
-            texts = raw(part.column("text"))
+            texts, kept = raw(part.column("text")), [part.column(k) for k in keep]
             masks, found, sizes, hits = [], [], [], []
             before = zip(repeat(None), repeat(None)) if first else zip(part.column("mask").to_pylist(), part.column("items").to_pylist())
             for t, (bits, items) in zip(texts, before):
@@ -202,8 +201,8 @@ def _searching(sent, first: bool, last: bool):
                 if not last:
                     masks.append(np.packbits(mask).tobytes())
             if last:
-                return [part.column("doc_id"), sizes, hits, found, [h > 0 and 20 * h >= n for h, n in zip(hits, sizes)]]
-            return [part.column("doc_id"), part.column("text"), masks, found]
+                return [part.column("doc_id"), *kept, sizes, hits, found, [h > 0 and 20 * h >= n for h, n in zip(hits, sizes)]]
+            return [part.column("doc_id"), *kept, *(() if "text" in keep else (part.column("text"),)), masks, found]
 
         return step
 
