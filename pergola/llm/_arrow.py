@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one step works on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 #: Words a task remembers the hash of before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 
 def documents(df: DataFrame, *more: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -48,6 +48,18 @@ def sampled(df: DataFrame, group: str, most: int, key: str = "doc_id", salts: in
     return cut.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(h, key))).where(F.col("n") <= most)
 
 
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows whose count is so large that at most `most` rows have it or more: a threshold from a histogram, so that nothing is sorted."""
+    bucket = F.when(F.col(n) < 4096, F.col(n)).otherwise(4096 + F.floor(F.log2(F.col(n)) * 64)).cast("long")
+    held, least = 0, None
+    for row in sorted(counts.groupBy(bucket.alias("bucket")).count().collect(), key=lambda r: -r.bucket):
+        held += row["count"]
+        if held > most:
+            break
+        least = row.bucket
+    return counts.where(bucket >= least) if least is not None else counts.where(F.lit(False))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of about SLICE_BYTES of text each."""
     if batch.num_rows == 0:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, map_slices, slices, spread, struct
+from pergola.llm._arrow import documents, map_slices, most_frequent, slices, spread, struct, written
 from pergola.llm._bpe import merges, spaced_words
 
 #: Rows of the word table that are sent to every task, and the longest word among them: with these two the size is bounded.
@@ -88,8 +88,9 @@ class _Ids(dict):
 
 def word_table(df: DataFrame, path: str) -> dict[str, bytes]:
     """The TABLE_WORDS most frequent words of at most TABLE_WORD_CHARS characters with their ids, each encoded once."""
-    words = distinct_words(df, path).where(F.length("word") <= TABLE_WORD_CHARS).orderBy(F.desc("n"), "word").limit(TABLE_WORDS)
-    return {r.word: bytes(r.ids) for r in encode_words(words.repartition(df.sparkSession.sparkContext.defaultParallelism), path).collect()}
+    words = most_frequent(written(distinct_words(df, path)).where(F.length("word") <= TABLE_WORD_CHARS), TABLE_WORDS)
+    coded = encode_words(words.repartition(df.sparkSession.sparkContext.defaultParallelism), path).toArrow()
+    return dict(zip(coded.column("word").to_pylist(), coded.column("ids").to_pylist()))
 
 
 def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
