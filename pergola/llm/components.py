@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is two aggregations and two joins, written to the shared folder; rounds end when a round changes nothing. Links from a node
     to itself and repeated links are allowed; an empty table gives no rows.
     """
+    edges = written(edges)
     loops = edges.where("a = b").select(F.col("a").alias("node"))
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
