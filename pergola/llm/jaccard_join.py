@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import WordHashes, documents, key_filter, map_slices, mix, passes, raw, runs_of, signed, spread, struct, vector_sum, written
+from pergola.llm._arrow import WordHashes, documents, key_filter, map_slices, passes, raw, runs_of, signed, spread, struct, written
 from pergola.llm.components import components
 
 #: Words of a shingle; a link needs LEAST / 100 of the union shared.
 WIDTH = 4
 LEAST = 85
-#: Cells of the sketch of shingle frequencies: a bounded vector whatever the corpus.
-CELLS = 1 << 18
+#: Shingles whose hash is less are those whose frequency is counted: a quarter, more than any document's prefix needs.
+COUNTED = np.uint64(1 << 62)
+#: Frequency levels: the number of rows from which a shared shingle is in the level, and the bits of the level's fixed-size filter.
+LEVELS = ((2, 27), (8, 25), (64, 23))
 #: Shingles of one block of a neighbourhood; a larger neighbourhood is searched by pairs of blocks.
 BLOCK_SHINGLES = 800_000
 #: What a set weighs besides its shingles.
@@ -49,76 +51,82 @@ def needed(size: int, least: int) -> int:
     return -(-least * size // 100)
 
 
-def cells(values: np.ndarray) -> np.ndarray:
-    return (mix(values) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
-
-
-def frequencies(docs: DataFrame, width: int) -> np.ndarray:
-    """For each cell the number of documents' shingles that fall there, over all documents."""
+def _profiles(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """doc_id, n_shingles, k (16 bytes that stand for the set), low: the set's least hashes, all below COUNTED and a prefix's number at least."""
 
     def make():
-        hashes, total = WordHashes(), np.zeros(CELLS)
-
-        def take(part: pa.RecordBatch) -> None:
-            found = [shingles(words_of(t), hashes, width) for t in raw(part.column("text"))]
-            if found:
-                total[:] += np.bincount(cells(np.concatenate(found)), minlength=CELLS)
-
-        return take, lambda: total
-
-    values = vector_sum(docs.select("text"), make)
-    return np.zeros(CELLS) if values is None else values
-
-
-def _classes(docs: DataFrame, sketch, width: int, least: int) -> DataFrame:
-    """doc_id, n_shingles, k (16 bytes that stand for the set), prefix: the rarest shingles, of which linked sets share one."""
-
-    def make():
-        counts, hashes = sketch.value, WordHashes()
+        hashes = WordHashes()
 
         def step(part: pa.RecordBatch) -> list:
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, lows = [], [], []
             for t in raw(part.column("text")):
                 own = shingles(words_of(t), hashes, width)
                 sizes.append(len(own))
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                first = len(own) - needed(len(own), least) + 1 if len(own) else 0
-                prefixes.append(signed(own[np.lexsort((own, counts[cells(own)]))[:first]]))
-            return [part.column("doc_id"), sizes, keys, prefixes]
+                keys.append(_key(own))
+                lows.append(signed(own[: max(int(np.searchsorted(own, COUNTED)), prefix_size(len(own), least))]))
+            return [part.column("doc_id"), sizes, keys, lows]
 
         return step
 
-    return map_slices(docs, make, struct(docs, ("n_shingles", T.LongType()), ("k", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))))
+    return map_slices(docs, make, struct(docs, ("n_shingles", T.LongType()), ("k", T.BinaryType()), ("low", T.ArrayType(T.LongType()))))
+
+
+def _key(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def prefix_size(size: int, least: int) -> int:
+    return size - needed(size, least) + 1 if size else 0
 
 
 def _k1() -> Column:
     return F.xxhash64("k")
 
 
-def _neighbourhoods(classes: DataFrame) -> DataFrame:
-    """node (hash of a class), root: classes joined by chains of shared prefix shingles; linked classes are always in one of them.
+def _filters(rows: DataFrame) -> list[bytes]:
+    """A filter for each level of the shingles below COUNTED that different sets share, over all rows."""
+    low = F.filter("low", lambda h: (h >= 0) & (h < int(COUNTED)))
+    postings = rows.select(_k1().bitwiseAND(0x7FFFFFFF).cast("int").alias("node"), F.explode(low).alias("shingle"))
+    counted = postings.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
+    shared = written(counted.where("a <> b").select("shingle", "n"))
+    return [key_filter(shared.where(F.col("n") >= least), "shingle", bits) for least, bits in LEVELS]
+
+
+def _neighbourhoods(rows: DataFrame, least: int) -> DataFrame:
+    """node (hash of a set), root: sets joined by chains of shared prefix shingles; linked sets are always in one of them.
 
-    Each shingle ties the classes that have it to the least of them, so a shingle of n classes makes n - 1 rows and not all pairs.
+    The order of shingles: counted ones by frequency level and hash, then the others by hash. It is the same for all documents, so linked
+    sets share a shingle of their prefixes whatever the filters let through. A counted shingle that no other set has is not sent at all.
+    Each shingle ties its sets to the least of them: n - 1 rows and not all pairs.
     """
-    postings = classes.select(_k1().alias("node"), F.explode("prefix").alias("shingle"))
-    shared = written(postings.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("shingle", "pivot"))
-    sent = classes.sparkSession.sparkContext.broadcast(key_filter(shared, "shingle"))
+    sent = rows.sparkSession.sparkContext.broadcast(_filters(rows))
 
     def make():
-        held = np.frombuffer(sent.value, np.uint8)
+        held = [np.frombuffer(f, np.uint8) for f in sent.value]
 
         def step(part: pa.RecordBatch) -> list:
-            lists = part.column("prefix")
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(part.column("node").to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            ok = passes(held, values) if len(values) else np.empty(0, bool)
-            return [owner[ok], signed(values[ok])]
+            lists = part.column("low")
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if not lengths.sum():
+                return [[], []]
+            low = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            level = np.sum([passes(f, low) for f in held], axis=0)
+            level[low >= COUNTED] = len(LEVELS) + 1
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.lexsort((low, level, owner))
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            sizes = part.column("n_shingles").to_numpy(zero_copy_only=False)
+            first = np.array([prefix_size(int(n), least) for n in sizes])
+            chosen = order[np.arange(len(low)) - starts[owner] < first[owner]]
+            chosen = chosen[level[chosen] > 0]
+            return [part.column("node").to_numpy(zero_copy_only=False)[owner[chosen]], signed(low[chosen])]
 
         return step
 
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingle", T.LongType())])
-    found = map_slices(classes.select(_k1().alias("node"), "prefix", F.col("k")), make, schema, column="k")
-    edges = found.join(shared, "shingle").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    postings = written(map_slices(rows.select(_k1().alias("node"), "n_shingles", "low", "k"), make, schema, column="k"))
+    shared = postings.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("shingle", "pivot")
+    edges = postings.join(shared, "shingle").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     return written(components(edges))
 
 
@@ -208,12 +216,15 @@ def linked(sets: list[np.ndarray], least: int = LEAST) -> np.ndarray:
 
 
 def _verify(rows: pa.Table, width: int, least: int) -> pa.Table:
-    """a, b: classes of a group tied to the first of their component."""
-    rows = rows.sort_by("k")
-    keys = rows.column("k").to_pylist()
-    hashes = WordHashes()
-    sets = [shingles(words_of(t), hashes, width) for t in raw(rows.column("text").combine_chunks())]
-    label = linked(sets, least)
+    """a, b: sets of a group tied to the first of their component. A text that is not of the set it was fetched for is left out."""
+    hashes, own = WordHashes(), {}
+    for key, text in zip(rows.column("k").to_pylist(), raw(rows.column("text").combine_chunks())):
+        if key not in own:
+            found = shingles(words_of(text), hashes, width)
+            if _key(found) == key:
+                own[key] = found
+    keys = sorted(own)
+    label = linked([own[k] for k in keys], least)
     tied = [i for i in range(len(keys)) if label[i] != i]
     return pa.table({"a": pa.array([keys[i] for i in tied], pa.binary()), "b": pa.array([keys[label[i]] for i in tied], pa.binary())})
 
@@ -222,7 +233,7 @@ def _grouped(members: DataFrame) -> DataFrame:
     """k, text, root and part: the groups to be searched. A neighbourhood of more than BLOCK_SHINGLES is dealt into blocks, and every two blocks are a group."""
     weights = members.groupBy("root").agg(F.sum(F.col("n_shingles") + DOC_WEIGHT).alias("weight"))
     sized = members.join(weights.where(F.col("weight") > BLOCK_SHINGLES).withColumn("blocks", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")).select("root", "blocks"), "root", "left")
-    own = F.pmod(F.xxhash64("k"), F.col("blocks").cast("long")).cast("int")
+    own = F.pmod(_k1(), F.col("blocks").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(own, b) * F.col("blocks") + F.greatest(own, b))
     return sized.select("k", "text", "root", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(others)).alias("part"))
 
@@ -230,41 +241,38 @@ def _grouped(members: DataFrame) -> DataFrame:
 def join(df: DataFrame, width: int = WIDTH, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable over links, a link being a Jaccard similarity of least / 100 or more.
 
-    Equal sets are one class from the start. Classes that share one of their rarest shingles, as many as a link can't do without, fall into one
-    neighbourhood; within it each class asks, by T-occurrence search, which others share enough. Nothing is capped: large neighbourhoods
+    Equal sets are one from the start. Sets that share one of their rarest shingles, as many as a link can't do without, fall into one
+    neighbourhood; within it each asks, by T-occurrence search, which others share enough. Nothing is capped: large neighbourhoods
     are searched block by block. Sets are held as 64-bit hashes of shingles. Texts without words, and null, have an empty set and their own
-    doc_id as component; rows that share a doc_id are rows of one document each with its own set; null ids link but name no component.
+    doc_id as component; rows that share a doc_id are rows of one document each with its own set; rows with a null id link with nothing
+    and have a null component; an empty table gives no rows.
     """
     docs = spread(documents(df, text=text, key=key))
     sc = df.sparkSession.sparkContext
-    sketch = sc.broadcast(frequencies(docs, width).astype(np.float32))
-    found = _classes(docs, sketch, width, least)
-    rows = written(found)
-    classes = written(rows.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")))
-    near = _neighbourhoods(classes)
-    members = written(classes.select("k", "n_shingles", _k1().alias("node")).join(near, "node").select("k", "n_shingles", "root"))
-    wanted = sc.broadcast(key_filter(members.select(_k1().alias("node")), "node"))
-    schema = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("text", T.StringType())])
+    rows = written(_profiles(docs, width, least))
+    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    near = _neighbourhoods(full, least)
+    sets = full.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"))
+    members = written(sets.withColumn("node", _k1()).join(near, "node").select("k", F.col("first").alias("doc_id"), "n_shingles", "root"))
+    wanted = sc.broadcast(key_filter(members.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h")), "h"))
 
     def make():
-        held, hashes = np.frombuffer(wanted.value, np.uint8), WordHashes()
+        held = np.frombuffer(wanted.value, np.uint8)
 
         def step(part: pa.RecordBatch) -> list:
-            texts = raw(part.column("text"))
-            keys = [xxhash.xxh3_128_digest(shingles(words_of(t), hashes, width).tobytes()) for t in texts]
-            ok = passes(held, np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64))
-            return [[k for k, y in zip(keys, ok) if y], part.column("text").filter(pa.array(ok))]
+            names = [b"" if i is None else str(i).encode() for i in part.column("doc_id").to_pylist()]
+            kept = part.filter(pa.array(passes(held, np.array([xxhash.xxh64_intdigest(n, 42) for n in names], np.uint64))))
+            return [kept.column("doc_id"), kept.column("text")]
 
         return step
 
-    texts = map_slices(docs, make, schema).groupBy("k").agg(F.first("text").alias("text"))
+    texts = map_slices(docs, make, struct(docs, ("text", T.StringType())))
     shape = "a binary, b binary"
-    links = _grouped(members.join(texts, "k")).groupBy("root", "part").applyInArrow(lambda t: _verify(t, width, least), shape)
+    links = _grouped(members.join(texts, "doc_id")).groupBy("root", "part").applyInArrow(lambda t: _verify(t, width, least), shape)
     tied = components(links)
-    named = classes.select("k", "first").join(tied.select(F.col("node").alias("k"), F.col("root").alias("tie")), "k")
-    named = named.select("k", F.coalesce("tie", "k").alias("tie"), "first")
-    least_ids = named.groupBy("tie").agg(F.min("first").alias("component_id"))
-    together = named.join(least_ids, "tie").select("k", "component_id")
-    singles = classes.select("k", "first").join(together, "k", "left").select("k", F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    named = sets.select("k", "first").join(tied.select(F.col("node").alias("k"), F.col("root").alias("tie")), "k")
+    together = named.join(named.groupBy("tie").agg(F.min("first").alias("component_id")), "tie").select("k", "component_id")
+    singles = sets.select("k", "first").join(together, "k", "left").select("k", F.coalesce("component_id", "first").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "k").join(singles, "k", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
