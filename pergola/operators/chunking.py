@@ -129,3 +129,43 @@ def chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP,
 def last_by_id(rows: DataFrame) -> DataFrame:
     """Of chunks with equal ids the last by file and line."""
     return rows.groupBy("chunk_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "chunk_id")), F.struct("path", "start_line", "end_line")).alias("r")).select("chunk_id", "r.*")
+
+
+PER_DIRECTORY = 14
+IN_MAP = 260
+
+
+def map_directories(files: DataFrame, per_directory: int = PER_DIRECTORY, most: int = IN_MAP) -> DataFrame:
+    """dir, lines, files, shown, more: directories by falling lines, as many as a map of `most` files has room for."""
+    from pyspark.sql import Window
+
+    directory = F.regexp_replace("path", "/[^/]*$", "")
+    rows = files.select(F.when(F.contains("path", F.lit("/")), directory).otherwise("(root)").alias("dir"), F.size(lines_of(F.col("content"))).alias("n"))
+    totals = rows.groupBy("dir").agg(F.sum("n").alias("lines"), F.count("*").alias("files"))
+    # a directory shows one file at least, so no more than `most` of them matter: the cut comes before the one-task window
+    first = totals.orderBy(F.desc("lines"), "dir").limit(most)
+    before = Window.orderBy(F.desc("lines"), "dir").rowsBetween(Window.unboundedPreceding, -1)
+    placed = first.withColumn("before", F.coalesce(F.sum(F.least("files", F.lit(per_directory))).over(before), F.lit(0))).where(F.col("before") < most)
+    return placed.select("dir", "lines", "files", F.least("files", F.lit(per_directory), most - F.col("before")).alias("shown"), F.greatest(F.col("files") - per_directory, F.lit(0)).alias("more"))
+
+
+def repo_map(files: DataFrame, chunks: DataFrame, per_directory: int = PER_DIRECTORY, symbols: int = 6) -> DataFrame:
+    """One row, map: directories of map_directories() with their largest files and the first symbols of each. chunks: path, symbol, kind, start_line."""
+    from pyspark.sql import Window
+
+    dirs = map_directories(files, per_directory)
+    directory = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("(root)")
+    named = chunks.where(F.col("symbol").isNotNull() & F.col("kind").isin("class", "function", "interface", "module"))
+    first = named.groupBy("path", "symbol").agg(F.min("start_line").alias("at"))
+    listed = first.groupBy("path").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "symbol"))), lambda x: x["symbol"]), 1, symbols).alias("names"))
+    rows = files.select("path", directory.alias("dir"), F.size(lines_of(F.col("content"))).alias("n")).join(F.broadcast(dirs), "dir")
+    place = F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("n"), "path"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= F.col("shown")).join(listed, "path", "left")
+    suffix = F.when(F.size("names") > 0, F.concat(F.lit("  -> "), F.array_join("names", ", "))).otherwise("")
+    line = F.concat(F.lit("  "), F.substring_index("path", "/", -1), F.lit(" ("), F.col("n").cast("string"), F.lit(" lines)"), suffix)
+    blocks = rows.groupBy("dir", "lines", "more").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("text")))), lambda x: x["text"]), "\n").alias("body"))
+    block = F.concat("dir", F.lit("/\n"), "body", F.when(F.col("more") > 0, F.concat(F.lit("\n  ... "), F.col("more").cast("string"), F.lit(" more files"))).otherwise(""), F.lit("\n"))
+    whole = blocks.agg(F.sort_array(F.collect_list(F.struct((-F.col("lines")).alias("o"), "dir", block.alias("text")))).alias("all"))
+    totals = files.agg(F.count("*").alias("files"), F.sum(F.size(lines_of(F.col("content")))).alias("total")).crossJoin(chunks.agg(F.count("*").alias("chunks")))
+    head = F.format_string("REPOSITORY MAP  |  %d files, %s lines, %d indexed chunks\n\n", "files", F.format_number("total", 0), "chunks")
+    return whole.crossJoin(totals).select(F.concat(head, F.array_join(F.transform("all", lambda x: x["text"]), "\n")).alias("map"))

@@ -354,3 +354,569 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
         got, wanted = (rows, cases) if got is None else (got.unionByName(rows), wanted.unionByName(cases))
     name = F.get(F.array(*(F.lit(v[0]) for v in VARIANTS)), F.floor(F.col("case_id") / 1_000_000_000).cast("int"))
     return evaluation.averages(evaluation.retrieval_metrics(got, wanted).withColumn("variant", name), "variant")
+
+
+# Files and chunks
+
+
+REASON_SQL = f"""CASE WHEN list_bool_or(list_transform(string_split(lower(path), '/')[:-2], lambda d: d IN {_in(paths.EXCLUDED_DIRS)} OR starts_with(d, '.git'))) THEN 'excluded_dir'
+  WHEN regexp_extract(lower(path), '[^/]*$') IN {_in(paths.LOCKFILES)} THEN 'lockfile'
+  WHEN regexp_matches(lower(path), '({"|".join(s.replace(".", "[.]") for s in paths.BINARY_SUFFIXES)})$') THEN 'binary_suffix'
+  WHEN strlen(content) > 400000 OR strlen(content) = 0 THEN 'too_large'
+  WHEN contains(left(content, 8192), chr(0)) THEN 'binary'
+  WHEN length(content) / (length(content) - length(replace(content, chr(10), '')) + 1) > 400 THEN 'minified' END"""
+ALL_FILES_SQL = f"files AS (SELECT {PATH_SQL} AS path, text AS content FROM documents UNION ALL SELECT regexp_replace(url, '^[a-z]+://', '') AS path, html AS content FROM pages)"
+
+
+def _all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.col("html").alias("content"))
+    rows = _files(spark, sf_dir).select("path", "content").unionByName(pages)
+    return rows.withColumn("size_bytes", F.octet_length("content"))
+
+
+@query(f"WITH {ALL_FILES_SQL} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT {REASON_SQL} AS reason FROM files) GROUP BY 1")
+def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why documents and pages would be left out of an index, the first reason that holds."""
+    return files.skip_counts(files.judged(_all_files(spark, sf_dir)))
+
+
+NAME_SQL = "regexp_extract(lower(path), '[^/]*$')"
+SUFFIX_SQL = f"regexp_extract({NAME_SQL}, '^.+([.][^.]+)$', 1)"
+STEM_SQL = f"regexp_replace({NAME_SQL}, '^(.+)[.][^.]+$', '\\1')"
+
+
+def _case(table: dict[str, str], key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+KNOWN = paths.CODE_SUFFIXES | paths.OTHER_SUFFIXES
+LANGUAGE_SQL = f"coalesce({_case(paths.SPECIAL_NAMES, NAME_SQL)}, CASE WHEN {SUFFIX_SQL} NOT IN {_in(KNOWN)} THEN {_case(paths.SPECIAL_NAMES, STEM_SQL)} END, {_case(KNOWN, SUFFIX_SQL)}, 'text')"
+CODE_SQL = f"({SUFFIX_SQL} IN {_in(paths.CODE_SUFFIXES)} AND {NAME_SQL} NOT IN {_in(paths.SPECIAL_NAMES)})"
+#: Names hung on pages in turn, so that every way to tell a language is met.
+NAMES = ("index.html", "main.py", "README", "Dockerfile.dev", "app.test.ts", "lib/mod.rs", "docs/guide.md", "notes", ".gitignore", "setup.cfg", "License.txt", "gen/api_pb2.py")
+NAMED_SQL = f"named AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') || '/' || list_extract([{', '.join(repr(n) for n in NAMES)}], (page_id % {len(NAMES)} + 1)::INTEGER) AS path, html FROM pages)"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("page_id") % len(NAMES)).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), name).alias("path"), "html")
+
+
+@query(f"WITH {NAMED_SQL} SELECT page_id, {LANGUAGE_SQL} AS language, {CODE_SQL} AS is_code FROM named")
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).select("page_id", paths.language(F.col("path")).alias("language"), paths.is_code(F.col("path")).alias("is_code"))
+
+
+DEPTH_SQL = "(length(path) - length(replace(path, '/', '')))"
+LINES_SQL = "(length(html) - length(replace(html, chr(10), '')) + 1)"
+IMPORTANCE_SQL = f"""round(CASE WHEN {CODE_SQL} THEN 10.0 ELSE 4.0 END + CASE WHEN {NAME_SQL} IN {_in(paths.HIGH_VALUE_NAMES)} THEN 12.0 ELSE 0 END + greatest(0.0, 5.0 - {DEPTH_SQL} * 1.2)
+  + CASE WHEN {LINES_SQL} BETWEEN 20 AND 800 THEN 3.0 WHEN {LINES_SQL} > 3000 THEN -4.0 ELSE 0 END - CASE WHEN regexp_matches(lower(path), '{"|".join(paths.TEST_MARKERS)}') THEN 5.0 ELSE 0 END
+  - CASE WHEN regexp_matches(lower(path), 'generated|_pb2|[.]pb[.]|autogen') THEN 8.0 ELSE 0 END + CASE WHEN {LANGUAGE_SQL} IN ('markdown', 'rst') AND {DEPTH_SQL} <= 1 THEN 4.0 ELSE 0 END, 6)::DOUBLE"""
+
+
+@query(f"WITH {NAMED_SQL} SELECT path, importance, (row_number() OVER (ORDER BY importance DESC, path))::INTEGER AS place FROM (SELECT path, {IMPORTANCE_SQL} AS importance FROM named) QUALIFY place <= 100")
+def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred files most worth indexing; the limit is the feature."""
+    lines = F.length("html") - F.length(F.replace("html", F.lit("\n"), F.lit(""))) + 1
+    rows = _named(spark, sf_dir).select("path", F.round(paths.importance(F.col("path"), lines), 6).alias("importance")).orderBy(F.desc("importance"), "path").limit(100)
+    from pyspark.sql import Window
+
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "path")))
+
+
+DOC_LINES_SQL = "(length(rtrim(text, '')) - length(replace(text, chr(10), '')) + CASE WHEN text = '' THEN 0 WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END)"
+
+
+@query(
+    f"""WITH f AS (SELECT source || '/' || lang AS dir, doc_id, {DOC_LINES_SQL.replace("rtrim(text, '')", "text")} AS lines FROM documents),
+r AS (SELECT dir, sum(lines)::BIGINT AS lines, count(*) AS files FROM f GROUP BY dir),
+o AS (SELECT *, coalesce(sum(least(files, 14)) OVER (ORDER BY lines DESC, dir ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT dir, lines, files, least(files, 14, 260 - before)::BIGINT AS shown, greatest(files - 14, 0)::BIGINT AS more FROM o WHERE before < 260"""
+)
+def repo_map_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directories of a repository map: by lines, fourteen files of each, 260 in all; the limits are the feature."""
+    return chunking.map_directories(_files(spark, sf_dir))
+
+
+LINES_CTE = "lined AS (SELECT doc_id, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS l FROM documents WHERE text <> '')"
+
+
+def windows_sql(source: str, compat: bool = False) -> str:
+    """win(doc_id, sect, first, last) over source(doc_id, sect, l, a, b): lines a to b of the list l, from 0."""
+    step, most = LINES - OVERLAP, LINES
+    keep = "moved" if compat else f"CASE WHEN stop >= b OR moved < s + {step} - 1 THEN stop ELSE moved END"
+    return f"""starts AS (SELECT doc_id, sect, l, a, b, unnest(range(a, b + 1, {step})) AS s FROM {source} WHERE b >= a AND b - a + 1 > {most}),
+stops AS (SELECT *, least(s + {most} - 1, b) AS stop FROM starts),
+hits AS (SELECT *, list_filter(range(stop, greatest(s + 5, stop - 12), -1), lambda i: NOT regexp_matches(l[i + 1], '\\S') OR regexp_matches(l[i + 1], '^\\S'))[1] AS hit FROM stops),
+moves AS (SELECT *, CASE WHEN hit IS NULL THEN stop WHEN NOT regexp_matches(l[hit + 1], '\\S') THEN hit ELSE greatest(s, hit - 1) END AS moved FROM hits),
+ends AS (SELECT doc_id, sect, b, s, {keep} AS e FROM moves),
+cut AS (SELECT *, coalesce(max((e >= b)::INTEGER) OVER (PARTITION BY doc_id, sect ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM ends),
+win AS (SELECT doc_id, sect, s AS first, e AS last FROM cut WHERE done = 0 UNION ALL SELECT doc_id, sect, a, b FROM {source} WHERE b >= a AND b - a + 1 <= {most})"""
+
+
+WHOLE_SQL = f"{LINES_CTE}, whole AS (SELECT doc_id, 0 AS sect, l, 0::BIGINT AS a, (len(l) - 1)::BIGINT AS b FROM lined)"
+BODY_SQL = "list_aggregate(l[first + 1 : last + 1], 'string_agg', chr(10))"
+CHUNK_SQL = f"""chunk AS (SELECT doc_id, {PATH_SQL} AS path, (first + 1)::INTEGER AS start_line, (last + 1)::INTEGER AS end_line, {BODY_SQL} AS body FROM win JOIN lined USING (doc_id) JOIN documents USING (doc_id)),
+chunks AS (SELECT *, '// file: ' || path || ' (text)' || chr(10) || body AS content FROM chunk WHERE length(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) >= 24)"""
+ID_SQL = "left(sha1(path || ':' || start_line || ':' || end_line || ':' || left(content, 256)), 16)"
+
+
+def _line_chunks(spark: SparkSession, sf_dir: str, compat: bool = False) -> DataFrame:
+    return chunking.line_chunks(_files(spark, sf_dir), LINES, OVERLAP, compat)
+
+
+@query(f"WITH {WHOLE_SQL}, {windows_sql('whole')}, {CHUNK_SQL} SELECT path, start_line, end_line, length(content)::INTEGER AS chars FROM chunks")
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_chunks(spark, sf_dir).select("path", "start_line", "end_line", F.length("content").alias("chars"))
+
+
+@query(f"WITH {WHOLE_SQL}, {windows_sql('whole', True)}, {CHUNK_SQL} SELECT path, start_line, end_line FROM chunks")
+def line_chunks_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows under the older rule of where they end."""
+    return _line_chunks(spark, sf_dir, True).select("path", "start_line", "end_line")
+
+
+@query(f"WITH {WHOLE_SQL}, {windows_sql('whole')}, {CHUNK_SQL} SELECT path, start_line, end_line, {ID_SQL} AS chunk_id, greatest(1, length(content) // 4)::BIGINT AS tokens FROM chunks")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_chunks(spark, sf_dir).select("path", "start_line", "end_line", "chunk_id", text.token_estimate(F.col("content")).alias("tokens"))
+
+
+DEDUPE_SQL = f"twice AS (SELECT {ID_SQL} AS chunk_id, path, start_line, end_line FROM chunks UNION ALL SELECT {ID_SQL}, path, start_line, end_line + 1000 FROM chunks)"
+
+
+@query(f"WITH {WHOLE_SQL}, {windows_sql('whole')}, {CHUNK_SQL}, {DEDUPE_SQL} SELECT * FROM twice QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY path DESC, start_line DESC, end_line DESC) = 1")
+def chunk_id_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of chunks with equal ids the last wins."""
+    rows = _line_chunks(spark, sf_dir).select("chunk_id", "path", "start_line", "end_line")
+    return chunking.last_by_id(rows.unionByName(rows.withColumn("end_line", F.col("end_line") + 1000)))
+
+
+@query(f"WITH {WHOLE_SQL}, {windows_sql('whole')}, {CHUNK_SQL} SELECT path, start_line, end_line FROM chunks WHERE path = 'src1/en/doc_1.txt'")
+def source_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pergola.sources import index
+
+    return index.by_path(_line_chunks(spark, sf_dir), "src1/en/doc_1.txt").select("path", "start_line", "end_line")
+
+
+@query(f"WITH {WHOLE_SQL}, {windows_sql('whole')}, {CHUNK_SQL} SELECT count(*) AS chunks, count(DISTINCT path) AS files, round(avg(end_line - start_line + 1), 1) AS mean_lines FROM chunks")
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _line_chunks(spark, sf_dir)
+    return rows.agg(F.count("*").alias("chunks"), F.countDistinct("path").alias("files"), F.round(F.avg(F.col("end_line") - F.col("start_line") + 1), 1).alias("mean_lines"))
+
+
+#: Every third line as a heading, of a level that its place gives.
+MARKDOWN_SQL = """lined AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 1 THEN repeat('#', ((i - 1) % 4 + 1)::INTEGER) || ' ' || x ELSE x END) AS l FROM documents WHERE text <> ''),
+heads AS (SELECT doc_id, l, list_filter(range(len(l)), lambda i: regexp_matches(l[i + 1], '^#{1,4}\\s+.*$')) AS h FROM lined),
+sects AS (SELECT doc_id, l, NULL AS title, -1 AS sect, 0::BIGINT AS a, (len(l) - 1)::BIGINT AS b FROM heads WHERE len(h) = 0
+  UNION ALL SELECT doc_id, l, 'preamble', -1, 0, h[1] - 1 FROM heads WHERE len(h) > 0 AND h[1] > 0
+  UNION ALL SELECT doc_id, l, trim(regexp_extract(l[h[k] + 1], '^#{1,4}\\s+(.*)$', 1)), k, h[k], coalesce(h[k + 1], len(l)) - 1 FROM (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM heads))"""
+
+
+@query(f"WITH {MARKDOWN_SQL}, {windows_sql('sects')} SELECT doc_id, title AS symbol, (first + 1)::INTEGER AS start_line, (last + 1)::INTEGER AS end_line FROM win JOIN sects USING (doc_id, sect) WHERE length(regexp_replace({BODY_SQL}, '^\\s+|\\s+$', '', 'g')) >= 24")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with every third line as a heading, by sections."""
+    lines = F.transform(F.split(F.regexp_replace("text", "\\n$", ""), "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.repeat(F.lit("#"), i % 4 + 1), F.lit(" "), x)).otherwise(x))
+    rows = read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.array_join(lines, "\n").alias("content"))
+    found = chunking.section_chunks(rows, LINES, OVERLAP)
+    return found.select(F.regexp_replace("path", "\\.md$", "").cast("long").alias("doc_id"), "symbol", "start_line", "end_line")
+
+
+@query(
+    f"""WITH {LINES_CTE}, own AS (SELECT doc_id, i FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM lined) WHERE regexp_matches(l[i + 1], '\\S') AND length(l[i + 1]) % 3 <> 0),
+marked AS (SELECT *, (i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 4 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL)::INTEGER AS new FROM own),
+isles AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM marked)
+SELECT doc_id, min(i)::INTEGER AS first, max(i)::INTEGER AS last FROM isles GROUP BY doc_id, isle"""
+)
+def uncovered_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that declarations leave, here those whose length is no multiple of three, in runs."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", chunking.lines_of(F.col("text")).alias("lines"))
+    covered = F.filter(F.transform("lines", lambda x, i: F.when(F.length(x) % 3 == 0, i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("covered", covered)
+    return rows.select("doc_id", F.explode(chunking.islands(F.col("lines"), F.col("covered"))).alias("s")).select("doc_id", "s.first", "s.last")
+
+
+@query("SELECT lang AS language, count(*) AS files, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 150) AS preview, trim(regexp_replace(lower(lang || '  ' || source || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"), text.slug(F.concat("lang", F.lit("  "), "source", F.lit("!"))).alias("slug"))
+
+
+@query(f"WITH {fixtures.PULLS.sql()} SELECT key, CASE WHEN regexp_matches(ref, '^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$') THEN 'hosted' WHEN regexp_matches(ref, '^(https?|ssh|git)://|^git@') THEN 'url' END AS kind, nullif(regexp_extract(ref, '{files.PULL}', 1), '') AS repo, try_cast(regexp_extract(ref, '{files.PULL}', 2) AS INTEGER) AS number FROM pulls")
+def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.PULLS.frame(spark)
+    return rows.select("key", files.repository(F.col("ref"), F.lit(False))["kind"].alias("kind"), files.pull_request(F.col("ref"))["repo"].alias("repo"), files.pull_request(F.col("ref"))["number"].alias("number"))
+
+
+# Answers
+
+
+DOC_DRAFT_SQL = f"'see [' || {PATH_SQL} || ':' || (n_chars % 50) || '-' || (doc_id % 40) || ', ' || (doc_id % 9 + 1) || '] and [note, 4] or [' || lang || '/doc_' || doc_id || '.txt:7, no.txt:' || doc_id || ' – ' || 5 || ']'"
+DRAFTS_SQL = f"{fixtures.DRAFTS.sql()}, told AS (SELECT key::BIGINT AS key, draft FROM drafts UNION ALL SELECT 100 + doc_id, {DOC_DRAFT_SQL} FROM documents)"
+CITED_SQL = f"""{DRAFTS_SQL}, br AS (SELECT key, unnest(regexp_extract_all(coalesce(draft, ''), '\\[([^\\[\\]]{{3,400}}?)\\]', 1)) AS br, unnest(range(len(regexp_extract_all(coalesce(draft, ''), '\\[([^\\[\\]]{{3,400}}?)\\]', 1)))) AS b FROM told),
+part AS (SELECT key, b, unnest(string_split(br, ',')) AS part, unnest(range(len(string_split(br, ',')))) AS p FROM br),
+kinds AS (SELECT *, regexp_extract(part, '^\\s*([^\\s:]+?[.][A-Za-z0-9_]+):([0-9]+)(?:\\s*[-–]\\s*([0-9]+))?\\s*$', ['path', 'a', 'b']) AS r, regexp_extract(part, '^\\s*([0-9]+)(?:\\s*[-–]\\s*([0-9]+))?\\s*$', ['a', 'b']) AS n FROM part),
+runs AS (SELECT *, sum((r.path <> '' OR n.a = '')::INTEGER) OVER (PARTITION BY key, b ORDER BY p) AS run FROM kinds),
+given AS (SELECT *, max(r.path) OVER (PARTITION BY key, b, run) AS path, CASE WHEN r.path <> '' THEN r.a ELSE n.a END AS x, CASE WHEN r.path <> '' THEN r.b ELSE n.b END AS y FROM runs WHERE r.path <> '' OR n.a <> ''),
+cited AS (SELECT key, path, least(x::INTEGER, coalesce(try_cast(y AS INTEGER), x::INTEGER)) AS first, greatest(x::INTEGER, coalesce(try_cast(y AS INTEGER), x::INTEGER)) AS last FROM given WHERE path <> '')"""
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, path, first, last of the markers of a few drafts and of one for each document."""
+    words = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    text_of = lambda c: c.cast("string")
+    doc = F.col("doc_id")
+    draft = words("see [", _path(), ":", text_of(F.col("n_chars") % 50), "-", text_of(doc % 40), ", ", text_of(doc % 9 + 1), "] and [note, 4] or [", F.col("lang"), "/doc_", text_of(doc), ".txt:7, no.txt:", text_of(doc), " – 5]")
+    rows = fixtures.DRAFTS.frame(spark).select(F.col("key").cast("long").alias("key"), "draft").unionByName(read(spark, sf_dir, "documents").select((doc + 100).alias("key"), draft.alias("draft")))
+    return rows.select("key", F.explode(answers.citations(F.col("draft"))).alias("c")).select("key", "c.path", "c.first", "c.last")
+
+
+@query(f"WITH {CITED_SQL} SELECT * FROM cited")
+def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cited(spark, sf_dir)
+
+
+RESOLVED_SQL = f"""paths AS (SELECT {PATH_SQL} AS path FROM documents), wantp AS (SELECT DISTINCT path FROM cited),
+solved AS (SELECT w.path, k.path AS resolved FROM wantp w JOIN paths k ON k.path = w.path OR (ends_with(k.path, w.path) AND w.path NOT IN (SELECT path FROM paths)) QUALIFY row_number() OVER (PARTITION BY w.path ORDER BY length(k.path), k.path) = 1)"""
+
+
+@query(f"WITH {CITED_SQL}, {RESOLVED_SQL} SELECT key, path, first, last, resolved FROM cited LEFT JOIN solved USING (path)")
+def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.resolved(_cited(spark, sf_dir), _files(spark, sf_dir).select("path")).select("key", "path", "first", "last", "resolved")
+
+
+@query(f"WITH {CITED_SQL}, paths AS (SELECT {PATH_SQL} AS path FROM documents) SELECT key, count(*) AS citations, round(avg((path IN (SELECT path FROM paths))::INTEGER), 4) AS valid_rate FROM cited GROUP BY key")
+def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.citation_validity(_cited(spark, sf_dir), _files(spark, sf_dir).select("path"))
+
+
+@query(
+    f"""WITH {CITED_SQL}, {WHOLE_SQL}, {windows_sql('whole')}, {CHUNK_SQL}, named AS (SELECT path, start_line, end_line, body, CASE WHEN start_line % 2 = 1 THEN path || '@' || start_line END AS symbol FROM chunks),
+near AS (SELECT c.*, n.* EXCLUDE (path) FROM cited c JOIN named n ON n.path = c.path AND c.first BETWEEN n.start_line AND n.end_line),
+best AS (SELECT key, path, first, last, arg_min(symbol, start_line * 100000 + end_line) FILTER (WHERE symbol IS NOT NULL) AS symbol,
+  arg_min(left(list_aggregate(string_split(body, chr(10))[first - start_line + 1 : first - start_line + least(6, last - first + 1)], 'string_agg', chr(10)), 600), start_line * 100000 + end_line) AS excerpt FROM near GROUP BY key, path, first, last)
+SELECT c.key, c.path, c.first, c.last, symbol, excerpt FROM cited c LEFT JOIN best USING (key, path, first, last)"""
+)
+def citation_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _line_chunks(spark, sf_dir)
+    body = F.regexp_replace("content", "^[^\\n]*\\n", "")
+    named = rows.select("path", "start_line", "end_line", body.alias("body"), F.when(F.col("start_line") % 2 == 1, F.concat("path", F.lit("@"), F.col("start_line").cast("string"))).alias("symbol"))
+    return answers.located(_cited(spark, sf_dir), named).select("key", "path", "first", "last", "symbol", "excerpt")
+
+
+CONFIDENCE_SQL = """WITH {t}, a AS (SELECT key, coalesce(base, 0.5) * CASE WHEN grounded = false THEN 0.55 ELSE 1.0::DOUBLE END * CASE WHEN complete = false THEN 0.8 ELSE 1.0::DOUBLE END AS v, citations, overlap, invalid, errors FROM {n}),
+b AS (SELECT *, CASE WHEN citations = 0 THEN v * 0.6::DOUBLE ELSE least(1.0::DOUBLE, v * (0.7::DOUBLE + 0.3::DOUBLE * overlap) * (1.0::DOUBLE + 0.04::DOUBLE * least(citations, 5))) END AS w FROM a),
+c AS (SELECT *, CASE WHEN invalid > 0 THEN w * greatest(0.55::DOUBLE, 1.0::DOUBLE - 0.6::DOUBLE * (invalid / (invalid + citations))) ELSE w END AS x FROM b)
+SELECT key, round(greatest(0.0::DOUBLE, least(0.97::DOUBLE, CASE WHEN errors > 0 THEN x * 0.9::DOUBLE ELSE x END)), 3) AS confidence FROM c"""
+
+
+@query(CONFIDENCE_SQL.format(t=fixtures.ANSWERS.sql(), n="answers"))
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("base", "grounded", "complete", "citations", "overlap", "invalid", "errors")
+    return fixtures.ANSWERS.frame(spark).select("key", answers.confidence(*map(F.col, columns)).alias("confidence"))
+
+
+RANKED_DOCS_SQL = "ranked AS (SELECT source AS qid, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INTEGER AS rank, length(text)::BIGINT AS chars FROM documents)"
+
+
+def _ranked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = read(spark, sf_dir, "documents")
+    return rows.select(F.col("source").alias("qid"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"), F.length("text").cast("long").alias("chars"))
+
+
+@query(
+    f"""WITH {RANKED_DOCS_SQL}, u AS (SELECT *, coalesce(sum(chars) OVER w, 0)::BIGINT AS used FROM ranked WINDOW w AS (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, used + chars > 90000 AS stop, coalesce(bool_or(used + chars > 90000) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM u)
+SELECT qid, rank, least(chars, 90000 - used)::BIGINT AS taken FROM s WHERE NOT over AND (NOT stop OR 90000 - used >= 400)"""
+)
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source into a context of 90,000 characters."""
+    return answers.packed(_ranked_docs(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {RANKED_DOCS_SQL}, items AS (SELECT qid, rank, greatest(1, chars // 4) AS cost FROM ranked), walk(qid, rank, used, kept) AS (
+  SELECT qid, 0, 0::BIGINT, false FROM (SELECT DISTINCT qid FROM items) UNION ALL
+  SELECT i.qid, i.rank, CASE WHEN w.used + i.cost > 8000 THEN w.used ELSE w.used + i.cost END, w.used + i.cost <= 8000 FROM walk w JOIN items i ON i.qid = w.qid AND i.rank = w.rank + 1)
+SELECT qid, rank, cost::BIGINT AS cost FROM walk JOIN items USING (qid, rank) WHERE kept"""
+)
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy choice of what still fits into 8,000 tokens."""
+    rows = _ranked_docs(spark, sf_dir).select("qid", "rank", F.greatest(F.lit(1), F.floor(F.col("chars") / 4)).cast("long").alias("cost"))
+    return answers.budgeted(rows, 8000)
+
+
+@query(
+    """SELECT doc_id, overall, least(c, g, m) >= 3 AND overall >= 3.5 AS passed FROM (SELECT *, round(0.45 * c + 0.35 * g + 0.2 * m, 3)::DOUBLE AS overall
+FROM (SELECT doc_id, 1 + 4 * quality AS c, 5 - 3 * toxic AS g, 3 + (doc_id % 3)::INTEGER AS m FROM labels))"""
+)
+def judge_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels read as a judge's marks."""
+    overall, passed = answers.judged(1 + 4 * F.col("quality"), 5 - 3 * F.col("toxic"), 3 + (F.col("doc_id") % 3).cast("int"))
+    return read(spark, sf_dir, "labels").select("doc_id", overall.cast("double").alias("overall"), passed.alias("passed"))
+
+
+@query("SELECT conv_id, turn, round(len(list_filter(['the', role, 'AND', 'ment', 'zzz'], lambda t: contains(lower(text), lower(t)))) / 5, 4) AS coverage FROM conversations")
+def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.array(F.lit("the"), F.col("role"), F.lit("AND"), F.lit("ment"), F.lit("zzz"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.keyword_coverage(F.col("text"), terms).alias("coverage"))
+
+
+FENCE_SQL = "regexp_extract(reply, '```(?:json)?\\s*(.*?)```', 1, 's')"
+BEST_JSON_SQL = "coalesce(" + ", ".join(f"CASE WHEN json_valid({c}) AND trim({c}) <> '' THEN {c} END" for c in ("reply", FENCE_SQL, "regexp_extract(reply, '([{].*[}])', 1, 's')", "regexp_extract(reply, '([[].*[]])', 1, 's')")) + ")"
+
+
+@query(f"WITH {fixtures.REPLIES.sql()}, v AS (SELECT key, {BEST_JSON_SQL} AS j FROM replies) SELECT key, json_extract_string(j, '$.a') AS a, json_extract_string(j, '$[1]') AS second FROM v")
+def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first JSON in a model's reply."""
+    value = text.json_value(F.col("reply"))
+    return fixtures.REPLIES.frame(spark).select("key", F.get_json_object(value, "$.a").alias("a"), F.get_json_object(value, "$[1]").alias("second"))
+
+
+@query(f"""WITH got AS (SELECT doc_id % 97 AS case_id, doc_id AS rank, source AS path FROM documents), wanted AS (SELECT DISTINCT doc_id % 97 AS case_id, 'src' || (doc_id % 31) AS path FROM documents)
+SELECT case_id, path FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM got g WHERE g.case_id = w.case_id AND g.path = w.path)""")
+def missed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents")
+    case = (F.col("doc_id") % 97).alias("case_id")
+    got = rows.select(case, F.col("doc_id").alias("rank"), F.col("source").alias("path"))
+    return evaluation.missed(got, rows.select(case, F.concat(F.lit("src"), (F.col("doc_id") % 31).cast("string")).alias("path")))
+
+
+RUN_SQL = """run AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'quota' END AS error, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE quality = 1 END AS passed, 0.5::DOUBLE + toxic / 4 AS confidence, (doc_id % 6)::INTEGER AS citations, toxic AS hallucinations,
+  (doc_id % 100) / 10 AS latency, (doc_id % 1000) / 100000 AS cost, (doc_id % 5000)::BIGINT AS tokens, (doc_id % 3)::INTEGER AS refinements FROM labels)"""
+
+
+@query(
+    f"""WITH {RUN_SQL} SELECT count(*) FILTER (WHERE error IS NULL) AS answered, count(*) FILTER (WHERE error IS NOT NULL) AS failed, round(coalesce(avg(passed::INTEGER) FILTER (WHERE error IS NULL), 0), 4) AS pass_rate,
+round(avg(confidence) FILTER (WHERE error IS NULL), 4) AS mean_confidence, round(avg(citations) FILTER (WHERE error IS NULL), 2) AS mean_citations, round(avg(latency) FILTER (WHERE error IS NULL), 2) AS mean_latency_s,
+round(avg(cost) FILTER (WHERE error IS NULL), 6) AS mean_cost_usd, floor(avg(tokens) FILTER (WHERE error IS NULL))::BIGINT AS mean_tokens, (sum(refinements) FILTER (WHERE error IS NULL))::BIGINT AS refinements,
+count(*) FILTER (WHERE error IS NULL AND passed IS NOT NULL AND hallucinations > 0) AS hallucination_cases FROM run"""
+)
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("doc_id")
+    rows = read(spark, sf_dir, "labels").select(
+        F.when(doc % 11 == 0, "quota").alias("error"),
+        F.when(doc % 5 != 0, F.col("quality") == 1).alias("passed"),
+        (0.5 + F.col("toxic") / 4).alias("confidence"),
+        (doc % 6).cast("int").alias("citations"),
+        F.col("toxic").alias("hallucinations"),
+        ((doc % 100) / 10).alias("latency"),
+        ((doc % 1000) / 100000).alias("cost"),
+        (doc % 5000).alias("tokens"),
+        (doc % 3).cast("int").alias("refinements"),
+    )
+    return evaluation.run_summary(rows)
+
+
+@query("SELECT doc_id, repeat('#', round_even(greatest(0, least(1, (n_chars % 120) / 100)) * 18, 0)::INTEGER) AS bar FROM documents")
+def report_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", evaluation.bar((F.col("n_chars") % 120) / 100).alias("bar"))
+
+
+# Diffs and reviews
+
+
+def _diff(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    marked = diffs.marked(fixtures.DIFFS.frame(spark))
+    return marked, diffs.files(marked), diffs.diff_lines(marked)
+
+
+DIFF_SQL = f"""{fixtures.DIFFS.sql()}, raw_lines AS (SELECT diff_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS raw, unnest(range(len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))))) AS n FROM diffs),
+tagged AS (SELECT *, regexp_matches(raw, '^diff --git a/.+? b/.+$') AS git, regexp_extract(raw, '{diffs.HUNK}', ['os', 'oc', 'ns', 'nc', 'h']) AS hk FROM raw_lines),
+segs AS (SELECT *, hk.os <> '' AS hunk, sum((git OR hk.os <> '')::INTEGER) OVER (PARTITION BY diff_id ORDER BY n) AS seg FROM tagged),
+heads AS (SELECT diff_id, seg, any_value(hk) FILTER (WHERE hunk) AS hd, bool_or(git) AS in_git, bool_or(hunk) AS in_hunk FROM segs GROUP BY diff_id, seg),
+uses AS (SELECT s.*, h.hd, h.in_git, h.in_hunk AND NOT s.hunk AS body, (h.in_hunk AND NOT s.hunk AND left(raw, 1) NOT IN ('+', chr(92)))::INTEGER AS o, (h.in_hunk AND NOT s.hunk AND left(raw, 1) NOT IN ('-', chr(92)))::INTEGER AS w FROM segs s JOIN heads h USING (diff_id, seg)),
+before AS (SELECT *, coalesce(sum(o) OVER x, 0)::INTEGER AS ob, coalesce(sum(w) OVER x, 0)::INTEGER AS wb FROM uses WINDOW x AS (PARTITION BY diff_id, seg ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ins AS (SELECT *, body AND (ob < coalesce(try_cast(hd.oc AS INTEGER), 1) OR wb < coalesce(try_cast(hd.nc AS INTEGER), 1)) AS inside FROM before),
+filed AS (SELECT *, sum((git OR (starts_with(raw, '--- ') AND NOT inside AND NOT in_git))::INTEGER) OVER (PARTITION BY diff_id ORDER BY n) AS file_no FROM ins),
+hunked AS (SELECT *, sum(hunk::INTEGER) OVER (PARTITION BY diff_id, file_no ORDER BY n) AS hunk_no FROM filed WHERE file_no > 0),
+dlines AS (SELECT diff_id, file_no, hunk_no, CASE left(raw, 1) WHEN '+' THEN 'added' WHEN '-' THEN 'removed' ELSE 'context' END AS type, substr(raw, 2) AS content,
+  CASE WHEN left(raw, 1) <> '+' THEN hd.os::INTEGER + ob END AS old_line, CASE WHEN left(raw, 1) <> '-' THEN hd.ns::INTEGER + wb END AS new_line,
+  (row_number() OVER (PARTITION BY diff_id, file_no, hunk_no ORDER BY n))::INTEGER AS position FROM hunked WHERE inside AND left(raw, 1) <> chr(92)),
+shorn AS (SELECT *, regexp_replace(trim(string_split(substr(raw, 5), chr(9))[1]), '^[ab]/', '') AS p FROM hunked),
+dfiles AS (SELECT diff_id, file_no, coalesce(max(nullif(regexp_extract(raw, '{diffs.GIT}', 2), '')), max(p) FILTER (WHERE NOT inside AND starts_with(raw, '+++ ') AND p <> '/dev/null'), max(p) FILTER (WHERE NOT inside AND starts_with(raw, '--- ')), 'unknown') AS path,
+  bool_or(NOT inside AND (starts_with(raw, 'new file mode') OR (starts_with(raw, '--- ') AND p = '/dev/null'))) AS is_new, bool_or(NOT inside AND (starts_with(raw, 'deleted file mode') OR (starts_with(raw, '+++ ') AND p = '/dev/null'))) AS is_deleted,
+  bool_or(NOT inside AND (starts_with(raw, 'Binary files') OR starts_with(raw, 'GIT binary patch'))) AS is_binary, max(hunk_no) AS hunks FROM shorn GROUP BY diff_id, file_no)"""
+
+
+@query(f"WITH {DIFF_SQL} SELECT diff_id, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, type, content, old_line, new_line, position FROM dlines")
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(spark)[2]
+
+
+@query(f"WITH {DIFF_SQL} SELECT diff_id, file_no::BIGINT AS file_no, path, is_new, is_deleted, is_binary, hunks::BIGINT AS hunks FROM dfiles")
+def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(spark)[1].drop("old_path", "is_renamed")
+
+
+@query(
+    f"""WITH {DIFF_SQL} SELECT diff_id, count(*) AS files, count(*) FILTER (WHERE NOT is_deleted AND NOT is_binary AND hunks > 0) AS reviewable,
+(SELECT count(*) FROM dlines l WHERE l.diff_id = f.diff_id AND type = 'added') AS additions, (SELECT count(*) FROM dlines l WHERE l.diff_id = f.diff_id AND type = 'removed') AS deletions FROM dfiles f GROUP BY diff_id"""
+)
+def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found, lines = _diff(spark)
+    return diffs.stats(found, lines)
+
+
+@query(
+    f"""WITH {DIFF_SQL}, w AS (SELECT diff_id, file_no, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) AS term FROM dlines WHERE type <> 'context')
+SELECT diff_id, file_no::BIGINT AS file_no, term, count(*) AS n, (row_number() OVER (PARTITION BY diff_id, file_no ORDER BY count(*) DESC, term))::INTEGER AS place FROM w GROUP BY diff_id, file_no, term QUALIFY place <= 12"""
+)
+def diff_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.search_terms(_diff(spark)[2])
+
+
+def _valid(spark: SparkSession) -> DataFrame:
+    _, found, lines = _diff(spark)
+    added = lines.where("type = 'added'").join(found.select("diff_id", "file_no", "path"), ["diff_id", "file_no"]).select("path", "new_line")
+    return diffs.validated(fixtures.FINDINGS.frame(spark), added)
+
+
+VALID_SQL = f"""{DIFF_SQL}, {fixtures.FINDINGS.sql()}, added AS (SELECT DISTINCT path, new_line FROM dlines JOIN dfiles USING (diff_id, file_no) WHERE type = 'added'),
+good AS (SELECT finding_id, path, line, CASE WHEN lower(trim(severity)) IN ('critical', 'high', 'medium', 'low', 'info') THEN lower(trim(severity)) ELSE 'medium' END AS severity, coalesce(nullif(left(trim(title), 200), ''), 'Issue') AS title, trim(body) AS body,
+  coalesce(nullif(left(lower(trim(category)), 40), ''), 'correctness') AS category, confidence FROM findings WHERE confidence >= 0.5 AND (title <> '' OR body <> '')),
+valid AS (SELECT finding_id, path, CASE WHEN path IN (SELECT path FROM added) THEN (SELECT a.new_line FROM added a WHERE a.path = good.path AND abs(a.new_line - good.line) <= 3 ORDER BY abs(a.new_line - good.line), a.new_line LIMIT 1) ELSE line END AS line,
+  severity, title, body, category, confidence FROM good)"""
+
+
+@query(f"WITH {VALID_SQL} SELECT * FROM valid")
+def finding_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valid(spark)
+
+
+RANK_SQL = "list_position(['critical', 'high', 'medium', 'low', 'info'], severity) - 1"
+UNIQUE_SQL = f"""{VALID_SQL}, once AS (SELECT * FROM valid QUALIFY row_number() OVER (PARTITION BY path, coalesce(line, -1), left(lower(title), 60) ORDER BY confidence DESC, finding_id) = 1),
+six AS (SELECT *, ({RANK_SQL})::INTEGER AS severity_rank FROM once QUALIFY row_number() OVER (PARTITION BY path ORDER BY {RANK_SQL}, confidence DESC, finding_id) <= 6)"""
+
+
+@query(f"WITH {UNIQUE_SQL} SELECT * FROM six ORDER BY severity_rank, path, coalesce(line, 0), finding_id LIMIT 25")
+def finding_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.deduplicated(_valid(spark))
+
+
+@query(
+    f"""WITH {UNIQUE_SQL} SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
+count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info, coalesce(bool_or(severity_rank <= 1), false) AS blocked FROM six"""
+)
+def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.blocked(diffs.deduplicated(_valid(spark)))
+
+
+# Usage, spans, quotas
+
+
+@query("SELECT event_type AS operation, count(*) AS n, round(sum(value), 4) AS total_ms, round(avg(value), 4) AS mean_ms FROM events GROUP BY 1")
+def span_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.span_summary(read(spark, sf_dir, "events"))
+
+
+PRICES_SQL = "prices(prefix, price_in, price_out) AS (VALUES " + ", ".join(f"('{p}', {a}::DOUBLE, {b}::DOUBLE)" for p, a, b in usage.PRICES) + ")"
+MODEL_SQL = "['gemini-2.0-flash-001', 'models/Gemini-2.5-Flash-Lite', 'unknown', 'llama-3.1-8b-instant', 'gemini-pro-latest'][(user_id % 5 + 1)::INTEGER]"
+EVENT_CALLS_SQL = f"calls AS (SELECT event_id, event_type, {MODEL_SQL} AS model, (event_id % 3000)::BIGINT AS prompt_tokens, (event_id % 700)::BIGINT AS completion_tokens, event_id % 4 = 0 AS cached FROM events)"
+COST_SQL = "round((prompt_tokens * coalesce(price_in, 0.1) + completion_tokens * coalesce(price_out, 0.4)) / 1000000, 8)"
+MATCH_SQL = "LEFT JOIN prices p ON p.prefix = (SELECT max_by(prefix, length(prefix)) FROM prices q WHERE starts_with(regexp_replace(lower(trim(model)), '^models/', ''), q.prefix))"
+
+
+@query(f"WITH {fixtures.CALLS.sql()}, {PRICES_SQL} SELECT call_id, coalesce(price_in, 0.1)::DOUBLE AS price_in, {COST_SQL}::DOUBLE AS cost FROM calls {MATCH_SQL}")
+def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.priced(fixtures.CALLS.frame(spark), usage.prices(spark)).select("call_id", "price_in", "cost")
+
+
+@query(
+    f"""WITH {EVENT_CALLS_SQL}, {PRICES_SQL}, names AS (SELECT model, p.price_in, p.price_out FROM (SELECT DISTINCT model FROM calls) {MATCH_SQL}), costed AS (SELECT calls.*, {COST_SQL}::DOUBLE AS cost FROM calls JOIN names USING (model))
+SELECT event_type, (sum(prompt_tokens) FILTER (WHERE NOT cached))::BIGINT AS prompt_tokens, (sum(completion_tokens) FILTER (WHERE NOT cached))::BIGINT AS completion_tokens, count(*) FILTER (WHERE NOT cached) AS llm_calls,
+count(*) FILTER (WHERE cached) AS cache_hits, round(sum(cost) FILTER (WHERE NOT cached), 6) AS cost_usd FROM costed GROUP BY 1"""
+)
+def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as calls of models by user; every fourth came from the cache."""
+    names = F.array(*map(F.lit, ("gemini-2.0-flash-001", "models/Gemini-2.5-Flash-Lite", "unknown", "llama-3.1-8b-instant", "gemini-pro-latest")))
+    rows = read(spark, sf_dir, "events").select(
+        "event_type",
+        F.get(names, (F.col("user_id") % 5).cast("int")).alias("model"),
+        (F.col("event_id") % 3000).alias("prompt_tokens"),
+        (F.col("event_id") % 700).alias("completion_tokens"),
+        (F.col("event_id") % 4 == 0).alias("cached"),
+    )
+    return usage.rollup(usage.priced(rows, usage.prices(spark)), "event_type")
+
+
+LOOKUPS_SQL = "looked AS (SELECT event_type, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= 86400000000, false) AS hit FROM events)"
+
+
+@query(f"WITH {LOOKUPS_SQL} SELECT event_type, count(*) AS lookups, count(*) FILTER (WHERE hit) AS hits, round(count(*) FILTER (WHERE hit) / count(*), 4) AS rate FROM looked GROUP BY 1")
+def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as lookups of a user's entry of each type, which lives for a day."""
+    rows = read(spark, sf_dir, "events").withColumn("key", F.concat_ws("/", "user_id", "event_type"))
+    return usage.hit_rate(usage.cache_lookups(rows, 86_400), "event_type")
+
+
+@query("WITH cache AS (SELECT user_id, max(ts) AS stored FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT DISTINCT e.user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.user_id = e.user_id AND c.stored > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY)")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users without a purchase in the week before the end of the events' month."""
+    events = read(spark, sf_dir, "events")
+    cache = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("stored"))
+    return usage.misses(events.select("user_id").distinct(), cache, F.lit("2024-01-31 00:00:00").cast("timestamp"), 7 * 86_400, "user_id")
+
+
+@query(
+    """WITH s AS (SELECT event_type, epoch_us(ts) AS a, epoch_us(ts) + round(value * 60000000)::BIGINT AS b FROM events), e AS (SELECT event_type, a AS t, 1 AS d FROM s WHERE b > a UNION ALL SELECT event_type, b, -1 FROM s WHERE b > a),
+t AS (SELECT event_type, t, sum(d) AS d FROM e GROUP BY 1, 2), o AS (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t) AS open FROM t) SELECT event_type, max(open)::BIGINT AS peak FROM o GROUP BY 1"""
+)
+def peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as spans of `value` minutes: the most that were open at once."""
+    return usage.peak_concurrency(read(spark, sf_dir, "events").withColumn("seconds", F.col("value") * 60), "event_type", "ts")
+
+
+@query("SELECT event_id, left(sha256(coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || user_id END, ''), 'host' || user_id) || '|' || event_type), 20) AS visitor FROM events")
+def visitor_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.col("user_id").cast("string")
+    forwarded = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" 10.0.0."), user, F.lit(" , 1.2.3.4"))).otherwise("")
+    return read(spark, sf_dir, "events").select("event_id", text.visitor_id(F.concat(F.lit("host"), user), forwarded, F.col("event_type")).alias("visitor"))
+
+
+QUOTA_SQL = """WITH RECURSIVE asked AS (SELECT event_id, user_id, epoch_us(ts) / 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+walk(user_id, n, event_id, hist, allowed, remaining, retry_after) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], false, 0, 0 FROM (SELECT DISTINCT user_id FROM asked) UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN len(h) < 5 THEN list_append(h, s) ELSE h END, len(h) < 5, CASE WHEN len(h) < 5 THEN 4 - len(h)::INTEGER ELSE 0 END, CASE WHEN len(h) < 5 THEN 0 ELSE greatest(1, trunc(86400 - (s - h[1])))::INTEGER END
+  FROM (SELECT a.user_id, a.n, a.event_id, a.s, list_filter(w.hist, lambda x: x >= a.s - 86400) AS h FROM walk w JOIN asked a ON a.user_id = w.user_id AND a.n = w.n + 1))
+SELECT event_id, allowed, remaining, retry_after FROM walk WHERE n > 0"""
+
+
+@query(QUOTA_SQL)
+def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five admissions of a user in any day."""
+    return quota.visitor_quota(quota.requests(read(spark, sf_dir, "events")), 5, 86_400).select("event_id", "allowed", "remaining", "retry_after")
+
+
+BUCKET_SQL = """WITH RECURSIVE asked AS (SELECT event_id, user_id, epoch_us(ts) / 1000000 AS s, least(1 + event_id % 3, 4)::DOUBLE AS want, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk(user_id, n, event_id, tokens, s, taken) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, 4.0::DOUBLE, min(s), false FROM asked GROUP BY user_id UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN t >= want THEN t - want ELSE t END, s, t >= want
+  FROM (SELECT a.*, least(4.0::DOUBLE, w.tokens + (a.s - w.s) * (0.0005::DOUBLE / 60.0::DOUBLE)) AS t FROM walk w JOIN asked a ON a.user_id = w.user_id AND a.n = w.n + 1))
+SELECT event_id, taken, round("tokens", 4) AS left_over FROM walk WHERE n > 0"""
+
+
+@query(BUCKET_SQL)
+def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucket of four for each user, which takes a day and more to fill."""
+    asked = quota.requests(read(spark, sf_dir, "events")).withColumn("amount", (1 + F.col("event_id") % 3).cast("double"))
+    return quota.token_bucket(asked, 0.0005, 4).select("event_id", "taken", F.round("left", 4).alias("left_over"))
+
+
+DAILY_SQL = QUOTA_SQL.replace(
+    "SELECT event_id, allowed, remaining, retry_after FROM walk WHERE n > 0",
+    """, d AS (SELECT e.event_id, w.allowed, sum(w.allowed::INTEGER) OVER (PARTITION BY ts::DATE ORDER BY ts, e.event_id) AS k FROM walk w JOIN events e ON e.event_id = w.event_id WHERE n > 0)
+SELECT event_id, allowed AND k <= 200 AS allowed, CASE WHEN NOT allowed THEN 'visitor' WHEN k > 200 THEN 'global' ELSE '' END AS scope FROM d""",
+)
+
+
+@query(DAILY_SQL)
+def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' quota with 200 admissions a day for all of them."""
+    decided = quota.visitor_quota(quota.requests(read(spark, sf_dir, "events")), 5, 86_400)
+    return quota.daily_quota(decided).select("event_id", "allowed", "scope")

@@ -52,7 +52,7 @@ def ignored(path: Column, lines: list[str]) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (under root), bytes, size_bytes of every file; directories that are never indexed are cut by path before any content is read."""
+    """path (under root), bytes, size_bytes of every file; directories that are never indexed are cut by path before any content is read. Spark gives no row for an empty file."""
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace(F.substring_index("path", f"{base.removeprefix('file://')}/", -1), "^/+", "")
@@ -61,7 +61,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 def decoded(files: DataFrame) -> DataFrame:
     """path, content (UTF-8, other bytes as U+FFFD), size_bytes, num_lines, language, is_code."""
-    text = F.decode("bytes", F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("bytes").cast("string"))
     rows = files.select("path", text.alias("content"), "size_bytes")
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + F.when(F.endswith("content", F.lit("\n")), 0).otherwise(1)
     return rows.select("path", "content", "size_bytes", lines.cast("long").alias("num_lines"), paths.language(F.col("path")).alias("language"), paths.is_code(F.col("path")).alias("is_code"))
