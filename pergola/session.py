@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,3 +30,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The rows as a table in spark.checkpoint.dir, so that lineage ends and no executor's loss brings it back; in a temporary folder where that is unset, as in tests."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = own.get() if own.isDefined() else f"file://{tempfile.gettempdir()}/pergola-shared"
+    where = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
