@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 #: Bytes of text that one step works on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 3 << 19
 #: Words a task remembers the hash of before it starts anew.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 
 
 def documents(df: DataFrame, *more: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -71,6 +73,16 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(start, stop - start)
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the machine; workers outlive tasks, and share an executor's memory with its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -82,12 +94,14 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list
     plain = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         step = make()
         for batch in batches:
             for part in slices(batch, column):
                 columns = step(part)
-                if columns is not None:
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, plain)], schema=plain)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, plain)], schema=plain)
+        del step
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, map_slices, most_frequent, slices, spread, struct, written
+from pergola.llm._arrow import documents, map_slices, most_frequent, slices, spread, written
 from pergola.llm._bpe import merges, spaced_words
 
 #: Rows of the word table that are sent to every task, and the longest word among them: with these two the size is bounded.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 200_000
 TABLE_WORD_CHARS = 64
 #: Other words whose identifiers a task keeps before it starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Distinct words a task counts before it hands them on.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 200_000
 
 
 def distinct_words(df: DataFrame, path: str) -> DataFrame:
@@ -93,8 +93,17 @@ def word_table(df: DataFrame, path: str) -> dict[str, bytes]:
     return dict(zip(coded.column("word").to_pylist(), coded.column("ids").to_pylist()))
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens for each row.
+IDS = (T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()))
+DECODED = T.StructField("decoded", T.StringType())
+
+
+def text_of(ids: bytes | None, pieces: list[bytes]) -> str:
+    """The text of identifiers, each looked up in the id-to-piece table, which has as many rows as the vocabulary."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
+
+
+def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens for each row; with decoded also the text that decode() makes of the ids.
 
     Spark counts the distinct words of all texts; the most frequent ones are encoded once and their ids are joined back by position
     from a table of bounded size that every task holds. A word outside that table is encoded by the task that meets it, and kept there.
@@ -105,19 +114,19 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
     sent = df.sparkSession.sparkContext.broadcast(word_table(docs, where))
 
     def make():
-        ids = _Ids(sent.value, where)
+        ids, pieces = _Ids(sent.value, where), merges(where).pieces
 
         def step(part: pa.RecordBatch) -> list:
             coded = [ids.text(t) if t else b"" for t in part.column("text").to_pylist()]
-            return [part.column("doc_id"), coded, [len(c) // 4 for c in coded]]
+            return [part.column("doc_id"), coded, [len(c) // 4 for c in coded], *([[text_of(c, pieces) for c in coded]] if decoded else [])]
 
         return step
 
-    return map_slices(docs, make, struct(docs, ("ids", T.BinaryType()), ("n_tokens", T.LongType())))
+    return map_slices(docs, make, T.StructType([docs.schema["doc_id"], *IDS, *((DECODED,) if decoded else ())]))
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """Each row of encode() with decoded, its text: identifiers are looked up in the id-to-piece table (as many rows as the vocabulary has).
+    """doc_id, ids, n_tokens of encode()'s rows, or of any with those columns, with decoded, their text.
 
     Bytes that are not UTF-8 become U+FFFD, as identifiers that were not made from a text may give them. Null ids give ''.
     """
@@ -125,14 +134,9 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
     def make():
         pieces = merges(where).pieces
+        return lambda part: [part.column("doc_id"), part.column("ids"), part.column("n_tokens"), [text_of(i, pieces) for i in part.column("ids").to_pylist()]]
 
-        def step(part: pa.RecordBatch) -> list:
-            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(i or b"", "<u4").tolist())).decode("utf-8", "replace") for i in part.column("ids").to_pylist()]
-            return [part.column("doc_id"), part.column("ids"), part.column("n_tokens"), texts]
-
-        return step
-
-    return map_slices(coded, make, struct(coded, ("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("decoded", T.StringType())), column="ids")
+    return map_slices(coded.select("doc_id", "ids", "n_tokens"), make, T.StructType([coded.schema["doc_id"], *IDS, DECODED]), column="ids")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

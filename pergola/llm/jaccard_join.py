@@ -23,7 +23,7 @@ COUNTED = np.uint64(1 << 62)
 #: Frequency levels: the number of rows from which a shared shingle is in the level, and the bits of the level's fixed-size filter.
 LEVELS = ((2, 27), (8, 25), (64, 23))
 #: Shingles of one block of a neighbourhood; a larger neighbourhood is searched by pairs of blocks.
-BLOCK_SHINGLES = 800_000
+BLOCK_SHINGLES = 400_000
 #: What a set weighs besides its shingles.
 DOC_WEIGHT = 200
 #: Postings up to which short lists are merged by a heap one by one; longer merges sort the same lists at once.

@@ -39,16 +39,28 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+@dataclass
+class Table:
+    """Keys' places, and a row of log frequencies for each, one column a language."""
+
+    places: dict[str, int]
+    logs: np.ndarray
+
+    def get(self, key: str) -> np.ndarray | None:
+        at = self.places.get(key)
+        return None if at is None else self.logs[at]
+
+
 @dataclass
 class LanguageModel:
-    """langs: the languages in order. words, grams[n]: a row of log frequencies for each, one column a language."""
+    """langs: the languages in order. words, and grams by their length."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Table
+    grams: dict[int, Table]
 
 
-def _logs(counts: dict[str, Counter], langs: list[str], most: int) -> dict[str, np.ndarray]:
+def _logs(counts: dict[str, Counter], langs: list[str], most: int) -> Table:
     """Additively smoothed log frequencies of the most frequent keys of each language."""
     keys = set()
     for lang in langs:
@@ -57,7 +69,7 @@ def _logs(counts: dict[str, Counter], langs: list[str], most: int) -> dict[str,
     order = sorted(keys)
     table = np.array([[counts[lang][k] for lang in langs] for k in order], float).reshape(len(order), len(langs))
     logs = np.log((table + 0.1) / (totals + 0.1 * (len(order) + 1)))
-    return dict(zip(order, logs.astype(np.float32)))
+    return Table({k: i for i, k in enumerate(order)}, logs.astype(np.float32))
 
 
 def train(df: DataFrame, docs_per_lang: int = DOCS_PER_LANG, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:

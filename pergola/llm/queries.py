@@ -47,7 +47,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(_read(spark, sf_dir, "documents"))))
+    return bpe_codec.digests(bpe_codec.encode(_read(spark, sf_dir, "documents"), decoded=True))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
