@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pergola.session import materialise
+
 # Dollars a million tokens in and out by the start of a model's name.
 PRICES = (
     ("gemini-flash-lite-latest", 0.10, 0.40), ("gemini-flash-latest", 0.30, 2.50), ("gemini-pro-latest", 1.25, 10.00), ("gemini-3-flash", 0.30, 2.50),
@@ -59,15 +61,15 @@ def span_summary(spans: DataFrame, name: str = "event_type", ms: str = "value")
 def waterfall(spans: DataFrame) -> DataFrame:
     """Spans (trace, span_id, parent_id, start) in order of start with their depth.
 
-    Depths spread from roots one level a round, as many rounds as the tree is deep; a span whose parent is unknown is a root.
+    Depths spread from roots one level a round, as many rounds as the tree is deep, each written down before the next; a span whose parent is unknown is a root.
     """
     ids = spans.select("trace", F.col("span_id").alias("parent_id")).withColumn("has", F.lit(True))
     rows = spans.join(ids, ["trace", "parent_id"], "left").withColumn("depth", F.when(F.col("has").isNull(), 0)).drop("has")
-    left = None
+    rows, left = materialise(rows), None
     while (n := rows.where("depth IS NULL").count()) and n != left:
         left = n
         known = rows.where("depth IS NOT NULL").select("trace", F.col("span_id").alias("parent_id"), (F.col("depth") + 1).alias("below"))
-        rows = rows.join(known, ["trace", "parent_id"], "left").withColumn("depth", F.coalesce("depth", "below")).drop("below")
+        rows = materialise(rows.join(known, ["trace", "parent_id"], "left").withColumn("depth", F.coalesce("depth", "below")).drop("below"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("trace").orderBy("start", "span_id")))
 
 

@@ -920,3 +920,137 @@ def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users' quota with 200 admissions a day for all of them."""
     decided = quota.visitor_quota(quota.requests(read(spark, sf_dir, "events")), 5, 86_400)
     return quota.daily_quota(decided).select("event_id", "allowed", "scope")
+
+
+# Texts, plans, routes, reports
+
+
+@query(
+    f"""SELECT doc_id, 'emb:model-a:' || lang || ':64:' || sha256(text) AS cache_key, md5({PATH_SQL} || ' | block: ' || {PATH_SQL} || chr(10) || left(text, 8000)) AS embedding_text,
+md5(array_to_string(list_filter([{PATH_SQL}, {PATH_SQL}, CASE WHEN doc_id % 2 = 0 THEN source END, text], lambda x: x <> ''), chr(10))) AS lexical_text, CASE WHEN doc_id % 2 = 0 THEN lang || '.' || source ELSE {PATH_SQL} END AS qualified FROM documents"""
+)
+def rendered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache keys, and digests of what is embedded and what is indexed of a chunk."""
+    path = _path()
+    symbol = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    return read(spark, sf_dir, "documents").select(
+        "doc_id",
+        text.cache_key(F.lit("model-a"), F.col("lang"), F.lit(64), F.col("text")).alias("cache_key"),
+        F.md5(text.embedding_text(path, F.lit("block"), path, F.col("text"))).alias("embedding_text"),
+        F.md5(text.lexical_text(path, path, symbol, F.col("text"))).alias("lexical_text"),
+        text.qualified_name(path, F.col("lang"), symbol).alias("qualified"),
+    )
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, text, string_split(text, ' ') AS w, CASE WHEN turn % 3 = 0 THEN [] WHEN turn % 3 = 1 THEN [' ' || role || ' ', role, '', text] ELSE ['a', 'b', 'a', 'c', 'd', 'e', 'f', 'g', 'h', 'i'] END AS s FROM conversations),
+o AS (SELECT *, list_filter(list_transform(s, lambda x: trim(x)), lambda x: x <> '') AS own FROM t), d AS (SELECT *, list_filter(own, lambda x, i: list_position(own, x) = i) AS u FROM o),
+b AS (SELECT *, CASE WHEN len(u) > 0 THEN u ELSE [text] END AS base FROM d)
+SELECT conv_id, turn, array_to_string((CASE WHEN turn % 2 = 0 THEN list_append(base, array_to_string(w[1:6], ' ')) ELSE base END)[1:8], '|') AS queries FROM b"""
+)
+def planned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a plan's searches and hints become."""
+    turn = F.col("turn")
+    none = F.array().cast("array<string>")
+    searches = F.when(turn % 3 == 0, none).when(turn % 3 == 1, F.array(F.concat(F.lit(" "), "role", F.lit(" ")), "role", F.lit(""), "text")).otherwise(F.array(*(F.lit(c) for c in "abacdefghi")))
+    hints = F.when(turn % 2 == 0, F.split("text", " ")).otherwise(none)
+    found = retrieval.planned_queries(F.col("text"), F.lit(""), searches, hints)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, "|").alias("queries"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN coalesce(CASE WHEN event_id % 10 = 0 THEN 7.5::DOUBLE END, least(90.0::DOUBLE, 4.0 * pow(2, event_id % 6))) ELSE least(20.0::DOUBLE, 0.75 * pow(2, event_id % 6)) END AS seconds FROM events")
+def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    told = F.when(n % 10 == 0, F.lit(7.5))
+    return read(spark, sf_dir, "events").select("event_id", usage.retry_delay((n % 6).cast("double"), n % 2 == 0, told).alias("seconds"))
+
+
+@query(
+    f"""WITH {UNIQUE_SQL}, r AS (SELECT * FROM six ORDER BY severity_rank, path, coalesce(line, 0), finding_id LIMIT 25),
+x AS (SELECT severity_rank, path, coalesce(line, 0) AS l, '- **' || upper(severity) || '** `' || path || CASE WHEN line IS NULL THEN '' ELSE ':' || line END || '` ' || title AS t FROM r)
+SELECT coalesce(string_agg(t, chr(10) ORDER BY severity_rank, path, l, t), 'No issues found.') AS markdown FROM x"""
+)
+def review_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.summary_markdown(diffs.deduplicated(_valid(spark)))
+
+
+@query(
+    f"""WITH {UNIQUE_SQL}, r AS (SELECT * FROM six ORDER BY severity_rank, path, coalesce(line, 0), finding_id LIMIT 25)
+SELECT CASE WHEN coalesce(bool_or(severity_rank <= 1), false) THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS event, count(*) FILTER (WHERE line IS NOT NULL) AS comments FROM r"""
+)
+def review_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a posted review asks for, and how many inline comments it has."""
+    return diffs.review_payload(diffs.deduplicated(_valid(spark)), True).select("event", F.size("comments").cast("long").alias("comments"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS review, turn AS comment_id, CASE WHEN turn % 3 = 1 THEN '<!-- mark -->' || text ELSE text END AS body FROM conversations), own AS (SELECT review, min(comment_id) AS comment_id FROM c WHERE contains(body, '<!-- mark -->') GROUP BY 1)
+SELECT DISTINCT review, '<!-- mark -->' || chr(10) || 'summary ' || review AS body, comment_id, CASE WHEN comment_id IS NULL THEN 'create' ELSE 'update' END AS action FROM c LEFT JOIN own USING (review) SELECT_"""
+    .replace("SELECT DISTINCT review", "SELECT DISTINCT c.review").replace("'summary ' || review", "'summary ' || c.review").replace("comment_id, CASE WHEN comment_id", "own.comment_id, CASE WHEN own.comment_id").replace(" SELECT_", "")
+)
+def comment_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations read as reviews' comments: each summary updates the first that carries its mark, or is new."""
+    rows = read(spark, sf_dir, "conversations")
+    marked = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("<!-- mark -->"), "text")).otherwise(F.col("text"))
+    comments = rows.select(F.col("conv_id").alias("review"), F.col("turn").alias("comment_id"), marked.alias("body"))
+    wanted = rows.select(F.col("conv_id").alias("review")).distinct().withColumn("body", F.concat(F.lit("summary "), F.col("review").cast("string")))
+    return diffs.upserts(wanted, comments, "<!-- mark -->")
+
+
+@query(
+    """WITH v AS (SELECT lang AS variant, rank() OVER (ORDER BY lang)::INTEGER AS position, round(avg(n_chars % 97) / 97, 4) AS recall FROM documents GROUP BY lang)
+SELECT round((max(recall) FILTER (WHERE variant = 'fr') - max(recall) FILTER (WHERE variant = 'de')) / max(recall) FILTER (WHERE variant = 'de'), 4) AS lift, arg_max(variant, struct_pack(r := recall, p := -position)) AS best_variant FROM v"""
+)
+def variant_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much better one variant is than another, and the best; languages stand for variants."""
+    rows = read(spark, sf_dir, "documents").groupBy(F.col("lang").alias("variant")).agg(F.round(F.avg(F.col("n_chars") % 97) / 97, 4).alias("recall"))
+    position = F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("variant")).cast("int")
+    return evaluation.lift(rows.withColumn("position", position), "de", "fr")
+
+
+@query("SELECT avg(quality) >= 0.5 AND avg(toxic) >= 0.05 AS ok FROM labels")
+def run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "labels").agg(F.avg("quality").alias("recall"), F.avg("toxic").alias("pass_rate"))
+    return evaluation.gates(rows, 0.5, 0.05)
+
+
+SPANS_SQL = "s AS (SELECT user_id AS trace, event_id AS span_id, CASE WHEN event_id % 4 > 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS parent_id, epoch_us(ts) AS start FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE {SPANS_SQL}, w(trace, span_id, start, depth) AS (SELECT trace, span_id, start, 0 FROM s WHERE parent_id IS NULL UNION ALL SELECT s.trace, s.span_id, s.start, w.depth + 1 FROM w JOIN s ON s.trace = w.trace AND s.parent_id = w.span_id)
+SELECT trace, span_id, depth::INTEGER AS depth, (row_number() OVER (PARTITION BY trace ORDER BY start, span_id))::INTEGER AS place FROM w"""
+)
+def span_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as spans under the user's event before, three of four: their depth and order."""
+    from pyspark.sql import Window
+
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), F.col("event_id").alias("span_id"), F.when(F.col("event_id") % 4 > 0, before).alias("parent_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("start"))
+    return usage.waterfall(rows).select("trace", "span_id", "depth", "place")
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN v = 'refine' AND n > 0 THEN 'retrieve' ELSE 'finalise' END AS route, CASE WHEN coalesce(p, true) THEN 'retrieve' ELSE 'analyse' END AS first_route
+FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'refine' ELSE 'accept' END AS v, conv_id % 3 AS n, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id % 2 = 0 END AS p FROM conversations)"""
+)
+def agent_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pergola.plans import agent
+
+    follow = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("conv_id") % 3).cast("int"))
+    verdict = F.when(F.col("turn") % 2 == 0, "refine").otherwise("accept")
+    needs = F.when(F.col("conv_id") % 5 != 0, F.col("conv_id") % 2 == 0)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", agent.routed(verdict, follow).alias("route"), agent.first_route(needs).alias("first_route"))
+
+
+
+
+@query(
+    f"""WITH {INDEX_SQL}, asked AS (SELECT 'q' || i AS qid, t.term FROM (VALUES (0, ['the', 'handler']), (1, ['token', 'request', 'with'])) AS v(i, l), unnest(l) AS t(term) WHERE t.term NOT IN {_in(text.STOPWORDS)}), {scores_sql("lex", "asked", 6)}
+SELECT qid, doc AS doc_id, score, rank FROM lex"""
+)
+def review_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of a diff's review: searches made of its terms, six results of each."""
+    asked = spark.createDataFrame([("q0", "the handler"), ("q1", "token request with")], "qid string, text string")
+    best = lexical.top(lexical.scores(_index(spark, sf_dir), lexical.query_terms(asked)), 6)
+    return best.select("qid", F.col("doc").alias("doc_id"), "score", "rank")
