@@ -29,17 +29,24 @@ def word_tokens(word: Column, least: int = 2) -> Column:
     return F.when(compound, F.concat(whole, parts)).otherwise(whole)
 
 
+#: A text without a match has no word of several names, and none that lower case would part elsewhere.
+COMPOUND = "_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[\u0130\u212A]"
+
+
 def code_tokens(text: Column, least: int = 2, most: int = 4000) -> Column:
     """The tokens of a text in order, up to and with the word that brings their number to `most`; null for null.
 
-    Everything happens inside the row: the cut is found by one fold over the words' token counts, so no text is shuffled.
+    Everything happens inside the row, so no text is shuffled. A text without compound words, as most are, is lowered and split once and its
+    words filtered; in the others each word gives its tokens and the cut is found by one fold over their counts.
     """
+    plain = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: _indexed(t, least))
     words = F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda w: w != "")
     each = F.transform(words, lambda w: word_tokens(w, least))
     start = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("words"))
     step = lambda a, t: F.when(a["tokens"] >= most, a).otherwise(F.struct((a["tokens"] + F.size(t)).alias("tokens"), (a["words"] + 1).alias("words")))
     taken = F.aggregate(each, start, step, lambda a: a["words"])
-    return F.when(text.isNotNull(), F.flatten(F.when(F.size(each) * 4 < most, each).otherwise(F.slice(each, F.lit(1), taken))))
+    compound = F.flatten(F.slice(each, F.lit(1), taken))
+    return F.when(text.isNotNull(), F.when(text.rlike(COMPOUND), compound).otherwise(F.slice(plain, 1, most)))
 
 
 def chunk_id(path: Column, start: Column, end: Column, content: Column) -> Column:

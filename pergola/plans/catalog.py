@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pergola.functions import paths, text
 from pergola.operators import answers, chunking, diffs, evaluation, fusion, lexical, retrieval, usage, vectors
 from pergola.plans import fixtures
+from pergola.session import spread
 from pergola.sources import files
 from pergola.streaming import quota
 
@@ -38,7 +39,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def _in(words) -> str:

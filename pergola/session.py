@@ -42,3 +42,9 @@ def materialise(df: DataFrame) -> DataFrame:
     where = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows on every core where a small table comes in fewer partitions than there are cores; a large one is left as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
