@@ -70,5 +70,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+_ITEM_WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+_OP5 = f"""WITH iw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '{_ITEM_WORDS}') AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i : i + 12], ' '))) AS win FROM iw WHERE len(w) > 0),
+dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ITEM_WORDS}') AS w FROM documents),
+own AS (SELECT doc_id, n, list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' ')) AS l FROM dw, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n),
+places AS (SELECT doc_id, n, unnest(l) AS win, unnest(range(len(l))) AS i FROM own),
+hits AS (SELECT doc_id, a.n, i, item FROM places a JOIN wins USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM hits, range(13) AS r(o) WHERE o < n GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_OP6 = f"""WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM dw),
+each AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, other FROM reach JOIN both_ways ON x = doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
+
+_OP10 = f"""WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+wins AS (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' '))) AS h FROM dw WHERE len(w) >= 50),
+each AS (SELECT doc_id, unnest(h) AS h, unnest(range(len(h))) AS i FROM wins),
+late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM each) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM late, range(50) AS r(o)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM dw),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM dw LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that need no tokenizer and no trained model; the others are held against brute force in tests/llm."""
+    return {"op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op10_substring_dedup": _OP10}
