@@ -18,12 +18,12 @@ from pergola.llm.components import components
 #: Words of a shingle; a link needs LEAST / 100 of the union shared.
 WIDTH = 4
 LEAST = 85
-#: Shingles whose hash is less are those whose frequency is counted: a quarter, more than any document's prefix needs.
-COUNTED = np.uint64(1 << 62)
+#: Shingles whose hash is less are those whose frequency is counted: three eighths, over twice what a prefix needs, so that one mostly finds rare ones.
+COUNTED = np.uint64(3 << 61)
 #: Frequency levels: the number of rows from which a shared shingle is in the level, and the bits of the level's fixed-size filter.
-LEVELS = ((2, 27), (8, 25), (64, 23))
+LEVELS = ((2, 27), (4, 25), (8, 24), (16, 23), (64, 22))
 #: Shingles of one block of a neighbourhood; a larger neighbourhood is searched by pairs of blocks.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 600_000
 #: What a set weighs besides its shingles.
 DOC_WEIGHT = 200
 #: Postings up to which short lists are merged by a heap one by one; longer merges sort the same lists at once.
