@@ -201,14 +201,14 @@ HINTS = ("/SRC0/", "src1", "")
 BOOSTED = "CASE WHEN contains(lower(source), 'src0') OR contains(lower(source), 'src1') THEN score * 1.25 ELSE score END"
 
 
-@query(f"WITH {RANKINGS_SQL}, {fused_sql()} SELECT qid, doc AS doc_id, source AS path, round({BOOSTED}, 6) AS score FROM fused JOIN documents ON doc = doc_id")
+@query(f"WITH {RANKINGS_SQL}, {fused_sql()} SELECT qid, doc AS doc_id, source AS path, round({BOOSTED}, 8) AS score FROM fused JOIN documents ON doc = doc_id")
 def path_hint_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = fusion.fuse(retrieval.ranked_lists(*_lists(spark, sf_dir))).join(_chunks(spark, sf_dir), "doc")
-    return fused.select("qid", F.col("doc").alias("doc_id"), "path", F.round(fusion.hinted(F.col("path"), F.col("score"), F.array(*map(F.lit, HINTS))), 6).alias("score"))
+    return fused.select("qid", F.col("doc").alias("doc_id"), "path", F.round(fusion.hinted(F.col("path"), F.col("score"), F.array(*map(F.lit, HINTS))), 8).alias("score"))
 
 
 def short_sql(hints: bool = False, source: str = "fused", name: str = "short") -> str:
-    score = f"round({BOOSTED}, 6)" if hints else "score"
+    score = f"round({BOOSTED}, 8)" if hints else "score"
     return f"""{name}_p AS (SELECT qid, doc, source AS path, {score} AS score, row_number() OVER (PARTITION BY qid ORDER BY {score} DESC, position) - 1 AS position FROM {source} JOIN documents ON doc = doc_id),
 {name}_m AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY position) > 4 AS over FROM {name}_p),
 {name} AS (SELECT qid, doc, path, score, (row_number() OVER (PARTITION BY qid ORDER BY over, position) - 1)::INTEGER AS place FROM {name}_m QUALIFY place < 40)"""
@@ -228,7 +228,7 @@ fresh AS (SELECT b.qid, f.doc, b.path, b.score, b.place FROM beside b JOIN files
   QUALIFY row_number() OVER (PARTITION BY b.qid, f.doc ORDER BY b.place, b.d) = 1),
 counted AS (SELECT fresh.*, (SELECT count(*) FROM fresh e WHERE e.qid = fresh.qid AND e.place < fresh.place) AS added, (SELECT count(*) FROM {chosen} c WHERE c.qid = fresh.qid) AS chosen FROM fresh),
 expanded AS (SELECT qid, doc, path, score, NULL::INTEGER AS parent FROM {chosen} UNION ALL
-  SELECT qid, doc, path, round(score * 0.35, 6), place::INTEGER FROM counted WHERE chosen + added < {limit})"""
+  SELECT qid, doc, path, round(score * 0.35, 10), place::INTEGER FROM counted WHERE chosen + added < {limit})"""
 
 
 @query(f"WITH {RANKINGS_SQL}, {fused_sql()}, {short_sql()}, chosen AS (SELECT * FROM short WHERE place < 12), {neighbours_sql('chosen')} SELECT qid, doc AS doc_id, path, score, parent FROM expanded")
@@ -269,7 +269,7 @@ def rerank_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(short, _stand_in).select("qid", F.col("doc").alias("doc_id"), "rerank_score", "rank")
 
 
-MERGE_SQL = """both_lists AS (SELECT qid, doc, score AS final_score, 0 AS round FROM dense WHERE rank < 25 UNION ALL SELECT qid, doc, round(score / 100, 6), 1 FROM lex WHERE rank < 25),
+MERGE_SQL = """both_lists AS (SELECT qid, doc, score AS final_score, 0 AS round FROM dense WHERE rank < 25 UNION ALL SELECT qid, doc, round(score / 100, 8), 1 FROM lex WHERE rank < 25),
 once AS (SELECT * FROM both_lists QUALIFY row_number() OVER (PARTITION BY qid, doc ORDER BY final_score DESC, round) = 1)
 SELECT qid, doc AS doc_id, final_score, round::INTEGER AS round, (row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, round, doc) - 1)::INTEGER AS rank FROM once QUALIFY rank < 30"""
 
@@ -279,7 +279,7 @@ def refine_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second round's results into the first's: the better score of each chunk, thirty at most."""
     dense, lex = _lists(spark, sf_dir)
     first = dense.where("rank < 25").select("qid", "doc", F.col("score").alias("final_score"))
-    second = lex.where("rank < 25").select("qid", "doc", F.round(F.col("score") / 100, 6).alias("final_score"))
+    second = lex.where("rank < 25").select("qid", "doc", F.round(F.col("score") / 100, 8).alias("final_score"))
     return retrieval.merged(first, second).select("qid", F.col("doc").alias("doc_id"), "final_score", "round", "rank")
 
 
