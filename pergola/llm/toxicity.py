@@ -16,7 +16,7 @@ from pergola.llm._arrow import documents, map_slices, raw, runs_of, sampled, sli
 from pergola.llm.decontaminate import words_of
 
 #: Labelled rows of each class the models learn from at most, by a hash of their id; every third of them sets the scale instead.
-DOCS_PER_CLASS = 3000
+DOCS_PER_CLASS = 2500
 #: Characters of the longest sequence counted.
 ORDER = 6
 #: What each sequence's count in a class is discounted by, and the weight that the counts of both classes have beside a class's own:
@@ -113,8 +113,8 @@ def fit(words: list[bytes], counts: np.ndarray) -> ToxicityModel:
             table = np.bincount(inverse[at], minlength=len(keys)).astype(float)
         ones, twos = int((table == 1).sum()), int((table == 2).sum())
         shared.append(Order(keys, _pad(table), contexts, _pad(sums(table)), _pad(sums(table > 0)), min(max(ones / max(ones + 2 * twos, 1), 0.3), 0.95)))
-    pairs = np.unique(np.stack([codes[places - 1], codes[places]], axis=1), axis=0)
-    values, n = np.unique(pairs[:, 1], return_counts=True)
+    pairs = np.unique(codes[places - 1] * np.uint64(258) + codes[places])
+    values, n = np.unique(pairs % np.uint64(258), return_counts=True)
     base = np.ones(258)
     base[values.astype(np.int64)] += n
     return ToxicityModel(shared[::-1], base / base.sum(), weights=np.array([4.0, 1.0, -4.0]), **classes)
@@ -207,12 +207,14 @@ def train(df: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS
         for label, words in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.array([label] * len(words), pa.int32()), pa.array(words.values(), pa.int64())], names=["word", "label", "n"])
 
-    found = rows.where("NOT scale").select("text", "label").mapInArrow(run, "word binary, label int, n long").groupBy("word", "label").agg(F.sum("n").alias("n")).collect()
-    place = {w: i for i, w in enumerate(sorted({bytes(r.word) for r in found}))}
-    counts = np.zeros((len(place), 2))
-    for r in found:
-        counts[place[bytes(r.word)], r.label] = r.n
-    model = fit(list(place), counts)
+    found = rows.where("NOT scale").select("text", "label").mapInArrow(run, "word binary, label int, n long").groupBy("word", "label").agg(F.sum("n").alias("n")).toArrow()
+    own = found.column("word").to_pylist()
+    words = sorted(set(own))
+    place = {w: i for i, w in enumerate(words)}
+    counts = np.zeros((len(words), 2))
+    counts[[place[w] for w in own], found.column("label").to_numpy()] = found.column("n").to_numpy()
+    del found, own, place
+    model = fit(words, counts)
     tuned = _features(rows.where("scale").select("doc_id", "text", "label"), model, ("label",)).select("label", "a", "b").collect()
     rows.unpersist()
     y = np.array([r.label for r in tuned], float)
