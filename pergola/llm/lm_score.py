@@ -21,10 +21,10 @@ VOCABULARY = 2047
 DIMENSIONS = 32
 #: Words whose counts every task holds; the others' counts are joined.
 HOT_WORDS = 200_000
-#: Documents of the first training, of bounded size, from which all tasks set out; they then learn from every EVERY-th token of all training texts.
+#: Documents of the first training, of bounded size, from which all tasks set out; they then learn from every EVERY-th token of all training texts: all of them.
 FIRST_DOCS = 1500
 FIRST_PASSES = 3
-EVERY = 16
+EVERY = 1
 BATCH = 2048
 NOISE = 96
 #: Distinct words a task counts before it hands them on.
@@ -92,9 +92,18 @@ class Parameters:
 
 
 def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    ids, first = np.unique(at[order], return_index=True)
-    total[ids] += np.add.reduceat(rows[order], first, axis=0)
+    order = np.argsort(at.astype(np.uint16) if len(total) <= 1 << 16 else at, kind="stable")
+    ids = at[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    total[ids[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)) by a hyperbolic tangent: no overflow, and far less time than a division each."""
+    y = np.tanh(x * np.float32(0.5))
+    y += 1
+    y *= np.float32(0.5)
+    return y
 
 
 class Trainer:
@@ -119,8 +128,8 @@ class Trainer:
         rv, ru = p.R[v], p.R[u]
         h = rv @ p.C1 + ru @ p.C2
         qw, qn = p.Q[w], p.Q[n]
-        data = 1 / (1 + np.exp(np.clip((h * qw).sum(axis=1) + p.b[w] - self.noise[w], -30, 30)))
-        fake = -1 / (1 + np.exp(-np.clip(h @ qn.T + p.b[n] - self.noise[n], -30, 30)))
+        data = _sigmoid(self.noise[w] - (h * qw).sum(axis=1) - p.b[w])
+        fake = -_sigmoid(h @ qn.T + (p.b[n] - self.noise[n]))
         scale = np.float32(1 / len(w))
         gh = (data[:, None] * qw + fake @ qn) * scale
         gq, gb, gr = np.zeros_like(p.Q), np.zeros((len(p.b), 1), np.float32), np.zeros_like(p.R)

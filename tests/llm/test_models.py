@@ -87,6 +87,22 @@ def test_language_model_is_normalised(spark, awkward, monkeypatch):
     assert lm_score.score(awkward.limit(0), model).count() == 0
 
 
+def test_language_model_learns_from_every_training_token(spark, awkward, monkeypatch):
+    seen = []
+
+    def here(df, make, column="text"):
+        take, total = make()
+        for batch in df.toArrow().to_batches():
+            take(batch)
+        values = total()
+        seen.append(int(values[-1]))
+        return values
+
+    monkeypatch.setattr(lm_score, "vector_sum", here)
+    model = lm_score.train(lm_score.documents(awkward), vocabulary=40, hot_words=60, first_docs=5)
+    assert seen == [model.lexicon.total]
+
+
 def test_language_model_without_training_text(spark, awkward):
     found = lm_score.score(awkward, lm_score.train(lm_score.documents(awkward.limit(0)))).collect()
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in found)
