@@ -86,7 +86,7 @@ def _k1() -> Column:
 def _filters(rows: DataFrame) -> list[bytes]:
     """A filter for each level of the shingles below COUNTED that different sets share, over all rows."""
     low = F.filter("low", lambda h: (h >= 0) & (h < int(COUNTED)))
-    postings = rows.select(_k1().bitwiseAND(0x7FFFFFFF).cast("int").alias("node"), F.explode(low).alias("shingle"))
+    postings = rows.select(_k1().alias("node"), F.explode(low).alias("shingle"))
     counted = postings.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
     shared = written(counted.where("a <> b").select("shingle", "n"))
     return [key_filter(shared.where(F.col("n") >= least), "shingle", bits) for least, bits in LEVELS]

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import prose
 
 from pergola.llm import components, decontaminate, jaccard_join, substring_dedup
@@ -77,6 +78,19 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == components_of(rows)
 
 
+def test_shared_shingle_of_sets_whose_hashes_agree_in_31_bits(spark):
+    held = {}
+    for k in range(1_000_000):
+        key = k.to_bytes(16, "little")
+        h = xxhash.xxh64_intdigest(key, 42)
+        other, whole = held.setdefault(h & 0x7FFFFFFF, (key, h))
+        if whole != h:
+            break
+    assert whole != h
+    rows = spark.createDataFrame([(bytearray(other), [5]), (bytearray(key), [5])], "k binary, low array<long>")
+    assert passes(np.frombuffer(jaccard_join._filters(rows)[0], np.uint8), np.array([5], np.uint64)).all()
+
+
 def test_search_meets_every_required_overlap():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
