@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -155,19 +156,55 @@ def runs_of(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under the machine's own temporary folder."""
+    """A new folder under spark.checkpoint.dir. Where that is unset a local session takes the machine's own temporary folder; any other is refused, as its executors would not see one another's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else f"file://{tempfile.gettempdir()}/pergola-shared"
+        if base.isDefined():
+            base = base.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            base = f"file://{tempfile.gettempdir()}/pergola-shared"
+        else:
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def dropped(spark: SparkSession, where: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    files, path = _file_system(spark, where)
+    files.delete(path, True)
+
+
+#: Lets Spark delete a job's shuffle files when the job has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, *parts: str) -> str:
+    """The folder of a new table of the rows in the shared folder, cut by the columns in parts; it goes when the session's JVM ends.
+
+    The shuffle files of the job that wrote it are deleted at once: the table takes their place, and nothing recomputes from them.
+    """
+    spark = df.sparkSession
+    where = shared_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*parts).parquet(where)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    files, path = _file_system(spark, where)
+    files.deleteOnExit(path)
+    return where
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and lost executors cost no recomputation."""
-    where = shared_dir(df.sparkSession)
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(saved(df))
 
 
 def key_filter(keys: DataFrame, column: str, bits: int = 27) -> bytes:

@@ -2,139 +2,273 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, map_slices, most_frequent, slices, spread, written
-from pergola.llm._bpe import merges, spaced_words
+from pergola.llm._arrow import documents, dropped, map_slices, release, saved, slices, spread, struct
+from pergola.llm._bpe import Merges, merges, spaced_words
 
-#: Rows of the word table that are sent to every task, and the longest word among them: with these two the size is bounded.
-TABLE_WORDS = 300_000
-TABLE_WORD_CHARS = 64
-#: Other words whose identifiers a task keeps before it starts anew.
-MEMO_WORDS = 200_000
-#: Distinct words a task counts before it hands them on.
-COUNTED_WORDS = 200_000
+#: A block is closed when its texts have so many bytes or it has so many distinct words; a longer text is a block of its own.
+BLOCK_BYTES = 32 << 20
+BLOCK_WORDS = 500_000
+#: Rows of the word table, one for each word and block that has it, that a part of the table holds about: the number of parts follows.
+PART_WORDS = 250_000
+#: Words of a block that are turned into identifiers at once.
+RUN_WORDS = 1 << 20
 
 
-def distinct_words(df: DataFrame, path: str) -> DataFrame:
-    """word, n over all texts of a doc_id, text frame: counted in each task first."""
+def words_of(text: str | None, table: Merges) -> list[str]:
+    """The words that merges don't cross, in order; special strings are words of their own, and no other word is equal to one."""
+    if not text:
+        return []
+    found = []
+    for k, part in enumerate(table.segments(text)):
+        if k % 2:
+            found.append(part)
+        else:
+            found += spaced_words(part)
+    return found
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = merges(path), Counter()
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return batch
+def word_ids(word: str, table: Merges) -> list[int]:
+    special = table.special.get(word)
+    return table.encode(word.encode()) if special is None else [special]
 
-        for batch in batches:
-            for part in slices(batch):
-                for text in part.column("text").to_pylist():
-                    if text:
-                        for segment in table.segments(text)[::2]:
-                            seen.update(spaced_words(segment))
-                if len(seen) > COUNTED_WORDS:
-                    yield out()
-        yield out()
 
-    return df.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class _Numbers(dict):
+    """word -> number in order of first sight."""
 
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids (little-endian unsigned 32-bit numbers) for each row."""
+
+def _shorter(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _longer(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**28 in seven bits a byte, the lowest first, with the eighth bit where more follow; then compressed."""
+    numbers = numbers.astype(np.uint32)
+    sizes = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(4):
+        own = sizes > k
+        out[(ends - sizes)[own] + k] = (numbers[own] >> np.uint32(7 * k)) & 127 | (sizes[own] > k + 1).astype(np.uint32) << 7
+    return _shorter(out.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    found = np.frombuffer(_longer(data), np.uint8)
+    ends = np.flatnonzero(found < 128)
+    starts = np.append(0, ends[:-1] + 1) if len(ends) else ends
+    out = np.zeros(len(ends), np.uint32)
+    for k in range(4):
+        own = starts + k <= ends
+        out[own] |= (found[starts[own] + k] & np.uint32(127)).astype(np.uint32) << np.uint32(7 * k)
+    return out
+
+
+def _batch(data: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, data.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(data)
+    return sink.getvalue().to_pybytes()
+
+
+def _unbatch(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as found:
+        return found.read_next_batch()
+
+
+class _Block:
+    """Documents of one task whose words are numbered together."""
+
+    def __init__(self):
+        self.numbers, self.names, self.lengths, self.texts, self.size = _Numbers(), [], [], [], 0
+
+    def add(self, name, text: str | None, table: Merges) -> None:
+        words = words_of(text, table)
+        self.names.append(name)
+        self.lengths.append(len(words))
+        self.texts.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.size += len(text or "")
+
+    @property
+    def full(self) -> bool:
+        return self.size >= BLOCK_BYTES or len(self.numbers) >= BLOCK_WORDS
+
+    def rows(self, schema: pa.Schema, block: int) -> pa.RecordBatch:
+        """The block's words by falling frequency, so that most places are small numbers; and its documents as such numbers."""
+        places = np.concatenate(self.texts)
+        order = np.argsort(-np.bincount(places, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words = np.array(list(self.numbers), object)[order] if len(order) else np.empty(0, object)
+        values = [[block, block], [self.names, []], [self.lengths, []], [packed(rank[places]), _batch(pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"]))], [0, len(words)], ["texts", "words"]]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
+
+
+def _blocks(docs: DataFrame, path: str) -> DataFrame:
+    """Two rows a block: kind 'words', its distinct words in the order of their numbers; kind 'texts', its documents as numbers of words."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    name = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("names", T.ArrayType(name)), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("kind", T.StringType())])
+    plain = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = merges(path)
+        release()
+        table, first, k, block = merges(path), TaskContext.get().partitionId() << 32, 0, _Block()
         for batch in batches:
-            words = batch.column("word")
-            ids = [np.array(table.encode(w.encode()), "<u4").tobytes() for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], names=["word", "ids"])
+            for part in slices(batch):
+                for n, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    block.add(n, t, table)
+                    if block.full:
+                        yield block.rows(plain, first + k)
+                        k, block = k + 1, _Block()
+        if block.names:
+            yield block.rows(plain, first + k)
+        del block
+        release()
 
-    return words.select("word").mapInArrow(run, "word string, ids binary")
+    return docs.mapInArrow(run, schema)
 
 
-class _Ids(dict):
-    """word -> ids: the table sent out, and in front of it what this task met besides."""
+def word_table(blocks: DataFrame, parts: int) -> DataFrame:
+    """part, block, data: each block's words with their numbers, dealt out by a hash of the word, so that a word's rows of all blocks meet in one part."""
 
-    def __init__(self, known: dict[str, bytes], path: str):
-        super().__init__()
-        self.known, self.table = known, merges(path)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                words = _unbatch(data).column("word")
+                own = np.array([xxhash.xxh32_intdigest(w) for w in words.cast(pa.binary()).to_pylist()], np.uint32) % np.uint32(parts)
+                order = np.argsort(own, kind="stable")
+                cuts = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])) if len(order) else order
+                for at in np.split(order, cuts[1:]) if len(order) else []:
+                    found = _batch(pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(at, pa.int32())], ["word", "number"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(own[at[0]])], pa.int64()), pa.array([block], pa.int64()), pa.array([found], pa.binary())], ["part", "block", "data"])
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self) > MEMO_WORDS:
-                self.clear()
-            ids = self[word] = np.array(self.table.encode(word.encode()), "<u4").tobytes()
-        return ids
+    return blocks.select("block", "data").mapInArrow(run, "part long, block long, data binary")
 
-    def text(self, text: str) -> bytes:
-        out = []
-        for k, part in enumerate(self.table.segments(text)):
-            if k % 2:
-                out.append(np.array([self.table.special[part]], "<u4").tobytes())
-            elif part:
-                out.extend(map(self.__getitem__, spaced_words(part)))
-        return b"".join(out)
 
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """block, data: the identifiers of word_table()'s rows in their order, with the words' numbers. All rows of a word are in one part, which encodes it once."""
 
-def word_table(df: DataFrame, path: str) -> dict[str, bytes]:
-    """The TABLE_WORDS most frequent words of at most TABLE_WORD_CHARS characters with their ids, each encoded once."""
-    words = most_frequent(written(distinct_words(df, path)).where(F.length("word") <= TABLE_WORD_CHARS), TABLE_WORDS)
-    coded = encode_words(words.repartition(df.sparkSession.sparkContext.defaultParallelism), path).toArrow()
-    return dict(zip(coded.column("word").to_pylist(), coded.column("ids").to_pylist()))
+    def part(rows: pa.Table) -> pa.Table:
+        table, known, out = merges(path), {}, []
+        for data in rows.column("data").to_pylist():
+            batch = _unbatch(data)
+            own = batch.column("word").to_pylist()
+            for w in own:
+                if w not in known:
+                    known[w] = word_ids(w, table)
+            found = pa.array([known[w] for w in own], pa.list_(pa.uint32()))
+            out.append(_batch(pa.RecordBatch.from_arrays([batch.column("number"), found], ["number", "ids"])))
+        return pa.table({"block": rows.column("block").cast(pa.int64()), "data": pa.array(out, pa.binary())})
+
+    return words.groupBy("part").applyInArrow(part, "block long, data binary")
 
 
 IDS = (T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()))
 DECODED = T.StructField("decoded", T.StringType())
 
 
-def text_of(ids: bytes | None, pieces: list[bytes]) -> str:
-    """The text of identifiers, each looked up in the id-to-piece table, which has as many rows as the vocabulary."""
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
+class Pieces:
+    """The id-to-piece table: as many rows as the vocabulary has; the key is a row's place, so that a join is a take of places."""
+
+    def __init__(self, table: Merges):
+        self.sizes = np.array([len(p) for p in table.pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(table.pieces), np.uint8)
+
+    def text(self, ids: np.ndarray) -> str:
+        """The pieces of identifiers one after the other; bytes that are not UTF-8 become U+FFFD."""
+        return self.data[_ranges(self.starts[ids], self.sizes[ids])].tobytes().decode("utf-8", "replace")
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after the other."""
+    total = int(sizes.sum())
+    before = np.cumsum(sizes) - sizes
+    return np.arange(total) + np.repeat(starts - before, sizes)
+
+
+def _assembled(texts: pa.Table, coded: pa.Table, pieces: Pieces | None) -> Iterator[tuple[object, np.ndarray, str | None]]:
+    """The documents of a block: the identifiers of each word of the block, joined back to every place that has its number."""
+    parts = [_unbatch(d) for d in coded.column("data").to_pylist()]
+    numbers = np.concatenate([p.column("number").to_numpy() for p in parts]) if parts else np.empty(0, np.int64)
+    lists = [p.column("ids") for p in parts]
+    flat = np.concatenate([x.flatten().to_numpy() for x in lists]) if parts else np.empty(0, np.uint32)
+    own = np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.int64) if parts else numbers
+    sizes, starts = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    sizes[numbers], starts[numbers] = own, np.cumsum(own) - own
+    for names, lengths, data in zip(texts.column("names").to_pylist(), texts.column("lengths").to_pylist(), texts.column("data").to_pylist()):
+        places, at = unpacked(data), 0
+        for name, n in zip(names, lengths):
+            cut = places[at : at + n]
+            at += n
+            ids = np.concatenate([flat[_ranges(starts[c], sizes[c])] for c in np.split(cut, range(RUN_WORDS, n, RUN_WORDS))])
+            yield name, ids.astype("<u4"), pieces.text(ids) if pieces else None
 
 
 def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens for each row; with decoded also the text that decode() makes of the ids.
 
-    Spark counts the distinct words of all texts; the most frequent ones are encoded once and their ids are joined back by position
-    from a table of bounded size that every task holds. A word outside that table is encoded by the task that meets it, and kept there.
-    Special strings become their own ids. Null and empty texts have no ids; repeated rows give a row each; a null key stays null.
+    Spark splits the texts into words, block by block of documents. The words of all blocks meet by their hash, where each distinct word is
+    encoded once, whatever its length or frequency; its identifiers go back to the blocks that have it and are joined to the places of the
+    texts by the word's number. A word has one row a block, so frequent words weigh no more than others. Special strings become their own ids.
+    Null and empty texts have no ids; repeated rows give a row each; a null key stays null; an empty table gives no rows.
     """
     where = path or public_tokenizers.path("byte_bpe_50k.json")
     docs = spread(documents(df, text=text, key=key))
-    sent = df.sparkSession.sparkContext.broadcast(word_table(docs, where))
-
-    def make():
-        ids, pieces = _Ids(sent.value, where), merges(where).pieces
-
-        def step(part: pa.RecordBatch) -> list:
-            coded = [ids.text(t) if t else b"" for t in part.column("text").to_pylist()]
-            return [part.column("doc_id"), coded, [len(c) // 4 for c in coded], *([[text_of(c, pieces) for c in coded]] if decoded else [])]
-
-        return step
-
-    return map_slices(docs, make, T.StructType([docs.schema["doc_id"], *IDS, *((DECODED,) if decoded else ())]))
+    spark = df.sparkSession
+    blocks = _blocks(docs, where)
+    held = saved(blocks, "kind")
+    both = spark.read.schema(blocks.schema).parquet(held)
+    words = both.where("kind = 'words'")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_WORDS))
+    coded = encode_words(word_table(words, parts), where)
+    found = spark.read.schema(coded.schema).parquet(saved(coded))
+    dropped(spark, f"{held}/kind=words")
+    schema = struct(docs, *((f.name, f.dataType) for f in (*IDS, *((DECODED,) if decoded else ()))))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    plain = to_arrow_schema(schema)
+
+    def assemble(own: pa.Table, more: pa.Table) -> pa.Table:
+        rows = _assembled(own, more, Pieces(merges(where)) if decoded else None)
+        out = [(n, i.tobytes(), len(i), t) for n, i, t in rows]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(plain), plain)], schema=plain)
+
+    texts = both.where("kind = 'texts'").select("block", "names", "lengths", "data")
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, n_tokens of encode()'s rows, or of any with those columns, with decoded, their text.
+    """doc_id, ids, n_tokens of encode()'s rows, or of any with those columns, with decoded, their text by the id-to-piece table.
 
     Bytes that are not UTF-8 become U+FFFD, as identifiers that were not made from a text may give them. Null ids give ''.
     """
     where = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def make():
-        pieces = merges(where).pieces
-        return lambda part: [part.column("doc_id"), part.column("ids"), part.column("n_tokens"), [text_of(i, pieces) for i in part.column("ids").to_pylist()]]
+        pieces = Pieces(merges(where))
+        return lambda part: [part.column("doc_id"), part.column("ids"), part.column("n_tokens"), [pieces.text(np.frombuffer(i or b"", "<u4")) for i in part.column("ids").to_pylist()]]
 
     return map_slices(coded.select("doc_id", "ids", "n_tokens"), make, T.StructType([coded.schema["doc_id"], *IDS, DECODED]), column="ids")
 

@@ -23,19 +23,31 @@ def test_counts_equal_the_library():
         assert own.text(t) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def ids_of(text, table):
+    return [i for w in bpe_codec.words_of(text, table) for i in bpe_codec.word_ids(w, table)]
+
+
 def test_ids_equal_the_library_and_decode_as_it_does():
-    library, own, pieces = Tokenizer.from_file(SPACED), bpe_codec._Ids({}, SPACED), merges(SPACED).pieces
+    library, table = Tokenizer.from_file(SPACED), merges(SPACED)
+    pieces = bpe_codec.Pieces(table)
     for t in texts():
         ids = library.encode(t, add_special_tokens=False).ids
-        assert own.text(t) == np.array(ids, "<u4").tobytes(), repr(t)
-        assert bpe_codec.text_of(own.text(t), pieces) == library.decode(ids, skip_special_tokens=False) == t
+        assert ids_of(t, table) == ids, repr(t)
+        assert pieces.text(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False) == t
 
 
 def test_decoding_what_no_text_gives():
-    pieces = merges(SPACED).pieces
+    pieces = bpe_codec.Pieces(merges(SPACED))
     library = Tokenizer.from_file(SPACED)
     for ids in ([130], [195, 130, 50256], [0, 220, 128]):
-        assert bpe_codec.text_of(np.array(ids, "<u4").tobytes(), pieces) == library.decode(ids, skip_special_tokens=False)
+        assert pieces.text(np.array(ids)) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_numbers_survive_packing():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5000):
+        numbers = (2.0 ** (rng.random(n) * 28)).astype(np.uint32)
+        assert (bpe_codec.unpacked(bpe_codec.packed(numbers)) == numbers).all()
 
 
 def test_awkward_rows(spark, awkward):
@@ -55,6 +67,17 @@ def test_codec_on_awkward_rows(spark, awkward, monkeypatch):
     assert sorted(((r.doc_id, bytes(r.ids), r.decoded) for r in back.collect()), key=repr) == want
     digest = {r.ids_sha256 for r in bpe_codec.digests(bpe_codec.encode(awkward, decoded=True)).collect()}
     assert digest == {hashlib.sha256(w[1]).hexdigest() for w in want}
-    monkeypatch.setattr(bpe_codec, "TABLE_WORDS", 0)
+    monkeypatch.setattr(bpe_codec, "PART_WORDS", 3)
+    monkeypatch.setattr(bpe_codec, "RUN_WORDS", 7)
     assert sorted(((r.doc_id, bytes(r.ids), r.decoded) for r in bpe_codec.encode(awkward, decoded=True).collect()), key=repr) == want
     assert bpe_codec.encode(awkward.limit(0)).count() == 0
+
+
+def test_each_distinct_word_is_encoded_in_one_part(spark, awkward):
+    blocks = bpe_codec._blocks(awkward.select("doc_id", "text"), SPACED).where("kind = 'words'")
+    assert blocks.count() > 1
+    parts = {}
+    for r in bpe_codec.word_table(blocks, 5).collect():
+        for w in bpe_codec._unbatch(bytes(r.data)).column("word").to_pylist():
+            parts.setdefault(w, set()).add(r.part)
+    assert all(len(p) == 1 for p in parts.values()) and len({min(p) for p in parts.values()}) == 5
