@@ -248,35 +248,35 @@ def passes(filter_bytes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (filter_bytes[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-#: Values in a row of a vector that tasks add up.
+#: Values in a row of a vector that groups of rows give; parts that are added up first.
 CHUNK = 16_384
+SALTS = 16
 
 
-def vector_sum(df: DataFrame, make: Callable[[], tuple[Callable[[pa.RecordBatch], None], Callable[[], np.ndarray | None]]], column: str = "text") -> np.ndarray | None:
-    """The sum of one vector from each task, all of the same bounded length; None if no task has one.
+def vector_sum(df: DataFrame, group: str, learn: Callable[[int, pa.Table], np.ndarray]) -> np.ndarray | None:
+    """The sum of learn(number, rows), vectors of one bounded length, over the groups of a column of numbers; None without rows.
 
-    make() gives what takes a slice and what returns the task's vector at its end. The vectors travel in chunks and are added up in two
-    steps, first within salted parts, so no task holds a chunk from every other.
+    The vectors travel in chunks and are added up in two steps, first within salted parts, so no task holds a chunk from every other.
+    Each step adds in the order of the groups, so that the sum doesn't depend on how rows were dealt.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take, total = make()
-        rows = 0
-        for batch in batches:
-            rows += batch.num_rows
-            for part in slices(batch, column):
-                take(part)
-        values = total()
-        if values is not None:
-            for k in range(0, len(values), CHUNK):
-                cut = np.ascontiguousarray(values[k : k + CHUNK], np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([rows % 61], pa.int32()), pa.array([cut.tobytes()], pa.binary())], names=["chunk", "salt", "sums"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(b, np.float64) for b in rows.column("sums").to_pylist()], axis=0)
-        return pa.table({"chunk": rows.column("chunk")[:1].cast(pa.int32()), "salt": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    shape = "chunk int, salt int, sums binary"
-    summed = df.mapInArrow(run, shape).groupBy("chunk", "salt").applyInArrow(add, shape).groupBy("chunk").applyInArrow(add, shape)
+    def run(rows: pa.Table) -> pa.Table:
+        number = rows.column(group)[0].as_py()
+        values = np.ascontiguousarray(learn(number, rows), np.float64)
+        cuts = [values[k : k + CHUNK].tobytes() for k in range(0, len(values), CHUNK)]
+        return pa.table({"chunk": pa.array(range(len(cuts)), pa.int32()), "salt": pa.array([number % SALTS] * len(cuts), pa.int64()), "number": pa.array([number] * len(cuts), pa.int64()), "sums": pa.array(cuts, pa.binary())})
+
+    def add(by: str) -> Callable[[pa.Table], pa.Table]:
+        def step(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by(by)
+            total = np.zeros(len(rows.column("sums")[0].as_py()) // 8)
+            for k in range(rows.num_rows):
+                total += np.frombuffer(rows.column("sums")[k].as_py(), np.float64)
+            return pa.table({"chunk": rows.column("chunk")[:1].cast(pa.int32()), "salt": rows.column("salt")[:1].cast(pa.int64()), "number": rows.column("number")[:1].cast(pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        return step
+
+    shape = "chunk int, salt long, number long, sums binary"
+    summed = df.groupBy(group).applyInArrow(run, shape).groupBy("chunk", "salt").applyInArrow(add("number"), shape).groupBy("chunk").applyInArrow(add("salt"), shape)
     rows = sorted(summed.collect(), key=lambda r: r.chunk)
     return np.concatenate([np.frombuffer(r.sums, np.float64) for r in rows]) if rows else None

@@ -9,23 +9,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, map_slices, most_frequent, raw, slices, spread, vector_sum, written
+from pergola.llm._arrow import documents, dropped, map_slices, most_frequent, raw, saved, slices, spread, vector_sum, written
 
-#: Words the neural model predicts one by one; all others share one outcome and divide it by the base probabilities.
+#: The most frequent words, each an outcome of the neural model of its own. All other words are outcomes by their last ENDING bytes: the
+#: ENDINGS most frequent endings, and one outcome for the rest; a word divides its ending's outcome by the base probabilities.
 VOCABULARY = 2047
+ENDING = 3
+ENDINGS = 1023
 DIMENSIONS = 32
 #: Words whose counts every task holds; the others' counts are joined.
 HOT_WORDS = 200_000
-#: Documents of the first training, of bounded size, from which all tasks set out; they then learn from every EVERY-th token of all training texts: all of them.
-FIRST_DOCS = 1500
-FIRST_PASSES = 3
-EVERY = 1
-BATCH = 2048
+#: Training tokens of a shard, about; the number of shards follows from the table alone, and so does what each holds.
+SHARD_TOKENS = 2_000_000
+#: Rounds of training: the shards of a round set out from the averages of the one before.
+ROUNDS = 4
+RATE = 0.2
+BATCH = 512
 NOISE = 96
 #: Distinct words a task counts before it hands them on.
 COUNTED_WORDS = 400_000
@@ -109,12 +112,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive steps with Adagrad: a batch shares its noise words, so scores and gradients are matrix products."""
 
-    def __init__(self, start: Parameters, noise: np.ndarray, rate: float, seed: int):
+    def __init__(self, start: Parameters, squares: Parameters, noise: np.ndarray, rate: float, seed: int):
         self.p = start.like(start.flat())
         self.noise = np.log(noise * NOISE).astype(np.float32)
         self.cumulative = np.cumsum(noise / noise.sum())
         self.rate = rate
-        self.squares = start.like(np.full(start.flat().size, 0.05))
+        self.squares = squares.like(squares.flat())
         self.rng = np.random.default_rng(seed)
 
     def _update(self, name: str, gradient: np.ndarray) -> None:
@@ -154,71 +157,104 @@ def contexts(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Lexicon:
-    """Hot words by falling count with their counts; the first `size` of them, or fewer, are the neural model's, the others its last outcome."""
+    """Hot words by falling count with their counts. The outcomes of the neural model: the first `size` hot words or fewer, then a class for each
+    of `endings` and one for words with any other, which the words share by their base probabilities; last the word never seen."""
 
     places: dict[bytes, int]
     counts: np.ndarray
     size: int
+    endings: dict[bytes, int]
+    masses: np.ndarray
     total: int
     distinct: int
 
+    def __post_init__(self):
+        self.own = np.array([self.ending(w) if i >= self.size else i for w, i in self.places.items()], np.int64)
+
     @property
     def floor(self) -> float:
         return self.total + 0.1 * (self.distinct + 1)
 
+    @property
+    def unknown(self) -> int:
+        return self.size + len(self.masses)
+
+    @property
+    def start(self) -> int:
+        """The context before a text."""
+        return self.unknown + 1
+
+    def ending(self, word: bytes) -> int:
+        """The outcome of a word that isn't one of its own."""
+        return self.size + self.endings.get(word[-ENDING:], len(self.masses) - 1)
+
     def outcome_shares(self) -> np.ndarray:
-        """Base probabilities of the model's outcomes; the last has what is left."""
+        """Base probabilities of the outcomes; a class without words has next to none."""
         own = (self.counts[: self.size] + 0.1) / self.floor
-        return np.append(own, max(1.0 - own.sum(), 0.1 / self.floor))
-
-    def outcomes(self, places: np.ndarray) -> np.ndarray:
-        return np.minimum(places, self.size)
+        return np.concatenate([own, np.maximum(self.masses, 1e-15), [0.1 / self.floor]])
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Places of words; one past the last for those that are not hot."""
         get, none = self.places.get, len(self.places)
         return np.fromiter((get(w, none) for w in words), np.int64, len(words))
 
+    def outcomes(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        """The words' outcomes, taking all of them as seen."""
+        out = np.append(self.own, 0)[places]
+        for i in np.flatnonzero(places == len(self.places)).tolist():
+            out[i] = self.ending(words[i])
+        return out
 
-def _learned(docs: DataFrame, sent, lexicon_sent, noise: np.ndarray) -> np.ndarray | None:
-    """The parameters that every task reaches over its share of all training texts, averaged by the tokens it learnt from."""
+
+def lexicon_of(counts: DataFrame, vocabulary: int = VOCABULARY, hot_words: int = HOT_WORDS) -> Lexicon:
+    """The hot words of a word, n table, and the shares of word endings over all its words that have no outcome of their own."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    hot = most_frequent(counts, hot_words).toArrow()
+    order = sorted(zip(hot.column("word").to_pylist(), hot.column("n").to_pylist()), key=lambda r: (r[0] != END, -r[1], r[0]))
+    size = min(vocabulary, len(order))
+    floor = total.n + 0.1 * (total.v + 1)
+    ending = F.expr(f"IF(length(word) > {ENDING}, substring(word, -{ENDING}), word)").alias("ending")
+    kinds = counts.groupBy(ending).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+    own: dict[bytes, list[float]] = {}
+    for w, n in order[:size]:
+        at = own.setdefault(w[-ENDING:], [0, 0])
+        at[0], at[1] = at[0] + n, at[1] + 1
+    best = kinds.orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()
+    left = [(bytes(r.ending), r.n - own.get(bytes(r.ending), (0, 0))[0], r.v - own.get(bytes(r.ending), (0, 0))[1]) for r in best]
+    known = [x for x in left if x[2] > 0]
+    masses = [(n + 0.1 * v) / floor for _, n, v in known]
+    rest_n = total.n - sum(n for _, n in order[:size]) - sum(x[1] for x in known)
+    rest_v = total.v - size - sum(x[2] for x in known)
+    masses.append((rest_n + 0.1 * rest_v) / floor)
+    return Lexicon({w: i for i, (w, _) in enumerate(order)}, np.array([n for _, n in order], float), size, {x[0]: k for k, x in enumerate(known)}, np.array(masses), total.n, total.v)
+
+
+def learn(start: Parameters, squares: Parameters, noise: np.ndarray, texts: list[np.ndarray], first: int, seed: int, rate: float = RATE, batch: int = BATCH) -> np.ndarray:
+    """Parameters and squares after one pass over every token of the texts, as a vector times the number of tokens, and that number."""
+    trainer = Trainer(start, squares, noise, rate, seed)
+    pairs = [contexts(t, first) for t in texts]
+    w, v, u = np.concatenate(texts), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    order = trainer.rng.permutation(len(w))
+    for k in range(0, len(w), batch):
+        at = order[k : k + batch]
+        trainer.step(v[at], u[at], w[at])
+    return np.append(np.concatenate([trainer.p.flat(), trainer.squares.flat()]).astype(np.float64) * len(w), len(w))
+
+
+def _shards(docs: DataFrame, lexicon_sent) -> DataFrame:
+    """h (hash of a row's id and text), ids: the outcomes of the words of every text."""
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def make():
-        lexicon = lexicon_sent.value
-        trainer = Trainer(sent.value, noise, 0.05, 11)
-        waiting: list[tuple[np.ndarray, ...]] = []
-        state = {"seen": 0, "offset": 0}
-
-        def learn(whole: int, joined: list[np.ndarray]) -> None:
-            order = trainer.rng.permutation(whole)
-            for k in range(0, whole, BATCH):
-                trainer.step(*(x[order[k : k + BATCH]] for x in joined))
-            state["seen"] += whole
-
-        def take(part: pa.RecordBatch) -> None:
-            for text in raw(part.column("text")):
-                ids = lexicon.outcomes(lexicon.find(tokens(text)))
-                v, u = contexts(ids, lexicon.size + 1)
-                cut = slice(state["offset"] % EVERY, None, EVERY)
-                state["offset"] += 7
-                waiting.append((v[cut], u[cut], ids[cut]))
-            joined = [np.concatenate(x) for x in zip(*waiting)]
-            whole = len(joined[2]) // BATCH * BATCH
-            if whole:
-                learn(whole, joined)
-                waiting[:] = [tuple(x[whole:] for x in joined)]
-
-        def total() -> np.ndarray | None:
-            joined = [np.concatenate(x) for x in zip(*waiting)] if waiting else []
-            if joined and len(joined[2]):
-                learn(len(joined[2]), joined)
-            seen = state["seen"]
-            return np.append(trainer.p.flat().astype(np.float64) * seen, seen) if seen else None
-
-        return take, total
-
-    values = vector_sum(docs.select("text"), make)
-    return None if values is None else values[:-1] / values[-1]
+        own = lexicon_sent.value
+
+        def step(part: pa.RecordBatch) -> list:
+            words = [tokens(t) for t in raw(part.column("text"))]
+            return [part.column("h"), [own.outcomes(w, own.find(w)).astype("<u2").tobytes() for w in words]]
+
+        return step
+
+    return map_slices(docs.select(F.xxhash64("doc_id", "text").alias("h"), "text"), make, schema)
 
 
 @dataclass
@@ -228,45 +264,39 @@ class LanguageModel:
     parameters: Parameters
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, hot_words: int = HOT_WORDS, first_docs: int = FIRST_DOCS) -> LanguageModel:
-    """Learns from all rows of a doc_id, text frame.
+def train(docs: DataFrame, vocabulary: int = VOCABULARY, hot_words: int = HOT_WORDS, shard_tokens: int = SHARD_TOKENS) -> LanguageModel:
+    """Learns from every token of all rows of a doc_id, text frame; the model is the same however the rows are dealt to tasks.
 
-    Counts, N and V are taken over every token. The neural model sets out from a bounded number of documents, by a hash of the id; then each
-    task goes on from there over its own texts, and the tasks' parameters are averaged by the tokens they learnt from, summed in two steps.
+    Counts, N and V are taken over every token. For the neural model a hash of id and text deals the rows into shards, as many as the number of
+    tokens asks for. Rounds take a part of the shards each: a shard's rows are put in the order of that hash and learnt from in one pass, and what
+    the shards of a round have reached is averaged by their tokens, added up in a fixed order, before the next round sets out from it.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    docs = spread(docs)
     counts = written(token_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    hot = most_frequent(counts, hot_words).toArrow()
-    order = sorted(zip(hot.column("word").to_pylist(), hot.column("n").to_pylist()), key=lambda r: (r[0] != END, -r[1], r[0]))
-    lexicon = Lexicon({w: i for i, (w, _) in enumerate(order)}, np.array([n for _, n in order], float), min(vocabulary, len(order)), total.n, total.v)
-    del hot, order
+    lexicon = lexicon_of(counts, vocabulary, hot_words)
     shares = lexicon.outcome_shares()
     noise = shares**0.75 / (shares**0.75).sum()
-    start = Parameters.start(shares)
-    first = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(first_docs).distinct()
-    found = docs.join(F.broadcast(first), "doc_id", "left_semi").select("text")
-    lexicon_sent = sc.broadcast(lexicon)
-    schema = T.StructType([T.StructField("ids", T.BinaryType())])
-
-    def make():
-        own = lexicon_sent.value
-        return lambda part: [[own.outcomes(own.find(tokens(t))).astype("<i4").tobytes() for t in raw(part.column("text"))]]
-
-    sample = sorted(bytes(r.ids) for r in map_slices(spread(found), make, schema).collect())
-    if sample:
-        ids = [np.frombuffer(b, "<i4").astype(np.int64) for b in sample]
-        pairs = [contexts(x, lexicon.size + 1) for x in ids]
-        w, v, u = np.concatenate(ids), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        trainer = Trainer(start, noise, 0.15, 3)
-        for _ in range(FIRST_PASSES):
-            order = trainer.rng.permutation(len(w))
-            for k in range(0, len(w), BATCH):
-                at = order[k : k + BATCH]
-                trainer.step(v[at], u[at], w[at])
-        start = trainer.p
-    values = _learned(docs, sc.broadcast(start), lexicon_sent, noise)
-    return LanguageModel(counts, lexicon, start if values is None else start.like(values))
+    now = Parameters.start(shares)
+    squares = now.like(np.full(now.flat().size, 0.05))
+    each = max(1, -(-lexicon.total // (ROUNDS * shard_tokens)))
+    rows = _shards(docs, spark.sparkContext.broadcast(lexicon)).withColumn("shard", F.pmod("h", F.lit(each * ROUNDS))).withColumn("round", F.pmod("shard", F.lit(ROUNDS)).cast("int"))
+    where = saved(rows, "round")
+    table = spark.read.schema(rows.schema).parquet(where)
+    first, rate, batch = lexicon.start, RATE, BATCH
+    for k in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((now, squares))
+
+        def one(number: int, own: pa.Table) -> np.ndarray:
+            own = own.sort_by([("h", "ascending"), ("ids", "ascending")])
+            return learn(*sent.value, noise, [np.frombuffer(b, "<u2").astype(np.int64) for b in own.column("ids").to_pylist()], first, number, rate, batch)
+
+        values = vector_sum(table.where(F.col("round") == k).select("shard", "h", "ids").repartition(each, "shard"), "shard", one)
+        if values is not None:
+            half = (len(values) - 1) // 2
+            now, squares = now.like(values[:half] / values[-1]), now.like(values[half:-1] / values[-1])
+    dropped(spark, where)
+    return LanguageModel(counts, lexicon, now)
 
 
 class Tables:
@@ -282,8 +312,7 @@ class Tables:
         z = np.exp(self.one - m1) @ np.exp(self.two - m2).T
         self.normaliser = np.log(np.maximum(z, 1e-37)) + m1 + m2.T
 
-    def log10(self, ids: np.ndarray, start: int) -> np.ndarray:
-        v, u = contexts(ids, start)
+    def log10(self, ids: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
         return (self.one[v, ids] + self.two[u, ids] - self.normaliser[v, u]).astype(np.float64) / np.log(10)
 
 
@@ -295,63 +324,74 @@ def _scorer(sent, name: str):
     if name not in _held:
         _held.clear()
         lexicon, parameters = sent.value
-        shares = lexicon.outcome_shares()
         base = np.append(np.log10((lexicon.counts + 0.1) / lexicon.floor), 0.0)
-        rest = base - np.log10(shares[-1])
-        rest[: lexicon.size] = 0.0
-        _held[name] = lexicon, Tables(parameters), base, rest
+        shares = np.log10(lexicon.outcome_shares())
+        _held[name] = lexicon, Tables(parameters), base, base - np.append(shares[lexicon.own], 0.0), shares
     return _held[name]
 
 
+COLD = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.IntegerType()), T.StructField("seen", T.DoubleType()), T.StructField("unseen", T.DoubleType())]))
+
+
 def score(df: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, the columns in keep, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text) for each row.
 
-    A word of the neural vocabulary has the model's normalised probability; any other has that of the shared outcome times its part of the base
-    probability left to such words, a word never seen counting as the one unknown. Counts of words that are not hot are joined by word.
-    Null texts count as empty: their end alone is scored. Repeated rows give a row each; without training text all words are unknown.
+    A word of the neural vocabulary has the model's normalised probability; any other word seen in training has that of its ending's outcome
+    times its part of the base probability of all such words; a word never seen is the outcome of its own that all such words share.
+    Counts of words that are not hot are joined by word, for the rows that have any. Null texts count as empty: their end alone is scored.
+    Repeated rows give a row each; without training text all words are unknown. Scores don't depend on how rows are dealt to tasks.
     """
     docs = spread(documents(df, *keep, text=text, key=key))
     name = uuid.uuid4().hex
     lexicon = model.lexicon
     sent = df.sparkSession.sparkContext.broadcast((lexicon, model.parameters))
     own = [docs.schema[n] for n in ("doc_id", *keep)]
-    fields = (("n_tokens", T.LongType()), ("hot_known", T.LongType()), ("hot_base", T.DoubleType()), ("hot_score", T.DoubleType()), ("k1", T.LongType()), ("k2", T.LongType()), ("cold", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.IntegerType())))
+    fields = (("n_tokens", T.LongType()), ("hot_known", T.LongType()), ("hot_base", T.DoubleType()), ("hot_score", T.DoubleType()), ("cold", COLD))
     schema = T.StructType([*own, *(T.StructField(n, t) for n, t in fields)])
 
     def make():
-        lexicon, tables, base, rest = _scorer(sent, name)
+        lexicon, tables, base, rest, shares = _scorer(sent, name)
         none = len(lexicon.places)
-        left = -np.log10(lexicon.outcome_shares()[-1])
 
         def step(part: pa.RecordBatch) -> list:
             out = [[] for _ in fields]
             for text in raw(part.column("text")):
                 words = tokens(text)
                 at = lexicon.find(words)
+                ids = lexicon.outcomes(words, at)
+                v, u = contexts(ids, lexicon.start)
+                logs = tables.log10(ids, v, u)
                 strange = np.flatnonzero(at == none)
-                cold = Counter(words[i] for i in strange.tolist())
-                digest = xxhash.xxh3_128_intdigest(text or b"")
-                logs = tables.log10(lexicon.outcomes(at), lexicon.size + 1).sum() + rest[at].sum() + len(strange) * (left - rest[none])
-                values = (len(words), len(words) - len(strange), base[at].sum(), logs, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), list(cold.keys()), list(cold.values()))
+                seen = logs[strange] - shares[ids[strange]]
+                unseen = tables.log10(np.full(len(strange), lexicon.unknown), v[strange], u[strange])
+                cold: dict[bytes, list] = {}
+                for i, a, b in zip(strange.tolist(), seen.tolist(), unseen.tolist()):
+                    found = cold.setdefault(words[i], [0, 0.0, 0.0])
+                    found[0], found[1], found[2] = found[0] + 1, found[1] + a, found[2] + b
+                logs[strange] = 0
+                values = (len(words), len(words) - len(strange), base[at].sum(), logs.sum() + rest[at].sum(), [{"word": w, "times": n, "seen": a, "unseen": b} for w, (n, a, b) in cold.items()])
                 for column, value in zip(out, values):
                     column.append(value)
             return [part.column("doc_id"), *(part.column(k) for k in keep), *out]
 
         return step
 
-    rows = written(map_slices(docs, make, schema))
-    cold = rows.select("k1", "k2", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("k1", "k2", F.col("c.cold").alias("word"), F.col("c.times").alias("times"))
-    part = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(lexicon.floor))
-    joined = cold.join(model.counts, "word", "left").groupBy("k1", "k2").agg(F.sum(F.col("times") * part).alias("cold_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("cold_known"))
-    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    sums = copies.join(joined, ["k1", "k2"]).select("k1", "k2", (F.col("cold_base") / F.col("copies")).alias("cold_base"), (F.col("cold_known") / F.col("copies")).cast("long").alias("cold_known"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.drop("cold", "times").join(sums, ["k1", "k2"], "left").select(
+    rows = written(map_slices(docs, make, schema).withColumn("row", F.monotonically_increasing_id()))
+    cold = rows.select("row", F.explode("cold").alias("c")).select("row", "c.*")
+    base = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(lexicon.floor))
+    sums = cold.join(model.counts, "word", "left").groupBy("row").agg(
+        F.sum(F.col("times") * base).alias("cold_base"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("seen") + F.col("times") * base).otherwise(F.col("unseen"))).alias("cold_score"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("cold_known"),
+    )
+    some = rows.where(F.size("cold") > 0).drop("cold").join(sums, "row")
+    others = rows.where(F.size("cold") == 0).drop("cold").select("*", F.lit(0.0).alias("cold_base"), F.lit(0.0).alias("cold_score"), F.lit(0).cast("long").alias("cold_known"))
+    return some.unionByName(others).select(
         "doc_id",
         *keep,
         "n_tokens",
-        (F.col("hot_known") + zero("cold_known")).cast("long").alias("n_known"),
+        (F.col("hot_known") + F.col("cold_known")).cast("long").alias("n_known"),
         F.lit(lexicon.total).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + zero("cold_base")).alias("base_score"),
-        (F.col("hot_score") + zero("cold_base")).alias("score"),
+        (F.col("hot_base") + F.col("cold_base")).alias("base_score"),
+        (F.col("hot_score") + F.col("cold_score")).alias("score"),
     )

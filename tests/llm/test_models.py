@@ -70,14 +70,20 @@ def test_language_model_score_base_by_hand(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_is_normalised(spark, awkward, monkeypatch):
-    monkeypatch.setattr(lm_score, "EVERY", 2)
-    model = lm_score.train(lm_score.documents(awkward), vocabulary=40, hot_words=60, first_docs=5)
+def test_language_model_is_normalised(spark, awkward):
+    model = lm_score.train(lm_score.documents(awkward), vocabulary=40, hot_words=60)
     tables = lm_score.Tables(model.parameters)
-    p = np.exp(tables.one[:, None, :] + tables.two[None, :, :] - tables.normaliser[:, :, None]).sum(axis=2)
+    p = np.exp(tables.one[::9, None, :] + tables.two[None, ::7, :] - tables.normaliser[::9, ::7, None]).sum(axis=2)
     assert np.allclose(p, 1, atol=1e-3)
-    shares = model.lexicon.outcome_shares()
-    assert math.isclose(shares.sum(), 1.0)
+    lexicon = model.lexicon
+    assert math.isclose(lexicon.outcome_shares().sum(), 1.0)
+    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    inside = Counter()
+    for w, n in counts.items():
+        place = lexicon.places.get(w)
+        if place is None or place >= lexicon.size:
+            inside[lexicon.ending(w)] += (n + 0.1) / lexicon.floor
+    assert np.allclose([inside[lexicon.size + k] for k in range(len(lexicon.masses))], lexicon.masses)
     found = lm_score.score(awkward, model).collect()
     assert len(found) == awkward.count()
     texts = Counter((r.doc_id, lm_score.tokens((r.text or "").encode()).__len__()) for r in awkward.collect())
@@ -87,20 +93,54 @@ def test_language_model_is_normalised(spark, awkward, monkeypatch):
     assert lm_score.score(awkward.limit(0), model).count() == 0
 
 
+def test_language_model_scores_by_hand(spark, awkward):
+    """Every score against a loop over tokens that sums over all outcomes, with words that training has not seen."""
+    model = lm_score.train(lm_score.documents(awkward.where("doc_id < 10")), vocabulary=30, hot_words=50)
+    lexicon, p = model.lexicon, model.parameters
+    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    shares = lexicon.outcome_shares()
+
+    def outcome(w):
+        place = lexicon.places.get(w)
+        return place if place is not None and place < lexicon.size else lexicon.ending(w)
+
+    strange = 0
+    for r in lm_score.score(awkward.where("doc_id <> 7"), model, keep=("text",)).collect():
+        total, before = 0.0, [lexicon.start, lexicon.start]
+        for w in lm_score.tokens((r.text or "").encode()):
+            h = p.R[before[0]] @ p.C1 + p.R[before[1]] @ p.C2
+            logs = (h @ p.Q.T + p.b).astype(np.float64)
+            logs -= np.log(np.exp(logs - logs.max()).sum()) + logs.max()
+            k = outcome(w)
+            if w not in counts:
+                strange, value = strange + 1, logs[lexicon.unknown]
+            else:
+                value = logs[k] + (0 if k < lexicon.size else math.log((counts[w] + 0.1) / lexicon.floor / shares[k]))
+            total += value / math.log(10)
+            before = [k, before[0]]
+        assert math.isclose(r.score, total, rel_tol=1e-4, abs_tol=1e-3)
+    assert strange > 5
+
+
+def test_language_model_does_not_depend_on_the_layout(spark, awkward):
+    docs = lm_score.documents(awkward)
+    models = [lm_score.train(docs.repartition(n), vocabulary=40, hot_words=60, shard_tokens=2000) for n in (2, 7)]
+    assert (models[0].parameters.flat() == models[1].parameters.flat()).all()
+    first, second = (sorted((str(r.doc_id), r.score) for r in lm_score.score(docs, m).collect()) for m in models)
+    assert np.allclose([s for _, s in first], [s for _, s in second], rtol=1e-12)
+
+
 def test_language_model_learns_from_every_training_token(spark, awkward, monkeypatch):
-    seen = []
-
-    def here(df, make, column="text"):
-        take, total = make()
-        for batch in df.toArrow().to_batches():
-            take(batch)
-        values = total()
-        seen.append(int(values[-1]))
+    seen, whole = [], lm_score.vector_sum
+
+    def here(*args):
+        values = whole(*args)
+        seen.append(0 if values is None else int(values[-1]))
         return values
 
     monkeypatch.setattr(lm_score, "vector_sum", here)
-    model = lm_score.train(lm_score.documents(awkward), vocabulary=40, hot_words=60, first_docs=5)
-    assert seen == [model.lexicon.total]
+    model = lm_score.train(lm_score.documents(awkward), vocabulary=40, hot_words=60, shard_tokens=2000)
+    assert len(seen) == lm_score.ROUNDS and sum(seen) == model.lexicon.total
 
 
 def test_language_model_without_training_text(spark, awkward):
