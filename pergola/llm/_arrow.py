@@ -40,15 +40,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def sampled(df: DataFrame, group: str, most: int, key: str = "doc_id", salts: int = 64) -> DataFrame:
-    """At most `most` rows of each group, those least by a hash of the key, as column n from 1.
+#: Steps of an octave in which a sample's threshold is found: samples are at most a hundredth short of what is asked for.
+STEPS = 64
 
-    Each of `salts` parts of a group is cut first, so a task ranks at most most * salts rows however large the group.
+
+def sampled(df: DataFrame, group: str, most: int, key: str = "doc_id") -> DataFrame:
+    """At most `most` rows of each group: those whose hash of the key is below the group's threshold, nearly as many as allowed.
+
+    The threshold comes from a histogram of the hash in steps that get finer towards 0, so nothing is ranked, no task sees more of a group
+    than the histogram's few thousand counts, and a large group is joined by group and step. Rows of one key stay or go together.
     """
-    h = F.xxhash64(key)
-    part = Window.partitionBy(group, F.pmod(h, F.lit(salts))).orderBy(h, key)
-    cut = df.withColumn("n", F.row_number().over(part)).where(F.col("n") <= most)
-    return cut.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(h, key))).where(F.col("n") <= most)
+    share = (F.xxhash64(key).bitwiseAND((1 << 63) - 1).cast("double") + 1) / float(1 << 63)
+    rows = df.withColumn("step", F.floor(F.log2(share) * -STEPS).cast("int"))
+    counts = rows.groupBy(group, "step").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy(F.desc("step")))
+    allowed = counts.withColumn("upto", upto).where(F.col("upto") <= most).select(group, "step")
+    return rows.join(allowed, [group, "step"]).drop("step")
 
 
 def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -52,7 +53,7 @@ class _Numbers(dict):
 
 
 def _shorter(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
 
 
 def _longer(data: bytes) -> bytes:
@@ -149,7 +150,7 @@ def _blocks(docs: DataFrame, path: str) -> DataFrame:
 
 
 def word_table(blocks: DataFrame, parts: int) -> DataFrame:
-    """part, block, data: each block's words with their numbers, dealt out by a hash of the word, so that a word's rows of all blocks meet in one part."""
+    """part, block, words, numbers: each block's words with their numbers, dealt out by a hash of the word, so that a word's rows of all blocks meet in one part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,28 +160,28 @@ def word_table(blocks: DataFrame, parts: int) -> DataFrame:
                 order = np.argsort(own, kind="stable")
                 cuts = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])) if len(order) else order
                 for at in np.split(order, cuts[1:]) if len(order) else []:
-                    found = _batch(pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(at, pa.int32())], ["word", "number"]))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(own[at[0]])], pa.int64()), pa.array([block], pa.int64()), pa.array([found], pa.binary())], ["part", "block", "data"])
+                    found = _batch(pa.RecordBatch.from_arrays([words.take(pa.array(at))], ["word"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(own[at[0]])], pa.int64()), pa.array([block], pa.int64()), pa.array([found], pa.binary()), pa.array([packed(np.diff(at, prepend=0))], pa.binary())], ["part", "block", "words", "numbers"])
 
-    return blocks.select("block", "data").mapInArrow(run, "part long, block long, data binary")
+    return blocks.select("block", "data").mapInArrow(run, "part long, block long, words binary, numbers binary")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """block, data: the identifiers of word_table()'s rows in their order, with the words' numbers. All rows of a word are in one part, which encodes it once."""
+    """block, numbers, sizes, ids: the identifiers of word_table()'s rows in their order, and how many each word has. All rows of a word are in one part, which encodes it once."""
 
     def part(rows: pa.Table) -> pa.Table:
-        table, known, out = merges(path), {}, []
-        for data in rows.column("data").to_pylist():
-            batch = _unbatch(data)
-            own = batch.column("word").to_pylist()
+        table, known, sizes, ids = merges(path), {}, [], []
+        for data in rows.column("words").to_pylist():
+            own = _unbatch(data).column("word").to_pylist()
             for w in own:
                 if w not in known:
                     known[w] = word_ids(w, table)
-            found = pa.array([known[w] for w in own], pa.list_(pa.uint32()))
-            out.append(_batch(pa.RecordBatch.from_arrays([batch.column("number"), found], ["number", "ids"])))
-        return pa.table({"block": rows.column("block").cast(pa.int64()), "data": pa.array(out, pa.binary())})
+            found = [known[w] for w in own]
+            sizes.append(packed(np.fromiter(map(len, found), np.uint32, len(found))))
+            ids.append(packed(np.fromiter(chain.from_iterable(found), np.uint32)))
+        return pa.table({"block": rows.column("block").cast(pa.int64()), "numbers": rows.column("numbers").cast(pa.binary()), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    return words.groupBy("part").applyInArrow(part, "block long, data binary")
+    return words.groupBy("part").applyInArrow(part, "block long, numbers binary, sizes binary, ids binary")
 
 
 IDS = (T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()))
@@ -209,11 +210,10 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _assembled(texts: pa.Table, coded: pa.Table, pieces: Pieces | None) -> Iterator[tuple[object, np.ndarray, str | None]]:
     """The documents of a block: the identifiers of each word of the block, joined back to every place that has its number."""
-    parts = [_unbatch(d) for d in coded.column("data").to_pylist()]
-    numbers = np.concatenate([p.column("number").to_numpy() for p in parts]) if parts else np.empty(0, np.int64)
-    lists = [p.column("ids") for p in parts]
-    flat = np.concatenate([x.flatten().to_numpy() for x in lists]) if parts else np.empty(0, np.uint32)
-    own = np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.int64) if parts else numbers
+    joined = lambda found: np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
+    numbers = joined(np.cumsum(unpacked(d), dtype=np.int64) for d in coded.column("numbers").to_pylist())
+    own = joined(unpacked(d) for d in coded.column("sizes").to_pylist())
+    flat = np.concatenate([*(unpacked(d) for d in coded.column("ids").to_pylist()), np.empty(0, np.uint32)])
     sizes, starts = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
     sizes[numbers], starts[numbers] = own, np.cumsum(own) - own
     for names, lengths, data in zip(texts.column("names").to_pylist(), texts.column("lengths").to_pylist(), texts.column("data").to_pylist()):
@@ -240,7 +240,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
     held = saved(blocks, "kind")
     both = spark.read.schema(blocks.schema).parquet(held)
     words = both.where("kind = 'words'")
-    total = words.agg(F.sum("n")).first()[0] or 0
+    total, count = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_WORDS))
     coded = encode_words(word_table(words, parts), where)
     found = spark.read.schema(coded.schema).parquet(saved(coded))
@@ -255,7 +255,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
         out = [(n, i.tobytes(), len(i), t) for n, i, t in rows]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(plain), plain)], schema=plain)
 
-    texts = both.where("kind = 'texts'").select("block", "names", "lengths", "data")
+    texts = both.where("kind = 'texts'").select("block", "names", "lengths", "data").repartition(max(1, count), "block")
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
 
 

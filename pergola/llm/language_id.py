@@ -10,17 +10,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, map_slices, sampled, slices, spread, struct
+from pergola.llm._arrow import documents, map_slices, sampled, slices, spread, written
 from pergola.llm._bpe import LETTERS, narrow
 
-#: The learning sample: so many documents of each language at most, by a hash of their id, and of each language's words the most frequent.
+#: The learning sample: so many documents of each language at most, by a hash of their id. All their words and n-grams are kept.
 DOCS_PER_LANG = 2500
-WORDS_PER_LANG = 50_000
-GRAMS_PER_LANG = 20_000
 LONGEST = 4
 MEMO_WORDS = 250_000
 
@@ -60,23 +58,33 @@ class LanguageModel:
     grams: dict[int, Table]
 
 
-def _logs(counts: dict[str, Counter], langs: list[str], most: int) -> Table:
-    """Additively smoothed log frequencies of the most frequent keys of each language."""
-    keys = set()
-    for lang in langs:
-        keys.update(k for k, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:most])
-    totals = np.array([sum(counts[lang].values()) for lang in langs], float)
-    order = sorted(keys)
-    table = np.array([[counts[lang][k] for lang in langs] for k in order], float).reshape(len(order), len(langs))
-    logs = np.log((table + 0.1) / (totals + 0.1 * (len(order) + 1)))
-    return Table({k: i for i, k in enumerate(order)}, logs.astype(np.float32))
+def _logs(counts: pa.Table, langs: list[str]) -> Table:
+    """Additively smoothed log frequencies of the keys of a lang, key, n table."""
+    keys = sorted(set(counts.column("key").to_pylist()))
+    places = {k: i for i, k in enumerate(keys)}
+    column = {name: i for i, name in enumerate(langs)}
+    table = np.zeros((len(keys), len(langs)))
+    at = [places[k] for k in counts.column("key").to_pylist()], [column[x] for x in counts.column("lang").to_pylist()]
+    table[at] = counts.column("n").to_numpy()
+    return Table(places, np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * (len(keys) + 1))).astype(np.float32))
+
+
+def gram_counts(words: DataFrame, n: int) -> DataFrame:
+    """lang, key, n: the n-grams of the words of a lang, word, n table, as grams() cuts them."""
+    padded = F.concat(F.lit(" "), "word", F.lit(" ")) if n > 1 else F.col("word")
+    cut = words.select("lang", "n", padded.alias("w")).where(F.length("w") >= n)
+    found = F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring("w", i, F.lit(n)))
+    return cut.select("lang", "n", F.explode(found).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def train(df: DataFrame, docs_per_lang: int = DOCS_PER_LANG, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """Learns from at most docs_per_lang rows of each non-null language; rows without a text or key teach nothing."""
+    """Learns from at most docs_per_lang documents of each non-null language; rows without a text or key teach nothing.
+
+    Words and n-grams are counted in Spark; their tables, as large as the sample makes them, are collected. An empty table gives no languages.
+    """
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    chosen = sampled(known.select("doc_id", "lang"), "lang", docs_per_lang).select("doc_id").distinct()
+    chosen = sampled(known.select("doc_id", "lang").distinct(), "lang", docs_per_lang).select("doc_id").distinct()
     sample = known.join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,16 +97,10 @@ def train(df: DataFrame, docs_per_lang: int = DOCS_PER_LANG, text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["lang", "word", "n"])
 
     counted = spread(sample.select("text", "lang")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words: dict[str, Counter] = defaultdict(Counter)
-    parts: dict[int, dict[str, Counter]] = {n: defaultdict(Counter) for n in range(1, LONGEST + 1)}
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    for row in counted.withColumn("at", F.row_number().over(top)).where(F.col("at") <= WORDS_PER_LANG).collect():
-        words[row.lang][row.word] = row.n
-        for n, by in parts.items():
-            for g in grams(row.word, n):
-                by[row.lang][g] += row.n
-    langs = sorted(words)
-    return LanguageModel(langs, _logs(words, langs, WORDS_PER_LANG), {n: _logs(by, langs, GRAMS_PER_LANG) for n, by in parts.items()})
+    words = written(counted)
+    langs = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
+    own = _logs(words.withColumnRenamed("word", "key").toArrow(), langs)
+    return LanguageModel(langs, own, {n: _logs(gram_counts(words, n).toArrow(), langs) for n in range(1, LONGEST + 1)})
 
 
 class Scorer(dict):

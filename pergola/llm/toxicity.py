@@ -195,7 +195,7 @@ def train(df: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS
     """
     known = labels.select(F.col(key).alias("doc_id"), F.col(toxic).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = sampled(known, "label", docs_per_class).withColumn("scale", F.col("n") % 3 == 0)
+    chosen = sampled(known, "label", docs_per_class).withColumn("scale", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0)
     rows = documents(df, text=text, key=key).where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", "label", "scale")), "doc_id").dropDuplicates(["doc_id", "text"]).persist()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

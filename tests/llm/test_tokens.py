@@ -78,6 +78,6 @@ def test_each_distinct_word_is_encoded_in_one_part(spark, awkward):
     assert blocks.count() > 1
     parts = {}
     for r in bpe_codec.word_table(blocks, 5).collect():
-        for w in bpe_codec._unbatch(bytes(r.data)).column("word").to_pylist():
+        for w in bpe_codec._unbatch(bytes(r.words)).column("word").to_pylist():
             parts.setdefault(w, set()).add(r.part)
     assert all(len(p) == 1 for p in parts.values()) and len({min(p) for p in parts.values()}) == 5
