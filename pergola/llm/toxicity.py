@@ -1,4 +1,4 @@
-"""Toxicity by two Kneser-Ney models of the characters of words, one for each label, over shared backoff counts."""
+"""Toxicity by two interpolated Kneser-Ney models of the characters of words, one for each label, over shared backoff counts."""
 
 from __future__ import annotations
 
@@ -19,33 +19,42 @@ from pergola.llm.decontaminate import words_of
 DOCS_PER_CLASS = 2500
 #: Characters of the longest sequence counted.
 ORDER = 6
-#: What each sequence's count in a class is discounted by, and the weight that the counts of both classes have beside a class's own:
-#: the same for either class, so an expression that neither knows well tells nothing.
-RARE = 1.0
+#: What each sequence's count in a class is discounted by: the mass goes to the shared orders below, by the number of values a context has in
+#: the class. BACKOFF is the weight that these have beside it in either class, so an expression that neither knows well tells nothing.
+DISCOUNT = 1.0
 BACKOFF = 50.0
-#: A word whose log ratio is greater speaks for the toxic model.
+#: A word whose log ratio is greater speaks for the toxic model by itself.
 DECISIVE = 1.5
-#: Longer words are cut into parts of so many bytes, each modelled as a word.
-WORD_BYTES = 48
+#: Longer words are modelled in parts of so many bytes, each in the context that the part before it leaves.
+WORD_BYTES = 512
+#: Begins a part that is not a word's first, and ends one that is not its last; no word has these bytes.
+AFTER, OPEN = b"\x01", b"\x02"
 MEMO_WORDS = 300_000
 
 
 def _layout(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words padded by ORDER - 1 starts and an end, in one array; the places predicted; the word of each such place."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    span = lengths + ORDER
-    starts = np.concatenate([[0], np.cumsum(span)[:-1]]) if len(words) else np.empty(0, np.int64)
+    """All words padded by ORDER - 1 starts and an end, in one array; the places predicted; the word of each such place.
+
+    A later part of a word has the ORDER - 1 bytes before it in place of starts; a part that goes on has no end.
+    """
+    bare = [w.strip(AFTER + OPEN) for w in words]
+    later = np.array([w.startswith(AFTER) for w in words], bool)
+    ended = np.array([not w.endswith(OPEN) for w in words], bool)
+    lengths = np.fromiter(map(len, bare), np.int64, len(words))
+    span = lengths + np.where(later, 0, ORDER - 1) + ended
+    starts = np.cumsum(span) - span
     codes = np.full(int(span.sum()), 256, np.uint64)
     body = np.ones(len(codes), bool)
+    inner = body.copy()
     for k in range(ORDER - 1):
         body[starts + k] = False
-    ends = starts + span - 1
-    inner = body.copy()
+        inner[(starts + k)[~later]] = False
+    ends = (starts + span - 1)[ended]
     inner[ends] = False
-    codes[inner] = np.frombuffer(b"".join(words), np.uint8)
+    codes[inner] = np.frombuffer(b"".join(bare), np.uint8)
     codes[ends] = 257
     places = np.flatnonzero(body)
-    return codes, places, np.repeat(np.arange(len(words)), lengths + 1)
+    return codes, places, np.repeat(np.arange(len(words)), span - (ORDER - 1))
 
 
 def _keys(codes: np.ndarray, width: int) -> np.ndarray:
@@ -79,12 +88,14 @@ class Order:
 
 @dataclass
 class ToxicityModel:
-    """shared: orders 2 to ORDER over both classes. own: the longest sequences' discounted counts by class; totals: their sums by context."""
+    """shared: orders 2 to ORDER over both classes. own: the longest sequences' counts by class; totals, types: of their contexts the sums and
+    the numbers of values by class; weights: of the features and a constant."""
 
     shared: list[Order]
     first: np.ndarray
     own: np.ndarray
     totals: np.ndarray
+    types: np.ndarray
     weights: np.ndarray
 
 
@@ -106,8 +117,8 @@ def fit(words: list[bytes], counts: np.ndarray) -> ToxicityModel:
         if width == ORDER:
             own = np.stack([np.bincount(inverse, by_place[:, c], len(keys)) for c in (0, 1)], axis=1)
             table = own.sum(axis=1)
-            sure = np.maximum(own - RARE, 0)
-            classes = {"own": _pad(sure), "totals": _pad(np.stack([sums(sure[:, c]) for c in (0, 1)], axis=1))}
+            both = lambda values: _pad(np.stack([sums(values[:, c]) for c in (0, 1)], axis=1))
+            classes = {"own": _pad(own), "totals": both(own), "types": both(own > 0)}
         else:
             at = np.unique(_keys(codes, width + 1)[places], return_index=True)[1]
             table = np.bincount(inverse[at], minlength=len(keys)).astype(float)
@@ -117,11 +128,15 @@ def fit(words: list[bytes], counts: np.ndarray) -> ToxicityModel:
     values, n = np.unique(pairs % np.uint64(258), return_counts=True)
     base = np.ones(258)
     base[values.astype(np.int64)] += n
-    return ToxicityModel(shared[::-1], base / base.sum(), weights=np.array([4.0, 1.0, -4.0]), **classes)
+    return ToxicityModel(shared[::-1], base / base.sum(), weights=np.array([4.0, 1.0, 0.0, -4.0]), **classes)
 
 
-def word_ratios(model: ToxicityModel, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the log-likelihood under the toxic model less that under the ordinary one, and its number of predicted values."""
+def word_likelihoods(model: ToxicityModel, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its log-likelihood under the ordinary and under the toxic model, and its number of predicted values.
+
+    Interpolated Kneser-Ney: a discounted count of the class, and what the discounts leave times the shared probability of the same sequence,
+    whose lower orders count the values that a sequence was seen after, in either class.
+    """
     codes, places, owner = _layout(words)
     p = model.first[codes[places].astype(np.int64)]
     at = where = np.empty(0, np.int64)
@@ -131,16 +146,23 @@ def word_ratios(model: ToxicityModel, words: list[bytes]) -> tuple[np.ndarray, n
         total = o.totals[where]
         seen = np.maximum(total, 1e-9)
         p = np.where(total > 0, np.maximum(o.counts[at] - o.discount, 0) / seen + o.discount * o.types[where] / seen * p, p)
-    both = (model.own[at] + BACKOFF * p[:, None]) / (model.totals[where] + BACKOFF)
-    logs = np.log(both[:, 1]) - np.log(both[:, 0])
-    return np.bincount(owner, logs, len(words)), np.bincount(owner, minlength=len(words)).astype(float)
+    own, totals, types = model.own[at], model.totals[where], model.types[where]
+    logs = np.log((np.maximum(own - DISCOUNT, 0) + (DISCOUNT * types + BACKOFF) * p[:, None]) / (totals + BACKOFF))
+    return np.stack([np.bincount(owner, logs[:, c], len(words)) for c in (0, 1)], axis=1), np.bincount(owner, minlength=len(words)).astype(float)
 
 
 def parts_of(text: bytes | None) -> list[bytes]:
     words = words_of(text)
-    if words and max(map(len, words)) > WORD_BYTES:
-        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
-    return words
+    return [p for w in words for p in cut(w)] if words and max(map(len, words)) > WORD_BYTES else words
+
+
+def cut(word: bytes) -> list[bytes]:
+    """A long word as parts that together are as likely as the whole."""
+    if len(word) <= WORD_BYTES:
+        return [word]
+    at = range(0, len(word), WORD_BYTES)
+    parts = [word[max(0, i - ORDER + 1) : i + WORD_BYTES] for i in at]
+    return [(AFTER if i else b"") + p + (OPEN if i + WORD_BYTES < len(word) else b"") for i, p in zip(at, parts)]
 
 
 class Ratios(dict):
@@ -158,26 +180,26 @@ class Ratios(dict):
             self.ratio, self.size = np.zeros(0), np.zeros(0)
         new = sorted({w for words in texts for w in words if w not in self})
         if new:
-            ratio, size = word_ratios(self.model, new)
+            logs, size = word_likelihoods(self.model, new)
+            ratio = logs[:, 1] - logs[:, 0]
             self.update(zip(new, range(len(self.ratio), len(self.ratio) + len(new))))
             self.ratio, self.size = np.concatenate([self.ratio, ratio]), np.concatenate([self.size, size])
 
-    def features(self, words: list[bytes]) -> tuple[float, float]:
-        """What the words' log ratios have above DECISIVE: normalised by the text's length, and in all.
-
-        The ratios of the other words tell which languages and topics the labelled rows came from rather than toxicity.
-        """
+    def features(self, words: list[bytes]) -> tuple[float, float, float]:
+        """Of what the words' log ratios have above DECISIVE: the share in the text's length, and all of it; then the length-normalised
+        log-likelihood under the toxic model less that under the ordinary one."""
         if not words:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        over = float(np.maximum(self.ratio[at] - DECISIVE, 0).sum())
-        return float(np.sqrt(over / len(words))), float(np.log1p(over))
+        ratio = self.ratio[at]
+        over = float(np.maximum(ratio - DECISIVE, 0).sum())
+        return float(np.sqrt(over / len(words))), float(np.log1p(over)), float(ratio.sum() / self.size[at].sum())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the two features and a constant, by Newton steps with a small penalty."""
+    """Weights of the features and a constant, by Newton steps with a small penalty."""
     z = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(3), np.array([0.02, 0.02, 1e-6])
+    w, penalty = np.zeros(z.shape[1]), np.array([0.02, 0.02, 0.02, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
@@ -215,18 +237,18 @@ def train(df: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS
     counts[[place[w] for w in own], found.column("label").to_numpy()] = found.column("n").to_numpy()
     del found, own, place
     model = fit(words, counts)
-    tuned = _features(rows.where("scale").select("doc_id", "text", "label"), model, ("label",)).select("label", "a", "b").collect()
+    tuned = _features(rows.where("scale").select("doc_id", "text", "label"), model, ("label",)).select("label", "a", "b", "c").collect()
     rows.unpersist()
     y = np.array([r.label for r in tuned], float)
     if len(y) and 0 < y.mean() < 1:
-        tuned = sorted(tuned, key=lambda r: (r.label, r.a, r.b))
-        model.weights = _logistic(np.array([[r.a, r.b] for r in tuned]), np.array([r.label for r in tuned], float))
+        tuned = sorted(tuned, key=lambda r: (r.label, r.a, r.b, r.c))
+        model.weights = _logistic(np.array([[r.a, r.b, r.c] for r in tuned]), np.array([r.label for r in tuned], float))
     return model
 
 
 def _features(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[n] for n in ("doc_id", *keep)] + [T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    schema = T.StructType([docs.schema[n] for n in ("doc_id", *keep)] + [T.StructField(n, T.DoubleType()) for n in ("a", "b", "c")])
 
     def make():
         ratios = Ratios(sent.value)
@@ -235,7 +257,7 @@ def _features(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ())
             texts = [parts_of(t) for t in raw(part.column("text"))]
             ratios.meet(texts)
             found = [ratios.features(words) for words in texts]
-            return [part.column("doc_id"), *(part.column(k) for k in keep), [f[0] for f in found], [f[1] for f in found]]
+            return [part.column("doc_id"), *(part.column(k) for k in keep), *([f[k] for f in found] for k in range(3))]
 
         return step
 
@@ -245,11 +267,13 @@ def _features(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ())
 def score(df: DataFrame, model: ToxicityModel, threshold: float = 0.7, keep: tuple[str, ...] = (), text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, the columns in keep, score (0 to 1), predicted (score >= threshold) for each row.
 
-    score is a logistic function of the log ratio of the toxic and the ordinary model, normalised by length and in all. Null, empty and
-    wordless texts have a ratio of 0, hence the score of no evidence. Repeated rows give a row each.
+    score is a logistic function of three comparisons of the toxic with the ordinary model: the length-normalised log-likelihoods of the whole
+    text, and what single words that are decisive for the toxic one add up to, normalised by length and in all. Null, empty and wordless texts
+    compare as equal, hence the score of no evidence; a score of exactly the threshold is predicted. Repeated rows give a row each; a null id
+    stays null; without labels of both kinds the weights are fixed ones; an empty table gives no rows.
     """
     w = model.weights.tolist()
     found = _features(spread(documents(df, *keep, text=text, key=key)), model, keep)
-    z = F.col("a") * w[0] + F.col("b") * w[1] + w[2]
+    z = F.col("a") * w[0] + F.col("b") * w[1] + F.col("c") * w[2] + w[3]
     found = found.withColumn("score", 1 / (1 + F.exp(-z)))
     return found.select("doc_id", *keep, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
