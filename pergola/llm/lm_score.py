@@ -27,9 +27,9 @@ HOT_WORDS = 200_000
 SHARD_TOKENS = 2_000_000
 #: Rounds of training: the shards of a round set out from the averages of the one before.
 ROUNDS = 4
-RATE = 0.2
-BATCH = 512
-NOISE = 96
+RATE = 0.4
+BATCH = 1024
+NOISE = 48
 #: Distinct words a task counts before it hands them on.
 COUNTED_WORDS = 400_000
 #: Stands for a text's end; no word is white space.
@@ -169,7 +169,7 @@ class Lexicon:
     distinct: int
 
     def __post_init__(self):
-        self.own = np.array([self.ending(w) if i >= self.size else i for w, i in self.places.items()], np.int64)
+        self.own = np.array([*(self.ending(w) if i >= self.size else i for w, i in self.places.items()), 0], np.int64)
 
     @property
     def floor(self) -> float:
@@ -200,7 +200,7 @@ class Lexicon:
 
     def outcomes(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
         """The words' outcomes, taking all of them as seen."""
-        out = np.append(self.own, 0)[places]
+        out = self.own[places]
         for i in np.flatnonzero(places == len(self.places)).tolist():
             out[i] = self.ending(words[i])
         return out
@@ -326,7 +326,7 @@ def _scorer(sent, name: str):
         lexicon, parameters = sent.value
         base = np.append(np.log10((lexicon.counts + 0.1) / lexicon.floor), 0.0)
         shares = np.log10(lexicon.outcome_shares())
-        _held[name] = lexicon, Tables(parameters), base, base - np.append(shares[lexicon.own], 0.0), shares
+        _held[name] = lexicon, Tables(parameters), base, base - np.append(shares[lexicon.own[:-1]], 0.0), shares
     return _held[name]
 
 
