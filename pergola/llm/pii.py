@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import string
 from dataclasses import dataclass
@@ -15,20 +16,21 @@ from pyspark.sql import types as T
 from pergola.llm._arrow import documents, map_slices, spread
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose spans the model learns from at most, by a hash of their id, and windows of them.
+#: The model learns from so many windows at most: a quarter hold pattern spans, a quarter none, and into half of them forms that the patterns
+#: miss, or that only look like personal data, are written. They come from at most so many documents, by a hash of their id.
 TRAIN_DOCS = 20_000
-TRAIN_WINDOWS = 2400
+TRAIN_WINDOWS = 12_000
 #: Characters of a window and between the starts of two.
 WIDTH = 64
 STRIDE = 32
-HIDDEN = 20
-STEPS = 260
+HIDDEN = 24
+STEPS = 900
 BATCH = 96
 #: Windows decoded at once.
 DECODED = 2048
 
 TAGS = 1 + 2 * len(KINDS)
-CLASSES = 100
+CLASSES = 65
 
 # The patterns of the four kinds. The email's parts are matched around each '@'; see emails().
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -36,7 +38,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Where the patterns can match at all; and where the model looks besides: marks of spelled-out addresses.
 TRIGGER = re.compile(r"[0-9@]")
+SPELLED = re.compile(r"[0-9@]|[\[({<] ?(?:at|dot) ?[\])}>]|\bdot\b", re.I)
 
 Span = tuple[int, int, str]
 
@@ -85,22 +89,30 @@ def base_spans(text: str) -> list[Span]:
     return [(a, b, KINDS[k]) for a, b, k in found]
 
 
-_table = np.full(0x110000, 2, np.uint8)
-_table[0] = 0
-_table[10] = 1
-_table[32:127] = np.arange(3, 98)
-_table[0xC0:0x250] = 98
-_table[0x370:0x2000] = 99
+def _classes() -> np.ndarray:
+    """The class of each code point below 0x2000, then that of all others: digits are one, letters count without case, accented ones by block."""
+    table = np.full(0x2001, 2, np.uint8)
+    table[0], table[10], table[0xC0:0x250], table[0x370:0x2000] = 0, 1, 3, 4
+    shown = [chr(c) for c in range(32, 127) if not chr(c).isalnum()]
+    for k, c in enumerate(shown):
+        table[ord(c)] = 5 + k
+    for k, c in enumerate(string.ascii_lowercase):
+        table[ord(c)] = table[ord(c.upper())] = 5 + len(shown) + k
+    table[48:58] = 5 + len(shown) + 26
+    return table
+
+
+_table = _classes()
 
 
 def codes(text: str) -> np.ndarray:
-    """A class below CLASSES for each character: printable ASCII one by one, letters beyond it by block."""
-    return _table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    """A class below CLASSES for each character."""
+    return _table[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x2000)]
 
 
 def windows(text: str) -> np.ndarray:
-    """Starts of the overlapping windows that hold a digit or '@', without which no kind is possible; each such character is in two where the text allows."""
-    at = np.fromiter((m.start() for m in TRIGGER.finditer(text)), np.int64)
+    """Starts of the overlapping windows that hold a digit, '@' or a spelled-out 'at' or 'dot', without which no kind is known here; each such place is in two where the text allows."""
+    at = np.fromiter((m.start() for m in SPELLED.finditer(text)), np.int64)
     if not len(at):
         return at
     k = np.unique(np.concatenate([at // STRIDE, np.maximum(at // STRIDE - 1, 0)]))
@@ -275,69 +287,167 @@ def plausible(s: str, kind: str) -> bool:
     """What an added span must have at least: the digits, parts or marks without which it is not of its kind."""
     d = _digits(s)
     if kind == "email":
-        return "." in s.partition("@")[2].strip(".") and s[0] != "@"
+        name, mark, host = re.match(r"(.*?)(@|\bat\b)(.*)", s + " ", re.S | re.I).groups() if re.search(r"@|\bat\b", s, re.I) else ("", "", "")
+        return bool(re.search(r"\w", name) and re.search(r"\w\W*(\.|\bdot\b)\W*\w", host, re.I))
     if kind == "ip":
-        parts = re.split(r"\D+", s.strip("."))
-        return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
+        parts = re.findall(r"[0-9]+", s)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 12 <= len(d) <= 19 and luhn(d)
-    return 9 <= len(d) <= 15 and any(c in "()-. " for c in s.strip(" .-"))
-
-
-def variants(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
-    """The text with each phone's country sign left out and each card's groups set off by dots: forms that the patterns miss."""
-    out, moved, last = [], [], 0
-    size = 0
-    for a, b, kind in spans:
-        if a < last:
-            continue
-        s = text[a:b]
-        if kind == "phone":
-            s = re.sub(r"^\+[0-9]{1,3} ?", "", s)
-        elif kind == "card":
-            d = _digits(s)
-            s = ".".join(d[i : i + 4] for i in range(0, len(d), 4))
-        out += [text[last:a], s]
-        size += a - last
-        moved.append((size, size + len(s), kind))
-        size += len(s)
-        last = b
-    out.append(text[last:])
-    return "".join(out), moved
+    return 9 <= len(d) <= 15 and bool(re.search(r"[0-9][^0-9]+[0-9]", s))
+
+
+def _number(rng: random.Random, n: int, first: str = "123456789") -> str:
+    return rng.choice(first) + "".join(rng.choice(string.digits) for _ in range(n - 1))
+
+
+def _name(rng: random.Random) -> str:
+    return "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9)))
+
+
+def _card(rng: random.Random, valid: bool = True) -> tuple[str, tuple[int, ...]]:
+    sizes = rng.choice([(4, 4, 4, 4), (4, 4, 4, 4), (4, 6, 5)])
+    body = _number(rng, sum(sizes) - 1, "3456")
+    check = next(c for c in string.digits if luhn(body + c))
+    return body + (check if valid else str((int(check) + rng.randint(1, 9)) % 10)), sizes
+
+
+def _groups(digits: str, sizes: tuple[int, ...], mark: str) -> str:
+    at = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+    return mark.join(digits[a:b] for a, b in zip(at, at[1:]))
+
+
+def written_form(rng: random.Random, kind: str) -> str:
+    """A made-up item of a kind in one of the forms that the patterns miss."""
+    if kind == "email":
+        name, host = rng.choice(["{a}", "{a}.{b}", "{a}_{b}", "{a}{n}"]).format(a=_name(rng), b=_name(rng), n=rng.randint(1, 99)), [_name(rng), rng.choice(["com", "org", "net", "de", "fr", "es", "io", "edu", "info"])]
+        if rng.random() < 0.3:
+            host.insert(0, rng.choice(["mail", "mx", "web"]) + rng.choice(["", str(rng.randint(1, 9))]))
+        at = rng.choice([" @ ", " @ ", " @ ", " @", "@ ", " [at] ", "[at]", " (at) ", "(at)", " at ", " at ", " at ", "{at}", " <at> "])
+        dot = rng.choice([" dot ", "[dot]", "(dot)", " [dot] ", "."]) if at.strip() != "at" else rng.choice([" dot ", " [dot] "])
+        s = name + at + dot.join(host) if "@" not in at or at != "@ " else name + at + ".".join(host)
+        return s.upper() if rng.random() < 0.05 else s.replace("at", "AT", 1).replace("dot", "DOT") if rng.random() < 0.1 and "at" in at else s
+    if kind == "ip":
+        parts = [str(rng.choice([rng.randint(0, 255), rng.randint(0, 30), 0, 1, 10, 192, 255])) for _ in range(4)]
+        return rng.choice([" . ", ". ", " .", "[.]", "(.)", " dot ", "-", " [.] "]).join(parts)
+    if kind == "card":
+        digits, sizes = _card(rng)
+        return _groups(digits, sizes, rng.choice([".", "/", "_", "  ", " - ", "--", ":", " / ", ","]))
+    a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4, string.digits)
+    local = rng.choice([f"({a}) {b}-{c}", f"({a}){b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"{a}/{b}{c}", f"{a} {b}-{c}", f"({a}) {b}.{c}"])
+    if rng.random() < 0.2:
+        return rng.choice(["1-", "1 ", "1.", "001 ", "001-", "0"]) + local
+    if rng.random() < 0.15:
+        return " ".join(["0" + rng.choice("123456789")] + [_number(rng, 2, string.digits) for _ in range(4)])
+    if rng.random() < 0.1:
+        return f"0{_number(rng, 2)}{rng.choice(['/', ' ', '-'])}{_number(rng, rng.choice([7, 8]))}"
+    return local
+
+
+def look_alike(rng: random.Random) -> str:
+    """Something with digits or marks that is of no kind."""
+    d = lambda n: _number(rng, n)
+    kinds = [
+        lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 31):02}",
+        lambda: f"{rng.randint(1, 31)}{(m := rng.choice('./'))}{rng.randint(1, 12)}{m}{rng.randint(1900, 2099)}",
+        lambda: f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:{rng.randint(0, 59):02}",
+        lambda: ".".join(d(rng.randint(1, 2)) for _ in range(rng.choice([2, 3, 3, 5, 6]))),
+        lambda: f"{rng.choice('$€£')}{d(rng.randint(1, 3))},{d(3)}.{d(2)}",
+        lambda: "".join(rng.choice(string.digits + "abcdef") for _ in range(rng.randint(8, 40))),
+        lambda: d(rng.randint(1, 8)),
+        lambda: d(rng.randint(9, 20)),
+        lambda: f"{d(3)}-{d(4)}",
+        lambda: f"{d(4)}-{d(4)}",
+        lambda: f"{d(4)}/{d(2)}",
+        lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)),
+        lambda: f"{rng.randint(1, 90)}.{d(rng.randint(3, 6))}, -{rng.randint(1, 90)}.{d(rng.randint(3, 6))}",
+        lambda: f"@{_name(rng)}",
+        lambda: f"{_name(rng)} @ {rng.randint(1, 12)}",
+        lambda: f"{_name(rng)} at {_name(rng)}",
+        lambda: f"{_name(rng)} at the dot {_name(rng)}",
+        lambda: f"{_name(rng)} dot {_name(rng)}",
+        lambda: f"[{d(1)}]",
+        lambda: f"({rng.randint(1900, 2099)})",
+    ]
+    return rng.choice(kinds)()
+
+
+def shapes(text: str) -> list[Span]:
+    """What the model learns to mark: the pattern spans, and numbers that only fail as cards by their last digit, which no tagger can add up.
+
+    Such a number is never added: plausible() does the sum.
+    """
+    cards = [(m.start(), m.end(), "card") for m in CARD.finditer(text) if 12 <= len(_digits(m[0])) <= 19] if TRIGGER.search(text) else []
+    return sorted({*base_spans(text), *cards})
+
+
+def planted(text: str, rng: random.Random) -> tuple[str, list[Span]]:
+    """WIDTH characters of a text with a form or a look-alike written between two of its words, or cut off at an edge; and the spans in them."""
+    kind = rng.choice((*KINDS, "email", "", ""))
+    s = written_form(rng, kind) if kind else look_alike(rng)
+    spaces = [k for k, c in enumerate(text) if c == " "] or [0]
+    at = rng.choice(spaces) + 1
+    s_end = rng.choice([" ", " ", ", ", ". ", ") ", "; ", "\n", "%%% ", "$$$ ", "! "])
+    lead = rng.choice(["", "", "", "", "(", "tel ", "Tel. ", "mail ", "ip ", ": ", "\n"])
+    whole = text[:at] + lead + s + s_end + text[at:]
+    start, found = at + len(lead), [(at + len(lead), at + len(lead) + len(s), kind)] if kind else []
+    a = max(0, min(start - rng.randint(-len(s) // 2, WIDTH - len(s) // 2), max(0, len(whole) - WIDTH)))
+    return whole[a : a + WIDTH], [(max(x - a, 0), min(y - a, WIDTH), k) for x, y, k in found if y > a and x < a + WIDTH]
 
 
 def train(df: DataFrame, docs: int = TRAIN_DOCS, most: int = TRAIN_WINDOWS, text: str = "text", key: str = "doc_id") -> Tagger | None:
-    """Learns from windows of the pattern spans of at most `docs` documents, and of their variants; None where there is no span.
+    """Learns from labelled windows of at most `docs` documents; None where there is no text.
 
-    Rows are taken by a hash of their id, windows by a hash of what they hold; rows without an id or text teach nothing.
+    Labels are the pattern spans, and items that are written into other windows in forms that the patterns miss. Rows are taken by a hash of
+    their id, windows by a hash of what they hold; rows without an id or text teach nothing.
     """
     rows = documents(df, text=text, key=key).where("doc_id IS NOT NULL AND text IS NOT NULL")
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).distinct()
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
-    schema = T.StructType([T.StructField("chars", T.BinaryType()), T.StructField("tags", T.BinaryType())])
+    schema = T.StructType([T.StructField("chars", T.StringType()), T.StructField("tags", T.BinaryType()), T.StructField("some", T.BooleanType())])
 
     def make():
         def step(part: pa.RecordBatch) -> list:
             chars, tags = [], []
             for t in part.column("text").to_pylist():
-                spans = base_spans(t)
-                for own, found in ((t, spans), variants(t, spans)) if spans else ((t, spans),):
-                    starts = windows(own)
-                    if len(starts):
-                        chars += [w.tobytes() for w in cut(codes(own), starts)]
-                        tags += [w.tobytes() for w in cut(tag(len(own), found), starts)]
-            return [chars, tags]
+                own = tag(len(t), shapes(t))
+                starts = np.union1d(windows(t), np.arange(0, len(t), 40 * WIDTH))
+                chars += [t[s : s + WIDTH] for s in starts.tolist()]
+                tags += [own[s : s + WIDTH].tobytes() for s in starts.tolist()]
+            return [chars, tags, [any(x) for x in tags]]
 
         return step
 
     found = map_slices(spread(sample), make, schema).distinct()
-    some = F.col("tags") != F.lit(bytes(WIDTH))
     h = F.xxhash64("chars", "tags")
-    rows = found.where(some).orderBy(h, "chars").limit(most * 2 // 3).collect() + found.where(~some).orderBy(h, "chars").limit(most // 3).collect()
-    if not any(any(r.tags) for r in rows):
+    held = found.where("some").orderBy(h, "chars").limit(most // 4).collect()
+    bare = found.where("NOT some").orderBy(h, "chars").limit(most * 3 // 4).collect()
+    if not held and not bare:
         return None
-    chars = np.stack([np.frombuffer(bytes(r.chars), np.uint8) for r in rows])
-    return Tagger.start().fit(chars, np.stack([np.frombuffer(bytes(r.tags), np.uint8) for r in rows]))
+    rng = random.Random(11)
+    examples = [(r.chars, np.frombuffer(bytes(r.tags), np.uint8)) for r in held + bare[: most // 4]]
+    plain = [r.chars for r in bare[most // 4 :]] or [r.chars for r in bare] or [""]
+    for k in range(most // 2):
+        words, spans = planted(plain[k % len(plain)], rng)
+        examples.append((words, tag(len(words), spans)))
+    chars, tags = np.zeros((len(examples), WIDTH), np.uint8), np.zeros((len(examples), WIDTH), np.uint8)
+    for k, (words, own) in enumerate(examples):
+        chars[k, : len(words)], tags[k, : len(own)] = codes(words), own
+    return Tagger.start().fit(chars, tags)
+
+
+def snapped(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without white space and closing marks at its ends; with the whole of a run of letters and digits where it begins or ends within one."""
+    while a < b and text[a] in " \n\t,;:":
+        a += 1
+    while b > a and text[b - 1] in " \n\t.,;:!?-/":
+        b -= 1
+    if a < b:
+        while a > 0 and text[a].isalnum() and text[a - 1].isalnum():
+            a -= 1
+        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+    return a, b
 
 
 def added_spans(model: Tagger, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
@@ -353,10 +463,7 @@ def added_spans(model: Tagger, texts: list[str], bases: list[list[Span]]) -> lis
         found = []
         if len(s):
             for a, b, kind in tagged_spans(reconciled(len(t), s, tags[at : at + len(s)])):
-                while a < b and t[a] in " \n":
-                    a += 1
-                while b > a and t[b - 1] in " \n.,!":
-                    b -= 1
+                a, b = snapped(t, a, b)
                 if a < b and not any(a < y and x < b for x, y, _ in base) and plausible(t[a:b], kind):
                     found.append((a, b, kind))
             at += len(s)
