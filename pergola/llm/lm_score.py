@@ -20,15 +20,15 @@ from pergola.llm._arrow import documents, dropped, map_slices, most_frequent, ra
 VOCABULARY = 2047
 ENDING = 3
 ENDINGS = 1023
-DIMENSIONS = 32
+DIMENSIONS = 24
 #: Words whose counts every task holds; the others' counts are joined.
 HOT_WORDS = 200_000
 #: Training tokens of a shard, about; the number of shards follows from the table alone, and so does what each holds.
 SHARD_TOKENS = 2_000_000
 #: Rounds of training: the shards of a round set out from the averages of the one before.
 ROUNDS = 4
-RATE = 0.4
-BATCH = 1024
+RATE = 0.7
+BATCH = 2048
 NOISE = 48
 #: Distinct words a task counts before it hands them on.
 COUNTED_WORDS = 400_000
@@ -135,14 +135,18 @@ class Trainer:
         fake = -_sigmoid(h @ qn.T + (p.b[n] - self.noise[n]))
         scale = np.float32(1 / len(w))
         gh = (data[:, None] * qw + fake @ qn) * scale
-        gq, gb, gr = np.zeros_like(p.Q), np.zeros((len(p.b), 1), np.float32), np.zeros_like(p.R)
-        _add_rows(gq, np.concatenate([w, n]), np.concatenate([data[:, None] * h, fake.T @ h]) * scale)
-        _add_rows(gb, np.concatenate([w, n]), np.concatenate([data, fake.sum(axis=0)])[:, None] * scale)
+        gq, gr = np.zeros((len(p.b), h.shape[1] + 1), np.float32), np.zeros_like(p.R)
+        outcomes = np.empty((len(w) + len(n), h.shape[1] + 1), np.float32)
+        np.multiply(data[:, None], h, out=outcomes[: len(w), :-1])
+        np.matmul(fake.T, h, out=outcomes[len(w) :, :-1])
+        outcomes[: len(w), -1], outcomes[len(w) :, -1] = data, fake.sum(axis=0)
+        outcomes *= scale
+        _add_rows(gq, np.concatenate([w, n]), outcomes)
         _add_rows(gr, np.concatenate([v, u]), np.concatenate([gh @ p.C1.T, gh @ p.C2.T]))
         self._update("C1", rv.T @ gh)
         self._update("C2", ru.T @ gh)
-        self._update("Q", gq)
-        self._update("b", gb[:, 0])
+        self._update("Q", gq[:, :-1])
+        self._update("b", gq[:, -1])
         self._update("R", gr)
 
 
