@@ -96,6 +96,12 @@ def slug(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+def folder_slug(name: Column) -> Column:
+    """A name as a folder's: letters and digits of any script, '.', '_' and '-' stay, runs of others become one dash; 'repo' if nothing is left."""
+    kept = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^\\p{L}\\p{N}._-]+", "-"), "^-+|-+$", "")
+    return F.when(kept == "", F.lit("repo")).otherwise(kept)
+
+
 def keyword_coverage(answer: Column, terms: Column) -> Column:
     """Share of the terms that the answer contains, whatever their case; 1 without terms."""
     found = F.size(F.filter(terms, lambda t: F.contains(F.lower(answer), F.lower(t))))
@@ -109,13 +115,55 @@ def visitor_id(host: Column, forwarded: Column, agent: Column) -> Column:
     return F.substring(F.sha2(F.concat(address, F.lit("|"), F.substring(F.coalesce(agent, F.lit("")), 1, 120)), 256), 1, 20)
 
 
+SCALAR = r'^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")$'
+
+
+def balanced(text: Column, opener: str, closer: str) -> Column:
+    """From the first opener to where its nesting closes, whatever strings and escapes hold; null if there is none or it stays open."""
+    start = F.locate(opener, text)
+    rest = F.substring(text, start, F.length(text))
+    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
+
+    def step(s: Column, c: Column) -> Column:
+        plain = ~s["escaped"] & (s["end"] == 0)
+        code = plain & ~s["quoted"]
+        depth = s["depth"] + F.when(code & (c == opener), 1).when(code & (c == closer), -1).otherwise(0)
+        at = s["at"] + 1
+        return F.struct(
+            at.alias("at"),
+            F.when(code & (c == closer) & (depth == 0), at).otherwise(s["end"]).alias("end"),
+            depth.alias("depth"),
+            F.when(plain & (c == '"'), ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            (plain & (c == "\\")).alias("escaped"),
+        )
+
+    end = F.aggregate(F.regexp_extract_all(rest, F.lit("(?s)."), F.lit(0)), state, step, lambda s: s["end"])
+    return F.when((start > 0) & (end > 0), F.substring(rest, F.lit(1), end))
+
+
+def whole_json(text: Column) -> Column:
+    """The text, if it is one JSON value and nothing else; else null."""
+    value = F.trim(F.regexp_replace(text, "^\\s+|\\s+$", ""))
+    first = F.substring(value, 1, 1)
+    nested = F.when(first == "{", balanced(value, "{", "}")).when(first == "[", balanced(value, "[", "]"))
+    return F.when(first.isin("{", "["), F.when((nested == value) & F.try_parse_json(value).isNotNull(), value)).otherwise(F.when(value.rlike(SCALAR), value))
+
+
 def json_value(text: Column) -> Column:
-    """The first JSON in a model's reply: the whole of it, or what a fence holds, or from the first brace or bracket to its last partner; else null."""
+    """The first JSON in a model's reply: the whole of it, or what the first fence holds, or the first object whose braces balance, or the first such list; else null."""
     fenced = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1)
-    object_ = F.regexp_extract(text, "(?s)(\\{.*\\})", 1)
-    list_ = F.regexp_extract(text, "(?s)(\\[.*\\])", 1)
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & (F.trim(c) != ""), F.trim(c))
-    return F.coalesce(valid(text), valid(fenced), valid(object_), valid(list_))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(whole_json(text), whole_json(fenced), valid(balanced(text, "{", "}")), valid(balanced(text, "[", "]")))
+
+
+def stable_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of a JSON object of the fields in the order of their names."""
+    return F.sha2(F.to_json(F.struct(*(fields[n].alias(n) for n in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+
+
+def rendered(path: Column, start: Column, end: Column, symbol: Column, content: Column) -> Column:
+    """A chunk as a prompt shows it: its place, its symbol if it has one, its text."""
+    return F.concat(F.lit("### "), location(path, start, end), F.when(symbol.isNotNull(), F.concat(F.lit(" ("), symbol, F.lit(")"))).otherwise(""), F.lit("\n"), content)
 
 
 def cache_key(model: Column, task: Column, dims: Column, text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pergola.functions import declarations
 from pergola.functions.paths import language
 from pergola.functions.text import chunk_id
 
@@ -120,10 +121,73 @@ def section_chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int =
     return _rows(spans, F.concat(F.lit("// file: "), F.col("path"), F.lit(" (documentation)\n")), "documentation")
 
 
+def _windowed(lines: Column, first: Column, last: Column, kind: Column, symbol: Column, max_lines: int, overlap: int) -> Column:
+    """The windows of some lines as spans of one kind and symbol."""
+    none = F.lit(None).cast("string")
+    return F.transform(windows(lines, first, last, max_lines, overlap), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last"), kind.alias("kind"), symbol.alias("symbol"), none.alias("parent"), none.alias("outline")))
+
+
+def parsed(files: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
+    """path, language, lines and outline (see functions.declarations) of path, content rows; outlines are null for other languages and files that don't parse."""
+    named = files.select("path", "content", language(F.col("path")).alias("language"))
+    return named.select("path", "language", lines_of(F.col("content")).alias("lines"), declarations.outline(F.col("content"), F.col("language"), max(20, max_lines)).alias("outline"))
+
+
+def code_spans(rows: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
+    """parsed() rows with spans: each declaration, a container of more than max_lines as its outline and its members, any other of more than twice
+    that in windows; then windows of what they leave. Files without declarations are windows of lines."""
+    most, over = limits(max_lines, overlap)
+    found = F.col("outline.found")
+    none = F.lit(None).cast("string")
+    one = lambda d: F.array(F.struct(d["first"].alias("first"), d["last"].alias("last"), d["kind"].alias("kind"), d["symbol"].alias("symbol"), d["parent"].alias("parent"), d["outline"].alias("outline")))
+    size = lambda d: d["last"] - d["first"] + 1
+    long = lambda d: d["top"] & d["outline"].isNull() & (size(d) > 2 * most)
+    own = F.flatten(F.transform(found, lambda d: F.when(long(d), _windowed(F.col("lines"), d["first"], d["last"], d["kind"], d["symbol"], most, over)).otherwise(one(d))))
+    covered = F.array_distinct(F.flatten(F.transform(F.filter(found, lambda d: d["top"]), lambda d: F.sequence(d["first"], d["last"]))))
+    rest = F.flatten(F.transform(islands(F.col("lines"), covered), lambda i: _windowed(F.col("lines"), i["first"], i["last"], F.lit("module"), none, most, over)))
+    plain = _windowed(F.col("lines"), F.lit(0), F.size("lines") - 1, F.lit("block"), none, most, over)
+    return rows.withColumn("declared", F.coalesce(F.size(found) > 0, F.lit(False))).withColumn("spans", F.when(F.col("declared"), F.concat(own, rest)).otherwise(plain))
+
+
+def code_chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of path, content rows of code by what they declare, each under the file's name and its first imports; parent_symbol: a member's container."""
+    rows = code_spans(parsed(files, max_lines), max_lines, overlap).select("path", "language", "lines", "declared", "outline.imports", F.explode("spans").alias("span"))
+    imports = F.concat(F.lit("// imports: "), F.substring(F.replace(F.array_join("imports", "; "), F.lit("\n"), F.lit(" ")), 1, declarations.HEADER_CHARS), F.lit("\n"))
+    header = F.concat(F.lit("// file: "), "path", F.lit(" ("), "language", F.lit(")\n"), F.when(F.col("declared") & (F.size("imports") > 0), imports).otherwise(""))
+    body = F.coalesce("span.outline", F.array_join(F.slice("lines", F.col("span.first") + 1, F.col("span.last") - F.col("span.first") + 1), "\n"))
+    found = rows.select(
+        "path",
+        F.concat(header, body).alias("content"),
+        (F.col("span.first") + 1).alias("start_line"),
+        (F.col("span.last") + 1).alias("end_line"),
+        "language",
+        F.col("span.kind").alias("kind"),
+        F.col("span.symbol").alias("symbol"),
+        F.col("span.parent").alias("parent_symbol"),
+        F.length(F.regexp_replace(body, "^\\s+|\\s+$", "")).alias("body_chars"),
+    )
+    return found.where(F.col("body_chars") >= LEAST_CHARS).drop("body_chars").withColumn("chunk_id", chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("content")))
+
+
+def code_stats(rows: DataFrame) -> DataFrame:
+    """files, declared, fallback, skeletons, coverage (share of declared) over code_spans() rows."""
+    n = F.count("*")
+    return rows.agg(
+        n.alias("files"),
+        F.count_if("declared").alias("declared"),
+        F.count_if(~F.col("declared")).alias("fallback"),
+        F.coalesce(F.sum(F.size(F.filter("spans", lambda s: s["outline"].isNotNull()))), F.lit(0)).cast("long").alias("skeletons"),
+        F.round(F.coalesce(F.count_if("declared") / F.nullif(n, F.lit(0)), F.lit(0.0)), 4).alias("coverage"),
+    )
+
+
 def chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP, compat: bool = False) -> DataFrame:
-    """Documentation by sections, all else by lines."""
+    """Documentation by sections, all else by declarations, or by lines where there are none; with compat all by lines."""
     doc = language(F.col("path")).isin("markdown", "rst")
-    return section_chunks(files.where(doc), max_lines, overlap, compat).unionByName(line_chunks(files.where(~doc), max_lines, overlap, compat))
+    if compat:
+        return section_chunks(files.where(doc), max_lines, overlap, True).unionByName(line_chunks(files.where(~doc), max_lines, overlap, True))
+    parts = section_chunks(files.where(doc), max_lines, overlap).withColumn("parent_symbol", F.lit(None).cast("string"))
+    return parts.unionByName(code_chunks(files.where(~doc), max_lines, overlap))
 
 
 def last_by_id(rows: DataFrame) -> DataFrame:

@@ -506,6 +506,41 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("chunks"), F.countDistinct("path").alias("files"), F.round(F.avg(F.col("end_line") - F.col("start_line") + 1), 1).alias("mean_lines"))
 
 
+#: What the fixture's files declare, read off by hand.
+CODE_SQL = """SELECT * FROM (VALUES
+('src/store.py', 1, 2, 'module', NULL, NULL, '// imports: import os; from sys import path'), ('src/store.py', 4, 6, 'function', 'small', NULL, '// imports: import os; from sys import path'),
+('src/store.py', 9, 31, 'class', 'Store', NULL, '// imports: import os; from sys import path'), ('src/store.py', 10, 20, 'function', 'get', 'Store', '// imports: import os; from sys import path'),
+('src/store.py', 21, 31, 'function', 'put', 'Store', '// imports: import os; from sys import path'), ('src/store.py', 33, 33, 'module', NULL, NULL, '// imports: import os; from sys import path'),
+('web/board.ts', 1, 2, 'module', NULL, NULL, '// imports: import { draw } from "./draw";'), ('web/board.ts', 3, 32, 'class', 'Board', NULL, '// imports: import { draw } from "./draw";'),
+('web/board.ts', 4, 6, 'method', 'constructor', 'Board', '// imports: import { draw } from "./draw";'), ('web/board.ts', 7, 19, 'method', 'render', 'Board', '// imports: import { draw } from "./draw";'),
+('web/board.ts', 20, 31, 'method', 'width', 'Board', '// imports: import { draw } from "./draw";'), ('web/board.ts', 34, 36, 'function', 'openBoard', NULL, '// imports: import { draw } from "./draw";'),
+('web/board.ts', 37, 37, 'interface', 'Shape', NULL, '// imports: import { draw } from "./draw";'),
+('cmd/server.go', 1, 3, 'module', NULL, NULL, '// imports: import "fmt"'), ('cmd/server.go', 5, 7, 'method', 'Start', NULL, '// imports: import "fmt"'), ('cmd/server.go', 9, 12, 'interface', 'Server', NULL, '// imports: import "fmt"'),
+('src/tree.rs', 3, 5, 'class', 'Tree', NULL, '// imports: use std::fmt;'), ('src/tree.rs', 7, 11, 'class', 'Tree', NULL, '// imports: use std::fmt;'), ('src/tree.rs', 13, 13, 'function', 'is_brace', NULL, '// imports: use std::fmt;'),
+('src/broken.py', 1, 2, 'block', NULL, NULL, 'def broken(:'), ('notes.txt', 1, 1, 'block', NULL, NULL, 'Only some words about nothing in particular.'), ('guide.md', 1, 2, 'documentation', 'Guide', NULL, '# Guide')
+) AS t(path, start_line, end_line, kind, symbol, parent_symbol, second)"""
+
+
+@query(CODE_SQL)
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by what they declare, containers of more than 20 lines by their members; the second line of a chunk names the file's imports."""
+    found = chunking.chunks(fixtures.SOURCES.frame(spark), LINES, OVERLAP)
+    return found.select("path", "start_line", "end_line", "kind", "symbol", "parent_symbol", F.get(F.split("content", "\n"), 1).alias("second"))
+
+
+@query("SELECT 7::BIGINT AS files, 4::BIGINT AS declared, 3::BIGINT AS fallback, 2::BIGINT AS skeletons, 0.5714::DOUBLE AS coverage")
+def code_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files_ = fixtures.SOURCES.frame(spark).where(~F.col("path").endswith(".md"))
+    return chunking.code_stats(chunking.code_spans(chunking.parsed(files_, LINES), LINES, OVERLAP))
+
+
+@query("SELECT 'Store' AS container, '# Outline of Store (2 members)' || chr(10) || 'class Store(Base):' || chr(10) || '    def get(self, key):' || chr(10) || '    def put(self, key):' || chr(10) AS outline")
+def code_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container's outline in place of its lines."""
+    rows = chunking.code_spans(chunking.parsed(fixtures.SOURCES.frame(spark).where("path = 'src/store.py'"), LINES), LINES, OVERLAP)
+    return rows.select(F.explode("spans").alias("s")).where("s.outline IS NOT NULL").select(F.col("s.symbol").alias("container"), "s.outline")
+
+
 #: Every third line as a heading, of a level that its place gives.
 MARKDOWN_SQL = """lined AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 1 THEN repeat('#', ((i - 1) % 4 + 1)::INTEGER) || ' ' || x ELSE x END) AS l FROM documents WHERE text <> ''),
 heads AS (SELECT doc_id, l, list_filter(range(len(l)), lambda i: regexp_matches(l[i + 1], '^#{1,4}\\s+.*$')) AS h FROM lined),
@@ -669,11 +704,11 @@ def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.keyword_coverage(F.col("text"), terms).alias("coverage"))
 
 
-FENCE_SQL = "regexp_extract(reply, '```(?:json)?\\s*(.*?)```', 1, 's')"
-BEST_JSON_SQL = "coalesce(" + ", ".join(f"CASE WHEN json_valid({c}) AND trim({c}) <> '' THEN {c} END" for c in ("reply", FENCE_SQL, "regexp_extract(reply, '([{].*[}])', 1, 's')", "regexp_extract(reply, '([[].*[]])', 1, 's')")) + ")"
+#: The replies' values, worked out by hand from the rule and not from any pattern.
+JSON_SQL = "SELECT * FROM (VALUES (1, '1', NULL), (2, '2', NULL), (3, '3', NULL), (4, '}{', NULL), (5, NULL, '2'), (6, NULL, NULL), (7, '1', NULL), (8, '{\"b\":\"\\\"}\"}', NULL), (9, NULL, '8'), (10, '4', NULL), (11, NULL, NULL), (12, '5', NULL)) AS t(key, a, second)"
 
 
-@query(f"WITH {fixtures.REPLIES.sql()}, v AS (SELECT key, {BEST_JSON_SQL} AS j FROM replies) SELECT key, json_extract_string(j, '$.a') AS a, json_extract_string(j, '$[1]') AS second FROM v")
+@query(JSON_SQL)
 def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first JSON in a model's reply."""
     value = text.json_value(F.col("reply"))
@@ -910,18 +945,24 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.token_bucket(asked, 0.0005, 4).select("event_id", "taken", F.round("left", 4).alias("left_over"))
 
 
-DAILY_SQL = QUOTA_SQL.replace(
-    "SELECT event_id, allowed, remaining, retry_after FROM walk WHERE n > 0",
-    """, d AS (SELECT e.event_id, w.allowed, sum(w.allowed::INTEGER) OVER (PARTITION BY ts::DATE ORDER BY ts, e.event_id) AS k FROM walk w JOIN events e ON e.event_id = w.event_id WHERE n > 0)
-SELECT event_id, allowed AND k <= 200 AS allowed, CASE WHEN NOT allowed THEN 'visitor' WHEN k > 200 THEN 'global' ELSE '' END AS scope FROM d""",
-)
+#: One walk over all requests in order of time, with what was served before and the day's count as state.
+DAILY_SQL = """WITH RECURSIVE asked AS (SELECT event_id, user_id AS u, epoch_us(ts) / 1000000 AS s, ts::DATE AS d, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+everything AS MATERIALIZED (SELECT list({'event_id': event_id, 'u': u::BIGINT, 's': s::DOUBLE, 'd': d} ORDER BY n) AS l FROM asked),
+walk AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::DATE AS d, 0 AS used, []::STRUCT(u BIGINT, s DOUBLE)[] AS served, '' AS scope, 0 AS retry_after UNION ALL
+  SELECT n, event_id, d, used + (scope = '')::INTEGER, CASE WHEN scope = '' THEN list_append(kept, {'u': u, 's': s}) ELSE kept END, scope,
+    CASE scope WHEN 'visitor' THEN greatest(1, trunc(86400 - (s - own[1].s)))::INTEGER WHEN 'global' THEN greatest(1, 86399 - floor(s % 86400))::INTEGER ELSE 0 END
+  FROM (SELECT *, CASE WHEN len(own) >= 5 THEN 'visitor' WHEN used >= 200 THEN 'global' ELSE '' END AS scope
+    FROM (SELECT *, list_filter(kept, lambda x: x.u = u) AS own
+      FROM (SELECT w.n + 1 AS n, a.event_id, a.d, a.u, a.s, CASE WHEN a.d = w.d THEN w.used ELSE 0 END AS used, list_filter(w.served, lambda x: x.s >= a.s - 86400) AS kept
+        FROM (SELECT w.*, l[w.n + 1] AS a FROM walk w, everything WHERE w.n < len(l)) w))))
+SELECT event_id, scope = '' AS allowed, scope, retry_after FROM walk WHERE n > 0"""
 
 
 @query(DAILY_SQL)
 def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users' quota with 200 admissions a day for all of them."""
-    decided = quota.visitor_quota(quota.requests(read(spark, sf_dir, "events")), 5, 86_400)
-    return quota.daily_quota(decided).select("event_id", "allowed", "scope")
+    """Five admissions of a user in any 24 hours and 200 a day for all."""
+    return quota.budget(quota.requests(read(spark, sf_dir, "events")), 5, 86_400, 200).select("event_id", "allowed", "scope", "retry_after")
 
 
 # Texts, plans, routes, reports

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,15 +33,26 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
     return session
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the checkpoint folder; a local session may go without and has a temporary folder, any other may not, as its executors would not see one another's files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/pergola-shared"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """The rows as a table in spark.checkpoint.dir, so that lineage ends and no executor's loss brings it back; in a temporary folder where that is unset, as in tests."""
+    """The rows as a table in the shared folder, so that lineage ends and no executor's loss brings it back; it goes when the session's JVM ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = own.get() if own.isDefined() else f"file://{tempfile.gettempdir()}/pergola-shared"
-    where = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(where)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(where)
 
 

@@ -6,10 +6,12 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pergola.session import materialise
+
 VISITOR_LIMIT = 5
 WINDOW_SECONDS = 3600
 DAILY_LIMIT = 200
@@ -56,17 +58,82 @@ def visitor_quota(asked: DataFrame, limit: int = VISITOR_LIMIT, window: int = WI
     return asked.repartition("visitor").sortWithinPartitions("visitor", "second", "event_id").mapInArrow(run, DECISION)
 
 
-def daily_quota(decisions: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame:
-    """Decisions with scope: 'visitor' for those refused before, 'global' for what passes the day's limit in order of time, else ''.
+DAY = 86_400
+BUDGET = "event_id long, visitor long, second double, day long, allowed boolean, scope string, remaining int, remaining_today int, retry_after int"
+
+
+def seconds_left(second: Column) -> Column:
+    """Seconds to the last one of a UTC day, 1 at least."""
+    return F.greatest(F.lit(1), F.lit(DAY - 1) - F.floor(F.pmod(second, F.lit(float(DAY)))).cast("int"))
+
+
+def _day_by_day(rows: DataFrame, limit: int, window: int, daily: int) -> DataFrame:
+    """Decisions for event_id, visitor, second, day, carried rows: each day is sorted by time and read through once, in batches.
 
-    A request over the day's limit is taken not to count in its visitor's window, which differs only for a visitor refused twice over.
+    Carried rows are admissions of earlier days; they fill their visitors' windows and are not decided again. What is held is the admissions
+    that may still count: no more than a day's limit for each day that a window reaches over.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        today, served, used = None, {}, 0
+        for batch in batches:
+            out = []
+            for e, v, now, day, carried in zip(*(batch.column(c).to_pylist() for c in ("event_id", "visitor", "second", "day", "carried"))):
+                if day != today:
+                    today, served, used = day, {}, 0
+                history = served.setdefault(v, deque())
+                if carried:
+                    history.append(now)
+                    continue
+                while history and history[0] < now - window:
+                    history.popleft()
+                if len(history) >= limit:
+                    out.append((e, v, now, day, False, "visitor", 0, max(0, daily - used), max(1, int(window - (now - history[0])))))
+                elif used >= daily:
+                    out.append((e, v, now, day, False, "global", limit - len(history), 0, max(1, DAY - 1 - int(now % DAY))))
+                else:
+                    history.append(now)
+                    used += 1
+                    out.append((e, v, now, day, True, "", limit - len(history), daily - used, 0))
+                if not history:
+                    del served[v]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["event_id", "visitor", "second", "day", "allowed", "scope", "remaining", "remaining_today", "retry_after"])
+
+    return rows.repartition("day").sortWithinPartitions("day", "second", "event_id").mapInArrow(run, BUDGET)
+
+
+def _carried(decided: DataFrame, window: int) -> DataFrame:
+    """The admissions that still count at the start of a later day, once for each such day."""
+    reach = -(-window // DAY)
+    later = decided.where("allowed").select("visitor", "second", F.col("day").alias("of"), F.explode(F.sequence(F.col("day") + 1, F.col("day") + reach)).alias("day"))
+    return later.where(F.col("second") >= F.col("day") * DAY - window).select(F.lit(None).cast("long").alias("event_id"), "visitor", "second", "day", F.lit(True).alias("carried"))
+
+
+def budget(asked: DataFrame, limit: int = VISITOR_LIMIT, window: int = WINDOW_SECONDS, daily: int = DAILY_LIMIT) -> DataFrame:
+    """A decision for each request, in order of time, then of event_id: a visitor's window first (scope 'visitor'), then the UTC day's limit for all ('global').
+
+    Only requests that are served count, in the window and in the day. A day is decided from its own requests and from what earlier days
+    admitted within a window of it, so all days are decided at once, and again those for which that has changed, until none has:
+    the first day is right after the first round, each later one a round after those before it at the latest. retry_after: seconds until the
+    oldest admission leaves the window, or until the day ends. The one sequence of a day is one task's by nature, whatever its visitors.
     """
-    day = F.date_format(F.timestamp_seconds("second"), "yyyy-MM-dd")
-    rows = decisions.withColumn("day", day)
-    n = F.sum(F.col("allowed").cast("int")).over(Window.partitionBy("day").orderBy("second", "event_id"))
-    rows = rows.withColumn("n", n)
-    over = F.col("allowed") & (F.col("n") > limit)
-    return rows.withColumn("scope", F.when(~F.col("allowed"), "visitor").when(over, "global").otherwise("")).withColumn("allowed", F.col("allowed") & ~over).drop("n")
+    rows = asked.select("event_id", "visitor", "second", F.floor(F.col("second") / DAY).cast("long").alias("day"), F.lit(False).alias("carried"))
+    rows = materialise(rows)
+    decided, before = materialise(_day_by_day(rows, limit, window, daily)), None
+    while True:
+        carried = materialise(_carried(decided, window))
+        marks = carried.groupBy("day").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("visitor", "second")).alias("x"))
+        marks = {r.day: (r.n, r.x) for r in marks.collect()}
+        known = before or {}
+        changed = [d for d in {*marks, *known} if marks.get(d) != known.get(d)]
+        if not changed:
+            return decided
+        before = marks
+        days = asked.sparkSession.createDataFrame([(d,) for d in changed], "day long")
+        again = _day_by_day(rows.join(F.broadcast(days), "day", "left_semi").unionByName(carried.join(F.broadcast(days), "day", "left_semi")), limit, window, daily)
+        decided = materialise(decided.join(F.broadcast(days), "day", "left_anti").select(*again.columns).unionByName(again))
 
 
 def token_bucket(calls: DataFrame, per_minute: int, burst: int | None = None) -> DataFrame:
