@@ -214,37 +214,33 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(saved(df))
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = 27) -> bytes:
-    """A one-hash Bloom filter of a column of 64-bit keys: 2**bits bits whatever the number of keys.
+#: Bits of the smallest and the largest filter, and bits for each key in between.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 20, 30, 16
+#: Bits of a part of a filter, which one task makes.
+PART_BITS = 20
 
-    It only ever passes too much, so what it passes is joined exactly afterwards.
+
+def key_filter(keys: DataFrame, column: str) -> bytes:
+    """A one-hash Bloom filter of a column of 64-bit keys of a written table: BITS_A_KEY bits a key, up to 2**MOST_BITS in all (128 MB).
+
+    It only ever passes too much, so what it passes is joined exactly afterwards. Keys travel as distinct bits to the part that holds them, so a
+    task holds one part, whatever the number of tasks and keys.
     """
-    words, parts = 1 << (bits - 3), 64
-    size = words // parts
+    bits = min(MOST_BITS, max(LEAST_BITS, (keys.count() * BITS_A_KEY).bit_length()))
 
-    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(words, np.uint8)
-        seen = False
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - bits)
-            np.bitwise_or.at(own, slot >> np.uint64(3), np.left_shift(np.uint8(1), (slot & np.uint64(7)).astype(np.uint8)))
-            seen = True
-        if seen:
-            for p in range(parts):
-                cut = own[p * size : (p + 1) * size]
-                if cut.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([cut.tobytes()], pa.binary())], names=["part", "cut"])
-
-    def join(tables: pa.Table) -> pa.Table:
-        out = np.zeros(size, np.uint8)
-        for cut in tables.column("cut").to_pylist():
-            out |= np.frombuffer(cut, np.uint8)
-        return pa.table({"part": tables.column("part")[:1].cast(pa.int32()), "cut": pa.array([out.tobytes()], pa.binary())})
-
-    schema = "part int, cut binary"
-    found = keys.select(column).mapInArrow(fold, schema).groupBy("part").applyInArrow(join, schema).collect()
-    whole = bytearray(words)
-    for row in found:
+            slots = np.unique(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slots >> PART_BITS, pa.int32()), pa.array(slots & ((1 << PART_BITS) - 1), pa.int32())], names=["part", "slot"])
+
+    def fold(rows: pa.Table) -> pa.Table:
+        own = np.zeros(1 << PART_BITS, np.uint8)
+        own[rows.column("slot").to_numpy()] = 1
+        return pa.table({"part": rows.column("part")[:1].cast(pa.int32()), "cut": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    slots = keys.select(column).mapInArrow(place, "part int, slot int").distinct()
+    whole, size = bytearray(1 << (bits - 3)), 1 << (PART_BITS - 3)
+    for row in slots.groupBy("part").applyInArrow(fold, "part int, cut binary").collect():
         whole[row.part * size : (row.part + 1) * size] = row.cut
     return bytes(whole)
 

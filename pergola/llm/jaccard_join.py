@@ -20,14 +20,12 @@ WIDTH = 4
 LEAST = 85
 #: Shingles whose hash is less are those whose frequency is counted: three eighths, over twice what a prefix needs, so that one mostly finds rare ones.
 COUNTED = np.uint64(3 << 61)
-#: Frequency levels: the number of rows from which a shared shingle is in the level, and the bits of the level's fixed-size filter.
-LEVELS = ((2, 27), (4, 25), (8, 24), (16, 23), (64, 22))
+#: Frequency levels: the number of rows from which a shared shingle is in the level. Each has a filter as large as its number of shingles asks for.
+LEVELS = (2, 4, 8, 16, 64)
 #: Shingles of one block of a neighbourhood; a larger neighbourhood is searched by pairs of blocks.
 BLOCK_SHINGLES = 600_000
 #: What a set weighs besides its shingles.
 DOC_WEIGHT = 200
-#: Postings up to which short lists are merged by a heap one by one; longer merges sort the same lists at once.
-HEAP_POSTINGS = 4096
 #: The weight of list length in DivideSkip's choice of the number of long lists.
 MU = 0.0085
 
@@ -89,7 +87,7 @@ def _filters(rows: DataFrame) -> list[bytes]:
     postings = rows.select(_k1().alias("node"), F.explode(low).alias("shingle"))
     counted = postings.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
     shared = written(counted.where("a <> b").select("shingle", "n"))
-    return [key_filter(shared.where(F.col("n") >= least), "shingle", bits) for least, bits in LEVELS]
+    return [key_filter(shared.where(F.col("n") >= least), "shingle") for least in LEVELS]
 
 
 def _neighbourhoods(rows: DataFrame, least: int) -> DataFrame:
@@ -169,16 +167,16 @@ class Index:
         return sets[100 * counts >= self.least * (size + self.sizes[sets] - counts)]
 
     def _merged(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.members(int(r)) for r in lists]
-        if sum(map(len, parts)) > HEAP_POSTINGS:
-            return np.unique(np.concatenate(parts), return_counts=True)
-        sets, counts = [], []
-        for s in heapq.merge(*(p.tolist() for p in parts)):
-            if sets and sets[-1] == s:
+        """The sets of some lists and how many of the lists each is in: the lists' heads wait in a heap, the least is taken, its list moves on."""
+        heads = [iter(self.members(int(r)).tolist()) for r in lists]
+        sets, counts, last = [], [], -1
+        for s in heapq.merge(*heads):
+            if s == last:
                 counts[-1] += 1
             else:
                 sets.append(s)
                 counts.append(1)
+                last = s
         return np.array(sets, np.int64), np.array(counts, np.int64)
 
 

@@ -6,6 +6,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -150,12 +151,15 @@ class Trainer:
         self._update("R", gr)
 
 
-def contexts(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the one before it and the one before that; `start` stands before the first."""
+def contexts(ids: np.ndarray, start: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the one before it and the one before that; `start` stands before the first of each text. starts: where texts begin."""
+    starts = np.zeros(1, np.int64) if starts is None else starts
     v = np.empty_like(ids)
     u = np.empty_like(ids)
-    v[0], u[:2] = start, start
     v[1:], u[2:] = ids[:-1], ids[:-2]
+    v[starts] = u[starts] = start
+    second = starts + 1
+    u[second[second < len(ids)]] = start
     return v, u
 
 
@@ -253,8 +257,11 @@ def _shards(docs: DataFrame, lexicon_sent) -> DataFrame:
         own = lexicon_sent.value
 
         def step(part: pa.RecordBatch) -> list:
-            words = [tokens(t) for t in raw(part.column("text"))]
-            return [part.column("h"), [own.outcomes(w, own.find(w)).astype("<u2").tobytes() for w in words]]
+            each = [tokens(t) for t in raw(part.column("text"))]
+            words = list(chain.from_iterable(each))
+            ids = own.outcomes(words, own.find(words)).astype("<u2").tobytes()
+            ends = (2 * np.cumsum([len(w) for w in each])).tolist()
+            return [part.column("h"), [ids[a:b] for a, b in zip([0, *ends], ends)]]
 
         return step
 
@@ -358,25 +365,28 @@ def score(df: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), text:
         none = len(lexicon.places)
 
         def step(part: pa.RecordBatch) -> list:
-            out = [[] for _ in fields]
-            for text in raw(part.column("text")):
-                words = tokens(text)
-                at = lexicon.find(words)
-                ids = lexicon.outcomes(words, at)
-                v, u = contexts(ids, lexicon.start)
-                logs = tables.log10(ids, v, u)
-                strange = np.flatnonzero(at == none)
-                seen = logs[strange] - shares[ids[strange]]
-                unseen = tables.log10(np.full(len(strange), lexicon.unknown), v[strange], u[strange])
-                cold: dict[bytes, list] = {}
-                for i, a, b in zip(strange.tolist(), seen.tolist(), unseen.tolist()):
-                    found = cold.setdefault(words[i], [0, 0.0, 0.0])
-                    found[0], found[1], found[2] = found[0] + 1, found[1] + a, found[2] + b
-                logs[strange] = 0
-                values = (len(words), len(words) - len(strange), base[at].sum(), logs.sum() + rest[at].sum(), [{"word": w, "times": n, "seen": a, "unseen": b} for w, (n, a, b) in cold.items()])
-                for column, value in zip(out, values):
-                    column.append(value)
-            return [part.column("doc_id"), *(part.column(k) for k in keep), *out]
+            """All texts of a slice at once."""
+            each = [tokens(t) for t in raw(part.column("text"))]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            starts = np.cumsum(sizes) - sizes
+            words = list(chain.from_iterable(each))
+            at = lexicon.find(words)
+            ids = lexicon.outcomes(words, at)
+            v, u = contexts(ids, lexicon.start, starts)
+            logs = tables.log10(ids, v, u)
+            strange = np.flatnonzero(at == none)
+            seen = (logs[strange] - shares[ids[strange]]).tolist()
+            unseen = tables.log10(np.full(len(strange), lexicon.unknown), v[strange], u[strange]).tolist()
+            owners = np.searchsorted(starts, strange, side="right") - 1
+            cold: list[dict[bytes, list]] = [{} for _ in each]
+            for i, k, a, b in zip(strange.tolist(), owners.tolist(), seen, unseen):
+                found = cold[k].setdefault(words[i], [0, 0.0, 0.0])
+                found[0], found[1], found[2] = found[0] + 1, found[1] + a, found[2] + b
+            logs[strange] = 0
+            total = lambda values: np.add.reduceat(values, starts)
+            known = sizes - np.bincount(owners, minlength=len(each))
+            told = [[{"word": w, "times": n, "seen": a, "unseen": b} for w, (n, a, b) in c.items()] for c in cold]
+            return [part.column("doc_id"), *(part.column(k) for k in keep), sizes.tolist(), known.tolist(), total(base[at]).tolist(), total(logs + rest[at]).tolist(), told]
 
         return step
 

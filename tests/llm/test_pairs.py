@@ -209,7 +209,7 @@ def test_equal_windows_have_equal_anchors():
 
 def test_key_filter_passes_all_its_keys(spark):
     keys = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 5000)
-    held = np.frombuffer(key_filter(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k", 20), np.uint8)
+    held = np.frombuffer(key_filter(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k"), np.uint8)
     assert passes(held, keys.view(np.uint64)).all()
     other = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 5000)
     assert passes(held, other.view(np.uint64)).mean() < 0.02
