@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,17 +169,39 @@ def blocked(findings: DataFrame, fail_on: str = "high") -> DataFrame:
     return findings.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES), F.coalesce(F.max(rank <= SEVERITIES.index(fail_on)), F.lit(False)).alias("blocked"))
 
 
-def summary_markdown(findings: DataFrame) -> DataFrame:
-    """One row, markdown: the findings of a report as a list, worst first."""
+def summary_markdown(findings: DataFrame, verdict: str = "") -> DataFrame:
+    """One row, markdown: the verdict, how many findings there are of each severity, and the findings as a list, worst first."""
     line = F.concat(F.lit("- **"), F.upper("severity"), F.lit("** `"), F.col("path"), F.when(F.col("line").isNotNull(), F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(F.lit("")), F.lit("` "), F.col("title"))
-    rows = findings.agg(F.sort_array(F.collect_list(F.struct(severity_rank(F.col("severity")).alias("r"), F.col("path").alias("p"), F.coalesce("line", F.lit(0)).alias("l"), line.alias("text")))).alias("all"))
-    body = F.array_join(F.transform("all", lambda x: x["text"]), "\n")
-    return rows.select(F.when(F.size("all") == 0, F.lit("No issues found.")).otherwise(body).alias("markdown"))
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
+    rows = findings.agg(F.sort_array(F.collect_list(F.struct(severity_rank(F.col("severity")).alias("r"), F.col("path").alias("p"), F.coalesce("line", F.lit(0)).alias("l"), line.alias("text")))).alias("all"), *counts)
+    header = F.array_join(F.filter(F.array(*(F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s in SEVERITIES)), lambda x: x.isNotNull()), ", ")
+    body = F.concat(header, F.lit("\n\n"), F.array_join(F.transform("all", lambda x: x["text"]), "\n"))
+    opening = F.lit(f"{verdict}\n\n" if verdict else "")
+    return rows.select(F.concat(opening, F.when(F.size("all") == 0, F.lit("No issues found.")).otherwise(body)).alias("markdown"))
+
+
+def finding_markdown(findings: DataFrame) -> DataFrame:
+    """finding_id, markdown: a finding by itself, with severity, category and confidence under its title."""
+    place = F.concat(F.lit("`"), "path", F.when(F.col("line").isNotNull(), F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""), F.lit("`"))
+    head = F.concat(F.lit("### "), "title", F.lit("\n"), place, F.lit(" | "), F.upper("severity"), F.lit(" | "), "category", F.lit(" | "), F.format_string("%.2f", "confidence"))
+    return findings.select("finding_id", F.concat(head, F.when(F.col("body") != "", F.concat(F.lit("\n\n"), "body")).otherwise("")).alias("markdown"))
+
+
+def posted(payload: dict, post: Callable[[dict], int]) -> int:
+    """Sends a review; if its comments are refused as unprocessable, once more as one summary without them. Any other refusal is an error."""
+    status = post(payload)
+    if status == 422 and payload.get("comments"):
+        lines = [f"- `{c['path']}:{c['line']}` {c['body']}" for c in payload["comments"]]
+        status = post(payload | {"comments": [], "body": "\n".join([payload.get("body", ""), *lines]).strip()})
+    if not 200 <= status < 300:
+        raise ValueError(f"the review was refused with status {status}")
+    return status
 
 
 def upserts(wanted: DataFrame, comments: DataFrame, marker: str) -> DataFrame:
-    """review, body, comment_id, action: each review's summary updates its first comment that carries the marker, or creates one."""
-    own = comments.where(F.contains("body", F.lit(marker))).groupBy("review").agg(F.min("comment_id").alias("comment_id"))
+    """review, body, comment_id, action: each review's summary updates the first of its first 100 comments that carries the marker, or creates one."""
+    place = F.row_number().over(Window.partitionBy("review").orderBy("comment_id"))
+    own = comments.withColumn("place", place).where(F.col("place") <= 100).where(F.contains("body", F.lit(marker))).groupBy("review").agg(F.min("comment_id").alias("comment_id"))
     rows = wanted.join(own, "review", "left")
     return rows.select("review", F.concat(F.lit(marker + "\n"), F.col("body")).alias("body"), "comment_id", F.when(F.col("comment_id").isNull(), "create").otherwise("update").alias("action"))
 

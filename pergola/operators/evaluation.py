@@ -107,3 +107,38 @@ def gates(summary: DataFrame, min_recall: float, min_pass_rate: float) -> DataFr
 def bar(value: Column, width: int = 18) -> Column:
     """A share as a bar of '#'."""
     return F.repeat(F.lit("#"), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)) * width, 0).cast("int"))
+
+
+def share(value: Column) -> Column:
+    return F.coalesce(F.concat(F.format_number(value * 100, 1), F.lit("%")), F.lit("n/a"))
+
+
+#: Headline rows of a report: what a run_summary() column is called, and how it is written.
+HEADLINE = (
+    ("Answer pass rate", "pass_rate", share),
+    ("Mean confidence", "mean_confidence", lambda c: F.format_string("%.2f", c)),
+    ("Mean citations per answer", "mean_citations", lambda c: F.format_string("%.1f", c)),
+    ("Cases with hallucinations", "hallucination_cases", lambda c: c.cast("string")),
+    ("Mean latency", "mean_latency_s", lambda c: F.format_string("%.1fs", c)),
+    ("Mean cost per answer", "mean_cost_usd", lambda c: F.format_string("$%.5f", c)),
+    ("Mean tokens per answer", "mean_tokens", lambda c: F.format_number(c, 0)),
+)
+
+
+def report(summary: DataFrame, variants: DataFrame, cases: DataFrame, title: str = "Evaluation report") -> DataFrame:
+    """One row, markdown: the run's headline figures, a row and a bar for each variant (position, variant, hit_rate, recall, precision, mrr, ndcg), a row for each
+    case (case_id, category, error, passed, overall, confidence, recall, citations), and the cases that failed."""
+    table = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    listed = lambda rows, order, text: rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, text.alias("text")))), lambda x: x["text"]), "\n").alias("t"))
+    number = lambda c: F.format_string("%.3f", F.col(c))
+    head = summary.select(F.concat_ws("\n", *(table(F.lit(name), form(F.col(column))) for name, column, form in HEADLINE)).alias("head"))
+    ways = listed(variants, ["position"], table(F.concat(F.lit("**"), "variant", F.lit("**")), share(F.col("hit_rate")), share(F.col("recall")), share(F.col("precision")), number("mrr"), number("ndcg")))
+    bars = listed(variants, ["position"], F.concat(F.rpad("variant", 18, " "), F.lit(" "), F.rpad(bar(F.col("recall")), 18, "."), F.lit(" "), number("recall")))
+    failed = F.col("error").isNotNull()
+    verdict = F.when(failed, "ERROR").otherwise(F.concat(F.coalesce(F.col("overall").cast("string"), F.lit("-")), F.when(F.col("passed"), " (pass)").otherwise(" (fail)")))
+    each = listed(cases, ["case_id"], table(F.concat(F.lit("`"), "case_id", F.lit("`")), "category", verdict, F.when(failed, "-").otherwise(F.format_string("%.2f", "confidence")), F.when(failed, "-").otherwise(share(F.col("recall"))), F.when(failed, "-").otherwise(F.col("citations").cast("string"))))
+    weak = listed(cases.where(failed | ~F.coalesce("passed", F.lit(True))), ["case_id"], F.concat(F.lit("- `"), "case_id", F.lit("` "), F.coalesce("error", F.lit("did not pass"))))
+    one = head.crossJoin(ways.withColumnRenamed("t", "ways")).crossJoin(bars.withColumnRenamed("t", "bars")).crossJoin(each.withColumnRenamed("t", "each")).crossJoin(weak.withColumnRenamed("t", "weak"))
+    parts = [F.lit(f"# {title}\n\n## Headline\n\n| Metric | Value |\n|-|-|"), "head", F.lit("\n## Variants\n\n| Variant | hit rate | recall | precision | MRR | nDCG |\n|-|-|-|-|-|-|"), "ways", F.lit("\n```"), "bars", F.lit("```\n\n## Cases\n\n| Case | Category | Judge | Confidence | Recall | Citations |\n|-|-|-|-|-|-|"), "each"]
+    tail = F.when(F.col("weak") != "", F.concat(F.lit("\n\n## Failures and weak answers\n\n"), "weak")).otherwise("")
+    return one.select(F.concat(F.concat_ws("\n", *parts), tail, F.lit("\n")).alias("markdown"))

@@ -15,6 +15,9 @@ from pergola.session import materialise
 PLAN = "intent string, restated_question string, search_queries array<string>, keyword_hints array<string>, path_hints array<string>, needs_retrieval boolean"
 CRITIQUE = "grounded boolean, complete boolean, confidence double, follow_up_queries array<string>, verdict string"
 MAX_REFINEMENTS = 2
+MAP_CHARS = 14_000
+#: The answer where nothing was found to answer from.
+NOTHING = "I could not find anything in the index that answers this."
 FOLLOW_UPS = 5
 
 Retrieve = Callable[[DataFrame], DataFrame]
@@ -122,22 +125,27 @@ def finalised(drafts: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFra
     return rows.select("qid", "draft", sure.alias("confidence"), "citations", bad.alias("invalid"), "refinements")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, retrieve: Retrieve, provider: Provider, max_refinements: int = MAX_REFINEMENTS) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, retrieve: Retrieve, provider: Provider, max_refinements: int = MAX_REFINEMENTS, overview: str = "") -> DataFrame:
     """qid, draft, confidence, citations, invalid, refinements for each question (qid string, question).
 
     A round is a handful of plans over all questions still open and is written down before the next, so the loop is as long as
     max_refinements + 1 and no longer, and its lineage does not grow. chunks: doc, path, start_line, end_line, language, content.
+    A question whose plan needs no retrieval is answered from the repository's map, cut at MAP_CHARS. Where there is neither context nor map no model
+    is asked: the answer is NOTHING, with no confidence.
     """
     plan = materialise(planned(questions, provider))
     asked = plan.where(first_route(F.col("needs_retrieval")) == "retrieve").select("qid", "queries")
     found = materialise(retrieve(asked).select("qid", "doc", "path", F.col("score").alias("final_score"), "rank"))
-    open_ = plan.select("qid", "question")
+    by_map = (first_route(F.col("needs_retrieval")) != "retrieve") & F.lit(bool(overview))
+    open_ = plan.select("qid", "question", F.when(by_map, F.lit(overview[:MAP_CHARS])).alias("map"))
     done = None
     for n in range(max_refinements + 1):
-        prompt = F.concat_ws("\n\n", "question", "context")
-        prompts = open_.join(context(found, chunks), "qid", "left").select(F.col("qid").alias("key"), F.lit("answer").alias("role"), prompt.alias("prompt"))
-        drafts = provider.complete(prompts).select(F.col("key").alias("qid"), F.coalesce("reply", F.lit("")).alias("draft"))
-        judged = materialise(criticised(drafts, provider, n, max_refinements).withColumn("refinements", F.lit(n)))
+        prompt = F.concat_ws("\n\n", "question", "map", "context")
+        prompts = materialise(open_.join(context(found, chunks), "qid", "left"))
+        bare = prompts.where("map IS NULL AND context IS NULL").select("qid", F.lit(NOTHING).alias("draft"), F.lit(False).alias("grounded"), F.lit(False).alias("complete"), F.lit(0.0).alias("critic"), F.array().cast("array<string>").alias("follow_ups"), F.lit("accept").alias("verdict"))
+        full = prompts.where("map IS NOT NULL OR context IS NOT NULL").select(F.col("qid").alias("key"), F.lit("answer").alias("role"), prompt.alias("prompt"))
+        drafts = provider.complete(full).select(F.col("key").alias("qid"), F.coalesce("reply", F.lit("")).alias("draft"))
+        judged = materialise(criticised(drafts, provider, n, max_refinements).unionByName(bare).withColumn("refinements", F.lit(n)))
         again = judged.where(routed(F.col("verdict"), F.col("follow_ups")) == "retrieve")
         ended = judged.join(again.select("qid"), "qid", "left_anti")
         done = ended if done is None else done.unionByName(ended)

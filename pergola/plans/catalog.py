@@ -250,11 +250,12 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", F.col("doc").alias("doc_id"), "path", "score", "rank")
 
 
-RERANK_SQL = """windows AS (SELECT *, place // 20 AS win, count(*) OVER (PARTITION BY qid) > 12 AS many FROM short),
-scored AS (SELECT *, CASE WHEN many AND NOT (win = 1 AND qid % 100 = 50) AND doc % 7 <> 0 THEN round(doc % 11 / 1.1, 6) END AS given FROM windows),
-filled AS (SELECT *, CASE WHEN max(given IS NOT NULL) OVER (PARTITION BY qid) THEN
-  CASE WHEN max(given IS NOT NULL) OVER (PARTITION BY qid, win) THEN coalesce(given, 0.0) ELSE least(5.0, score * 100) END END AS rr FROM scored)
-SELECT qid, doc AS doc_id, round(rr, 6)::DOUBLE AS rerank_score, (row_number() OVER (PARTITION BY qid ORDER BY round(rr, 6) DESC NULLS LAST, place) - 1)::INTEGER AS rank FROM filled QUALIFY rank < 12"""
+def rerank_sql(source: str = "short", name: str = "reranked") -> str:
+    return f"""{name}_w AS (SELECT *, place // 20 AS win, count(*) OVER (PARTITION BY qid) > 12 AS many FROM {source}),
+{name}_s AS (SELECT *, CASE WHEN many AND NOT (win = 1 AND qid % 100 = 50) AND doc % 7 <> 0 THEN round(doc % 11 / 1.1, 6) END AS given FROM {name}_w),
+{name}_f AS (SELECT *, CASE WHEN max(given IS NOT NULL) OVER (PARTITION BY qid) THEN
+  CASE WHEN max(given IS NOT NULL) OVER (PARTITION BY qid, win) THEN coalesce(given, 0.0) ELSE least(5.0, score * 100) END END AS rr FROM {name}_s),
+{name} AS (SELECT qid, doc, path, round(rr, 6)::DOUBLE AS rerank_score, coalesce(round(rr, 6)::DOUBLE, score) AS score, (row_number() OVER (PARTITION BY qid ORDER BY round(rr, 6) DESC NULLS LAST, {name}_f.place) - 1)::INTEGER AS rank FROM {name}_f QUALIFY rank < 12)"""
 
 
 def _stand_in(rows: DataFrame) -> DataFrame:
@@ -263,7 +264,7 @@ def _stand_in(rows: DataFrame) -> DataFrame:
     return answered.select("qid", "doc", F.round(F.col("doc") % 11 / 1.1, 6).alias("rerank_score"))
 
 
-@query(f"WITH {RANKINGS_SQL}, {fused_sql()}, {short_sql()}, {RERANK_SQL}")
+@query(f"WITH {RANKINGS_SQL}, {fused_sql()}, {short_sql()}, {rerank_sql()} SELECT qid, doc AS doc_id, rerank_score, rank FROM reranked")
 def rerank_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = retrieval.shortlist(retrieval.ranked_lists(*_lists(spark, sf_dir)), _chunks(spark, sf_dir))
     return retrieval.rerank(short, _stand_in).select("qid", F.col("doc").alias("doc_id"), "rerank_score", "rank")
@@ -325,13 +326,18 @@ def ir_metrics_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.averages(evaluation.retrieval_metrics(*_cases(spark, sf_dir), k=8))
 
 
-VARIANTS = (("dense only", True, False, False), ("lexical only", False, True, False), ("hybrid", True, True, False), ("full pipeline", True, True, True))
+#: Name; whether it ranks densely, lexically; whether it reranks; whether it adds neighbours.
+VARIANTS = (("dense only", True, False, False, False), ("lexical only", False, True, False, False), ("hybrid", True, True, False, False), ("hybrid + rerank", True, True, True, False), ("full pipeline", True, True, True, True))
 
 
 def _ablation_sql() -> str:
     ctes, parts = [RANKINGS_SQL], []
-    for i, (_, dense, lex, expand) in enumerate(VARIANTS):
-        ctes += [fused_sql(dense, lex, f"f{i}"), short_sql(False, f"f{i}", f"s{i}"), f"c{i} AS (SELECT * FROM s{i} WHERE place < 12)"]
+    for i, (_, dense, lex, again, expand) in enumerate(VARIANTS):
+        ctes += [fused_sql(dense, lex, f"f{i}"), short_sql(False, f"f{i}", f"s{i}")]
+        if again:
+            ctes += [rerank_sql(f"s{i}", f"r{i}"), f"c{i} AS (SELECT qid, doc, path, score, rank AS place FROM r{i})"]
+        else:
+            ctes.append(f"c{i} AS (SELECT * FROM s{i} WHERE place < 12)")
         if expand:
             ctes.append(neighbours_sql(f"c{i}"))
         rows = "expanded" if expand else f"(SELECT *, NULL::INTEGER AS parent FROM c{i})"
@@ -344,14 +350,14 @@ def _ablation_sql() -> str:
 
 @query(_ablation_sql())
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of four ways to retrieve over the same cases; the rankings are shared. A query should find its own document's file."""
+    """Metrics of five ways to retrieve over the same cases; the rankings are shared. A query should find its own document's file."""
     dense, lex = _lists(spark, sf_dir)
     chunks = _chunks(spark, sf_dir)
     asked = read(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("source").alias("path"))
     got = wanted = None
-    for i, (_, use_dense, use_lex, expand) in enumerate(VARIANTS):
+    for i, (_, use_dense, use_lex, again, expand) in enumerate(VARIANTS):
         ranked = retrieval.ranked_lists(dense if use_dense else None, lex if use_lex else None)
-        rows = retrieval.retrieve(ranked, chunks, expand=expand).select((F.lit(i).cast("long") * 1_000_000_000 + F.col("qid")).alias("case_id"), "rank", "path")
+        rows = retrieval.retrieve(ranked, chunks, expand=expand, scorer=_stand_in if again else None).select((F.lit(i).cast("long") * 1_000_000_000 + F.col("qid")).alias("case_id"), "rank", "path")
         cases = asked.select((F.lit(i).cast("long") * 1_000_000_000 + F.col("qid")).alias("case_id"), "path")
         got, wanted = (rows, cases) if got is None else (got.unionByName(rows), wanted.unionByName(cases))
     name = F.get(F.array(*(F.lit(v[0]) for v in VARIANTS)), F.floor(F.col("case_id") / 1_000_000_000).cast("int"))
@@ -577,9 +583,9 @@ def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 150) AS preview, trim(regexp_replace(lower(lang || '  ' || source || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 150) AS preview, trim(regexp_replace(lower(lang || '  ' || source || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug, case when doc_id % 3 = 0 then 'repo' else lang || '-é' || source || '.git_x' end AS folder FROM documents")
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"), text.slug(F.concat("lang", F.lit("  "), "source", F.lit("!"))).alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"), text.slug(F.concat("lang", F.lit("  "), "source", F.lit("!"))).alias("slug"), text.folder_slug(F.when(F.col("doc_id") % 3 == 0, " ?! ").otherwise(F.concat(F.lit("  /"), "lang", F.lit(" ?É"), "source", F.lit(".git_x!")))).alias("folder"))
 
 
 @query(f"WITH {fixtures.PULLS.sql()} SELECT key, CASE WHEN regexp_matches(ref, '^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$') THEN 'hosted' WHEN regexp_matches(ref, '^(https?|ssh|git)://|^git@') THEN 'url' END AS kind, nullif(regexp_extract(ref, '{files.PULL}', 1), '') AS repo, try_cast(regexp_extract(ref, '{files.PULL}', 2) AS INTEGER) AS number FROM pulls")
@@ -1011,7 +1017,7 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {UNIQUE_SQL}, r AS (SELECT * FROM six ORDER BY severity_rank, path, coalesce(line, 0), finding_id LIMIT 25),
 x AS (SELECT severity_rank, path, coalesce(line, 0) AS l, '- **' || upper(severity) || '** `' || path || CASE WHEN line IS NULL THEN '' ELSE ':' || line END || '` ' || title AS t FROM r)
-SELECT coalesce(string_agg(t, chr(10) ORDER BY severity_rank, path, l, t), 'No issues found.') AS markdown FROM x"""
+SELECT coalesce((SELECT string_agg(n || ' ' || severity, ', ' ORDER BY severity_rank) FROM (SELECT severity, severity_rank, count(*) AS n FROM r GROUP BY ALL)) || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY severity_rank, path, l, t), 'No issues found.') AS markdown FROM x"""
 )
 def review_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.summary_markdown(diffs.deduplicated(_valid(spark)))
@@ -1027,7 +1033,7 @@ def review_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT conv_id AS review, turn AS comment_id, CASE WHEN turn % 3 = 1 THEN '<!-- mark -->' || text ELSE text END AS body FROM conversations), own AS (SELECT review, min(comment_id) AS comment_id FROM c WHERE contains(body, '<!-- mark -->') GROUP BY 1)
+    """WITH c AS (SELECT conv_id AS review, turn AS comment_id, CASE WHEN turn % 3 = 1 THEN '<!-- mark -->' || text ELSE text END AS body FROM conversations), first AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY review ORDER BY comment_id) <= 100), own AS (SELECT review, min(comment_id) AS comment_id FROM first WHERE contains(body, '<!-- mark -->') GROUP BY 1)
 SELECT DISTINCT review, '<!-- mark -->' || chr(10) || 'summary ' || review AS body, comment_id, CASE WHEN comment_id IS NULL THEN 'create' ELSE 'update' END AS action FROM c LEFT JOIN own USING (review) SELECT_"""
     .replace("SELECT DISTINCT review", "SELECT DISTINCT c.review").replace("'summary ' || review", "'summary ' || c.review").replace("comment_id, CASE WHEN comment_id", "own.comment_id, CASE WHEN own.comment_id").replace(" SELECT_", "")
 )
@@ -1097,3 +1103,35 @@ def review_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([("q0", "the handler"), ("q1", "token request with")], "qid string, text string")
     best = lexical.top(lexical.scores(_index(spark, sf_dir), lexical.query_terms(asked)), 6)
     return best.select("qid", F.col("doc").alias("doc_id"), "score", "rank")
+
+
+@query(
+    f"""WITH {UNIQUE_SQL} SELECT finding_id, '### ' || title || chr(10) || '`' || path || CASE WHEN line IS NULL THEN '' ELSE ':' || line END || '` | ' || upper(severity) || ' | ' || category || ' | ' || printf('%.2f', confidence) || CASE WHEN body <> '' THEN chr(10) || chr(10) || body ELSE '' END AS markdown FROM six ORDER BY severity_rank, path, coalesce(line, 0), finding_id LIMIT 25"""
+)
+def finding_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding of a report as a comment by itself."""
+    return diffs.finding_markdown(diffs.deduplicated(_valid(spark)))
+
+
+@query("SELECT * FROM (VALUES (1, NULL), (2, 'limited'), (3, 'limited'), (4, 'transient'), (5, 'transient'), (6, 'rejected'), (7, 'rejected'), (8, 'rejected'), (9, 'transient'), (10, 'transient')) AS t(key, failure)")
+def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a hosted model's statuses ask for."""
+    from pergola.plans import client
+
+    return fixtures.HTTP.frame(spark).select("key", client.failure(F.col("status")).alias("failure"))
+
+
+@query("SELECT event_id, greatest(1, 86399 - (epoch_us(ts) // 1000000) % 86400)::INTEGER AS seconds, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts IS NOT NULL")
+def day_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's UTC day, and the seconds to its end."""
+    at = F.col("ts").cast("timestamp")
+    return read(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", quota.seconds_left(F.unix_micros(at) / 1e6).alias("seconds"), F.date_format(at, "yyyy-MM-dd").alias("day"))
+
+
+@query("""SELECT doc_id, sha256('{"lang":"' || lang || '","n":' || doc_id || ',"source":null}') AS stable, '### ' || source || ':3-9' || CASE WHEN doc_id % 2 = 0 THEN ' (' || lang || ')' ELSE '' END || chr(10) || 'x' AS rendered FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def stable_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of fields in the order of their names, and chunks as prompts show them."""
+    rows = read(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    fields = {"source": F.lit(None).cast("string"), "n": F.col("doc_id"), "lang": F.col("lang")}
+    shown = text.rendered(F.col("source"), F.lit(3), F.lit(9), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.lit("x"))
+    return rows.select("doc_id", text.stable_hash(fields).alias("stable"), shown.alias("rendered"))

@@ -51,12 +51,72 @@ def ignored(path: Column, lines: list[str]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (under root), bytes, size_bytes of every file; directories that are never indexed are cut by path before any content is read. Spark gives no row for an empty file."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.substring_index("path", f"{base.removeprefix('file://')}/", -1), "^/+", "")
-    return raw.select(path.alias("path"), F.col("content").alias("bytes"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")).where(~paths.in_excluded_dir(F.col("path")))
+MAX_BYTES = 400_000
+IGNORE_FILES = (".gitignore", ".git/info/exclude")
+FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.BinaryType()), T.StructField("size_bytes", T.LongType())])
+
+
+def _walk(spark: SparkSession, root: str) -> list[tuple[str, str, int]]:
+    """(path under root, full path, size) of all files but those in folders that are never indexed, which are not entered; links are not followed.
+
+    The listing is the driver's, as that of any file source is; it holds names and sizes alone.
+    """
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, waiting = [], [("", base)]
+    while waiting:
+        above, folder = waiting.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if status.isSymlink():
+                continue
+            if status.isDirectory():
+                if name.lower() not in paths.EXCLUDED_DIRS and not name.lower().startswith(".git"):
+                    waiting.append((f"{above}{name}/", status.getPath()))
+            else:
+                found.append((above + name, status.getPath().toString(), status.getLen()))
+    return sorted(found)
+
+
+def _content(spark: SparkSession, where: str) -> bytes:
+    """A file's bytes, read by the driver through its file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path (under root), bytes, size_bytes of every file outside the folders that are never indexed.
+
+    Names and sizes come first: only files of 1 to max_bytes bytes are opened; larger ones have null bytes, empty ones no bytes, and both rows stay,
+    for they are counted. Files whose name begins with '_' or '.', which Spark's own sources pass over, are read by the driver.
+    """
+    listed = _walk(spark, root)
+    hidden = {p for p, f, n in listed if 0 < n <= max_bytes and f.rsplit("/", 1)[-1][0] in "._"}
+    rest = spark.createDataFrame([(p, bytearray() if n == 0 else bytearray(_content(spark, f)) if p in hidden else None, n) for p, f, n in listed if p in hidden or not 0 < n <= max_bytes], FILE)
+    full = [f for p, f, n in listed if 0 < n <= max_bytes and p not in hidden]
+    if not full:
+        return rest
+    top = listed[0][1][: len(listed[0][1]) - len(listed[0][0])]
+    raw = spark.read.format("binaryFile").load(full)
+    read = raw.select(F.expr(f"substring(path, {len(top) + 1})").alias("path"), F.col("content").alias("bytes"), F.col("length").alias("size_bytes"))
+    return read.unionByName(rest)
+
+
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """The lines of a checkout's own ignore files, those of its root alone, in order."""
+    jvm = spark.sparkContext._jvm
+    lines = []
+    for name in IGNORE_FILES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            lines += _content(spark, path.toString()).decode("utf-8", "replace").splitlines()
+    return lines
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -67,9 +127,9 @@ def decoded(files: DataFrame) -> DataFrame:
     return rows.select("path", "content", "size_bytes", lines.cast("long").alias("num_lines"), paths.language(F.col("path")).alias("language"), paths.is_code(F.col("path")).alias("is_code"))
 
 
-def judged(files: DataFrame, ignore: list[str] | None = None, globs: list[str] | None = None) -> DataFrame:
+def judged(files: DataFrame, ignore: list[str] | None = None, globs: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """decoded() rows with skip_reason, null for those to be indexed."""
-    reason = paths.skip_reason(F.col("path"), F.col("content"), F.col("size_bytes"), ignored(F.col("path"), ignore or []))
+    reason = paths.skip_reason(F.col("path"), F.col("content"), F.col("size_bytes"), ignored(F.col("path"), ignore or []), max_bytes)
     if globs:
         wanted = F.lit(False)
         for g in globs:
@@ -90,8 +150,10 @@ def skip_counts(files: DataFrame) -> DataFrame:
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from JSON lines; blank lines and those that begin with // or # are left out, a malformed one is an error."""
-    lines = spark.read.text(path).where(~F.col("value").rlike("^\\s*(//|#|$)"))
-    return lines.select(F.from_json("value", CASE, {"mode": "FAILFAST"}).alias("c")).select("c.*")
+    told = ~F.col("value").rlike("^\\s*(//|#|$)")
+    lines = spark.read.text(path).where(told)
+    # asked inside as well, as the planner may read values before it drops lines
+    return lines.select(F.from_json(F.when(told, F.col("value")), CASE, {"mode": "FAILFAST"}).alias("c")).select("c.*")
 
 
 def save_cases(rows: DataFrame, path: str) -> None:

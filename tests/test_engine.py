@@ -20,7 +20,7 @@ def test_index_ask_evaluate(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/indexes")
     assert {r.reason: r.n for r in engine.index(f"file://{tmp_path}/src", "sample", "0123456789").collect()} == {"kept": 3}
     assert [r.index_id for r in engine.list().collect()] == ["sample"]
-    assert engine.source("sample", "auth/jwt.py").count() == 1
+    assert [(r.kind, r.symbol) for r in engine.source("sample", "auth/jwt.py").collect()] == [("class", "TokenValidator"), ("function", "build_validator")]
     questions = spark.createDataFrame([("q1", "how does verify_jwt check the signature?"), ("q2", "zzzz qqqq")], "qid string, question string")
     found = {r.qid: r for r in engine.ask("sample", questions).collect()}
     assert found["q1"].citations[0].path in SOURCES and found["q1"].confidence > 0.5 and found["q1"].refinements == 0
