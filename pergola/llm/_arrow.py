@@ -215,7 +215,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 #: Bits of the smallest and the largest filter, and bits for each key in between.
-LEAST_BITS, MOST_BITS, BITS_A_KEY = 20, 30, 16
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 20, 30, 64
 #: Bits of a part of a filter, which one task makes.
 PART_BITS = 20
 
