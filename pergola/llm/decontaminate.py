@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, map_slices, raw, runs_of, slices, spread
+from pergola.llm._arrow import documents, map_slices, raw, runs_of, slices, spread, written
 
 #: Words of a window, and of the shingles by which windows are found.
 WINDOW = 13
 SHINGLE = 5
-#: Windows sent to the tasks at once; a larger benchmark is taken in several blocks.
+#: Windows sent to the tasks at once, and bytes of their words and items; a larger benchmark is taken in several blocks.
 BLOCK_WINDOWS = 200_000
+BLOCK_BYTES = 64 << 20
 
 #: Bytes below 0x80 that are not a digit or a lower-case letter part words.
 PARTS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -159,14 +160,16 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
     Shingles of SHINGLE words are ordered by the number of documents that have them; a window is looked up by its rarest one alone,
     which any document containing it must have. Bounds on place and length follow, then the window's words are compared.
-    The windows go to the tasks in blocks of block_windows, so what is sent is bounded whatever the benchmark's size; documents are never shuffled.
+    The distinct windows are written once and go to the tasks in blocks of block_windows windows and BLOCK_BYTES bytes at most on average, whatever the
+    benchmark's size, and documents are never shuffled; each block reads the documents twice. The items of one window go with it, however many.
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words and are clean; items without words match nothing;
     an item with a null id still hits words but is not listed; repeated rows give a row each; an empty benchmark hits nothing.
     """
     docs = spread(documents(df, *keep, text=text, key=key))
-    windows = item_windows(benchmark, item, item_text, window)
-    n_windows = windows.count()
-    blocks = max(1, -(-n_windows // block_windows))
+    windows = written(item_windows(benchmark, item, item_text, window))
+    weight = F.length("win") + F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x) + 8)
+    n_windows, size = windows.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    blocks = max(1, -(-n_windows // block_windows), -(-size // BLOCK_BYTES))
     parts = windows.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(blocks)))
     kept = [docs.schema[n] for n in keep]
     state, schema = docs, T.StructType([docs.schema["doc_id"], *kept, *(T.StructField(n, t) for n, t in STATE if n not in keep)])

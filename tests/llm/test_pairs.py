@@ -201,12 +201,34 @@ def test_equal_windows_have_equal_anchors():
         for _ in range(4):
             left, right = rng.integers(0, 60, rng.integers(0, 90)), rng.integers(0, 60, rng.integers(0, 90))
             words = np.concatenate([left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), window, right.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)])
-            keys, hashes = substring_dedup.anchors(words)
-            found.add((int(keys[len(left)]), int(hashes[len(left)])))
-            assert keys[len(left)] != substring_dedup.LAST
+            names, hashes = substring_dedup.anchors(words)
+            found.add((*(int(n[len(left)]) for n in names), int(hashes[len(left)])))
+            assert all(n[len(left)] != substring_dedup.LAST for n in names)
         assert len(found) == 1
 
 
+def test_runs_of_any_length_have_one_name():
+    word, other = np.uint64(7) * np.uint64(0x9E3779B97F4A7C15), np.uint64(11)
+    names = {}
+    for n in (1, 2, 3, 40, 700):
+        words = np.concatenate([[other], np.full(n, word), [other]]).astype(np.uint64)
+        s = substring_dedup._runs(substring_dedup.Symbols(words, np.arange(n + 2), np.arange(n + 2) + 1, n + 2))
+        assert len(s.names) == 3 and (s.lo[1], s.hi[1]) == (0, n + 2)
+        names[n] = int(s.names[1])
+    assert len(set(names.values())) == 5 and names[1] == int(word)
+
+
+def test_a_range_goes_only_if_its_words_are_the_same(spark, monkeypatch):
+    """All windows given the same name and hash: what they meet by is then no reason to remove a word."""
+    rows = [(i, prose(random.Random(i), 70, 900)) for i in range(6)] + [(9, prose(random.Random(2), 70, 900))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    hits = spark.createDataFrame([(1, 3, 0, 3), (1, 4, 0, 4), (1, 9, 0, 3)], "doc_id long, spot long, owner long, found long")
+    found = substring_dedup._ranges(hits, 50).first()
+    assert [(r["first"], r["words"], r["own_first"]) for r in found.ranges] == [(3, 51, 3), (9, 50, 3)]
+    assert substring_dedup._digest([b"a", b"b", b"c"], 1, 2) != substring_dedup._digest([b"a", b"b", b"d"], 1, 2)
+    assert cut(frame) == removed(rows)
+
+
 def test_key_filter_passes_all_its_keys(spark):
     keys = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 5000)
     held = np.frombuffer(key_filter(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k"), np.uint8)
