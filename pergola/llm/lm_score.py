@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import documents, dropped, map_slices, most_frequent, raw, saved, slices, spread, vector_sum, written
+from pergola.llm._arrow import arrow_schema, documents, dropped, map_slices, most_frequent, raw, saved, slices, spread, vector_sum, written
 
 #: The most frequent words, each an outcome of the neural model of its own. All other words are outcomes by their last ENDING bytes: the
 #: ENDINGS most frequent endings, and one outcome for the rest; a word divides its ending's outcome by the base probabilities.
@@ -363,6 +363,7 @@ def score(df: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), text:
     def make():
         lexicon, tables, base, rest, shares = _scorer(sent, name)
         none = len(lexicon.places)
+        kind = arrow_schema(schema).field("cold").type
 
         def step(part: pa.RecordBatch) -> list:
             """All texts of a slice at once."""
@@ -375,18 +376,19 @@ def score(df: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), text:
             v, u = contexts(ids, lexicon.start, starts)
             logs = tables.log10(ids, v, u)
             strange = np.flatnonzero(at == none)
-            seen = (logs[strange] - shares[ids[strange]]).tolist()
-            unseen = tables.log10(np.full(len(strange), lexicon.unknown), v[strange], u[strange]).tolist()
+            seen = logs[strange] - shares[ids[strange]]
+            unseen = tables.log10(np.full(len(strange), lexicon.unknown), v[strange], u[strange])
             owners = np.searchsorted(starts, strange, side="right") - 1
-            cold: list[dict[bytes, list]] = [{} for _ in each]
-            for i, k, a, b in zip(strange.tolist(), owners.tolist(), seen, unseen):
-                found = cold[k].setdefault(words[i], [0, 0.0, 0.0])
-                found[0], found[1], found[2] = found[0] + 1, found[1] + a, found[2] + b
+            index: dict[tuple[int, bytes], int] = {}
+            which = np.fromiter((index.setdefault((k, words[i]), len(index)) for i, k in zip(strange.tolist(), owners.tolist())), np.int64, len(strange))
+            n = len(index)
+            times = np.bincount(which, minlength=n).astype(np.int32)
+            cold = pa.StructArray.from_arrays([pa.array([w for _, w in index], pa.binary()), times, np.bincount(which, seen, n), np.bincount(which, unseen, n)], fields=list(kind.value_type))
+            cuts = np.searchsorted(np.fromiter((k for k, _ in index), np.int64, n), np.arange(len(each) + 1))
             logs[strange] = 0
             total = lambda values: np.add.reduceat(values, starts)
             known = sizes - np.bincount(owners, minlength=len(each))
-            told = [[{"word": w, "times": n, "seen": a, "unseen": b} for w, (n, a, b) in c.items()] for c in cold]
-            return [part.column("doc_id"), *(part.column(k) for k in keep), sizes.tolist(), known.tolist(), total(base[at]).tolist(), total(logs + rest[at]).tolist(), told]
+            return [part.column("doc_id"), *(part.column(k) for k in keep), sizes.tolist(), known.tolist(), total(base[at]).tolist(), total(logs + rest[at]).tolist(), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), cold, type=kind)]
 
         return step
 

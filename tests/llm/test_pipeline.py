@@ -16,7 +16,7 @@ def test_stages(spark, smallest):
     model = language_id.train(docs.where(language_id.remainder("doc_id", 4) != 2))
     assert ids(one) == sorted(r.doc_id for r in language_id.predict(docs, model).collect() if r.lang_pred != "und" and r.score >= 0.5)
     two = written(pipeline.near_duplicates(spark, one, smallest))
-    assert ids(two) == sorted(r.doc_id for r in jaccard_join.join(one).collect() if r.doc_id == r.component_id)
+    assert ids(two) == sorted(r.doc_id for r in jaccard_join.join(one, width=5, least=80).collect() if r.doc_id == r.component_id)
     three = written(pipeline.benchmark_passages(spark, two, smallest))
     bench = spark.read.parquet(f"{smallest}/benchmark.parquet")
     assert ids(three) == sorted(r.doc_id for r in decontaminate.contamination(two, bench).collect() if not r.contaminated)
