@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pergola.functions.text import json_value
@@ -65,7 +65,7 @@ class Engine:
         judged = materialise(files.judged(files.decoded(files.scan(self.spark, source, self.settings.max_bytes)), ignore, globs, self.settings.max_bytes))
         kept = files.chosen(judged, self.settings.max_files)
         tell("chunk", files=judged.where("skip_reason IS NULL").count())
-        chunks = materialise(chunking.last_by_id(chunking.chunks(kept.select("path", "content"), self.settings.max_lines, self.settings.overlap)).withColumnRenamed("chunk_id", "doc"))
+        chunks = materialise(chunking.last_by_id(chunking.chunks(kept.select("path", "content"), self.settings.max_lines, self.settings.overlap)).withColumnRenamed("chunk_id", "doc").withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("start_line", "doc"))))
         tell("embed", chunks=chunks.count())
         held = lexical.build(lexical.tokenised(chunks.withColumn("text", F.concat_ws("\n", "path", F.coalesce("symbol", "path"), "symbol", "content")), "doc"))
         vectors = self.provider.embed(chunks.select(F.col("doc").alias("key"), F.concat_ws("\n", "path", F.substring("content", 1, 8000)).alias("text"))).where("embedding IS NOT NULL").withColumnRenamed("key", "doc")

@@ -9,7 +9,7 @@ CEILING = 0.97
 MAX_CHARS = 90_000
 LEAST_REST = 400
 #: Characters at a path's end by which suffix matches are found.
-TAIL = 8
+TAIL = 24
 
 BRACKET = "\\[([^\\[\\]]{3,400}?)\\]"
 REFERENCE = "^\\s*([^\\s:]+?\\.[A-Za-z0-9_]+):([0-9]+)(?:\\s*[-–]\\s*([0-9]+))?\\s*$"
@@ -40,14 +40,19 @@ def citations(draft: Column) -> Column:
 def resolved(cited: DataFrame, paths: DataFrame) -> DataFrame:
     """cited (any columns with path) with `resolved`: the path itself if known, else the shortest known path that ends in it, then by name; null if none.
 
-    The suffix match is an equality of the last characters with a check of the rest, so it stays a hash join.
+    The suffix match is an equality of the last TAIL characters with a check of the rest, so it stays a hash join. For a path no longer than that the
+    known paths of each ending are cut to the best one first, so that a name that many folders have is one row and not all of them.
     """
     known = paths.select(F.col("path").alias("known")).distinct()
     wanted = cited.select("path").distinct()
     exact = wanted.join(known, F.col("path") == F.col("known"), "left_semi")
-    rest = wanted.join(exact, "path", "left_anti").withColumn("tail", F.right("path", F.least(F.lit(TAIL), F.length("path"))))
-    tails = known.select("known", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(TAIL), F.length("known"))), lambda n: F.right(F.col("known"), n))).alias("tail"))
-    found = rest.join(tails, "tail").where(F.endswith("known", F.col("path"))).groupBy("path").agg(F.min(F.struct(F.length("known").alias("n"), F.col("known").alias("known")))["known"].alias("resolved"))
+    rest = wanted.join(exact, "path", "left_anti").withColumn("n", F.length("path"))
+    best = F.min(F.struct(F.length("known").alias("n"), F.col("known").alias("known")))["known"].alias("resolved")
+    ends = known.select("known", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(TAIL), F.length("known"))), lambda n: F.right(F.col("known"), n))).alias("path")).groupBy("path").agg(best)
+    short = rest.where(F.col("n") <= TAIL).join(ends, "path").select("path", "resolved")
+    tails = known.where(F.length("known") >= TAIL).withColumn("tail", F.right("known", F.lit(TAIL)))
+    long = rest.where(F.col("n") > TAIL).withColumn("tail", F.right("path", F.lit(TAIL))).join(tails, "tail").where(F.endswith("known", F.col("path"))).groupBy("path").agg(best)
+    found = short.unionByName(long)
     all_found = exact.select("path", F.col("path").alias("resolved")).unionByName(found)
     return cited.join(all_found, "path", "left")
 

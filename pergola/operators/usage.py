@@ -61,15 +61,17 @@ def span_summary(spans: DataFrame, name: str = "event_type", ms: str = "value")
 def waterfall(spans: DataFrame) -> DataFrame:
     """Spans (trace, span_id, parent_id, start) in order of start with their depth.
 
-    Depths spread from roots one level a round, as many rounds as the tree is deep, each written down before the next; a span whose parent is unknown is a root.
+    A span whose parent is unknown is a root. Each round doubles the distance that a span looks up, so there are as many rounds as the depth has
+    bits, each written down before the next; spans that are their own ancestors have no depth.
     """
     ids = spans.select("trace", F.col("span_id").alias("parent_id")).withColumn("has", F.lit(True))
-    rows = spans.join(ids, ["trace", "parent_id"], "left").withColumn("depth", F.when(F.col("has").isNull(), 0)).drop("has")
+    rows = spans.join(ids, ["trace", "parent_id"], "left").withColumn("up", F.when(F.col("has"), F.col("parent_id"))).withColumn("far", F.when(F.col("has"), 1).otherwise(0)).drop("has")
     rows, left = materialise(rows), None
-    while (n := rows.where("depth IS NULL").count()) and n != left:
+    while (n := rows.where("up IS NOT NULL").count()) and n != left:
         left = n
-        known = rows.where("depth IS NOT NULL").select("trace", F.col("span_id").alias("parent_id"), (F.col("depth") + 1).alias("below"))
-        rows = materialise(rows.join(known, ["trace", "parent_id"], "left").withColumn("depth", F.coalesce("depth", "below")).drop("below"))
+        above = rows.select("trace", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
+        rows = materialise(rows.join(above, ["trace", "up"], "left").withColumn("far", F.col("far") + F.coalesce("more", F.lit(0))).withColumn("up", F.col("next")).drop("next", "more"))
+    rows = rows.withColumn("depth", F.when(F.col("up").isNull(), F.col("far"))).drop("up", "far")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("trace").orderBy("start", "span_id")))
 
 

@@ -53,7 +53,7 @@ def retriever(chunks: DataFrame, index: lexical.LexicalIndex, provider: Provider
             found = found.unionByName(dense.select("qid", "doc", "rank", F.lit("dense").alias("family"), F.lit(fusion.DENSE_WEIGHT).alias("weight")))
         named = found.select(F.substring_index("qid", "#", -1).alias("n"), F.regexp_replace("qid", "#[0-9]+$", "").alias("qid"), "doc", F.col("rank").cast("int").alias("rank"), "family", "weight")
         ranked = named.select("qid", "doc", "rank", F.concat("family", F.lit("["), "n", F.lit("]")).alias("retriever"), "weight")
-        return retrieval.retrieve(ranked, chunks.select("doc", "path", F.col("start_line").alias("start")), top_k=top_k)
+        return retrieval.retrieve(ranked, chunks.select("doc", "path", F.col("start_line").alias("start"), *(["at"] if "at" in chunks.columns else [])), top_k=top_k)
 
     return run
 
