@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,3 +185,20 @@ def repository(name: Column, local: Column) -> Column:
 def pull_request(ref: Column) -> Column:
     """repo and number of owner/name#n or a pull request's address; null for anything else."""
     return F.when(ref.rlike(PULL), F.struct(F.regexp_extract(ref, PULL, 1).alias("repo"), F.regexp_extract(ref, PULL, 2).cast("int").alias("number")))
+
+
+def pull_request_of(ref: str | None, environment: dict[str, str], read: Callable[[str], str]) -> tuple[str, int] | None:
+    """repo and number of owner/name#n, of a bare number in a workflow's repository, or of the event that started a workflow; None without any."""
+    named = re.fullmatch(r"([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)#([0-9]+)", (ref or "").strip())
+    if named:
+        return named[1], int(named[2])
+    repo = environment.get("GITHUB_REPOSITORY", "")
+    if repo and re.fullmatch(r"#?[0-9]+", (ref or "").strip()):
+        return repo, int(ref.strip().lstrip("#"))
+    where = environment.get("GITHUB_EVENT_PATH")
+    if ref or not where:
+        return None
+    event = json.loads(read(where))
+    number = (event.get("pull_request") or {}).get("number") or event.get("number")
+    repo = (event.get("repository") or {}).get("full_name") or repo
+    return (repo, int(number)) if repo and number else None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pergola import __main__ as commands
 from pergola.engine import Engine
-from pergola.operators import diffs, evaluation
+from pergola.operators import diffs, evaluation, vectors
 from pergola.plans import client, fixtures
 from pergola.plans.provider import StandIn
 from pergola.progress import Progress
@@ -180,6 +180,22 @@ def test_reviews_are_posted_once_more_without_comments():
         diffs.posted({"comments": []}, lambda _: 500)
 
 
+def test_pull_request_of_a_workflow():
+    read = {"e": '{"pull_request": {"number": 9}, "repository": {"full_name": "o/r"}}', "n": "{}"}.__getitem__
+    assert files.pull_request_of("o/r#3", {}, read) == ("o/r", 3) and files.pull_request_of("#4", {"GITHUB_REPOSITORY": "a/b"}, read) == ("a/b", 4)
+    assert files.pull_request_of(None, {"GITHUB_EVENT_PATH": "e"}, read) == ("o/r", 9) and files.pull_request_of(None, {"GITHUB_EVENT_PATH": "n"}, read) is None
+    assert files.pull_request_of("what?", {"GITHUB_EVENT_PATH": "e"}, read) is None and files.pull_request_of(None, {}, read) is None
+
+
+def test_vector_store(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "key string, embedding array<float>")
+    own = vectors.VectorStore(rows(("a", [1.0, 0.0]), ("b", [0.0, 1.0]))).add(rows(("b", [1.0, 0.1]), ("c", [0.0, -1.0])))
+    own.save(f"file://{tmp_path}/v")
+    again = vectors.VectorStore.load(spark, f"file://{tmp_path}/v")
+    asked = spark.createDataFrame([("q", [1.0, 0.2])], "qid string, embedding array<float>")
+    assert len(again) == 3 and [r.doc for r in again.search(asked, 2).orderBy("rank").collect()] == ["b", "a"]
+
+
 def test_report(spark):
     summary = spark.createDataFrame([(0.8, 0.7, 3.0, 1, 12.34, 0.00123, 4321)], "pass_rate double, mean_confidence double, mean_citations double, hallucination_cases long, mean_latency_s double, mean_cost_usd double, mean_tokens long")
     ways = spark.createDataFrame([(0, "dense only", 1.0, 0.5, 0.2, 0.6, 0.5)], "position int, variant string, hit_rate double, recall double, precision double, mrr double, ndcg double")
