@@ -28,13 +28,23 @@ def documents(df: DataFrame, *more: str, text: str = "text", key: str = "doc_id"
     return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *(m for m in more if m not in ("doc_id", "text")))
 
 
+#: Plan nodes below which the number of partitions isn't known without running something.
+SHUFFLING = ("Join", "Aggregate", "Distinct", "Window", "Sort", "Repartition", "RepartitionByExpression", "GlobalLimit", "Deduplicate", "Intersect", "Except", "FlatMapGroups")
+
+
+def _nodes(plan) -> Iterator[str]:
+    yield plan.getClass().getSimpleName()
+    below = plan.children()
+    for k in range(below.size()):
+        yield from _nodes(below.apply(k))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows on every core where a small table comes in fewer partitions than there are cores.
 
     Only plans without a shuffle are asked for their partitions; asking others would run them.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Limit")):
+    if any(name.startswith(SHUFFLING) for name in _nodes(df._jdf.queryExecution().optimizedPlan())):
         return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
