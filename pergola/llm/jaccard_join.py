@@ -26,6 +26,8 @@ LEVELS = (2, 4, 8, 16, 64)
 BLOCK_SHINGLES = 600_000
 #: What a set weighs besides its shingles.
 DOC_WEIGHT = 200
+#: Sets of a range that lists are merged over at once.
+MERGED = 1 << 14
 #: The weight of list length in DivideSkip's choice of the number of long lists.
 MU = 0.0085
 
@@ -167,17 +169,32 @@ class Index:
         return sets[100 * counts >= self.least * (size + self.sizes[sets] - counts)]
 
     def _merged(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sets of some lists and how many of the lists each is in: the lists' heads wait in a heap, the least is taken, its list moves on."""
-        heads = [iter(self.members(int(r)).tolist()) for r in lists]
-        sets, counts, last = [], [], -1
-        for s in heapq.merge(*heads):
-            if s == last:
-                counts[-1] += 1
-            else:
-                sets.append(s)
-                counts.append(1)
-                last = s
-        return np.array(sets, np.int64), np.array(counts, np.int64)
+        """The sets of some lists and how many of the lists each is in.
+
+        The lists' heads wait in a heap. The least opens a range of MERGED sets; every list whose head is in it gives all that it has there and goes
+        back with its next set, and the range is counted at once.
+        """
+        parts = [self.members(int(r)) for r in lists]
+        heads = [(int(p[0]), k, 0) for k, p in enumerate(parts)]
+        heapq.heapify(heads)
+        sets, counts = [], []
+        while heads:
+            low = heads[0][0]
+            high, taken = low + MERGED, []
+            while heads and heads[0][0] < high:
+                _, k, at = heads[0]
+                own = parts[k]
+                stop = len(own) if own[-1] < high else int(np.searchsorted(own, high))
+                taken.append(own[at:stop])
+                if stop < len(own):
+                    heapq.heapreplace(heads, (int(own[stop]), k, stop))
+                else:
+                    heapq.heappop(heads)
+            found = np.bincount(np.concatenate(taken) - low)
+            some = np.flatnonzero(found)
+            sets.append(some + low)
+            counts.append(found[some])
+        return np.concatenate(sets), np.concatenate(counts)
 
 
 def linked(sets: list[np.ndarray], least: int = LEAST) -> np.ndarray:
