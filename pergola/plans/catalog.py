@@ -100,8 +100,15 @@ def scores_sql(name: str, terms: str, k: int) -> str:
 )"""
 
 
+#: The index of each folder's documents that a session has built: an index is made once and searched many times.
+_indexes: dict[tuple[str, str], lexical.LexicalIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build(lexical.tokenised(read(spark, sf_dir, "documents")))
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = lexical.build(lexical.tokenised(read(spark, sf_dir, "documents")))
+    return _indexes[key]
 
 
 @query(
