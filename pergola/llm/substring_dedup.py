@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import WordHashes, arrow_schema, documents, key_filter, map_slices, mix, passes, raw, signed, spread, struct, written
+from pergola.llm._arrow import WordHashes, arrow_schema, documents, dropped, key_filter, map_slices, mix, passes, raw, saved, signed, spread, struct, written
 
 #: Words of a window.
 WINDOW = 50
 #: Rounds after which Spark names the symbols of all texts, and drops windows whose symbol only one text has. Each round names runs, then pairs.
 NAMED = (2, 3)
 #: Spans of words are rounded up to multiples of this where symbols are looked up by span.
-GRAIN = 4
+GRAIN = 8
 #: Windows of an earlier text whose words one task is asked for at once.
 ASKED = 5000
 
@@ -106,8 +106,8 @@ def anchors(words: np.ndarray, window: int = WINDOW, rounds: tuple[int, ...] = N
     """For the window that starts at each word its symbol after each of the given rounds, and a hash of its words; equal windows have equal ones.
 
     `words` may hold many texts one after the other; only windows inside one text mean anything. A window's symbol is the least name among the
-    symbols of which all that has a say lies inside the window, so that nothing before or after it does. A window without any, as long runs
-    have, is named by its own words.
+    symbols of which all that has a say lies inside the window, so that nothing before or after it does. A window without any, as inside a long run of
+    a word or of some words, is named by its least word.
     """
     n = len(words)
     if n < window:
@@ -129,7 +129,8 @@ def anchors(words: np.ndarray, window: int = WINDOW, rounds: tuple[int, ...] = N
                 at[s.lo[own]] = mix(s.names[own] + np.uint64(k))
                 best = np.minimum(best, _sliding_least(at, window - length + 1))
         none = best == LAST
-        best[none] = mix(hashes[none] + np.uint64(0x452821E638D01377))
+        if none[: n - window + 1].any():
+            best[none] = mix(_sliding_least(words, window)[none] + np.uint64(0x452821E638D01377))
         out.append(best)
     return out, hashes
 
@@ -162,7 +163,7 @@ class _Slice:
 
 
 def _profiles(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, content (16 bytes that stand for the words), whole (digest of the words joined by spaces), names (its windows' symbols after the first named round)."""
+    """doc_id, n_words, content (16 bytes that stand for the words), c (8 of them), whole (digest of the words joined by spaces), names (its windows' symbols after the first named round)."""
 
     def make():
         hashes = WordHashes()
@@ -174,11 +175,12 @@ def _profiles(docs: DataFrame, window: int) -> DataFrame:
             cuts = np.searchsorted(owners, np.arange(part.num_rows + 1)) if len(new) else np.zeros(part.num_rows + 1, int)
             names = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(own.names[0][at[new]]) if len(new) else [], pa.int64()))
             joined = [b" ".join(w) for w in own.words]
-            return [part.column("doc_id"), [len(w) for w in own.words], [xxhash.xxh3_128_digest(j) for j in joined], [hashlib.sha256(j).hexdigest() for j in joined], names]
+            contents = [xxhash.xxh3_128_digest(j) for j in joined]
+            return [part.column("doc_id"), [len(w) for w in own.words], contents, [_hash(c) for c in contents], [hashlib.sha256(j).hexdigest() for j in joined], names]
 
         return step
 
-    return map_slices(docs, make, struct(docs, ("n_words", T.LongType()), ("content", T.BinaryType()), ("whole", T.StringType()), ("names", T.ArrayType(T.LongType()))))
+    return map_slices(docs, make, struct(docs, ("n_words", T.LongType()), ("content", T.BinaryType()), ("c", T.LongType()), ("whole", T.StringType()), ("names", T.ArrayType(T.LongType()))))
 
 
 def _mark(content: bytes) -> int:
@@ -186,6 +188,10 @@ def _mark(content: bytes) -> int:
     return int.from_bytes(content[:4], "little") >> 1 << 32
 
 
+def _hash(content: bytes) -> int:
+    return int.from_bytes(content[:8], "little", signed=True)
+
+
 def _windows(docs: DataFrame, sent, window: int) -> DataFrame:
     """doc_id, c (hash of the words), name, spot, hashes: the runs of windows whose symbol of the first named round more than one text may have, by their
     symbol of the last. spot: mark of the text and place of the first window."""
@@ -201,7 +207,7 @@ def _windows(docs: DataFrame, sent, window: int) -> DataFrame:
             owners = np.searchsorted(own.first, at[new], side="right") - 1 if len(new) else np.empty(0, np.int64)
             contents = {o: xxhash.xxh3_128_digest(b" ".join(own.words[o])) for o in np.unique(owners).tolist()}
             marks = {o: _mark(c) for o, c in contents.items()}
-            whole = {o: int.from_bytes(c[:8], "little", signed=True) for o, c in contents.items()}
+            whole = {o: _hash(c) for o, c in contents.items()}
             spots = np.array([marks[o] for o in owners.tolist()], np.int64) + at[new] - own.first[owners] if len(new) else []
             lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)), pa.int32()), pa.array(signed(own.hashes[at]), pa.int64()))
             return [known.column("doc_id").take(pa.array(owners)), [whole[o] for o in owners.tolist()], pa.array(signed(names[at[new]]) if len(new) else [], pa.int64()), spots, lists]
@@ -271,6 +277,17 @@ def _asked(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     return map_slices(rows.select("owner", "own_mark", "text", "asked"), make, schema).select("owner", "own_mark", F.explode("told").alias("t")).select("owner", "own_mark", "t.*")
 
 
+class _Table:
+    """Rows written to the shared folder until they are dropped."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.where = df.sparkSession, saved(df)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.where)
+
+    def drop(self) -> None:
+        dropped(self.spark, self.where)
+
+
 def deduplicate(df: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, ranges (first and past-last word of what goes) for each row.
 
@@ -278,22 +295,26 @@ def deduplicate(df: DataFrame, window: int = WINDOW, text: str = "text", key: st
     pairs, alike in all texts, so that equal windows have equal symbols inside them. After the second round, and again after the third, Spark
     gathers the names of all texts in a table, and windows whose name only one text has drop out. Of the others a hash of the words finds the
     least doc_id that has each window; neighbouring windows become ranges, and a range goes only if the SHA-256 digests of its words and of
-    the earlier text's are equal. Texts whose words are all equal are settled as such: all but those of the least doc_id go whole if they
-    have a window at all. Null and empty texts have no words. Rows that share a doc_id don't remove each other's words; a row with a null id
+    the earlier text's are equal. Texts whose words are all equal are settled as such, before windows meet: all but those of the least doc_id go
+    whole if they have a window at all. Null and empty texts have no words. Rows that share a doc_id don't remove each other's words; a row with a null id
     removes and loses nothing; an empty table gives no rows.
     """
     docs = spread(documents(df, text=text, key=key))
     sc = df.sparkSession.sparkContext
     rows = written(_profiles(docs, window))
-    names = rows.where("doc_id IS NOT NULL").select(F.explode("names").alias("name"), F.xxhash64("content").alias("c"))
-    found = written(_windows(docs, sc.broadcast(key_filter(written(_shared(names)), "name")), window))
-    live = found.join(_shared(found), "name", "left_semi")
-    single = live.select("doc_id", "name", "spot", F.posexplode("hashes").alias("i", "h")).select("doc_id", "name", "h", (F.col("spot") + F.col("i")).alias("spot"))
-    least = written(single.groupBy("name", "h").agg(F.min(F.struct("doc_id", "spot")).alias("least"), F.max("doc_id").alias("most")).where("least.doc_id <> most").select("name", "h", F.col("least.doc_id").alias("owner"), F.col("least.spot").alias("found")))
-    hits = single.join(least, ["name", "h"]).where("doc_id > owner").select("doc_id", "spot", "owner", "found")
+    names = rows.where("doc_id IS NOT NULL").select(F.explode("names").alias("name"), "c")
     first = rows.groupBy("content").agg(F.min("doc_id").alias("first"))
-    copies = rows.where(F.col("n_words") >= window).join(first, "content").where("doc_id > first").select("doc_id", "content").distinct().withColumn("copy", F.lit(True))
-    ranges = written(_ranges(hits, window))
+    copies = written(rows.where(F.col("n_words") >= window).join(first, "content").where("doc_id > first").select("doc_id", "content", "c").distinct().withColumn("copy", F.lit(True)))
+    found = _Table(_windows(docs, sc.broadcast(key_filter(written(_shared(names)), "name")), window))
+    live = _Table(found.rows.join(copies.select("doc_id", "c"), ["doc_id", "c"], "left_anti").join(_shared(found.rows), "name", "left_semi").select("doc_id", "name", "spot", "hashes"))
+    found.drop()
+    single = live.rows.select("doc_id", "name", "spot", F.posexplode("hashes").alias("i", "h")).select("doc_id", "name", "h", (F.col("spot") + F.col("i")).alias("spot"))
+    least = _Table(single.groupBy("name", "h").agg(F.min(F.struct("doc_id", "spot")).alias("least"), F.max("doc_id").alias("most")).where("least.doc_id <> most").select("name", "h", F.col("least.doc_id").alias("owner"), F.col("least.spot").alias("found")))
+    hits = _Table(single.join(least.rows, ["name", "h"]).where("doc_id > owner").select("doc_id", "spot", "owner", "found"))
+    live.drop()
+    least.drop()
+    ranges = written(_ranges(hits.rows, window))
+    hits.drop()
     ids = ranges.select("doc_id").unionByName(ranges.select(F.explode("ranges.owner").alias("doc_id"))).distinct()
     wanted = sc.broadcast(key_filter(written(ids.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"))), "h"))
 
@@ -333,7 +354,7 @@ def deduplicate(df: DataFrame, window: int = WINDOW, text: str = "text", key: st
     spans = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     pieces = texts.join(told, ["doc_id", "mark"]).select("doc_id", "text", "content", "told")
     partly = map_slices(pieces, cut, struct(docs, ("content", T.BinaryType()), ("removed", T.LongType()), ("digest", T.StringType()), ("ranges", spans))).dropDuplicates(["doc_id", "content"])
-    out = rows.drop("names").join(copies, ["doc_id", "content"], "left").join(partly, ["doc_id", "content"], "left")
+    out = rows.drop("names", "c").join(copies.drop("c"), ["doc_id", "content"], "left").join(partly, ["doc_id", "content"], "left")
     whole = F.col("copy").isNotNull()
     return out.select(
         "doc_id",
