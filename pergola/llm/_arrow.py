@@ -225,13 +225,13 @@ def written(df: DataFrame) -> DataFrame:
 
 
 #: Bits of the smallest and the largest filter, and bits for each key in between.
-LEAST_BITS, MOST_BITS, BITS_A_KEY = 20, 30, 64
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 20, 29, 64
 #: Bits of a part of a filter, which one task makes.
 PART_BITS = 20
 
 
 def key_filter(keys: DataFrame, column: str) -> bytes:
-    """A one-hash Bloom filter of a column of 64-bit keys of a written table: BITS_A_KEY bits a key, up to 2**MOST_BITS in all (128 MB).
+    """A one-hash Bloom filter of a column of 64-bit keys of a written table: BITS_A_KEY bits a key, up to 2**MOST_BITS in all (64 MB).
 
     It only ever passes too much, so what it passes is joined exactly afterwards. Keys travel as distinct bits to the part that holds them, so a
     task holds one part, whatever the number of tasks and keys.
