@@ -106,27 +106,31 @@ def anchors(words: np.ndarray, window: int = WINDOW, rounds: tuple[int, ...] = N
     """For the window that starts at each word its symbol after each of the given rounds, and a hash of its words; equal windows have equal ones.
 
     `words` may hold many texts one after the other; only windows inside one text mean anything. A window's symbol is the least name among the
-    symbols of which all that has a say lies inside the window, so that nothing before or after it does. A window without any, as inside a long run of
+    symbols of which all that has a say lies inside the window, so that nothing before or after it does; the name is taken with the words that have
+    a say, which makes it as rare as they are together. A window without any, as inside a long run of
     a word or of some words, is named by its least word.
     """
     n = len(words)
     if n < window:
         return [np.full(n, LAST) for _ in rounds], np.zeros(n, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
+    sums, back = np.zeros(n + 1, np.uint64), _powers(n, True)
     np.cumsum(words * _powers(n), out=sums[1:])
     hashes = np.zeros(n, np.uint64)
-    hashes[: n - window + 1] = mix((sums[window:] - sums[: n - window + 1]) * _powers(n, True)[: n - window + 1])
+    hashes[: n - window + 1] = mix((sums[window:] - sums[: n - window + 1]) * back[: n - window + 1])
     out = []
     for k, s in enumerate(parse(words, max(rounds)), 1):
         if k not in rounds:
             continue
-        span = -(-(s.hi - s.lo) // GRAIN) * GRAIN
+        inside = (s.lo >= 0) & (s.hi <= n)
+        names, lo, hi = s.names[inside], s.lo[inside], s.hi[inside]
+        names = mix((sums[hi] - sums[lo]) * back[lo] + names)
+        span = -(-(hi - lo) // GRAIN) * GRAIN
         best = np.full(n, LAST)
         for length in range(GRAIN, window + 1, GRAIN):
-            own = (span == length) & (s.lo >= 0)
+            own = span == length
             if own.any():
                 at = np.full(n, LAST)
-                at[s.lo[own]] = mix(s.names[own] + np.uint64(k))
+                at[lo[own]] = names[own]
                 best = np.minimum(best, _sliding_least(at, window - length + 1))
         none = best == LAST
         if none[: n - window + 1].any():
@@ -309,7 +313,7 @@ def deduplicate(df: DataFrame, window: int = WINDOW, text: str = "text", key: st
     live = _Table(found.rows.join(copies.select("doc_id", "c"), ["doc_id", "c"], "left_anti").join(_shared(found.rows), "name", "left_semi").select("doc_id", "name", "spot", "hashes"))
     found.drop()
     single = live.rows.select("doc_id", "name", "spot", F.posexplode("hashes").alias("i", "h")).select("doc_id", "name", "h", (F.col("spot") + F.col("i")).alias("spot"))
-    least = _Table(single.groupBy("name", "h").agg(F.min(F.struct("doc_id", "spot")).alias("least"), F.max("doc_id").alias("most")).where("least.doc_id <> most").select("name", "h", F.col("least.doc_id").alias("owner"), F.col("least.spot").alias("found")))
+    least = _Table(single.groupBy("name", "h").agg(F.min("doc_id").alias("owner"), F.min_by("spot", "doc_id").alias("found"), F.max("doc_id").alias("most")).where("owner <> most").drop("most"))
     hits = _Table(single.join(least.rows, ["name", "h"]).where("doc_id > owner").select("doc_id", "spot", "owner", "found"))
     live.drop()
     least.drop()
