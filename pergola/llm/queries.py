@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergola.llm import bpe_codec, decontaminate, jaccard_join, language_id, lm_score, pii, quality_rules, substring_dedup, token_counts, toxicity
+from pergola.llm import bpe_codec, decontaminate, fim, jaccard_join, language_id, lm_score, minhash, pii, quality_rules, substring_dedup, token_counts, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,8 +65,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_read(spark, sf_dir, "documents")).drop("ranges")
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.deduplicate(_read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(_read(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op6_jaccard_join, op7_bpe_codec, op8_pii, op9_language_id, op10_substring_dedup)
+    own = (
+        op1_token_counts, op2_toxicity, op3_lm_score, op4_quality_rules, op5_decontaminate, op6_jaccard_join, op7_bpe_codec, op8_pii, op9_language_id,
+        op10_substring_dedup, op11_minhash_dedup, op12_fill_in_middle, op13_whitening,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -85,14 +100,18 @@ items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-_OP6 = f"""WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+
+
+def _components(least: int, more: str = "") -> str:
+    return f"""WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM dw),
 each AS (SELECT doc_id, unnest(s) AS g FROM sets),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)),
+links AS (SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * c >= {least} * (len(a.s) + len(b.s) - c)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, other FROM reach JOIN both_ways ON x = doc_id)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id{more} FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
+
 
 _OP10 = f"""WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
 wins AS (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' '))) AS h FROM dw WHERE len(w) >= 50),
@@ -103,7 +122,24 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM dw),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM dw LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+_UNITS = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+_DRAWS = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+
+_OP12 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS u, sha256('42:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, len(u) AS n, {_DRAWS} FROM d),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 :], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that need no tokenizer and no trained model; the others are held against brute force in tests/llm."""
-    return {"op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op10_substring_dedup": _OP10}
+    return {
+        "op5_decontaminate": _OP5,
+        "op6_jaccard_join": _components(85),
+        "op10_substring_dedup": _OP10,
+        "op11_minhash_dedup": _components(80, ", doc_id = component_id AS kept"),
+        "op12_fill_in_middle": _OP12,
+    }
