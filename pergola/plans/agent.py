@@ -46,7 +46,7 @@ def retriever(chunks: DataFrame, index: lexical.LexicalIndex, provider: Provider
         each = asked.select("qid", F.posexplode("queries").alias("n", "text"))
         each = each.withColumn("key", F.concat_ws("#", "qid", "n"))
         terms = lexical.query_terms(each, "key")
-        found = lexical.top(lexical.scores(index, terms), candidates).select("qid", "doc", "rank", F.lit("lexical").alias("family"), F.lit(fusion.LEXICAL_WEIGHT).alias("weight"))
+        found = lexical.best(index, terms, candidates).select("qid", "doc", "rank", F.lit("lexical").alias("family"), F.lit(fusion.LEXICAL_WEIGHT).alias("weight"))
         if vectors_of is not None and provider is not None:
             asked_vectors = provider.embed(each.select("key", "text")).where("embedding IS NOT NULL").select(F.col("key").alias("qid"), "embedding")
             dense = vectors.nearest(vectors_of, asked_vectors, candidates, key="doc")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pergola.functions import paths, text
 from pergola.operators import answers, chunking, diffs, evaluation, fusion, lexical, retrieval, usage, vectors
 from pergola.plans import fixtures
-from pergola.session import spread
+from pergola.session import fingerprint, spread
 from pergola.sources import files
 from pergola.streaming import quota
 
@@ -100,17 +100,25 @@ def scores_sql(name: str, terms: str, k: int) -> str:
 )"""
 
 
-#: The index of each folder's documents that a session has built: an index is made once and searched many times.
-_indexes: dict[tuple[str, str], lexical.LexicalIndex] = {}
+#: The index of each folder's documents that a session has built, by the files it was built from: an index is made once and searched many times.
+_indexes: dict[tuple[str, ...], lexical.LexicalIndex] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    key = spark.sparkContext.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet")
     if key not in _indexes:
         _indexes[key] = lexical.build(lexical.tokenised(read(spark, sf_dir, "documents")))
     return _indexes[key]
 
 
+@query(f"WITH {INDEX_SQL} SELECT n, (SELECT count(*) FROM tf) AS postings, (SELECT count(*) FROM dfs) AS terms, round(avgdl, 6) AS avgdl FROM corpus")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenises and indexes all documents, whatever was built before."""
+    made = lexical.build(lexical.tokenised(read(spark, sf_dir, "documents")))
+    sizes = made.terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.count("*").alias("terms"))
+    return made.corpus.crossJoin(sizes).select("n", "postings", "terms", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query(
     f"""WITH {INDEX_SQL}, {tokens_sql("ask", "benchmark", "item_id", "text")}, terms AS (SELECT DISTINCT doc AS qid, term FROM ask),
 {scores_sql("best", "terms", TOP)} SELECT qid AS item_id, rank, doc AS doc_id, score FROM best"""
@@ -118,7 +126,7 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark item by BM25."""
     terms = lexical.query_terms(read(spark, sf_dir, "benchmark"), "item_id")
-    best = lexical.top(lexical.scores(_index(spark, sf_dir), terms), TOP)
+    best = lexical.best(_index(spark, sf_dir), terms, TOP)
     return best.select(F.col("qid").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
@@ -157,6 +165,14 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, TOP).select("qid", "rank", F.col("doc").alias("vec_id"), "score")
 
 
+@query(f"WITH {dense_sql(6).replace('vec_id % 50 = 0', 'true')} SELECT qid, rank, doc AS vec_id, score FROM dense")
+def dense_all_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six nearest of all vectors for every one, over tiles, in one scan."""
+    rows, known = vectors.tiled(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    asked = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
+    return vectors.nearest(rows, asked, 6, known=known).select("qid", "rank", F.col("doc").alias("vec_id"), "score")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, len(embedding)::INTEGER AS dims FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dims"))
@@ -182,7 +198,7 @@ def fused_sql(dense: bool = True, lex: bool = True, name: str = "fused") -> str:
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, sf_dir, "documents")
     terms = lexical.query_terms(docs.where("doc_id % 50 = 0"), "doc_id")
-    return _dense(spark, sf_dir, CANDIDATES), lexical.top(lexical.scores(_index(spark, sf_dir), terms), CANDIDATES)
+    return _dense(spark, sf_dir, CANDIDATES), lexical.best(_index(spark, sf_dir), terms, CANDIDATES)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1108,7 +1124,7 @@ SELECT qid, doc AS doc_id, score, rank FROM lex"""
 def review_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of a diff's review: searches made of its terms, six results of each."""
     asked = spark.createDataFrame([("q0", "the handler"), ("q1", "token request with")], "qid string, text string")
-    best = lexical.top(lexical.scores(_index(spark, sf_dir), lexical.query_terms(asked)), 6)
+    best = lexical.best(_index(spark, sf_dir), lexical.query_terms(asked), 6)
     return best.select("qid", F.col("doc").alias("doc_id"), "score", "rank")
 
 

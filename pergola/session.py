@@ -60,3 +60,15 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan's rows on every core where a small table comes in fewer partitions than there are cores; a large one is left as it is."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def fingerprint(spark: SparkSession, where: str) -> str:
+    """What tells a table's files from what they were: names, sizes and times of change of all files at a path."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(where)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(base, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        found.append(f"{status.getPath()}\t{status.getLen()}\t{status.getModificationTime()}")
+    return "\n".join(sorted(found))

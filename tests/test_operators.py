@@ -32,9 +32,9 @@ def test_token_cap_ends_after_the_word_that_reaches_it(spark):
 
 
 DOCS = [
-    ("a", "def verify_jwt(token): check the signature and expiry"),
-    ("b", "class UserRepository: fetch users from the database"),
-    ("c", "def render_template(name): produce html output"),
+    ("a", "fn drain_queue(limit) empties pending jobs until none is left"),
+    ("b", "struct HarborLedger keeps berths and tides by quay"),
+    ("c", "fn paint_grid(rows) writes cells to a canvas"),
 ]
 
 
@@ -45,11 +45,11 @@ def search(spark, docs, query, k=5):
 
 
 def test_bm25(spark):
-    assert search(spark, DOCS, "verify_jwt")[0] == "a"
-    assert search(spark, DOCS, "verify jwt signature")[0] == "a"
-    assert search(spark, DOCS, "kubernetes helm chart") == []
-    assert search(spark, [("n", None)], "verify") == []
-    assert search(spark, DOCS[:0], "verify") == []
+    assert search(spark, DOCS, "drain_queue")[0] == "a"
+    assert search(spark, DOCS, "pending queue jobs")[0] == "a"
+    assert search(spark, DOCS, "orchid soil moisture") == []
+    assert search(spark, [("n", None)], "drain") == []
+    assert search(spark, DOCS[:0], "drain") == []
 
 
 def vector_frame(spark, rows):
@@ -61,7 +61,7 @@ def test_nearest(spark):
     asked = spark.createDataFrame([("q", [0.0, 0.0, 1.0, 0.0]), ("z", [0.0] * 4)], "qid string, embedding array<float>")
     found = vectors.nearest(unit, asked, 2).orderBy("qid", "rank").collect()
     assert [(r.qid, r.doc, r.score) for r in found] == [("q", "c", 1.0), ("q", "a", 0.0), ("z", "a", 0.0), ("z", "b", 0.0)]
-    assert vectors.nearest(unit, asked, 2, block=1).orderBy("qid", "rank").collect() == found
+    assert vectors.nearest(unit, asked, 2, query_bytes=1).orderBy("qid", "rank").collect() == found
     assert vectors.nearest(unit.limit(0), asked, 2).count() == 0
     assert vectors.nearest(unit, asked.limit(0), 2).count() == 0
 
