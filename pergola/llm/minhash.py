@@ -24,8 +24,9 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 #: A pair is dropped once the probability that it is a link, given the values that agree so far, is less.
 MISS = 1e-6
-#: Sets of a side of a bucket that one task compares with as many.
-CHUNK = 1024
+#: Shingles of a chunk of a bucket's side; two chunks meet in one task. What a set weighs besides its shingles.
+CHUNK = 400_000
+SET_WEIGHT = 64
 
 _FACTORS = (np.random.default_rng(11).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -133,45 +134,67 @@ def _compared(pairs: DataFrame, sets: DataFrame, needed: list[int], least: int)
     return both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _in_buckets(members: DataFrame, sets: DataFrame, needed: list[int], least: int) -> DataFrame:
-    """a, b, matches, other (the class of b): surviving pairs across classes of a bucket, a row in either direction, but for pairs with the bucket's pivot.
+def _open(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """band, i, j, place, node, class, n_shingles, sig: the sets of buckets that hold several classes, but for their pivots, in groups to be compared.
 
     members: band, pivot, node, class, home (the class of the pivot). One side of a bucket has the sets of its pivot's class, which need no
     comparison among themselves, the other side all others. Each side is dealt into chunks by node, and each two chunks that have pairs meet in
-    a group of their own, so a task holds some 2 * CHUNK sets, however large the bucket is.
+    a group of their own, so a task holds two chunks, however large the bucket is.
     """
     away = F.col("class") != F.col("home")
-    sized = members.groupBy("band").agg(F.count("*").alias("n"), F.count_if(away).alias("away"))
-    chunks = [F.ceil(F.col(c) / CHUNK).cast("int") for c in ("away", "near")]
-    sized = sized.where("away > 0 AND n > 2").withColumn("near", F.col("n") - F.col("away")).select("band", chunks[0].alias("far"), chunks[1].alias("near"))
-    rows = members.where("node <> pivot").join(sized, "band").select("band", "node", "class", away.alias("away"), "far", "near")
+    weight = F.col("n_shingles") + SET_WEIGHT
+    rows = members.where("node <> pivot").join(sets.select("node", "n_shingles"), "node").withColumn("away", away)
+    sized = rows.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.when(F.col("away"), weight).otherwise(0)).alias("far"), F.sum(F.when(F.col("away"), 0).otherwise(weight)).alias("near"))
+    sized = sized.where("far > 0 AND n > 1").select("band", *(F.ceil(F.col(c) / CHUNK).cast("int").alias(c) for c in ("far", "near")))
+    rows = rows.join(sized, "band")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("away"), F.col("far")).otherwise(F.greatest("near", F.lit(1))).cast("long")).cast("int"))
     # chunks of the pivot's class are numbered -1, -2, ...; a chunk of the others meets them and all chunks of the others
-    place = F.when(F.col("away"), F.col("chunk")).otherwise(-1 - F.col("chunk"))
+    rows = rows.withColumn("place", F.when(F.col("away"), F.col("chunk")).otherwise(-1 - F.col("chunk")))
     others = F.transform(F.sequence(F.lit(0), F.col("far") - 1), lambda c: F.struct(F.least(c, F.col("place")).alias("i"), F.greatest(c, F.col("place")).alias("j")))
     homes = F.transform(F.sequence(-F.col("near"), F.lit(-1)), lambda c: F.struct(c.alias("i"), F.col("place").alias("j")))
-    dealt = rows.withColumn("place", place).withColumn("group", F.explode(F.when(F.col("away") & (F.col("near") > 0), F.concat(others, homes)).otherwise(others)))
-    dealt = dealt.join(sets.select("node", "n_shingles", "sig"), "node").select("band", "group.i", "group.j", "place", "node", "class", "n_shingles", "sig")
+    dealt = rows.withColumn("group", F.explode(F.when(F.col("away") & (F.col("near") > 0), F.concat(others, homes)).otherwise(others)))
+    return dealt.select("band", "group.i", "group.j", "place", "node", "class", "n_shingles")
+
+
+def _compared_in_groups(groups: DataFrame, needed: list[int], least: int) -> DataFrame:
+    """a, b: links between sets of different classes of a group, as many as make one class of what is linked.
+
+    groups: _open() with sig and own (the whole set). A pair that agrees in several bands is compared in the first of them alone. Of a set's survivors
+    those most alike come first; what a link has made one class by then isn't compared.
+    """
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        sig = _matrix(rows.column("sig").chunk(0))
-        node, kind, size, place = (rows.column(c).to_numpy() for c in ("node", "class", "n_shingles", "place"))
+        sig, own = _matrix(rows.column("sig").chunk(0)), [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("own").chunk(0)]
+        node, label, size, place = (rows.column(c).to_numpy().copy() for c in ("node", "class", "n_shingles", "place"))
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        names = bands(sig)
+        band = int(np.flatnonzero(signed(names[0]) == rows.column("band")[0].as_py())[0])
         left, right = np.flatnonzero(place == i), np.flatnonzero(place == j)
-        firsts, seconds, counts = [], [], []
+        links = []
         for q in left.tolist():
-            ok = right[(kind[right] != kind[q]) & (100 * np.minimum(size[right], size[q]) >= least * np.maximum(size[right], size[q]))]
+            ok = right[(label[right] != label[q]) & (100 * np.minimum(size[right], size[q]) >= least * np.maximum(size[right], size[q]))]
             if i == j:
                 ok = ok[node[ok] > node[q]]
+            ok = ok[~(names[ok, :band] == names[q, :band]).any(axis=1)]
             alive, matches = survivors(np.broadcast_to(sig[q], (len(ok), BANDS * ROWS)), sig[ok], needed)
-            firsts.append(np.full(len(alive), q))
-            seconds.append(ok[alive])
-            counts.append(matches)
-        a, b, m = (np.concatenate([*parts, np.empty(0, np.int64)]).astype(np.int64) for parts in (firsts, seconds, counts))
-        return pa.table({"a": node[np.append(a, b)], "b": node[np.append(b, a)], "matches": np.append(m, m), "other": kind[np.append(b, a)]})
+            for r in ok[alive[np.argsort(-matches, kind="stable")]].tolist():
+                if label[r] != label[q] and _linked(own[q], own[r], least):
+                    links.append((node[q], node[r]))
+                    label[label == label[r]] = label[q]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long, matches long, other long").distinct()
+    return groups.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _linked(x: np.ndarray, y: np.ndarray, least: int) -> bool:
+    """Whether two sets, both sorted, share least / 100 of their union."""
+    if 100 * min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    shared = int((x[at] == y).sum())
+    return 100 * shared >= least * (len(x) + len(y) - shared)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -200,11 +223,8 @@ def _confirmed(pairs: DataFrame, full: DataFrame, least: int) -> DataFrame:
     def run(batches):
         release()
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("wa"), batch.column("wb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(100 * shared >= least * (len(x) + len(y) - shared))
+            pairs = zip(batch.column("wa"), batch.column("wb"))
+            linked = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
         release()
 
@@ -216,9 +236,9 @@ def deduplicate(df: DataFrame, width: int = WIDTH, least: int = LEAST, miss: flo
 
     Two sets are candidates if their signatures agree in a band, and a link if they share least / 100 of their union. Equal sets are one from the start.
     First each set of a bucket is compared with the bucket's pivot, its least set. Then, in buckets that hold several classes by then, sets of
-    different classes are compared: first confirmed is each set's best partner in each other class, then whatever is still across classes. A comparison
-    goes through the signatures batch by batch and ends once a link has become less probable than `miss`; what survives is confirmed on
-    the whole sets. So a link is lost only if it agrees in no band or falls under `miss`; none is made up. Nothing is capped.
+    different classes are compared in tasks that hold their signatures and whole sets, and only links that make one class of two leave them. A
+    comparison goes through the signatures batch by batch and ends once a link has become less probable than `miss`; what survives is
+    confirmed on the whole sets. So a link is lost only if it agrees in no band or falls under `miss`; none is made up. Nothing is capped.
 
     Null texts and texts without words have an empty set, link with nothing and are kept. Rows that share a doc_id have each its own set;
     rows with a null id link with nothing, have a null component and are kept; an empty table gives no rows; other columns are not read.
@@ -235,7 +255,7 @@ def deduplicate(df: DataFrame, width: int = WIDTH, least: int = LEAST, miss: flo
     nodes = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     full = _sets(docs, written(sets.join(nodes, "node").select("node", "k", "doc_id")), width)
     links = written(_confirmed(stars, full, least))
-    tied = components(_across(docs, sets, members, links, needed, width, least))
+    tied = components(_across(docs, sets, members, links, full, needed, width, least))
     named = sets.select("node", "k", F.col("doc_id").alias("first")).join(tied, "node")
     together = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("k", "component_id")
     firsts = sets.select("k", F.col("doc_id").alias("first")).join(together, "k", "left").select("k", F.coalesce("component_id", "first").alias("component_id"))
@@ -244,19 +264,12 @@ def deduplicate(df: DataFrame, width: int = WIDTH, least: int = LEAST, miss: flo
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(docs: DataFrame, sets: DataFrame, members: DataFrame, links: DataFrame, needed: list[int], width: int, least: int) -> DataFrame:
+def _across(docs: DataFrame, sets: DataFrame, members: DataFrame, links: DataFrame, full: DataFrame, needed: list[int], width: int, least: int) -> DataFrame:
     """links, and those between sets of one bucket that the links with pivots leave in different classes."""
     tied = written(components(links))
     at = members.join(tied, "node", "left").select("band", "pivot", "node", F.coalesce("root", "node").alias("class"))
     at = at.join(tied.select(F.col("node").alias("pivot"), F.col("root").alias("home")), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    alive = written(_in_buckets(written(at), sets, needed, least))
-    full = _sets(docs, written(sets.join(alive.select(F.col("a").alias("node")).distinct(), "node").select("node", "k", "doc_id")), width)
-    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    best = written(alive.groupBy("a", "other").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", F.col("best.b").alias("b")).select(*pair).distinct())
-    links = written(links.unionByName(_confirmed(best, full, least)))
-    tied = written(components(links))
-    left = alive.where("a < b").select("a", "b").join(best, ["a", "b"], "left_anti")
-    for c in ("a", "b"):
-        left = left.join(tied.select(F.col("node").alias(c), F.col("root").alias(f"class_{c}")), c, "left").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
-    left = written(left.where("class_a <> class_b").select("a", "b"))
-    return written(links.unionByName(_confirmed(left, full, least)))
+    groups = written(_open(written(at), sets))
+    fresh = groups.select("node").distinct().join(full.select("node"), "node", "left_anti")
+    full = full.unionByName(_sets(docs, written(sets.join(fresh, "node").select("node", "k", "doc_id")), width))
+    return written(links.unionByName(_compared_in_groups(groups.join(sets.select("node", "sig"), "node").join(full, "node"), needed, least)))
