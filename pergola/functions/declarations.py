@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -36,8 +36,9 @@ class Declaration:
 
 
 def _python_members(node: ast.AST) -> list[Declaration]:
-    functions = [n for n in getattr(node, "body", []) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    return [Declaration(n.lineno - 1, n.end_lineno - 1, "function", n.name) for n in functions]
+    """Functions of a class, and classes with theirs."""
+    own = [n for n in getattr(node, "body", []) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+    return [Declaration(n.lineno - 1, n.end_lineno - 1, "class", n.name, True, _python_members(n)) if isinstance(n, ast.ClassDef) else Declaration(n.lineno - 1, n.end_lineno - 1, "function", n.name) for n in own]
 
 
 def python_outline(text: str) -> tuple[list[str], list[Declaration]]:
@@ -140,7 +141,15 @@ GRAMMARS: dict[str, Grammar] = {
 _NOT_CODE = r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\""
 _SINGLE = re.compile(_NOT_CODE + r"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _CHARACTER = re.compile(_NOT_CODE + r"|'(?:\\[^\n]{1,8}?|[^'\\\n])'|`[^`]*`", re.S)
-_MARKS = re.compile(r"[{}();]")
+#: Brackets, ends of statements, and a line's end with what the next one is indented by.
+_MARKS = re.compile(r"[{}()\[\];]|\n[^\S\n]*")
+#: Characters of a statement that its head is looked for in.
+HEAD_CHARS = 600
+#: What a line ends, or the next begins, with if a statement goes on.
+_GOES_ON_AFTER = frozenset("=,+-*/%&|?:.<([{!~^")
+_GOES_ON_WITH = frozenset(".?:+*/%&|,)]}{=<>")
+#: What a statement is that has no braces of its own.
+_NEEDS_BRACES = ("function", "method")
 _WORDS_BEFORE_PARENTHESES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "try", "foreach"}
 
 
@@ -150,28 +159,6 @@ def bare(text: str, single_quotes: bool) -> str:
     return (_SINGLE if single_quotes else _CHARACTER).sub(blank, text)
 
 
-def _blocks(code: str, start: int, stop: int) -> Iterator[tuple[int, int, int]]:
-    """Statements between two places: where one begins, its brace (or -1), and its end; what nested brackets hold is passed over."""
-    depth = parens = 0
-    begin, brace = start, -1
-    for m in _MARKS.finditer(code, start, stop):
-        c, at = m[0], m.start()
-        if c in "()":
-            parens = max(0, parens + (1 if c == "(" else -1))
-        elif c == "{":
-            if not depth and not parens:
-                brace = at
-            depth += 1
-        elif c == "}":
-            depth = max(0, depth - 1)
-            if not depth and not parens and brace >= 0:
-                yield begin, brace, at + 1
-                begin, brace = at + 1, -1
-        elif not depth and not parens:
-            yield begin, -1, at + 1
-            begin = at + 1
-
-
 def _first_code(code: str, begin: int) -> int:
     """Where a statement begins: after white space and, at its start, lines of preprocessor marks and attributes."""
     while True:
@@ -182,39 +169,156 @@ def _first_code(code: str, begin: int) -> int:
         begin = skipped.end()
 
 
-def _declared(code: str, begin: int, stop: int, grammar: Grammar) -> tuple[int, re.Match | None, str, bool]:
-    """Where a statement's declaration begins, what names it, its kind, and whether it holds members. Where lines end statements, the last line that begins one."""
-    starts = [_first_code(code, begin)]
-    if grammar.line_ends:
-        starts += [_first_code(code, k.end()) for k in re.compile(r"\n").finditer(code, starts[0], stop)]
-    for at in reversed(starts):
-        head = re.sub(r"\s+", " ", code[at:stop])
-        for pattern, kind, holds in grammar.heads if at < stop else ():
-            m = re.match(pattern, head)
+@dataclass
+class _Scope:
+    """A file, or what a container's braces hold: its statement so far and the declarations before it."""
+
+    inner: bool
+    found: list[Declaration] = field(default_factory=list)
+    begin: int = -1
+    tried: bool = False
+    head: tuple[int, str, str | None, bool] | None = None
+    brace: bool = False
+    depth: int = 0
+    parens: int = 0
+    square: int = 0
+
+    def over(self) -> None:
+        self.begin, self.tried, self.head, self.brace, self.parens, self.square = -1, False, None, False, 0, 0
+
+
+class _Scan:
+    """One pass over the brackets, statement ends and line ends of a file, with a stack of the containers that are open.
+
+    What a statement declares is told from its first HEAD_CHARS characters, once: at its brace or its end, or where lines end statements at the
+    start of each line that can begin one. So the work is linear in the file's length, however long a statement is.
+    """
+
+    def __init__(self, code: str, grammar: Grammar):
+        self.code, self.grammar = code, grammar
+        self.ends = [m.start() for m in re.finditer("\n", code)]
+        self.scopes = [_Scope(False)]
+        self.last = -1
+
+    def row(self, at: int) -> int:
+        return bisect_left(self.ends, at)
+
+    def head(self, at: int, stop: int, inner: bool) -> tuple[int, str, str | None, bool] | None:
+        """Where a declaration begins, its kind, its name and whether it holds members."""
+        at = _first_code(self.code, at)
+        text = re.sub(r"\s+", " ", self.code[at : min(stop, at + HEAD_CHARS)])
+        if not text:
+            return None
+        for pattern, kind, holds in self.grammar.heads:
+            if inner and kind not in ("class", "interface"):
+                continue
+            m = re.match(pattern, text)
             if m and (m[1] or "") not in _WORDS_BEFORE_PARENTHESES:
-                return at, m, kind, holds
-    return starts[0], None, "", False
+                return at, kind, (m[1] or None) and m[1][:NAME_CHARS], holds
+        m = re.match(self.grammar.member, text) if inner and self.grammar.member else None
+        return (at, "method", m[1][:NAME_CHARS], False) if m and m[1] not in _WORDS_BEFORE_PARENTHESES else None
+
+    def told(self, scope: _Scope, stop: int) -> None:
+        if scope.head is None and not scope.tried and scope.begin >= 0:
+            scope.head, scope.tried = self.head(scope.begin, stop, scope.inner), True
+
+    def done(self, scope: _Scope, end: int, members: list[Declaration] | None = None) -> None:
+        """The statement ends before `end`."""
+        if scope.head is not None and (scope.brace or scope.head[1] not in _NEEDS_BRACES):
+            at, kind, name, holds = scope.head
+            scope.found.append(Declaration(self.row(at), self.row(end - 1), kind, name, holds, members or []))
+        scope.over()
+
+    def line(self, scope: _Scope, nxt: int, before: str) -> None:
+        """A line's end between statements, or inside one, where lines may end them."""
+        code = self.code
+        fresh = self.head(nxt, len(code), scope.inner) if (not scope.parens and not scope.square) or code[nxt - 1] == "\n" else None
+        if fresh is not None and not (scope.begin >= 0 and before in _GOES_ON_AFTER and scope.parens + scope.square == 0):
+            if not scope.brace:
+                self.told(scope, self.last + 1)
+                self.done(scope, self.last + 1)
+            scope.over()
+            scope.begin, scope.head, scope.tried = nxt, fresh, True
+        elif not scope.parens and not scope.square and not scope.brace and before not in _GOES_ON_AFTER and code[nxt] not in _GOES_ON_WITH:
+            self.told(scope, self.last + 1)
+            kind = scope.head[1] if scope.head else "block"
+            if kind == "block" or (kind == "interface" and "=" in code[scope.begin : min(self.last + 1, scope.begin + HEAD_CHARS)]):
+                self.done(scope, self.last + 1)
+                scope.begin = nxt
+
+    def run(self) -> list[Declaration]:
+        code, at, before = self.code, 0, "\n"
+        for m in _MARKS.finditer(code):
+            mark, scope, own = m[0], self.scopes[-1], code[at : m.start()]
+            stripped = own.rstrip()
+            if stripped.strip():
+                if scope.begin < 0:
+                    scope.begin = at + len(own) - len(own.lstrip())
+                before, self.last = stripped[-1], at + len(stripped) - 1
+            at = m.end()
+            if mark[0] == "\n":
+                if self.grammar.line_ends and not scope.depth and at < len(code) and code[at] != "\n":
+                    self.line(scope, at, before)
+                continue
+            before, self.last = mark, m.start()
+            if mark in "([":
+                if scope.begin < 0:
+                    scope.begin = m.start()
+                if not scope.depth:
+                    scope.parens, scope.square = scope.parens + (mark == "("), scope.square + (mark == "[")
+            elif mark in ")]":
+                if not scope.depth:
+                    scope.parens, scope.square = max(0, scope.parens - (mark == ")")), max(0, scope.square - (mark == "]"))
+            elif mark == "{":
+                if not scope.depth and not scope.parens:
+                    self.told(scope, m.start())
+                    first, scope.brace = not scope.brace, True
+                    if first and scope.head is not None and scope.head[3] and self.grammar.member:
+                        self.scopes.append(_Scope(True))
+                        continue
+                scope.depth += 1
+            elif mark == "}":
+                if not scope.depth and scope.inner:
+                    self.scopes.pop()
+                    self.done(self.scopes[-1], at, scope.found)
+                    continue
+                scope.depth = max(0, scope.depth - 1)
+                if not scope.depth and not scope.parens and scope.brace:
+                    self.done(scope, at)
+            elif not scope.depth and not scope.parens:
+                self.told(scope, m.start())
+                self.done(scope, at)
+        if self.grammar.line_ends and len(self.scopes) == 1 and not self.scopes[0].depth:
+            if code[at:].strip():
+                self.last = len(code.rstrip()) - 1
+                if self.scopes[0].begin < 0:
+                    self.scopes[0].begin = at
+            self.told(self.scopes[0], len(code))
+            if not self.scopes[0].brace:
+                self.done(self.scopes[0], self.last + 1)
+        return self.scopes[0].found
 
 
 def brace_outline(text: str, grammar: Grammar) -> tuple[list[str], list[Declaration]]:
     code = bare(text, grammar.single_quotes)
-    row = lambda at: code.count("\n", 0, at)
-    imports, found = [], []
-    for line in re.finditer(r"^[^\n]*", text, re.M):
-        if re.match(grammar.imports, line[0]) and code[line.start() : line.start() + 1].strip():
-            imports.append(line[0])
-    for begin, brace, end in _blocks(code, 0, len(code)):
-        at, m, kind, holds = _declared(code, begin, brace if brace >= 0 else end, grammar)
-        if not m or (brace < 0 and kind in ("function", "method")):
-            continue
-        members = []
-        for b, inner, e in _blocks(code, brace + 1, end - 1) if holds and brace >= 0 and grammar.member else ():
-            start = _first_code(code, b)
-            own = re.match(grammar.member, re.sub(r"\s+", " ", code[start:inner])) if inner >= 0 else None
-            if own and own[1] not in _WORDS_BEFORE_PARENTHESES:
-                members.append(Declaration(row(start), row(e - 1), "method", own[1]))
-        found.append(Declaration(row(at), row(end - 1), kind, (m[1] or None) and m[1][:NAME_CHARS], holds, members))
-    return imports, found
+    imports = [m[0] for m in re.finditer(r"^[^\n]+", text, re.M) if re.match(grammar.imports, m[0]) and code[m.start() : m.start() + 1].strip()]
+    return imports, _Scan(code, grammar).run()
+
+
+def _listed(found: list[Declaration], lines: list[str], max_lines: int, parent: str | None = None) -> list[dict]:
+    """A row for each declaration; a container of more than max_lines as its outline, then its members, and so on inside of them."""
+    out = []
+    for d in found:
+        members = [m for m in d.members if m.last > m.first]
+        outline = None
+        if d.last - d.first + 1 > max_lines and d.container and members:
+            shown = [f"    {lines[m.first].strip()}" for m in members[:OUTLINED]]
+            more = [f"    # ... and {len(members) - OUTLINED} more members"] if len(members) > OUTLINED else []
+            outline = "\n".join([f"# Outline of {d.symbol or 'container'} ({len(members)} members)", lines[d.first].strip(), *shown, *more, ""])
+        out.append({"first": d.first, "last": d.last, "kind": d.kind, "symbol": d.symbol, "parent": parent, "outline": outline, "top": parent is None})
+        if outline is not None:
+            out += _listed(members, lines, max_lines, d.symbol or "container")
+    return out
 
 
 def outline_of(text: str | None, language: str | None, max_lines: int) -> dict | None:
@@ -225,18 +329,10 @@ def outline_of(text: str | None, language: str | None, max_lines: int) -> dict |
         imports, found = python_outline(text) if language == "python" else brace_outline(text, GRAMMARS[language])
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    lines, out = text.split("\n"), []
-    row = lambda d, parent, outline, top: {"first": d.first, "last": d.last, "kind": d.kind, "symbol": d.symbol, "parent": parent, "outline": outline, "top": top}
-    for d in found:
-        members = [m for m in d.members if m.last > m.first]
-        if d.last - d.first + 1 > max_lines and d.container and members:
-            listed = [f"    {lines[m.first].strip()}" for m in members[:OUTLINED]]
-            more = [f"    # ... and {len(members) - OUTLINED} more members"] if len(members) > OUTLINED else []
-            outline = "\n".join([f"# Outline of {d.symbol or 'container'} ({len(members)} members)", lines[d.first].strip(), *listed, *more, ""])
-            out.append(row(d, None, outline, True))
-            out += [row(m, d.symbol, None, False) for m in members]
-        else:
-            out.append(row(d, None, None, True))
+    try:
+        out = _listed(found, text.split("\n"), max_lines)
+    except RecursionError:
+        return None
     kept = [i.strip() for i in imports if i.strip() and len(i.strip()) < IMPORT_CHARS][:IMPORTS]
     return {"imports": kept, "found": out}
 

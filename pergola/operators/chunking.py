@@ -66,13 +66,11 @@ def sections(lines: Column) -> Column:
     """Array of structs title, first, last: from each heading to the next; 'preamble' before the first; a text without headings whole, without a title."""
     n = F.size(lines)
     places = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(HEADING))).otherwise(F.array().cast("array<int>"))
-    own = F.transform(
+    following = F.concat(F.slice(places, F.lit(2), F.size(places)), F.array(n))
+    own = F.zip_with(
         places,
-        lambda at, j: F.struct(
-            F.trim(F.regexp_extract(F.get(lines, at), "^#{1,4}\\s+(.*)$", 1)).alias("title"),
-            at.alias("first"),
-            (F.coalesce(F.get(places, j + 1), n) - 1).alias("last"),
-        ),
+        following,
+        lambda at, after: F.struct(F.trim(F.regexp_extract(F.get(lines, at), "^#{1,4}\\s+(.*)$", 1)).alias("title"), at.alias("first"), (after - 1).alias("last")),
     )
     first = F.get(places, 0)
     before = F.array(F.struct(F.lit("preamble").alias("title"), F.lit(0).alias("first"), (first - 1).alias("last")))
@@ -85,8 +83,11 @@ def islands(lines: Column, covered: Column, gap: int = MERGE_GAP) -> Column:
     n = F.size(lines)
     free = F.array_except(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), covered)
     own = F.filter(free, lambda i: ~_blank(F.get(lines, i)))
-    starts = F.filter(own, lambda x, j: (j == 0) | (x - F.get(own, j - 1) > gap))
-    ends = F.filter(own, lambda x, j: (j == F.size(own) - 1) | (F.get(own, j + 1) - x > gap))
+    # neighbours are zipped with, for an array that a lambda looks into would be computed for each of its elements
+    none = F.array(F.lit(None).cast("int"))
+    edges = lambda beside, far: F.transform(F.filter(F.zip_with(own, beside, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"].isNotNull() & (p["y"].isNull() | far(p["x"], p["y"]))), lambda p: p["x"])
+    starts = edges(F.concat(none, own), lambda x, before: x - before > gap)
+    ends = edges(F.concat(F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(0))), none), lambda x, after: after - x > gap)
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
 
 
@@ -151,7 +152,8 @@ def code_spans(rows: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERL
 
 def code_chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of path, content rows of code by what they declare, each under the file's name and its first imports; parent_symbol: a member's container."""
-    rows = code_spans(parsed(files, max_lines), max_lines, overlap).select("path", "language", "lines", "declared", "outline.imports", F.explode("spans").alias("span"))
+    # an outer explosion, as the planner would compute the spans once more to leave out files without any
+    rows = code_spans(parsed(files, max_lines), max_lines, overlap).select("path", "language", "lines", "declared", "outline.imports", F.explode_outer("spans").alias("span")).where("span IS NOT NULL")
     imports = F.concat(F.lit("// imports: "), F.substring(F.replace(F.array_join("imports", "; "), F.lit("\n"), F.lit(" ")), 1, declarations.HEADER_CHARS), F.lit("\n"))
     header = F.concat(F.lit("// file: "), "path", F.lit(" ("), "language", F.lit(")\n"), F.when(F.col("declared") & (F.size("imports") > 0), imports).otherwise(""))
     body = F.coalesce("span.outline", F.array_join(F.slice("lines", F.col("span.first") + 1, F.col("span.last") - F.col("span.first") + 1), "\n"))

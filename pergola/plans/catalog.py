@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pergola.functions import paths, text
 from pergola.operators import answers, chunking, diffs, evaluation, fusion, lexical, retrieval, usage, vectors
 from pergola.plans import fixtures
-from pergola.session import fingerprint, spread
+from pergola.session import fingerprint, materialise, spread
 from pergola.sources import files
 from pergola.streaming import quota
 
@@ -165,7 +165,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, TOP).select("qid", "rank", F.col("doc").alias("vec_id"), "score")
 
 
-@query(f"WITH {dense_sql(6).replace('vec_id % 50 = 0', 'true')} SELECT qid, rank, doc AS vec_id, score FROM dense")
+@query(f"WITH {dense_sql(6).replace('q.vec_id % 50 = 0', 'true')} SELECT qid, rank, doc AS vec_id, score FROM dense")
 def dense_all_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six nearest of all vectors for every one, over tiles, in one scan."""
     rows, known = vectors.tiled(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -535,39 +535,68 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("chunks"), F.countDistinct("path").alias("files"), F.round(F.avg(F.col("end_line") - F.col("start_line") + 1), 1).alias("mean_lines"))
 
 
-#: What the fixture's files declare, read off by hand.
-CODE_SQL = """SELECT * FROM (VALUES
-('src/store.py', 1, 2, 'module', NULL, NULL, '// imports: import os; from sys import path'), ('src/store.py', 4, 6, 'function', 'small', NULL, '// imports: import os; from sys import path'),
-('src/store.py', 9, 31, 'class', 'Store', NULL, '// imports: import os; from sys import path'), ('src/store.py', 10, 20, 'function', 'get', 'Store', '// imports: import os; from sys import path'),
-('src/store.py', 21, 31, 'function', 'put', 'Store', '// imports: import os; from sys import path'), ('src/store.py', 33, 33, 'module', NULL, NULL, '// imports: import os; from sys import path'),
-('web/board.ts', 1, 2, 'module', NULL, NULL, '// imports: import { draw } from "./draw";'), ('web/board.ts', 3, 32, 'class', 'Board', NULL, '// imports: import { draw } from "./draw";'),
-('web/board.ts', 4, 6, 'method', 'constructor', 'Board', '// imports: import { draw } from "./draw";'), ('web/board.ts', 7, 19, 'method', 'render', 'Board', '// imports: import { draw } from "./draw";'),
-('web/board.ts', 20, 31, 'method', 'width', 'Board', '// imports: import { draw } from "./draw";'), ('web/board.ts', 34, 36, 'function', 'openBoard', NULL, '// imports: import { draw } from "./draw";'),
-('web/board.ts', 37, 37, 'interface', 'Shape', NULL, '// imports: import { draw } from "./draw";'),
-('cmd/server.go', 1, 3, 'module', NULL, NULL, '// imports: import "fmt"'), ('cmd/server.go', 5, 7, 'method', 'Start', NULL, '// imports: import "fmt"'), ('cmd/server.go', 9, 12, 'interface', 'Server', NULL, '// imports: import "fmt"'),
-('src/tree.rs', 3, 5, 'class', 'Tree', NULL, '// imports: use std::fmt;'), ('src/tree.rs', 7, 11, 'class', 'Tree', NULL, '// imports: use std::fmt;'), ('src/tree.rs', 13, 13, 'function', 'is_brace', NULL, '// imports: use std::fmt;'),
-('src/broken.py', 1, 2, 'block', NULL, NULL, 'def broken(:'), ('notes.txt', 1, 1, 'block', NULL, NULL, 'Only some words about nothing in particular.'), ('guide.md', 1, 2, 'documentation', 'Guide', NULL, '# Guide')
-) AS t(path, start_line, end_line, kind, symbol, parent_symbol, second)"""
-
-
-@query(CODE_SQL)
+#: A source file for each document: its lines are comments in a class of one to three methods, a function and a list; every fifth doesn't parse.
+#: n: the document's lines; m: methods; h: lines of a method besides them; c: where the class ends; f: where the function begins and how it goes on.
+CODE_SQL = f"""based AS (SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n, doc_id % 3 + 1 AS m, CASE WHEN doc_id % 5 = 4 THEN 'no' WHEN doc_id % 2 = 0 THEN 'ts' ELSE 'py' END AS kind FROM documents),
+sized AS (SELECT *, n + CASE WHEN kind = 'ts' THEN 3 ELSE 2 END AS h, 'code/' || doc_id || CASE WHEN kind = 'ts' THEN '.ts' ELSE '.py' END AS path FROM based),
+placed AS (SELECT *, CASE WHEN kind = 'ts' THEN 3 ELSE 2 END + m * h AS c FROM sized),
+steps AS (SELECT *, unnest(range(m)) AS j FROM placed WHERE kind <> 'no'),
+whole AS (SELECT doc_id, 1 AS sect, list_concat(['f'], list_transform(range(n), lambda i: '  x'), [CASE WHEN kind = 'ts' THEN '}}' ELSE '  y' END]) AS l, 0::BIGINT AS a, n + 1 AS b, c + 2 AS base FROM placed WHERE kind <> 'no' AND n + 2 > {2 * LINES}
+  UNION ALL SELECT doc_id, 2, list_concat(['t'], list_transform(range(n), lambda i: '  x'), ['  1', ']']), 0, n + 2, c + n + 4 FROM placed WHERE kind = 'ts' AND n + 3 > {2 * LINES}
+  UNION ALL SELECT doc_id, 3, list_concat(['t'], list_transform(range(n), lambda i: '  x'), ['  1', ']']), 0, n + 2, c + n + 4 FROM placed WHERE kind = 'py'
+  UNION ALL SELECT doc_id, 4, list_concat(['d'], list_transform(range(n), lambda i: '  x')), 0, n, 1 FROM placed WHERE kind = 'no'), {windows_sql("whole")},
+code AS (
+  SELECT path, 1 AS start_line, 1 AS end_line, 'module' AS kind, NULL AS symbol, NULL AS parent_symbol FROM placed WHERE kind <> 'no'
+  UNION ALL SELECT path, 2, c, 'class', 'Doc' || doc_id, NULL FROM placed WHERE kind <> 'no'
+  UNION ALL SELECT path, 3 + j * h, 2 + (j + 1) * h, CASE WHEN kind = 'ts' THEN 'method' ELSE 'function' END, 'step' || j, 'Doc' || doc_id FROM steps WHERE c - 1 > {LINES}
+  UNION ALL SELECT path, c + 2, c + n + 3, 'function', 'open' || doc_id, NULL FROM placed WHERE kind <> 'no' AND n + 2 <= {2 * LINES}
+  UNION ALL SELECT path, c + n + 4, c + 2 * n + 6, 'block', 'TAIL' || doc_id, NULL FROM placed WHERE kind = 'ts' AND n + 3 <= {2 * LINES}
+  UNION ALL SELECT path, base + first, base + last, ['function', 'block', 'module', 'block'][sect], CASE sect WHEN 1 THEN 'open' || doc_id WHEN 2 THEN 'TAIL' || doc_id END, NULL FROM win JOIN whole USING (doc_id, sect) JOIN placed USING (doc_id))"""
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: see CODE_SQL."""
+    kind = F.when(F.col("doc_id") % 5 == 4, "no").when(F.col("doc_id") % 2 == 0, "ts").otherwise("py")
+    said = F.transform(F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")), lambda x: F.regexp_replace(x, "[^A-Za-z0-9 {}()\";]", ""))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 3 + 1).cast("int").alias("m"), kind.alias("kind"), said.alias("said"))
+    ts, py = F.transform("said", lambda x: F.concat(F.lit("    // "), x)), F.transform("said", lambda x: F.concat(F.lit("        # "), x))
+    step = lambda before, after: F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.concat(F.lit(before), j.cast("string"), F.lit(after)))
+    one = lambda *parts: F.array(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+    named = F.col("id")
+    web = F.concat(
+        one('import { part } from "./lib_', named, '";'), one("export class Doc", named, " {"),
+        F.flatten(F.transform(step("  step", "(a) {"), lambda head: F.concat(F.array(head), ts, F.array(F.lit("    return a;"), F.lit("  }"))))), one("}"), one(""),
+        one("export function open", named, "() {"), ts, one("}"), one("const TAIL", named, " = ["), ts, one("  1,"), one("]"),
+    )
+    python = F.concat(
+        one("import lib_", named, "_of_the_corpus"), one("class Doc", named, ":"),
+        F.flatten(F.transform(step("    def step", "(self, a):"), lambda head: F.concat(F.array(head), py, F.array(F.lit("        return a"))))), one(""),
+        one("def open", named, "():"), py, one("    return 1"), one("TAIL", named, " = ["), py, one("    1,"), one("]"),
+    )
+    broken = F.concat(one("def broken(: # no parser takes this"), py)
+    lines = F.when(F.col("kind") == "ts", web).when(F.col("kind") == "py", python).otherwise(broken)
+    path = F.concat(F.lit("code/"), "id", F.when(F.col("kind") == "ts", ".ts").otherwise(".py"))
+    return materialise(rows.select(path.alias("path"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content")))
+
+
+@query(f"WITH {CODE_SQL} SELECT path, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, kind, symbol, parent_symbol FROM code")
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files by what they declare, containers of more than 20 lines by their members; the second line of a chunk names the file's imports."""
-    found = chunking.chunks(fixtures.SOURCES.frame(spark), LINES, OVERLAP)
-    return found.select("path", "start_line", "end_line", "kind", "symbol", "parent_symbol", F.get(F.split("content", "\n"), 1).alias("second"))
+    """A source file a document by what it declares; containers of more than 20 lines by their members."""
+    return chunking.chunks(_sources(spark, sf_dir), LINES, OVERLAP).select("path", "start_line", "end_line", "kind", "symbol", "parent_symbol")
 
 
-@query("SELECT 7::BIGINT AS files, 4::BIGINT AS declared, 3::BIGINT AS fallback, 2::BIGINT AS skeletons, 0.5714::DOUBLE AS coverage")
+@query(f"WITH {CODE_SQL} SELECT count(*) AS files, count(*) FILTER (WHERE kind <> 'no') AS declared, count(*) FILTER (WHERE kind = 'no') AS fallback, count(*) FILTER (WHERE kind <> 'no' AND c - 1 > {LINES}) AS skeletons, round(count(*) FILTER (WHERE kind <> 'no') / count(*), 4) AS coverage FROM placed")
 def code_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files_ = fixtures.SOURCES.frame(spark).where(~F.col("path").endswith(".md"))
-    return chunking.code_stats(chunking.code_spans(chunking.parsed(files_, LINES), LINES, OVERLAP))
+    return chunking.code_stats(chunking.code_spans(chunking.parsed(_sources(spark, sf_dir), LINES), LINES, OVERLAP))
 
 
-@query("SELECT 'Store' AS container, '# Outline of Store (2 members)' || chr(10) || 'class Store(Base):' || chr(10) || '    def get(self, key):' || chr(10) || '    def put(self, key):' || chr(10) AS outline")
+@query(
+    f"""WITH {CODE_SQL} SELECT path, 'Doc' || doc_id AS container, '# Outline of Doc' || doc_id || ' (' || m || ' members)' || chr(10) || CASE WHEN kind = 'ts' THEN 'export class Doc' || doc_id || ' {{' ELSE 'class Doc' || doc_id || ':' END || chr(10)
+|| array_to_string(list_transform(range(m), lambda j: CASE WHEN kind = 'ts' THEN '    step' || j || '(a) {{' ELSE '    def step' || j || '(self, a):' END), chr(10)) || chr(10) AS outline FROM placed WHERE kind <> 'no' AND c - 1 > {LINES}"""
+)
 def code_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A container's outline in place of its lines."""
-    rows = chunking.code_spans(chunking.parsed(fixtures.SOURCES.frame(spark).where("path = 'src/store.py'"), LINES), LINES, OVERLAP)
-    return rows.select(F.explode("spans").alias("s")).where("s.outline IS NOT NULL").select(F.col("s.symbol").alias("container"), "s.outline")
+    spans = chunking.code_spans(chunking.parsed(_sources(spark, sf_dir), LINES), LINES, OVERLAP).select("path", F.explode_outer("spans").alias("s"))
+    return spans.where("s.outline IS NOT NULL").select("path", F.col("s.symbol").alias("container"), F.col("s.outline").alias("outline"))
 
 
 #: Every third line as a heading, of a level that its place gives.
