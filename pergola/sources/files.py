@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pergola.functions import paths
+from pergola.sources import repository as reader
 
 CASE = T.StructType(
     [
@@ -26,33 +27,91 @@ CASE = T.StructType(
 )
 
 
+# The named classes of a glob, in Java's terms.
+NAMED = {"alnum": "\\p{Alnum}", "alpha": "\\p{Alpha}", "digit": "0-9", "lower": "a-z", "upper": "A-Z", "space": "\\s", "punct": "\\p{Punct}", "xdigit": "0-9A-Fa-f"}
+
+
+def _literal(c: str) -> str:
+    return "\\" + c if c in ".^$+{}()|[]\\*?-&~#" else c
+
+
+def _bracket(glob: str, i: int) -> tuple[str, int] | None:
+    """The class that opens at i as a regular expression, and the place after it; None if it doesn't close."""
+    j = i + 1
+    negated = j < len(glob) and glob[j] in "!^"
+    j += negated
+    out, first = "", True
+    while j < len(glob) and (glob[j] != "]" or first):
+        named = re.match(r"\[:([a-z]+):\]", glob[j:])
+        if named and named[1] in NAMED:
+            out, j = out + NAMED[named[1]], j + len(named[0])
+        elif glob[j] == "\\" and j + 1 < len(glob):
+            out, j = out + _literal(glob[j + 1]), j + 2
+        elif glob[j] == "-" and not first and j + 1 < len(glob) and glob[j + 1] != "]":
+            out, j = out + "-", j + 1
+        else:
+            out, j = out + _literal(glob[j]), j + 1
+        first = False
+    return None if j >= len(glob) else (f"(?!/)[{'^' if negated else ''}{out}]", j + 1)
+
+
 def glob_pattern(glob: str) -> str:
-    """A path glob as a regular expression: ** crosses slashes, * and ? don't."""
+    """A path glob as a regular expression: ** between slashes or at an end crosses slashes; *, ? and classes don't; a backslash takes the next as it is."""
     out, i = "", 0
     while i < len(glob):
-        if glob.startswith("**/", i):
+        c = glob[i]
+        before, bracket = i == 0 or glob[i - 1] == "/", _bracket(glob, i) if c == "[" else None
+        if before and glob.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
-        elif glob.startswith("**", i):
+        elif before and glob[i:] == "**":
             out, i = out + ".*", i + 2
+        elif bracket:
+            out, i = out + bracket[0], bracket[1]
+        elif c == "*":
+            out, i = out + "[^/]*", i + len(glob[i:]) - len(glob[i:].lstrip("*"))
+        elif c == "\\" and i + 1 < len(glob):
+            out, i = out + _literal(glob[i + 1]), i + 2
         else:
-            c = glob[i]
-            out, i = out + ("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in ".^$+{}()|[]\\" else c), i + 1
+            out, i = out + ("[^/]" if c == "?" else _literal(c)), i + 1
     return out
 
 
-def ignored(path: Column, lines: list[str]) -> Column:
-    """Whether an ignore file's lines leave a path out: the last that matches decides, '!' takes back, a slash before the end ties to the root."""
-    out = F.lit(False)
+def ignore_rules(lines: list[str]) -> list[tuple[str, bool, bool]]:
+    """(regular expression, whether for folders alone, whether it takes back) of an ignore file's lines, in order.
+
+    Blank lines and comments are none; a backslash keeps '#', '!' and a space at the end; a slash before the end ties a rule to the root.
+    """
+    rules = []
     for line in lines:
-        rule = line.rstrip()
-        if not rule or rule.startswith("#"):
+        rule = line.rstrip("\r\n")
+        bare = rule.rstrip(" ")
+        rule = bare + " " if bare.endswith("\\") and len(rule) > len(bare) and (len(bare) - len(bare.rstrip("\\"))) % 2 else bare
+        if not rule.strip() or rule.startswith("#"):
             continue
         back, rule = rule.startswith("!"), rule.removeprefix("!")
-        only_dir, rule = rule.endswith("/"), rule.rstrip("/")
-        root = "/" in rule
-        pattern = ("^" if root else "^(?:.*/)?") + glob_pattern(rule.lstrip("/")) + ("/.*$" if only_dir else "(?:/.*)?$")
-        out = F.when(path.rlike(pattern), F.lit(not back)).otherwise(out)
-    return out
+        only_dir = rule.endswith("/")
+        rule = rule.rstrip("/") if only_dir else rule
+        if rule:
+            rules.append((("^" if "/" in rule else "^(?:.*/)?") + glob_pattern(rule.removeprefix("/")) + "$", only_dir, back))
+    return rules
+
+
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether an ignore file's lines leave a path out: the last that matches it decides, '!' takes back; what is in a folder left out can't be taken back."""
+    rules = ignore_rules(lines)
+    if not rules:
+        return F.lit(False)
+
+    def decided(name: Column, folder: bool) -> Column:
+        out = F.lit(False)
+        for pattern, only_dir, back in rules:
+            if folder or not only_dir:
+                out = F.when(name.rlike(pattern), F.lit(not back)).otherwise(out)
+        return out
+
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.exists(F.filter(above, lambda a: a != ""), lambda a: decided(a, True)) | decided(path, False)
 
 
 MAX_BYTES = 400_000
@@ -97,19 +156,22 @@ def _content(spark: SparkSession, where: str) -> bytes:
 def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path (under root), bytes, size_bytes of every file outside the folders that are never indexed.
 
-    Names and sizes come first: only files of 1 to max_bytes bytes are opened; larger ones have null bytes, empty ones no bytes, and both rows stay,
-    for they are counted. Files whose name begins with '_' or '.', which Spark's own sources pass over, are read by the driver.
+    Only files of 1 to max_bytes bytes are opened; larger ones have null bytes, empty ones no bytes, and both rows stay, for they are counted.
+    Tasks list folders and read files by their names as they are, see sources.repository; a root that only Spark's readers can open is listed by
+    the driver and read by Spark, with the marks of globs in names escaped; files that Spark's readers pass over, whose names begin with '_' or '.', by the driver.
     """
+    if reader.known(root):
+        spark.dataSource.register(reader.RepositorySource)
+        return spark.read.format("repository").options(root=root, max_bytes=str(max_bytes)).load()
     listed = _walk(spark, root)
-    hidden = {p for p, f, n in listed if 0 < n <= max_bytes and f.rsplit("/", 1)[-1][0] in "._"}
+    hidden = {p for p, f, n in listed if 0 < n <= max_bytes and p.rsplit("/", 1)[-1][0] in "._"}
     rest = spark.createDataFrame([(p, bytearray() if n == 0 else bytearray(_content(spark, f)) if p in hidden else None, n) for p, f, n in listed if p in hidden or not 0 < n <= max_bytes], FILE)
-    full = [f for p, f, n in listed if 0 < n <= max_bytes and p not in hidden]
+    full = [re.sub(r"([\\{}\[\]*?])", r"\\\1", f) for p, f, n in listed if 0 < n <= max_bytes and p not in hidden]
     if not full:
         return rest
     top = listed[0][1][: len(listed[0][1]) - len(listed[0][0])]
     raw = spark.read.format("binaryFile").load(full)
-    read = raw.select(F.expr(f"substring(path, {len(top) + 1})").alias("path"), F.col("content").alias("bytes"), F.col("length").alias("size_bytes"))
-    return read.unionByName(rest)
+    return rest.unionByName(raw.select(F.expr(f"substring(path, {len(top) + 1})").alias("path"), F.col("content").alias("bytes"), F.col("length").alias("size_bytes")))
 
 
 def ignore_lines(spark: SparkSession, root: str) -> list[str]:
