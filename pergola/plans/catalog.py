@@ -6,15 +6,16 @@ belongs to the document whose id it has; events are spans, calls and requests; e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pergola.functions import paths, text
-from pergola.operators import answers, chunking, diffs, evaluation, fusion, lexical, retrieval, usage, vectors
+from pergola.operators import answers, chunking, diffs, evaluation, fusion, increments, lexical, retrieval, usage, vectors
 from pergola.plans import fixtures
-from pergola.session import fingerprint, materialise, spread
+from pergola.session import fingerprint, materialise, shared_folder, spread
 from pergola.sources import files
 from pergola.streaming import quota
 
@@ -135,6 +136,45 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).term_stats().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _updated(spark: SparkSession, sf_dir: str) -> tuple[increments.Increments, increments.Update]:
+    """An index of what the documents were, brought up to date: every 97th had another text, was not there yet, or has gone since."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    past = F.col("doc_id") % 97
+    before = docs.where(past != 1).withColumn("text", F.when(past == 0, F.concat(F.lit("an older draft of "), "text")).otherwise(F.col("text")))
+    before = before.unionByName(docs.where(past == 2).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    held = increments.Increments(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    held.update(before)
+    return held, held.update(docs)
+
+
+@query(f"WITH {INDEX_SQL} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, corpus")
+def incremental_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of an index that was brought up to date are those of one made anew."""
+    return _updated(spark, sf_dir)[0].index().term_stats().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    f"""WITH {INDEX_SQL}, {tokens_sql("ask", "benchmark", "item_id", "text")}, terms AS (SELECT DISTINCT doc AS qid, term FROM ask),
+{scores_sql("best", "terms", TOP)} SELECT qid AS item_id, rank, doc AS doc_id, score FROM best"""
+)
+def incremental_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of an index that was brought up to date, then made one segment."""
+    held, _ = _updated(spark, sf_dir)
+    held.compact()
+    best = lexical.best(held.index(), lexical.query_terms(read(spark, sf_dir, "benchmark"), "item_id"), TOP)
+    return best.select(F.col("qid").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+@query(
+    """SELECT count(*) FILTER (WHERE doc_id % 97 = 1) AS added, count(*) FILTER (WHERE doc_id % 97 = 0 AND text IS NOT NULL) AS changed, count(*) FILTER (WHERE doc_id % 97 = 2) AS removed,
+count(*) FILTER (WHERE doc_id % 97 > 1 OR (doc_id % 97 = 0 AND text IS NULL)) AS unchanged FROM documents"""
+)
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents an update found new, changed, gone and as they were."""
+    _, update = _updated(spark, sf_dir)
+    return spark.createDataFrame([(update.added, update.changed, update.removed, update.unchanged)], "added long, changed long, removed long, unchanged long")
+
+
 @query(f"WITH {tokens_sql('tok', 'documents', 'doc_id', 'text')} SELECT doc_id, count(term) AS n_tokens, count(DISTINCT term) AS n_distinct FROM documents LEFT JOIN tok ON doc = doc_id GROUP BY doc_id")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lexical.tokenised(read(spark, sf_dir, "documents"))
