@@ -27,7 +27,7 @@ BLOCK_SHINGLES = 600_000
 #: What a set weighs besides its shingles.
 DOC_WEIGHT = 200
 #: Sets of a range that lists are merged over at once.
-MERGED = 1 << 14
+MERGED = 256
 #: The weight of list length in DivideSkip's choice of the number of long lists.
 MU = 0.0085
 
@@ -131,10 +131,14 @@ def _neighbourhoods(rows: DataFrame, least: int) -> DataFrame:
 
 
 class Index:
-    """Inverted lists of a block of sets: sorted places of sets by shingle, as one sorted array of list * n + set."""
+    """Inverted lists of a block of sets: sorted places of sets by shingle, as one sorted array of list * n + set.
+
+    skipped, again: how often a search moved a list on without counting what it passed, and put one back after a range.
+    """
 
     def __init__(self, sets: list[np.ndarray], least: int):
         self.sets, self.least, self.n = sets, least, len(sets)
+        self.skipped = self.again = 0
         self.sizes = np.array([len(s) for s in sets], np.int64)
         names, ranks = np.unique(np.concatenate(sets), return_inverse=True)
         self.postings = np.sort(ranks * self.n + np.repeat(np.arange(self.n), self.sizes))
@@ -158,7 +162,7 @@ class Index:
         longest = int(lengths[order[-1]])
         aside = min(t - 1, int(t / (MU * math.log2(longest + 1) + 1)))
         short, long = own[order[: size - aside]], own[order[size - aside :]]
-        sets, counts = self._merged(short)
+        sets, counts = self._merged(short, t - aside)
         ok = (counts >= t - aside) & ~unwanted[sets] & (100 * self.sizes[sets] >= self.least * size) & (100 * size >= self.least * self.sizes[sets])
         sets, counts = sets[ok], counts[ok]
         if len(sets) and len(long):
@@ -168,18 +172,28 @@ class Index:
                 counts[k : k + 2048] += (self.postings[at] == keys).sum(axis=0)
         return sets[100 * counts >= self.least * (size + self.sizes[sets] - counts)]
 
-    def _merged(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sets of some lists and how many of the lists each is in.
+    def _merged(self, lists: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that are in `least` of some lists, and maybe others, and how many of the lists each is in.
 
-        The lists' heads wait in a heap. The least opens a range of MERGED sets; every list whose head is in it gives all that it has there and goes
-        back with its next set, and the range is counted at once.
+        The lists' heads wait in a heap. A set before the head that is `least`-th in order is in too few lists, so the lists before that one are moved
+        on to it by binary search and put back. The least head then opens a range of MERGED sets; every list whose head is in it gives all that it has
+        there and goes back with its next set, and the range is counted at once. Once fewer than `least` lists are left nothing more is found.
         """
         parts = [self.members(int(r)) for r in lists]
         heads = [(int(p[0]), k, 0) for k, p in enumerate(parts)]
         heapq.heapify(heads)
-        sets, counts = [], []
-        while heads:
+        sets, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(heads) >= least:
+            behind = [heapq.heappop(heads) for _ in range(least - 1)]
             low = heads[0][0]
+            for head, k, at in behind:
+                if head < low:
+                    self.skipped += 1
+                    at = int(np.searchsorted(parts[k], low))
+                if at < len(parts[k]):
+                    heapq.heappush(heads, (int(parts[k][at]), k, at))
+            if len(heads) < least:
+                break
             high, taken = low + MERGED, []
             while heads and heads[0][0] < high:
                 _, k, at = heads[0]
@@ -187,6 +201,7 @@ class Index:
                 stop = len(own) if own[-1] < high else int(np.searchsorted(own, high))
                 taken.append(own[at:stop])
                 if stop < len(own):
+                    self.again += 1
                     heapq.heapreplace(heads, (int(own[stop]), k, stop))
                 else:
                     heapq.heappop(heads)

@@ -101,6 +101,18 @@ def test_search_meets_every_required_overlap():
         assert set(index.search(q, np.zeros(len(sets), bool)).tolist()) == want
 
 
+def test_heap_puts_lists_back_and_skips():
+    """Groups of a production size: lists span many ranges, and those that can't reach the required overlap are moved on without counting."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 60, 150).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(150) < 0.12, rng.integers(0, 1 << 60, 150).astype(np.uint64), base)) if k >= 700 else np.unique(np.append(base[k % 150], rng.integers(0, 1 << 60, 120).astype(np.uint64))) for k in range(1500)]
+    index = jaccard_join.Index(sets, 85)
+    for q in (1, 701, 1400):
+        want = {k for k, s in enumerate(sets) if 100 * len(np.intersect1d(sets[q], s)) >= 85 * len(np.union1d(sets[q], s))}
+        assert set(index.search(q, np.zeros(len(sets), bool)).tolist()) == want
+    assert index.again > 100 and index.skipped > 100
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 3)]
