@@ -680,9 +680,19 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"), text.slug(F.concat("lang", F.lit("  "), "source", F.lit("!"))).alias("slug"), text.folder_slug(F.when(F.col("doc_id") % 3 == 0, " ?! ").otherwise(F.concat(F.lit("  /"), "lang", F.lit(" ?É"), "source", F.lit(".git_x!")))).alias("folder"))
 
 
-@query(f"WITH {fixtures.PULLS.sql()} SELECT key, CASE WHEN regexp_matches(ref, '^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$') THEN 'hosted' WHEN regexp_matches(ref, '^(https?|ssh|git)://|^git@') THEN 'url' END AS kind, nullif(regexp_extract(ref, '{files.PULL}', 1), '') AS repo, try_cast(regexp_extract(ref, '{files.PULL}', 2) AS INTEGER) AS number FROM pulls")
+REFS_SQL = """refs AS (SELECT key::BIGINT AS key, ref FROM pulls UNION ALL SELECT 100 + doc_id, CASE doc_id % 6 WHEN 0 THEN source || '/' || lang || '#' || doc_id WHEN 1 THEN 'https://host.example/' || source || '/r.' || lang || '/pull/' || doc_id || '/' WHEN 2 THEN source || '/' || lang
+  WHEN 3 THEN 'ssh://git@host.example/' || source || '.git' WHEN 4 THEN 'git@host.example:' || lang || '/' || source ELSE left(text, 40) END FROM documents)"""
+
+
+@query(f"WITH {fixtures.PULLS.sql()}, {REFS_SQL} SELECT key, CASE WHEN regexp_matches(ref, '^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$') THEN 'hosted' WHEN regexp_matches(ref, '^(https?|ssh|git)://|^git@') THEN 'url' END AS kind, nullif(regexp_extract(ref, '{files.PULL}', 1), '') AS repo, try_cast(regexp_extract(ref, '{files.PULL}', 2) AS INTEGER) AS number FROM refs")
 def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.PULLS.frame(spark)
+    doc, source, lang = F.col("doc_id"), F.col("source"), F.col("lang")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    kinds = (said(source, "/", lang, "#", doc), said("https://host.example/", source, "/r.", lang, "/pull/", doc, "/"), said(source, "/", lang), said("ssh://git@host.example/", source, ".git"), said("git@host.example:", lang, "/", source))
+    ref = F.substring("text", 1, 40)
+    for k, kind in enumerate(kinds):
+        ref = F.when(doc % 6 == k, kind).otherwise(ref)
+    rows = fixtures.PULLS.frame(spark).select(F.col("key").cast("long").alias("key"), "ref").unionByName(read(spark, sf_dir, "documents").select((doc + 100).alias("key"), ref.alias("ref")))
     return rows.select("key", files.repository(F.col("ref"), F.lit(False))["kind"].alias("kind"), files.pull_request(F.col("ref"))["repo"].alias("repo"), files.pull_request(F.col("ref"))["number"].alias("number"))
 
 
@@ -690,7 +700,7 @@ def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOC_DRAFT_SQL = f"'see [' || {PATH_SQL} || ':' || (n_chars % 50) || '-' || (doc_id % 40) || ', ' || (doc_id % 9 + 1) || '] and [note, 4] or [' || lang || '/doc_' || doc_id || '.txt:7, no.txt:' || doc_id || ' – ' || 5 || ']'"
-DRAFTS_SQL = f"{fixtures.DRAFTS.sql()}, told AS (SELECT key::BIGINT AS key, draft FROM drafts UNION ALL SELECT 100 + doc_id, {DOC_DRAFT_SQL} FROM documents)"
+DRAFTS_SQL = f"{fixtures.DRAFTS.sql()}, told AS (SELECT key::BIGINT AS key, draft FROM drafts UNION ALL SELECT 1000 + doc_id, {DOC_DRAFT_SQL} FROM documents)"
 CITED_SQL = f"""{DRAFTS_SQL}, br AS (SELECT key, unnest(regexp_extract_all(coalesce(draft, ''), '\\[([^\\[\\]]{{3,400}}?)\\]', 1)) AS br, unnest(range(len(regexp_extract_all(coalesce(draft, ''), '\\[([^\\[\\]]{{3,400}}?)\\]', 1)))) AS b FROM told),
 part AS (SELECT key, b, unnest(string_split(br, ',')) AS part, unnest(range(len(string_split(br, ',')))) AS p FROM br),
 kinds AS (SELECT *, regexp_extract(part, '^\\s*([^\\s:]+?[.][A-Za-z0-9_]+):([0-9]+)(?:\\s*[-–]\\s*([0-9]+))?\\s*$', ['path', 'a', 'b']) AS r, regexp_extract(part, '^\\s*([0-9]+)(?:\\s*[-–]\\s*([0-9]+))?\\s*$', ['a', 'b']) AS n FROM part),
@@ -705,7 +715,7 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_of = lambda c: c.cast("string")
     doc = F.col("doc_id")
     draft = words("see [", _path(), ":", text_of(F.col("n_chars") % 50), "-", text_of(doc % 40), ", ", text_of(doc % 9 + 1), "] and [note, 4] or [", F.col("lang"), "/doc_", text_of(doc), ".txt:7, no.txt:", text_of(doc), " – 5]")
-    rows = fixtures.DRAFTS.frame(spark).select(F.col("key").cast("long").alias("key"), "draft").unionByName(read(spark, sf_dir, "documents").select((doc + 100).alias("key"), draft.alias("draft")))
+    rows = fixtures.DRAFTS.frame(spark).select(F.col("key").cast("long").alias("key"), "draft").unionByName(read(spark, sf_dir, "documents").select((doc + 1000).alias("key"), draft.alias("draft")))
     return rows.select("key", F.explode(answers.citations(F.col("draft"))).alias("c")).select("key", "c.path", "c.first", "c.last")
 
 
@@ -748,10 +758,19 @@ c AS (SELECT *, CASE WHEN invalid > 0 THEN w * greatest(0.55::DOUBLE, 1.0::DOUBL
 SELECT key, round(greatest(0.0::DOUBLE, least(0.97::DOUBLE, CASE WHEN errors > 0 THEN x * 0.9::DOUBLE ELSE x END)), 3) AS confidence FROM c"""
 
 
-@query(CONFIDENCE_SQL.format(t=fixtures.ANSWERS.sql(), n="answers"))
+CONFIDENCES_SQL = f"""{fixtures.ANSWERS.sql("some_answers")}, answers AS (SELECT key::BIGINT AS key, base, grounded, complete, citations, overlap, invalid, errors FROM some_answers UNION ALL
+  SELECT 100 + event_id, CASE WHEN event_id % 11 > 0 THEN (event_id % 101)::DOUBLE / 100 END, CASE WHEN event_id % 7 > 0 THEN event_id % 2 = 0 END, CASE WHEN event_id % 5 > 0 THEN event_id % 3 = 0 END, (event_id % 9)::INTEGER, (user_id % 5)::DOUBLE / 4, (user_id % 4)::INTEGER, (event_id % 13 // 12)::INTEGER FROM events)"""
+
+
+@query(CONFIDENCE_SQL.format(t=CONFIDENCES_SQL, n="answers"))
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("base", "grounded", "complete", "citations", "overlap", "invalid", "errors")
-    return fixtures.ANSWERS.frame(spark).select("key", answers.confidence(*map(F.col, columns)).alias("confidence"))
+    e, u = F.col("event_id"), F.col("user_id")
+    made = read(spark, sf_dir, "events").select(
+        (e + 100).alias("key"), F.when(e % 11 > 0, (e % 101).cast("double") / 100).alias("base"), F.when(e % 7 > 0, e % 2 == 0).alias("grounded"), F.when(e % 5 > 0, e % 3 == 0).alias("complete"), (e % 9).cast("int").alias("citations"),
+        ((u % 5).cast("double") / 4).alias("overlap"), (u % 4).cast("int").alias("invalid"), F.floor(e % 13 / 12).cast("int").alias("errors"),
+    )
+    return fixtures.ANSWERS.frame(spark).withColumn("key", F.col("key").cast("long")).unionByName(made).select("key", answers.confidence(*map(F.col, columns)).alias("confidence"))
 
 
 RANKED_DOCS_SQL = "ranked AS (SELECT source AS qid, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INTEGER AS rank, length(text)::BIGINT AS chars FROM documents)"
@@ -802,15 +821,20 @@ def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.keyword_coverage(F.col("text"), terms).alias("coverage"))
 
 
-#: The replies' values, worked out by hand from the rule and not from any pattern.
-JSON_SQL = "SELECT * FROM (VALUES (1, '1', NULL), (2, '2', NULL), (3, '3', NULL), (4, '}{', NULL), (5, NULL, '2'), (6, NULL, NULL), (7, '1', NULL), (8, '{\"b\":\"\\\"}\"}', NULL), (9, NULL, '8'), (10, '4', NULL), (11, NULL, NULL), (12, '5', NULL)) AS t(key, a, second)"
+#: A reply for each turn of a conversation around a JSON value that is told beforehand: a list, an object in prose, one between fences, braces in a string, none.
+JSON_SQL = """SELECT conv_id, turn, CASE turn % 5 WHEN 1 THEN conv_id::VARCHAR WHEN 2 THEN turn::VARCHAR WHEN 3 THEN '{' || role || '}' END AS a, CASE turn % 5 WHEN 0 THEN (conv_id + turn)::VARCHAR END AS second FROM conversations"""
 
 
 @query(JSON_SQL)
 def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first JSON in a model's reply."""
-    value = text.json_value(F.col("reply"))
-    return fixtures.REPLIES.frame(spark).select("key", F.get_json_object(value, "$.a").alias("a"), F.get_json_object(value, "$[1]").alias("second"))
+    turn, conv, role = F.col("turn"), F.col("conv_id"), F.col("role")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    words = F.coalesce(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(""))
+    reply = F.when(turn % 5 == 0, said(words, " [", turn, ", ", conv + turn, "] ", words)).when(turn % 5 == 1, said("So ", words, ' {"a": ', conv, ', "b": [1]} {"a": 0}')).when(turn % 5 == 2, said(words, '\n```json\n{"a": ', turn, "}\n```\n", words))
+    reply = reply.when(turn % 5 == 3, said('{"b": "}", "a": "{', role, '}"} ', words)).otherwise(words)
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.json_value(reply).alias("value"))
+    return rows.select("conv_id", "turn", F.get_json_object("value", "$.a").alias("a"), F.get_json_object("value", "$[1]").alias("second"))
 
 
 @query(f"""WITH got AS (SELECT doc_id % 97 AS case_id, doc_id AS rank, source AS path FROM documents), wanted AS (SELECT DISTINCT doc_id % 97 AS case_id, 'src' || (doc_id % 31) AS path FROM documents)
@@ -856,12 +880,52 @@ def report_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Diffs and reviews
 
 
-def _diff(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    marked = diffs.marked(fixtures.DIFFS.frame(spark))
+#: A diff for each document beside those of the fixture: a file in which lines in turn stay, go and are new, with a second hunk that has lines like headers; every second
+#: document has a new file too, every third a deleted one that isn't text, every fifth a file without git's line. Findings: one for each document, every fourth's twice.
+DOC_DIFF_SQL = """lined_diff AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[^ -~]', '', 'g')) AS l FROM documents),
+doc_diffs AS (SELECT 'doc' || doc_id AS diff_id, 'diff --git a/src/doc_' || doc_id || '.txt b/src/doc_' || doc_id || '.txt' || chr(10) || 'index 1..2 100644' || chr(10) || '--- a/src/doc_' || doc_id || '.txt' || chr(10) || '+++ b/src/doc_' || doc_id || '.txt' || chr(10)
+  || '@@ -1,' || (len(l) - len(l) // 3) || ' +1,' || (len(l) - (len(l) + 1) // 3) || ' @@ ' || doc_id || chr(10) || array_to_string(list_transform(l, lambda x, i: [' ', '-', '+'][(i - 1) % 3 + 1] || x), chr(10)) || chr(10)
+  || '@@ -900,2 +900 @@' || chr(10) || '--- not_a_header' || chr(10) || '-gone_too' || chr(10) || '+++ nor_this_one' || chr(10) || chr(92) || ' No newline at end of file' || chr(10)
+  || CASE WHEN doc_id % 2 = 0 THEN 'diff --git a/docs/new_' || doc_id || '.md b/docs/new_' || doc_id || '.md' || chr(10) || 'new file mode 100644' || chr(10) || '--- /dev/null' || chr(10) || '+++ b/docs/new_' || doc_id || '.md' || chr(10) || '@@ -0,0 +1,' || len(l) || ' @@' || chr(10) || array_to_string(list_transform(l, lambda x: '+' || x), chr(10)) || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 3 = 0 THEN 'diff --git a/old_' || doc_id || '.bin b/old_' || doc_id || '.bin' || chr(10) || 'deleted file mode 100644' || chr(10) || 'Binary files a/old and /dev/null differ' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN '--- a/plain_' || doc_id || '.sql' || chr(9) || 'today' || chr(10) || '+++ b/plain_' || doc_id || '.sql' || chr(10) || '@@ -3 +3,2 @@' || chr(10) || '-select_old' || chr(10) || '+select_new' || chr(10) || '+select_more' || chr(10) ELSE '' END AS text FROM lined_diff),
+doc_findings AS (SELECT doc_id + 1000 AS finding_id, 'src/doc_' || doc_id || '.txt' AS path, (doc_id % (len(l) + 6))::INTEGER AS line, ['critical', ' HIGH', 'odd', 'low', 'info', 'Medium'][doc_id % 6 + 1] AS severity, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'On ' || left(l[1], 30) END AS title,
+  CASE WHEN doc_id % 14 = 0 THEN '' ELSE ' See ' || len(l) || ' lines ' END AS body, ['Security', '', 'style'][doc_id % 3 + 1] AS category, ((doc_id * 7) % 100)::DOUBLE / 100 AS confidence FROM lined_diff),
+both_findings AS (SELECT * FROM doc_findings UNION ALL SELECT finding_id + 1000000000, path, line, severity, upper(title), body || 'again', category, confidence FROM doc_findings WHERE finding_id % 4 = 0)"""
+
+
+def _doc_diffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """diffs and findings of documents, see DOC_DIFF_SQL."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, "[^ -~]", ""))
+    rows = read(spark, sf_dir, "documents").select("doc_id", lines.alias("l")).withColumn("d", F.col("doc_id").cast("string")).withColumn("n", F.size("l"))
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    d, n = F.col("d"), F.col("n")
+    marks = F.array(F.lit(" "), F.lit("-"), F.lit("+"))
+    changed = F.array_join(F.transform("l", lambda x, i: F.concat(F.get(marks, i % 3), x)), "\n")
+    first = said("diff --git a/src/doc_", d, ".txt b/src/doc_", d, ".txt\nindex 1..2 100644\n--- a/src/doc_", d, ".txt\n+++ b/src/doc_", d, ".txt\n@@ -1,", n - F.floor(n / 3), " +1,", n - F.floor((n + 1) / 3), " @@ ", d, "\n", changed, "\n")
+    second = said("@@ -900,2 +900 @@\n--- not_a_header\n-gone_too\n+++ nor_this_one\n\\ No newline at end of file\n")
+    new = said("diff --git a/docs/new_", d, ".md b/docs/new_", d, ".md\nnew file mode 100644\n--- /dev/null\n+++ b/docs/new_", d, ".md\n@@ -0,0 +1,", n, " @@\n", F.array_join(F.transform("l", lambda x: F.concat(F.lit("+"), x)), "\n"), "\n")
+    binary = said("diff --git a/old_", d, ".bin b/old_", d, ".bin\ndeleted file mode 100644\nBinary files a/old and /dev/null differ\n")
+    plain = said("--- a/plain_", d, ".sql\ttoday\n+++ b/plain_", d, ".sql\n@@ -3 +3,2 @@\n-select_old\n+select_new\n+select_more\n")
+    part = lambda test, text: F.when(test, text).otherwise("")
+    doc = F.col("doc_id")
+    whole = F.concat(first, second, part(doc % 2 == 0, new), part(doc % 3 == 0, binary), part((doc % 5 == 0) & (doc % 3 != 0), plain))
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    found = rows.select(
+        (doc + 1000).alias("finding_id"), said("src/doc_", d, ".txt").alias("path"), (doc % (n + 6)).cast("int").alias("line"), pick(("critical", " HIGH", "odd", "low", "info", "Medium"), doc % 6).alias("severity"),
+        F.when(doc % 7 == 0, "").otherwise(F.concat(F.lit("On "), F.substring(F.get("l", 0), 1, 30))).alias("title"), F.when(doc % 14 == 0, "").otherwise(said(" See ", n, " lines ")).alias("body"),
+        pick(("Security", "", "style"), doc % 3).alias("category"), (((doc * 7) % 100).cast("double") / 100).alias("confidence"),
+    )
+    twice = found.where("finding_id % 4 = 0").select((F.col("finding_id") + 1_000_000_000).alias("finding_id"), "path", "line", "severity", F.upper("title").alias("title"), F.concat("body", F.lit("again")).alias("body"), "category", "confidence")
+    return rows.select(said("doc", d).alias("diff_id"), whole.alias("text")), found.unionByName(twice)
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    marked = diffs.marked(fixtures.DIFFS.frame(spark).unionByName(_doc_diffs(spark, sf_dir)[0]))
     return marked, diffs.files(marked), diffs.diff_lines(marked)
 
 
-DIFF_SQL = f"""{fixtures.DIFFS.sql()}, raw_lines AS (SELECT diff_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS raw, unnest(range(len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))))) AS n FROM diffs),
+DIFF_SQL = f"""{DOC_DIFF_SQL}, {fixtures.DIFFS.sql("some_diffs")}, diffs AS (SELECT * FROM some_diffs UNION ALL SELECT * FROM doc_diffs), raw_lines AS (SELECT diff_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS raw, unnest(range(len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))))) AS n FROM diffs),
 tagged AS (SELECT *, regexp_matches(raw, '^diff --git a/.+? b/.+$') AS git, regexp_extract(raw, '{diffs.HUNK}', ['os', 'oc', 'ns', 'nc', 'h']) AS hk FROM raw_lines),
 segs AS (SELECT *, hk.os <> '' AS hunk, sum((git OR hk.os <> '')::INTEGER) OVER (PARTITION BY diff_id ORDER BY n) AS seg FROM tagged),
 heads AS (SELECT diff_id, seg, any_value(hk) FILTER (WHERE hunk) AS hd, bool_or(git) AS in_git, bool_or(hunk) AS in_hunk FROM segs GROUP BY diff_id, seg),
@@ -881,12 +945,12 @@ dfiles AS (SELECT diff_id, file_no, coalesce(max(nullif(regexp_extract(raw, '{di
 
 @query(f"WITH {DIFF_SQL} SELECT diff_id, file_no::BIGINT AS file_no, hunk_no::BIGINT AS hunk_no, type, content, old_line, new_line, position FROM dlines")
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diff(spark)[2]
+    return _diff(spark, sf_dir)[2]
 
 
 @query(f"WITH {DIFF_SQL} SELECT diff_id, file_no::BIGINT AS file_no, path, is_new, is_deleted, is_binary, hunks::BIGINT AS hunks FROM dfiles")
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diff(spark)[1].drop("old_path", "is_renamed")
+    return _diff(spark, sf_dir)[1].drop("old_path", "is_renamed")
 
 
 @query(
@@ -894,7 +958,7 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT count(*) FROM dlines l WHERE l.diff_id = f.diff_id AND type = 'added') AS additions, (SELECT count(*) FROM dlines l WHERE l.diff_id = f.diff_id AND type = 'removed') AS deletions FROM dfiles f GROUP BY diff_id"""
 )
 def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found, lines = _diff(spark)
+    _, found, lines = _diff(spark, sf_dir)
     return diffs.stats(found, lines)
 
 
@@ -903,16 +967,17 @@ def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT diff_id, file_no::BIGINT AS file_no, term, count(*) AS n, (row_number() OVER (PARTITION BY diff_id, file_no ORDER BY count(*) DESC, term))::INTEGER AS place FROM w GROUP BY diff_id, file_no, term QUALIFY place <= 12"""
 )
 def diff_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.search_terms(_diff(spark)[2])
+    return diffs.search_terms(_diff(spark, sf_dir)[2])
 
 
-def _valid(spark: SparkSession) -> DataFrame:
-    _, found, lines = _diff(spark)
+def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found, lines = _diff(spark, sf_dir)
     added = lines.where("type = 'added'").join(found.select("diff_id", "file_no", "path"), ["diff_id", "file_no"]).select("path", "new_line")
-    return diffs.validated(fixtures.FINDINGS.frame(spark), added)
+    given = fixtures.FINDINGS.frame(spark).withColumn("finding_id", F.col("finding_id").cast("long"))
+    return diffs.validated(given.unionByName(_doc_diffs(spark, sf_dir)[1]), added)
 
 
-VALID_SQL = f"""{DIFF_SQL}, {fixtures.FINDINGS.sql()}, added AS (SELECT DISTINCT path, new_line FROM dlines JOIN dfiles USING (diff_id, file_no) WHERE type = 'added'),
+VALID_SQL = f"""{DIFF_SQL}, {fixtures.FINDINGS.sql("some_findings")}, findings AS (SELECT * FROM some_findings UNION ALL SELECT * FROM both_findings), added AS (SELECT DISTINCT path, new_line FROM dlines JOIN dfiles USING (diff_id, file_no) WHERE type = 'added'),
 good AS (SELECT finding_id, path, line, CASE WHEN lower(trim(severity)) IN ('critical', 'high', 'medium', 'low', 'info') THEN lower(trim(severity)) ELSE 'medium' END AS severity, coalesce(nullif(left(trim(title), 200), ''), 'Issue') AS title, trim(body) AS body,
   coalesce(nullif(left(lower(trim(category)), 40), ''), 'correctness') AS category, confidence FROM findings WHERE confidence >= 0.5 AND (title <> '' OR body <> '')),
 valid AS (SELECT finding_id, path, CASE WHEN path IN (SELECT path FROM added) THEN (SELECT a.new_line FROM added a WHERE a.path = good.path AND abs(a.new_line - good.line) <= 3 ORDER BY abs(a.new_line - good.line), a.new_line LIMIT 1) ELSE line END AS line,
@@ -921,7 +986,7 @@ valid AS (SELECT finding_id, path, CASE WHEN path IN (SELECT path FROM added) TH
 
 @query(f"WITH {VALID_SQL} SELECT * FROM valid")
 def finding_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _valid(spark)
+    return _valid(spark, sf_dir)
 
 
 RANK_SQL = "list_position(['critical', 'high', 'medium', 'low', 'info'], severity) - 1"
@@ -931,15 +996,15 @@ six AS (SELECT *, ({RANK_SQL})::INTEGER AS severity_rank FROM once QUALIFY row_n
 
 @query(f"WITH {UNIQUE_SQL} SELECT * FROM six ORDER BY severity_rank, path, coalesce(line, 0), finding_id LIMIT 25")
 def finding_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.deduplicated(_valid(spark))
+    return diffs.deduplicated(_valid(spark, sf_dir))
 
 
 @query(
     f"""WITH {UNIQUE_SQL} SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
-count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info, coalesce(bool_or(severity_rank <= 1), false) AS blocked FROM six"""
+count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info, coalesce(bool_or(severity_rank <= 1), false) AS blocked FROM (SELECT * FROM six ORDER BY severity_rank, path, coalesce(line, 0), finding_id LIMIT 25)"""
 )
 def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.blocked(diffs.deduplicated(_valid(spark)))
+    return diffs.blocked(diffs.deduplicated(_valid(spark, sf_dir)))
 
 
 # Usage, spans, quotas
@@ -957,9 +1022,16 @@ COST_SQL = "round((prompt_tokens * coalesce(price_in, 0.1) + completion_tokens *
 MATCH_SQL = "LEFT JOIN prices p ON p.prefix = (SELECT max_by(prefix, length(prefix)) FROM prices q WHERE starts_with(regexp_replace(lower(trim(model)), '^models/', ''), q.prefix))"
 
 
-@query(f"WITH {fixtures.CALLS.sql()}, {PRICES_SQL} SELECT call_id, coalesce(price_in, 0.1)::DOUBLE AS price_in, {COST_SQL}::DOUBLE AS cost FROM calls {MATCH_SQL}")
+CALLS_SQL = f"""{fixtures.CALLS.sql("some_calls")}, calls AS (SELECT call_id::BIGINT AS call_id, model, prompt_tokens, completion_tokens, cached FROM some_calls UNION ALL SELECT 100 + event_id, (['gemini-2.0-flash-001', 'models/Gemini-2.5-Pro', 'text-embedding-004', event_type])[event_id % 4 + 1], user_id * 100, event_id % 5000, event_id % 3 = 0 FROM events)"""
+
+
+@query(f"WITH {CALLS_SQL}, {PRICES_SQL} SELECT call_id, coalesce(price_in, 0.1)::DOUBLE AS price_in, {COST_SQL}::DOUBLE AS cost FROM calls {MATCH_SQL}")
 def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.priced(fixtures.CALLS.frame(spark), usage.prices(spark)).select("call_id", "price_in", "cost")
+    e = F.col("event_id")
+    model = F.get(F.array(F.lit("gemini-2.0-flash-001"), F.lit("models/Gemini-2.5-Pro"), F.lit("text-embedding-004"), "event_type"), (e % 4).cast("int"))
+    made = read(spark, sf_dir, "events").select((e + 100).alias("call_id"), model.alias("model"), (F.col("user_id") * 100).alias("prompt_tokens"), (e % 5000).alias("completion_tokens"), (e % 3 == 0).alias("cached"))
+    calls = fixtures.CALLS.frame(spark).withColumn("call_id", F.col("call_id").cast("long")).unionByName(made)
+    return usage.priced(calls, usage.prices(spark)).select("call_id", "price_in", "cost")
 
 
 @query(
@@ -1112,7 +1184,7 @@ x AS (SELECT severity_rank, path, coalesce(line, 0) AS l, '- **' || upper(severi
 SELECT coalesce((SELECT string_agg(n || ' ' || severity, ', ' ORDER BY severity_rank) FROM (SELECT severity, severity_rank, count(*) AS n FROM r GROUP BY ALL)) || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY severity_rank, path, l, t), 'No issues found.') AS markdown FROM x"""
 )
 def review_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.summary_markdown(diffs.deduplicated(_valid(spark)))
+    return diffs.summary_markdown(diffs.deduplicated(_valid(spark, sf_dir)))
 
 
 @query(
@@ -1121,7 +1193,7 @@ SELECT CASE WHEN coalesce(bool_or(severity_rank <= 1), false) THEN 'REQUEST_CHAN
 )
 def review_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a posted review asks for, and how many inline comments it has."""
-    return diffs.review_payload(diffs.deduplicated(_valid(spark)), True).select("event", F.size("comments").cast("long").alias("comments"))
+    return diffs.review_payload(diffs.deduplicated(_valid(spark, sf_dir)), True).select("event", F.size("comments").cast("long").alias("comments"))
 
 
 @query(
@@ -1202,15 +1274,16 @@ def review_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def finding_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each finding of a report as a comment by itself."""
-    return diffs.finding_markdown(diffs.deduplicated(_valid(spark)))
+    return diffs.finding_markdown(diffs.deduplicated(_valid(spark, sf_dir)))
 
 
-@query("SELECT * FROM (VALUES (1, NULL), (2, 'limited'), (3, 'limited'), (4, 'transient'), (5, 'transient'), (6, 'rejected'), (7, 'rejected'), (8, 'rejected'), (9, 'transient'), (10, 'transient')) AS t(key, failure)")
+@query("SELECT event_id, CASE WHEN s = 429 THEN 'limited' WHEN s >= 500 OR s = 408 THEN 'transient' WHEN s >= 300 THEN 'rejected' END AS failure FROM (SELECT event_id, [200, 204, 301, 400, 401, 404, 408, 422, 429, 500, 502, 503][event_id % 12 + 1] AS s FROM events)")
 def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a hosted model's statuses ask for."""
     from pergola.plans import client
 
-    return fixtures.HTTP.frame(spark).select("key", client.failure(F.col("status")).alias("failure"))
+    status = F.get(F.array(*map(F.lit, (200, 204, 301, 400, 401, 404, 408, 422, 429, 500, 502, 503))), (F.col("event_id") % 12).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", client.failure(status).alias("failure"))
 
 
 @query("SELECT event_id, greatest(1, 86399 - (epoch_us(ts) // 1000000) % 86400)::INTEGER AS seconds, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts IS NOT NULL")

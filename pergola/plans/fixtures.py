@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ class Fixture:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.rows), ", ".join(f"{n} {t}" for n, t in self.columns))
 
-    def sql(self) -> str:
+    def sql(self, name: str | None = None) -> str:
         """A common table expression."""
 
         def literal(v, kind: str) -> str:
@@ -28,7 +29,7 @@ class Fixture:
             return f"{text}::{_duck(kind)}"
 
         body = ", ".join("(" + ", ".join(literal(v, t) for v, (_, t) in zip(row, self.columns)) + ")" for row in self.rows)
-        return f"{self.name}({', '.join(n for n, _ in self.columns)}) AS (VALUES {body})"
+        return f"{name or self.name}({', '.join(n for n, _ in self.columns)}) AS (VALUES {body})"
 
 
 def _duck(kind: str) -> str:
@@ -94,22 +95,14 @@ FINDINGS = Fixture(
     ),
 )
 
-DRAFTS = Fixture(
-    "drafts",
-    (("key", "int"), ("draft", "string")),
-    (
-        (1, "Tokens are checked here [lib/token.rs:7-9]."),
-        (2, "[lib/token.rs:31]"),
-        (3, "Both [lib/token.rs:4-8, guide/intro.md:90-94] agree."),
-        (4, "[lib/token.rs:21-25, 60-70]"),
-        (5, "[as said above, row 9]"),
-        (6, "[lib/token.rs:5-6], then [aside, 70-80]"),
-        (7, "[lib/token.rs:70-31]"),
-        (8, "[lib/token.rs:2–3, words, 14] [y]"),
-        (9, ""),
-        (10, None),
-    ),
-)
+def _drafts() -> tuple[tuple[int, str | None], ...]:
+    """Brackets of every one, two and three parts out of places with one line and with two, lines alone, and words; then odd ones."""
+    parts = ("a/quay.go:{n}", "b/tide.md:{m}-{n}", "{n}", "{m} – {n}", "as told")
+    rows = [f"It is so [{', '.join(p.format(n=7 * k + 5, m=90 - 30 * k) for k, p in enumerate(own))}], they say." for size in (1, 2, 3) for own in itertools.product(parts, repeat=size)]
+    return tuple(enumerate([*rows, "", None, "[a/quay.go:1] [5]", "[[a/quay.go:2]]", "[a/quay.go:]", "a/quay.go:3"], 1))
+
+
+DRAFTS = Fixture("drafts", (("key", "int"), ("draft", "string")), _drafts())
 
 CALLS = Fixture(
     "calls",
@@ -140,12 +133,6 @@ ANSWERS = Fixture(
     ),
 )
 
-REPLIES = Fixture(
-    "replies",
-    (("key", "int"), ("reply", "string")),
-    ((1, '{"a": 1}'), (2, 'Here:\n```json\n{"a": 2}\n```\ndone'), (3, 'I think {"a": 3} is it'), (4, '{"a": "}{"}'), (5, "prefix [1, 2, 3] suffix"), (6, "no JSON at all"), (7, 'Use {"a": 1} or {"a": 2}.'), (8, 'so {"a": {"b": "\\"}"}} and more }'), (9, "{open [7, 8] then"), (10, '{"a": 4}  '), (11, '"only a string"'), (12, 'first {not json} then ```{"a": 5}```')),
-)
-
 PULLS = Fixture(
     "pulls",
     (("key", "int"), ("ref", "string")),
@@ -234,5 +221,3 @@ SOURCES = Fixture(
         ("empty.py", ""),
     ),
 )
-
-HTTP = Fixture("http", (("key", "int"), ("status", "int"), ("retry_after", "double"), ("attempt", "int")), ((1, 200, None, 0), (2, 429, 7.5, 0), (3, 429, None, 2), (4, 500, None, 1), (5, 503, None, 9), (6, 400, None, 0), (7, 404, None, 0), (8, 403, None, 3), (9, 408, None, 0), (10, None, None, 0)))
