@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pergola.functions.text import json_value
 
-from pergola.operators import chunking, diffs, evaluation, lexical, retrieval
+from pergola.operators import chunking, diffs, evaluation, lexical, reviewing, retrieval
 from pergola.plans import agent
 from pergola.plans.provider import Provider, StandIn
 from pergola.progress import Progress
@@ -107,26 +107,33 @@ class Engine:
         row = self.ask(index_id, asked).first()
         yield {"stage": "answer", **row.asDict(recursive=True)}
 
-    def review_run(self, diff: DataFrame, fail_on: str = "high") -> tuple[DataFrame, DataFrame, str, int]:
+    def review_run(self, diff: DataFrame, fail_on: str = "high", index_id: str | None = None) -> tuple[DataFrame, DataFrame, str, int]:
         """A review of a diff (diff_id, text) by the provider: findings, gate, summary, and how many files had no readable reply.
 
-        Each reviewable file is a prompt of its own, all sent as one frame; a file whose call fails is left out and counted, and fails no other.
+        Each reviewable file is a prompt of its own, all sent as one frame, with what an index, if one is given, has that is related to it: all files
+        are searched for and packed in one plan. A file whose call fails is left out and counted, and fails no other.
         """
         marked = materialise(diffs.marked(diff))
-        listed = diffs.files(marked).where("NOT is_deleted AND NOT is_binary AND hunks > 0").select("diff_id", "file_no", "path")
-        lines = diffs.diff_lines(marked).join(listed, ["diff_id", "file_no"])
-        text = F.concat(F.when(F.col("type") == "added", "+").when(F.col("type") == "removed", "-").otherwise(" "), F.coalesce(F.col("new_line").cast("string"), F.lit("")), F.lit(" "), F.col("content"))
-        body = lines.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
-        prompts = body.select(F.col("path").alias("key"), F.lit("review").alias("role"), F.concat(F.lit("Review this change of "), "path", F.lit(":\n"), "body").alias("prompt"))
-        replies = materialise(self.provider.complete(prompts).select("key", F.from_json(json_value(F.col("reply")), FINDINGS).alias("found")))
+        contexts = self._contexts(index_id, marked) if index_id is not None else None
+        named = reviewing.bodies(marked).select("key", "path")
+        replies = self.provider.complete(reviewing.prompts(marked, contexts)).select("key", F.from_json(json_value(F.col("reply")), FINDINGS).alias("found"))
+        replies = materialise(named.join(replies, "key", "left"))
         failed = replies.where("found IS NULL").count()
-        each = replies.select(F.col("key").alias("path"), F.explode("found").alias("f")).select(F.xxhash64("path", "f.line", "f.title", "f.body").alias("finding_id"), "path", "f.*")
+        each = replies.select("key", "path", F.explode("found").alias("f")).select(F.xxhash64("key", "f.line", "f.title", "f.body").alias("finding_id"), "path", "f.*")
         report, gate = self.review(diff, each, fail_on)
         report = materialise(report)
         text = diffs.summary_markdown(report).first().markdown
         asked = self.spark.createDataFrame([("summary", "summary", text)], "key string, role string, prompt string")
         return report, gate, self.provider.complete(asked).first().reply or f"{NO_SUMMARY}\n\n{text}", failed
 
+    def _contexts(self, index_id: str, marked: DataFrame) -> DataFrame:
+        """key, context: for each file of a diff the chunks related to it, as many as its context has room for."""
+        tables = self.tables(index_id)
+        held = lexical.LexicalIndex(tables["postings"], tables["corpus"])
+        find = agent.retriever(tables["chunks"], held, self.provider, tables.get("vectors"), reviewing.CHUNKS, self.settings.candidates, expand=False)
+        found = materialise(reviewing.first(reviewing.related(materialise(reviewing.searches(marked)), find)))
+        return agent.context(found.withColumnRenamed("key", "qid"), tables["chunks"], reviewing.CONTEXT_CHARS).withColumnRenamed("qid", "key")
+
     def review(self, diff: DataFrame, findings: DataFrame, fail_on: str = "high") -> tuple[DataFrame, DataFrame]:
         """The findings of a review (as a model gave them) that stand against a diff (diff_id, text), and the gate's verdict."""
         marked = diffs.marked(diff)

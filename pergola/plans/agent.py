@@ -39,8 +39,9 @@ def planned(questions: DataFrame, provider: Provider) -> DataFrame:
     return rows.select("qid", "question", retrieval.normal_queries(queries).alias("queries"), F.coalesce("p.needs_retrieval", F.lit(True)).alias("needs_retrieval"))
 
 
-def retriever(chunks: DataFrame, index: lexical.LexicalIndex, provider: Provider | None = None, vectors_of: DataFrame | None = None, top_k: int = retrieval.TOP_K, candidates: int = retrieval.CANDIDATES) -> Retrieve:
-    """qid, queries -> qid, doc, path, score, rank: every query of a question ranked lexically, and densely if there are vectors, all fused."""
+def retriever(chunks: DataFrame, index: lexical.LexicalIndex, provider: Provider | None = None, vectors_of: DataFrame | None = None, top_k: int = retrieval.TOP_K, candidates: int = retrieval.CANDIDATES, expand: bool = True) -> Retrieve:
+    """qid, queries -> qid, doc, path, score, rank: every query of a question ranked lexically, and densely if there are vectors, all fused; paths that hold a
+    question's hints, if it has a column of them, weigh more."""
 
     def run(asked: DataFrame) -> DataFrame:
         each = asked.select("qid", F.posexplode("queries").alias("n", "text"))
@@ -53,16 +54,16 @@ def retriever(chunks: DataFrame, index: lexical.LexicalIndex, provider: Provider
             found = found.unionByName(dense.select("qid", "doc", "rank", F.lit("dense").alias("family"), F.lit(fusion.DENSE_WEIGHT).alias("weight")))
         named = found.select(F.substring_index("qid", "#", -1).alias("n"), F.regexp_replace("qid", "#[0-9]+$", "").alias("qid"), "doc", F.col("rank").cast("int").alias("rank"), "family", "weight")
         ranked = named.select("qid", "doc", "rank", F.concat("family", F.lit("["), "n", F.lit("]")).alias("retriever"), "weight")
-        return retrieval.retrieve(ranked, chunks.select("doc", "path", F.col("start_line").alias("start"), *(["at"] if "at" in chunks.columns else [])), top_k=top_k)
+        return retrieval.retrieve(ranked, chunks.select("doc", "path", F.col("start_line").alias("start"), *(["at"] if "at" in chunks.columns else [])), asked if "hints" in asked.columns else None, top_k, expand)
 
     return run
 
 
-def context(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """qid, context: the retrieved chunks in order, as many as fit, each under its place."""
+def context(found: DataFrame, chunks: DataFrame, most: int = answers.MAX_CHARS) -> DataFrame:
+    """qid, context: the retrieved chunks in order, as many as fit in `most` characters, each under its place."""
     rows = found.select("qid", "doc", "rank").join(chunks.select("doc", "path", "start_line", "end_line", "language", "content"), "doc")
     sized = rows.withColumn("chars", F.length("content").cast("long")).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "doc")))
-    fits = answers.packed(sized.select("qid", F.col("place").alias("rank"), "chars")).withColumnRenamed("rank", "place")
+    fits = answers.packed(sized.select("qid", F.col("place").alias("rank"), "chars"), most).withColumnRenamed("rank", "place")
     kept = sized.join(fits, ["qid", "place"])
     body = F.concat(F.substring("content", F.lit(1), F.col("taken").cast("int")), F.when(F.col("taken") < F.col("chars"), "\n... (snippet truncated)").otherwise(""))
     text = F.concat(F.lit("### Snippet "), F.col("place").cast("string"), F.lit(" - "), location(F.col("path"), F.col("start_line"), F.col("end_line")), F.lit("\n```"), "language", F.lit("\n"), body, F.lit("\n```"))

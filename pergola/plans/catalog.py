@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pergola.functions import paths, text
-from pergola.operators import answers, chunking, diffs, evaluation, fusion, increments, lexical, retrieval, usage, vectors
+from pergola.operators import answers, chunking, diffs, evaluation, fusion, increments, lexical, retrieval, reviewing, usage, vectors
 from pergola.plans import fixtures
 from pergola.session import fingerprint, materialise, shared_folder, spread
 from pergola.sources import files
@@ -1007,6 +1007,31 @@ def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.blocked(diffs.deduplicated(_valid(spark, sf_dir)))
 
 
+RELATED_SQL = f"""{DIFF_SQL}, w AS (SELECT diff_id, file_no, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) AS term FROM dlines WHERE type <> 'context'),
+said AS (SELECT diff_id, file_no, term, row_number() OVER (PARTITION BY diff_id, file_no ORDER BY count(*) DESC, term) AS place FROM w GROUP BY diff_id, file_no, term QUALIFY place <= 6),
+sought AS (SELECT diff_id || '#' || file_no AS key, path, string_agg(term, ' ' ORDER BY place) AS q0, path || ' ' || string_agg(term, ' ' ORDER BY place) FILTER (WHERE place <= 3) AS q1 FROM said JOIN dfiles USING (diff_id, file_no) WHERE NOT is_deleted AND NOT is_binary AND hunks > 0 GROUP BY 1, 2),
+asked_for AS (SELECT key || '#0' AS id, q0 AS q FROM sought UNION ALL SELECT key || '#1', q1 FROM sought), {INDEX_SQL}, {tokens_sql("ask", "asked_for", "id", "q")}, terms AS (SELECT DISTINCT doc AS qid, term FROM ask), {scores_sql("lex", "terms", CANDIDATES)},
+lists AS (SELECT regexp_replace(qid, '#[01]$', '') AS qid, doc, rank FROM lex),
+merged AS (SELECT qid, doc, round(sum(0.85::DOUBLE / (60 + rank + 1)), 6) AS score, count(*) AS agreement, min(rank) AS best_rank FROM lists GROUP BY qid, doc),
+placed AS (SELECT m.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, agreement DESC, best_rank, doc) AS position FROM merged m),
+lifted AS (SELECT p.qid, doc, source AS path, s.path AS own, position, CASE WHEN contains(s.path, '/') AND contains(lower(source), lower(regexp_replace(s.path, '/[^/]*$', ''))) THEN round(score * 1.25, 8) ELSE round(score, 8) END AS score FROM placed p JOIN sought s ON s.key = p.qid JOIN documents ON doc_id = doc),
+again AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, position) AS spot FROM lifted),
+spread AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY spot) > 4 AS over FROM again),
+cut AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY over, spot) AS place FROM spread QUALIFY place <= 6)"""
+
+
+@query(f"WITH {RELATED_SQL} SELECT qid AS file, doc AS doc_id, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) - 1)::INTEGER AS rank FROM cut WHERE path <> own")
+def review_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a review of each file of the documents' diffs is given from the index: two searches a file, all files at once."""
+    from pergola.plans import agent
+
+    marked = materialise(diffs.marked(fixtures.DIFFS.frame(spark).unionByName(_doc_diffs(spark, sf_dir)[0])))
+    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("path"), F.col("doc_id").alias("start_line"))
+    find = agent.retriever(chunks, _index(spark, sf_dir), top_k=reviewing.CHUNKS, expand=False)
+    found = reviewing.related(materialise(reviewing.searches(marked)), find)
+    return found.select(F.col("key").alias("file"), F.col("doc").alias("doc_id"), "rank")
+
+
 # Usage, spans, quotas
 
 

@@ -79,7 +79,7 @@ class Reviewer(StandIn):
 
     def complete(self, prompts):
         found = F.lit('[{"line": 12, "severity": "high", "title": "Token kept", "body": "b", "category": "security", "confidence": 0.9}]')
-        return prompts.select("key", F.when(F.col("key") == "src/api.py", found).alias("reply"))
+        return prompts.select("key", F.when(F.contains("prompt", F.lit("of src/api.py:")), found).alias("reply"))
 
 
 def test_a_failed_file_fails_no_other(spark):
@@ -88,6 +88,32 @@ def test_a_failed_file_fails_no_other(spark):
     assert gate.first().blocked and failed == 1 and "1 high" in summary
 
 
+class Listener(StandIn):
+    """Keeps the prompts of a review."""
+
+    def complete(self, prompts):
+        if prompts.where("role = 'review'").count():
+            self.heard = {r.key: r.prompt for r in prompts.collect()}
+        return prompts.select("key", F.lit("[]").alias("reply"))
+
+
+def test_a_review_has_what_is_related(spark, tmp_path):
+    for name, body in {"src/quay.py": "def moor_vessel(berth):\n    return berth.moor_vessel_at_quay()\n", "lib/berth.py": "class Berth:\n    def moor_vessel_at_quay(self):\n        return self.tide_table\n", "docs/cats.md": "# Cats\nNothing about harbours here at all.\n"}.items():
+        (tmp_path / "repo" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "repo" / name).write_text(body)
+    own = Engine(spark, f"file://{tmp_path}/indexes", provider=Listener())
+    own.index(f"file://{tmp_path}/repo", "harbour")
+    change = "--- a/src/quay.py\n+++ b/src/quay.py\n@@ -1 +1,2 @@\n-old_line\n+moor_vessel_at_quay(tide_table)\n+other_name\n"
+    diff = spark.createDataFrame([("one", change), ("two", change.replace("other_name", "third_name"))], "diff_id string, text string")
+    report, _, _, failed = own.review_run(diff, index_id="harbour")
+    assert failed == 0 and report.count() == 0 and set(own.provider.heard) == {"one#1", "two#1"}
+    one, two = own.provider.heard["one#1"], own.provider.heard["two#1"]
+    assert "other_name" in one and "other_name" not in two and "third_name" in two
+    assert all("lib/berth.py" in p and "tide_table" in p and "def moor_vessel(berth)" not in p and p.index("lib/berth.py") < p.index("Review this change") for p in (one, two))
+    own.review_run(diff)
+    assert "lib/berth.py" not in own.provider.heard["one#1"]
+
+
 class Flaky:
     """Fails at first, then replies; counts what it was asked."""
 
