@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,6 @@ from pergola.llm._arrow import arrow_schema, release, spread, written
 #: An entry c counts as floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
-#: Tasks whose sums one task adds up; with more of them, sums are added up in SALTS parts before.
-MOST_TASKS, SALTS = 1000, 64
 #: An eigenvalue of so small a share of the largest, for each dimension, is rounding and no variance.
 LEAST_SHARE = 1e-14
 #: Rows that a step projects at once.
@@ -49,34 +47,31 @@ def dimensions(rows: DataFrame) -> int:
     return max(found, key=lambda r: (r["count"], r.d)).d if found else 0
 
 
-def _numbers(d: int) -> list[Column]:
-    return [(F.floor(F.get("embedding", F.lit(i)).cast("double") * SCALE) + SHIFT).alias(f"x{i}") for i in range(d)]
+def _numbers(rows: DataFrame, d: int) -> DataFrame:
+    """v: the entries as whole numbers."""
+    return rows.select(F.array(*(F.floor(F.get("embedding", F.lit(i)).cast("double") * SCALE) + SHIFT for i in range(d))).alias("v"))
 
 
-def added(columns: DataFrame, sums: dict[str, str]) -> dict:
-    """Aggregate expressions by name over all rows in one aggregation.
-
-    The last task adds up a row of sums from each other; beyond MOST_TASKS tasks they are added up in SALTS parts first.
-    """
-    first = {name: e for name, e in sums.items()}
-    if columns.rdd.getNumPartitions() > MOST_TASKS:
-        columns = columns.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("salt").agg(*(F.expr(e).alias(name) for name, e in sums.items()))
-        first = {name: f"{'sum' if e.startswith('count') else e.partition('(')[0]}({name})" for name, e in sums.items()}
-    return columns.selectExpr(*(f"{e} AS {name}" for name, e in first.items())).first().asDict()
+def moments(vectors: DataFrame, d: int) -> dict[str, list]:
+    """n, sum, least and most of each dimension of v. Sums of a dimension are added up by a task of their own."""
+    each = vectors.select(F.posexplode("v").alias("i", "x"))
+    found = {r.i: r for r in each.groupBy("i").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.min("x").alias("least"), F.max("x").alias("most")).collect()}
+    return {k: [found[i][k] for i in range(d)] for k in ("n", "total", "least", "most")}
 
 
-def products(columns: DataFrame, names: list[str], centres: list) -> np.ndarray:
-    """The upper triangle of sums of centred products, mirrored: an expression for each pair of columns, all in one aggregation.
+def products(vectors: DataFrame, d: int, centres: list) -> np.ndarray:
+    """The upper triangle of sums of centred products of v, mirrored: an expression for each distance of two dimensions, grouped by the first, in one aggregation.
 
-    Exact for whole columns and centres; objects keep sums that no double can hold.
+    Row i of the triangle is the group i; its column of distance k sums v[i] * v[i + k]. So few expressions are compiled as one, where one for each
+    pair would be too large to be; doubles are exact as long as whole numbers stay below 2 ** 53.
     """
-    centred = columns.select(*((F.col(c) - F.lit(m)).alias(c) for c, m in zip(names, centres)))
-    d = len(names)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    found = added(centred, {f"p{i}_{j}": f"sum({names[i]} * {names[j]})" for i, j in pairs})
-    out = np.zeros((d, d), object)
-    for i, j in pairs:
-        out[i, j] = out[j, i] = found[f"p{i}_{j}"]
+    centred = vectors.select(F.array(*((F.get("v", F.lit(i)) - F.lit(m)).cast("double") for i, m in enumerate(centres))).alias("v"))
+    each = centred.select("v", F.posexplode("v").alias("i", "x"))
+    sums = each.groupBy("i").agg(*(F.sum(F.expr(f"x * get(v, i + {k})")).alias(f"p{k}") for k in range(d)))
+    out = np.zeros((d, d))
+    for row in sums.collect():
+        for k in range(d - row.i):
+            out[row.i, row.i + k] = out[row.i + k, row.i] = row[f"p{k}"]
     return out
 
 
@@ -84,29 +79,27 @@ def fit(df: DataFrame, components: int = COMPONENTS, vector: str = "embedding",
     """Learns from every usable vector of the usual length; None if there is none.
 
     The first aggregation sums each dimension; the second sums the products of all pairs, each dimension centred on its mean's nearest whole
-    number, in whole numbers; what is left of the means, less than one half, is taken out of the sums exactly, so the covariance is that of
-    vectors centred on their mean, rounded once, however rows were dealt. Where whole numbers might not hold the sums, dimensions are centred
-    on the mean itself and summed as doubles.
+    number; what is left of the means, less than one half, is taken out of the sums exactly, so the covariance is that of vectors centred on
+    their mean, rounded once, however rows were dealt. Where doubles might not hold the sums as whole numbers, dimensions are centred on the mean itself.
     """
     rows = usable(df, vector, key)
     d = dimensions(rows)
     if not d:
         return None
-    columns = rows.where(F.size("embedding") == d).select(*_numbers(d))
-    names = [f"x{i}" for i in range(d)]
-    first = added(columns, {"n": "count(*)"} | {f"{k}_{c}": f"{k}({c})" for c in names for k in ("sum", "min", "max")})
-    n, sums = first["n"], [first[f"sum_{c}"] for c in names]
+    numbers = _numbers(rows.where(F.size("embedding") == d), d)
+    first = moments(numbers, d)
+    n, sums = first["n"][0], first["total"]
     centres = [(2 * s + n) // (2 * n) for s in sums]
-    reach = max(max(abs(first[f"min_{c}"] - m), abs(first[f"max_{c}"] - m)) for c, m in zip(names, centres))
+    reach = max(max(abs(a - m), abs(b - m)) for a, b, m in zip(first["least"], first["most"], centres))
     covariance = np.zeros((d, d))
-    if n * reach * reach < 1 << 62:
+    if n * reach * reach < 1 << 53:
         rest = [s - n * m for s, m in zip(sums, centres)]
-        whole = products(columns, names, centres)
+        whole = products(numbers, d, centres)
         for i in range(d):
             for j in range(d):
                 covariance[i, j] = (n * int(whole[i, j]) - rest[i] * rest[j]) / (n * n)
     else:
-        covariance[:] = products(columns.select(*(F.col(c).cast("double").alias(c) for c in names)), names, [s / n for s in sums]).astype(float) / n
+        covariance = products(numbers, d, [s / n for s in sums]) / n
     values, vectors = np.linalg.eigh(covariance)
     values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
@@ -158,11 +151,10 @@ def identity_error(white: DataFrame, model: Whitening) -> float:
     some = np.flatnonzero(~np.isnan(model.scales)).tolist()
     if not some:
         return 0.0
-    names = [f"w{i}" for i in some]
-    columns = white.select(*(F.get("whitened", F.lit(i)).alias(f"w{i}") for i in some))
-    sums = added(columns, {c: f"sum({c})" for c in names})
-    found = products(columns, names, [sums[c] / model.n for c in names]).astype(float) / model.n
-    return float(np.abs(found - np.eye(len(names))).max())
+    own = white.select(F.array(*(F.get("whitened", F.lit(i)) for i in some)).alias("v"))
+    means = [total / model.n for total in moments(own, len(some))["total"]]
+    found = products(own, len(some), means) / model.n
+    return float(np.abs(found - np.eye(len(some))).max())
 
 
 def whiten(df: DataFrame, components: int = COMPONENTS, vector: str = "embedding", key: str = "vec_id") -> DataFrame:

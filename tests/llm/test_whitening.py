@@ -29,9 +29,7 @@ def exact(rows):
     return n, off, v
 
 
-@pytest.mark.parametrize("most_tasks", [1000, 1])
-def test_whitening_equals_exact_numbers(spark, monkeypatch, most_tasks):
-    monkeypatch.setattr(whitening, "MOST_TASKS", most_tasks)
+def test_whitening_equals_exact_numbers(spark):
     held = vectors(300, 12)
     rows = list(enumerate(held)) + [(7, held[7]), (None, held[8])]
     bad = [(900, None), (901, []), (902, [1.0] * 11 + [None]), (903, [float("nan")] * 12), (904, [float("inf")] * 12), (905, [1.0] * 5)]
@@ -52,6 +50,12 @@ def test_whitening_equals_exact_numbers(spark, monkeypatch, most_tasks):
         assert r.identity_error < 1e-9
 
 
+def test_covariance_does_not_depend_on_partitions(spark):
+    rows = list(enumerate(vectors(400, 9, 3)))
+    one, other = (whitening.fit(frame(spark, rows).repartition(p)).covariance for p in (1, 7))
+    assert (one == other).all() and (one == exact(rows)[2]).all()
+
+
 def test_awkward_tables(spark):
     empty = whitening.whiten(frame(spark, [(1, None), (2, [float("nan")])]))
     assert empty.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"] and empty.count() == 0
