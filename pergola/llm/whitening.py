@@ -15,6 +15,8 @@ from pergola.llm._arrow import arrow_schema, release, spread, written
 #: An entry c counts as floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
+#: Pairs of dimensions in a group of the covariance's sums.
+WIDTH = 16
 #: An eigenvalue of so small a share of the largest, for each dimension, is rounding and no variance.
 LEAST_SHARE = 1e-14
 #: Rows that a step projects at once.
@@ -60,18 +62,19 @@ def moments(vectors: DataFrame, d: int) -> dict[str, list]:
 
 
 def products(vectors: DataFrame, d: int, centres: list) -> np.ndarray:
-    """The upper triangle of sums of centred products of v, mirrored: an expression for each distance of two dimensions, grouped by the first, in one aggregation.
+    """The upper triangle of sums of centred products of v, mirrored, in one aggregation whose columns are expressions generated for WIDTH pairs each.
 
-    Row i of the triangle is the group i; its column of distance k sums v[i] * v[i + k]. So few expressions are compiled as one, where one for each
-    pair would be too large to be; doubles are exact as long as whole numbers stay below 2 ** 53.
+    Row i of the triangle is cut into parts of WIDTH columns, each a group: column k of part b sums v[i] * v[i + b + k]. So few expressions are
+    compiled as one, where one for each pair would be too large to be; doubles are exact as long as whole numbers stay below 2 ** 53.
     """
     centred = vectors.select(F.array(*((F.get("v", F.lit(i)) - F.lit(m)).cast("double") for i, m in enumerate(centres))).alias("v"))
-    each = centred.select("v", F.posexplode("v").alias("i", "x"))
-    sums = each.groupBy("i").agg(*(F.sum(F.expr(f"x * get(v, i + {k})")).alias(f"p{k}") for k in range(d)))
+    each = centred.select("v", F.posexplode("v").alias("i", "x")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(d - 1) - F.col("i"), F.lit(WIDTH))))
+    sums = each.groupBy("i", "b").agg(*(F.sum(F.expr(f"x * get(v, i + b + {k})")).alias(f"p{k}") for k in range(WIDTH)))
     out = np.zeros((d, d))
     for row in sums.collect():
-        for k in range(d - row.i):
-            out[row.i, row.i + k] = out[row.i + k, row.i] = row[f"p{k}"]
+        for k in range(min(WIDTH, d - row.i - row.b)):
+            j = row.i + row.b + k
+            out[row.i, j] = out[j, row.i] = row[f"p{k}"]
     return out
 
 
