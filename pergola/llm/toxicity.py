@@ -1,4 +1,4 @@
-"""Toxicity by two interpolated Kneser-Ney models of the characters of words, one for each label, over shared backoff counts."""
+"""Toxicity by two interpolated Kneser-Ney models of words, one for each label, over shared backoff counts of words and of their characters."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +20,13 @@ from pergola.llm.decontaminate import words_of
 DOCS_PER_CLASS = 2500
 #: Characters of the longest sequence counted.
 ORDER = 6
-#: What each sequence's count in a class is discounted by: the mass goes to the shared orders below, by the number of values a context has in
-#: the class. BACKOFF is the weight that these have beside it in either class, so an expression that neither knows well tells nothing.
+#: A word's counts stand, less DISCOUNT, if one of them is over what the shared probability lets expect in that class by DISCOUNT and so many standard
+#: deviations (roots of that); others are discounted whole. All that is discounted goes to the shared counts, so a word whose excess may be chance is as
+#: likely in both classes, and the topics and languages of the labelled rows, which make such chances, don't outweigh a few insults.
+DEVIATIONS = 3.0
 DISCOUNT = 1.0
+#: The weight that shared counts have in either class besides.
 BACKOFF = 50.0
-#: A word whose log ratio is greater speaks for the toxic model by itself.
-DECISIVE = 1.5
 #: Longer words are modelled in parts of so many bytes, each in the context that the part before it leaves.
 WORD_BYTES = 512
 #: Begins a part that is not a word's first, and ends one that is not its last; no word has these bytes.
@@ -88,67 +90,90 @@ class Order:
 
 @dataclass
 class ToxicityModel:
-    """shared: orders 2 to ORDER over both classes. own: the longest sequences' counts by class; totals, types: of their contexts the sums and
-    the numbers of values by class; weights: of the features and a constant."""
+    """shared: orders 2 to ORDER of characters, and first the order below them; keys: sorted hashes of the words; seen: their discounted shares in both
+    classes together, unseen: what these leave to characters; kept: their discounted shares in each class, free: what these leave to the shared
+    probability; the last rows of seen and kept are for unknown words. weights: of the comparison and a constant."""
 
     shared: list[Order]
     first: np.ndarray
-    own: np.ndarray
-    totals: np.ndarray
-    types: np.ndarray
+    keys: np.ndarray
+    seen: np.ndarray
+    unseen: float
+    kept: np.ndarray
+    free: np.ndarray
     weights: np.ndarray
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _discount(table: np.ndarray) -> float:
+    ones, twos = int((table == 1).sum()), int((table == 2).sum())
+    return min(max(ones / max(ones + 2 * twos, 1), 0.3), 0.95)
+
+
 def _pad(a: np.ndarray) -> np.ndarray:
     return np.concatenate([a, np.zeros((1, *a.shape[1:]))]).astype(np.float32)
 
 
 def fit(words: list[bytes], counts: np.ndarray) -> ToxicityModel:
-    """counts: documents with each word, by class. The longest sequences have those, shorter ones the numbers of values seen before them."""
+    """counts: documents with each word, by class. The longest sequences of characters have those of both, shorter ones the numbers of values seen before them."""
     codes, places, owner = _layout(words)
     shared: list[Order] = []
-    by_place = counts[owner].astype(np.float64)
-    classes = {}
+    both = counts.sum(axis=1).astype(np.float64)
     for width in range(ORDER, 1, -1):
         context = _keys(codes, width - 1)[places - 1]
         keys, first, inverse = np.unique(_keys(codes, width)[places], return_index=True, return_inverse=True)
         contexts, which = np.unique(context[first], return_inverse=True)
         sums = lambda values: np.bincount(which, values, len(contexts))
         if width == ORDER:
-            own = np.stack([np.bincount(inverse, by_place[:, c], len(keys)) for c in (0, 1)], axis=1)
-            table = own.sum(axis=1)
-            both = lambda values: _pad(np.stack([sums(values[:, c]) for c in (0, 1)], axis=1))
-            classes = {"own": _pad(own), "totals": both(own), "types": both(own > 0)}
+            table = np.bincount(inverse, both[owner], len(keys))
         else:
             at = np.unique(_keys(codes, width + 1)[places], return_index=True)[1]
             table = np.bincount(inverse[at], minlength=len(keys)).astype(float)
-        ones, twos = int((table == 1).sum()), int((table == 2).sum())
-        shared.append(Order(keys, _pad(table), contexts, _pad(sums(table)), _pad(sums(table > 0)), min(max(ones / max(ones + 2 * twos, 1), 0.3), 0.95)))
+        shared.append(Order(keys, _pad(table), contexts, _pad(sums(table)), _pad(sums(table > 0)), _discount(table)))
     pairs = np.unique(codes[places - 1] * np.uint64(258) + codes[places])
     values, n = np.unique(pairs % np.uint64(258), return_counts=True)
     base = np.ones(258)
     base[values.astype(np.int64)] += n
-    return ToxicityModel(shared[::-1], base / base.sum(), weights=np.array([4.0, 1.0, 0.0, -4.0]), **classes)
-
-
-def word_likelihoods(model: ToxicityModel, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its log-likelihood under the ordinary and under the toxic model, and its number of predicted values.
-
-    Interpolated Kneser-Ney: a discounted count of the class, and what the discounts leave times the shared probability of the same sequence,
-    whose lower orders count the values that a sequence was seen after, in either class.
-    """
+    shared, base = shared[::-1], base / base.sum()
+    total, less = max(both.sum(), 1.0), _discount(both)
+    seen = np.maximum(both - less, 0) / total
+    unseen = 1 - float(seen.sum())
+    expected = (seen + unseen * np.exp(character_likelihoods(shared, base, words)[0]))[:, None] * counts.sum(axis=0)
+    told = (counts > expected + DEVIATIONS * np.sqrt(expected) + DISCOUNT).any(axis=1)
+    gone = np.where(told[:, None], np.minimum(counts, DISCOUNT), counts)
+    sizes = counts.sum(axis=0) + BACKOFF
+    hashes = _hashes(words)
+    order = np.argsort(hashes)
+    last = lambda a: np.concatenate([a[order], np.zeros((1, *a.shape[1:]))])
+    return ToxicityModel(shared, base, hashes[order], last(seen), unseen, last((counts - gone) / sizes), (gone.sum(axis=0) + BACKOFF) / sizes, np.array([6.0, -3.0]))
+
+
+def character_likelihoods(shared: list[Order], first: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its log-likelihood by characters, over both classes, and its number of predicted values: interpolated Kneser-Ney, whose lower orders
+    count the values that a sequence was seen after."""
     codes, places, owner = _layout(words)
-    p = model.first[codes[places].astype(np.int64)]
-    at = where = np.empty(0, np.int64)
-    for width, o in enumerate(model.shared, 2):
+    p = first[codes[places].astype(np.int64)]
+    for width, o in enumerate(shared, 2):
         at = _find(o.keys, _keys(codes, width)[places])
         where = _find(o.contexts, _keys(codes, width - 1)[places - 1])
         total = o.totals[where]
         seen = np.maximum(total, 1e-9)
         p = np.where(total > 0, np.maximum(o.counts[at] - o.discount, 0) / seen + o.discount * o.types[where] / seen * p, p)
-    own, totals, types = model.own[at], model.totals[where], model.types[where]
-    logs = np.log((np.maximum(own - DISCOUNT, 0) + (DISCOUNT * types + BACKOFF) * p[:, None]) / (totals + BACKOFF))
-    return np.stack([np.bincount(owner, logs[:, c], len(words)) for c in (0, 1)], axis=1), np.bincount(owner, minlength=len(words)).astype(float)
+    return np.bincount(owner, np.log(p), len(words)), np.bincount(owner, minlength=len(words)).astype(float)
+
+
+def word_likelihoods(model: ToxicityModel, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its log-likelihood under the ordinary and under the toxic model, and its number of characters with its end.
+
+    Interpolated Kneser-Ney: the word's discounted share in the class, and what the discounts leave times its shared probability, which is its
+    discounted share in both classes, and what that leaves times its probability by characters.
+    """
+    logs, size = character_likelihoods(model.shared, model.first, words)
+    at = _find(model.keys, _hashes(words))
+    return np.log(model.kept[at] + model.free * (model.seen[at] + model.unseen * np.maximum(np.exp(logs), 1e-300))[:, None]), size
 
 
 def parts_of(text: bytes | None) -> list[bytes]:
@@ -157,7 +182,7 @@ def parts_of(text: bytes | None) -> list[bytes]:
 
 
 def cut(word: bytes) -> list[bytes]:
-    """A long word as parts that together are as likely as the whole."""
+    """A long word as parts whose characters together are as likely as the whole's."""
     if len(word) <= WORD_BYTES:
         return [word]
     at = range(0, len(word), WORD_BYTES)
@@ -185,21 +210,20 @@ class Ratios(dict):
             self.update(zip(new, range(len(self.ratio), len(self.ratio) + len(new))))
             self.ratio, self.size = np.concatenate([self.ratio, ratio]), np.concatenate([self.size, size])
 
-    def features(self, words: list[bytes]) -> tuple[float, float, float]:
-        """Of what the words' log ratios have above DECISIVE: the share in the text's length, and all of it; then the length-normalised
-        log-likelihood under the toxic model less that under the ordinary one."""
+    def comparison(self, words: list[bytes]) -> float:
+        """The log-likelihood under the toxic model less that under the ordinary one, normalised by the root of the length, by which chance differences
+        grow, as a signed square root."""
         if not words:
-            return 0.0, 0.0, 0.0
+            return 0.0
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        ratio = self.ratio[at]
-        over = float(np.maximum(ratio - DECISIVE, 0).sum())
-        return float(np.sqrt(over / len(words))), float(np.log1p(over)), float(ratio.sum() / self.size[at].sum())
+        found = float(self.ratio[at].sum() / np.sqrt(self.size[at].sum()))
+        return float(np.copysign(np.sqrt(abs(found)), found))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the features and a constant, by Newton steps with a small penalty."""
+    """Weights of the columns and a constant, by Newton steps with a small penalty."""
     z = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(z.shape[1]), np.array([0.02, 0.02, 0.02, 1e-6])
+    w, penalty = np.zeros(z.shape[1]), np.array([0.01] * x.shape[1] + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
@@ -237,18 +261,18 @@ def train(df: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS
     counts[[place[w] for w in own], found.column("label").to_numpy()] = found.column("n").to_numpy()
     del found, own, place
     model = fit(words, counts)
-    tuned = _features(rows.where("scale").select("doc_id", "text", "label"), model, ("label",)).select("label", "a", "b", "c").collect()
+    tuned = _compared(rows.where("scale").select("doc_id", "text", "label"), model, ("label",)).select("label", "comparison").collect()
     rows.unpersist()
     y = np.array([r.label for r in tuned], float)
     if len(y) and 0 < y.mean() < 1:
-        tuned = sorted(tuned, key=lambda r: (r.label, r.a, r.b, r.c))
-        model.weights = _logistic(np.array([[r.a, r.b, r.c] for r in tuned]), np.array([r.label for r in tuned], float))
+        tuned = sorted(tuned, key=lambda r: (r.label, r.comparison))
+        model.weights = _logistic(np.array([[r.comparison] for r in tuned]), np.array([r.label for r in tuned], float))
     return model
 
 
-def _features(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) -> DataFrame:
+def _compared(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ()) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[n] for n in ("doc_id", *keep)] + [T.StructField(n, T.DoubleType()) for n in ("a", "b", "c")])
+    schema = T.StructType([docs.schema[n] for n in ("doc_id", *keep)] + [T.StructField("comparison", T.DoubleType())])
 
     def make():
         ratios = Ratios(sent.value)
@@ -256,8 +280,7 @@ def _features(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ())
         def step(part: pa.RecordBatch) -> list:
             texts = [parts_of(t) for t in raw(part.column("text"))]
             ratios.meet(texts)
-            found = [ratios.features(words) for words in texts]
-            return [part.column("doc_id"), *(part.column(k) for k in keep), *([f[k] for f in found] for k in range(3))]
+            return [part.column("doc_id"), *(part.column(k) for k in keep), [ratios.comparison(words) for words in texts]]
 
         return step
 
@@ -267,13 +290,11 @@ def _features(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ())
 def score(df: DataFrame, model: ToxicityModel, threshold: float = 0.7, keep: tuple[str, ...] = (), text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, the columns in keep, score (0 to 1), predicted (score >= threshold) for each row.
 
-    score is a logistic function of three comparisons of the toxic with the ordinary model: the length-normalised log-likelihoods of the whole
-    text, and what single words that are decisive for the toxic one add up to, normalised by length and in all. Null, empty and wordless texts
-    compare as equal, hence the score of no evidence; a score of exactly the threshold is predicted. Repeated rows give a row each; a null id
+    score is a logistic function of the comparison of the text's log-likelihoods under the toxic and the ordinary model, normalised by the root of its
+    length. Null, empty and wordless texts compare as equal, hence the score of no evidence; a score of exactly the threshold is predicted. Repeated rows give a row each; a null id
     stays null; without labels of both kinds the weights are fixed ones; an empty table gives no rows.
     """
-    w = model.weights.tolist()
-    found = _features(spread(documents(df, *keep, text=text, key=key)), model, keep)
-    z = F.col("a") * w[0] + F.col("b") * w[1] + F.col("c") * w[2] + w[3]
-    found = found.withColumn("score", 1 / (1 + F.exp(-z)))
+    scale, constant = model.weights.tolist()
+    found = _compared(spread(documents(df, *keep, text=text, key=key)), model, keep)
+    found = found.withColumn("score", 1 / (1 + F.exp(-(F.col("comparison") * scale + constant))))
     return found.select("doc_id", *keep, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

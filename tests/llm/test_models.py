@@ -161,20 +161,20 @@ def test_toxicity_held_out(spark, small):
 
 
 def test_kneser_ney_by_hand():
-    """Both models of every word against dictionaries, loops and fractions of counts; long words as the sum of their parts."""
+    """Both models of every word against dictionaries, loops and fractions of counts; characters of long words as the sum of their parts."""
     rng = random.Random(4)
     words = sorted({"".join(rng.choice("abé") for _ in range(rng.randint(1, 9))).encode() for _ in range(60)})
     counts = np.array([[rng.randint(0, 6), rng.randint(0, 6)] for _ in words], float)
     counts[:, 0] += counts.sum(axis=1) == 0
+    counts[7] = 0, 90
     model = toxicity.fit(words, counts)
     order = toxicity.ORDER
-    grams = [Counter(), Counter()]
+    grams = Counter()
     for w, n in zip(words, counts):
         own = (256,) * (order - 1) + tuple(w) + (257,)
         for k in range(order - 1, len(own)):
-            for c in (0, 1):
-                grams[c][own[k - order + 1 : k + 1]] += n[c]
-    seen = {order: {g: grams[0][g] + grams[1][g] for g in grams[0]}}
+            grams[own[k - order + 1 : k + 1]] += n.sum()
+    seen = {order: grams}
     for n in range(order - 1, 0, -1):
         seen[n] = Counter(g[1:] for g in seen[n + 1])
 
@@ -187,23 +187,35 @@ def test_kneser_ney_by_hand():
             return shared(g[1:])
         return (max(after.get(g, 0) - d, 0) + d * sum(n > 0 for n in after.values()) * shared(g[1:])) / total
 
+    def characters(w):
+        own = (256,) * (order - 1) + tuple(w) + (257,)
+        return math.prod(shared(own[k - order + 1 : k + 1]) for k in range(order - 1, len(own)))
+
+    both = {w: n.sum() for w, n in zip(words, counts)}
+    ones, twos = (sum(n == k for n in both.values()) for k in (1, 2))
+    less, total = min(max(ones / max(ones + 2 * twos, 1), 0.3), 0.95), counts.sum()
+
+    def word(w):
+        return max(both.get(w, 0) - less, 0) / total + (1 - sum(max(n - less, 0) for n in both.values()) / total) * characters(w)
+
     def likelihood(w, c):
-        own, log = (256,) * (order - 1) + tuple(w) + (257,), 0.0
-        for k in range(order - 1, len(own)):
-            g = own[k - order + 1 : k + 1]
-            after = {x: n for x, n in grams[c].items() if x[:-1] == g[:-1]}
-            kept, types = max(after.get(g, 0) - toxicity.DISCOUNT, 0), sum(n > 0 for n in after.values())
-            log += math.log((kept + (toxicity.DISCOUNT * types + toxicity.BACKOFF) * shared(g)) / (sum(after.values()) + toxicity.BACKOFF))
-        return log
+        size, gone = counts[:, c].sum(), {}
+        for x, pair in zip(words, counts):
+            e = [k * word(x) for k in counts.sum(axis=0)]
+            told = any(n > m + toxicity.DEVIATIONS * math.sqrt(m) + toxicity.DISCOUNT for n, m in zip(pair, e))
+            gone[x] = min(pair[c], toxicity.DISCOUNT) if told else pair[c]
+        kept = counts[words.index(w), c] - gone[w] if w in gone else 0
+        return math.log((kept + (sum(gone.values()) + toxicity.BACKOFF) * word(w)) / (size + toxicity.BACKOFF))
 
     asked = [*words[:20], b"ab", "ébé".encode(), b"zzz", b""]
     logs, sizes = toxicity.word_likelihoods(model, asked)
     assert sizes.tolist() == [len(w) + 1 for w in asked]
     assert np.allclose(logs, [[likelihood(w, c) for c in (0, 1)] for w in asked], rtol=1e-4)
+    assert any(abs(a - b) > 0.5 for a, b in logs)
     long = b"abba" * 400
-    whole, n = toxicity.word_likelihoods(model, [long])
-    parts, ns = toxicity.word_likelihoods(model, toxicity.cut(long))
-    assert len(ns) > 3 and ns.sum() == n[0] and np.allclose(parts.sum(axis=0), whole[0])
+    whole, n = toxicity.character_likelihoods(model.shared, model.first, [long])
+    parts, ns = toxicity.character_likelihoods(model.shared, model.first, toxicity.cut(long))
+    assert len(ns) > 3 and ns.sum() == n[0] and np.allclose(parts.sum(), whole[0])
 
 
 def test_toxicity_awkward_rows(spark, awkward):
@@ -220,6 +232,22 @@ def test_rare_expressions_say_nothing():
     logs = toxicity.word_likelihoods(model, words)[0]
     ratio = dict(zip(words, logs[:, 1] - logs[:, 0]))
     assert ratio[b"idiot"] > 2 > abs(ratio[b"once"]) and abs(ratio[b"the"]) < 1
+    assert abs(ratio[b"once"] - ratio[b"seen"]) < 1e-9
+
+
+def test_comparison_carries_the_score(spark, small):
+    """The weight of the length-normalised comparison is positive, and no other column of the text comes into the score."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where("crc32(cast(doc_id AS string)) % 3 <> 1"))
+    assert model.weights[0] > 0 and len(model.weights) == 2
+    ratios = toxicity.Ratios(model)
+    texts = {r.doc_id: toxicity.parts_of((r.text or "").encode()) for r in docs.limit(200).collect()}
+    ratios.meet(list(texts.values()))
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, words in texts.items():
+        logs, sizes = toxicity.word_likelihoods(model, words) if words else (np.zeros((1, 2)), np.ones(1))
+        c = (logs[:, 1] - logs[:, 0]).sum() / sizes.sum() ** 0.5
+        assert np.isclose(found[i], 1 / (1 + math.exp(-(model.weights[0] * math.copysign(abs(c) ** 0.5, c) + model.weights[1]))), atol=1e-6)
 
 
 def statistics(text):
