@@ -81,7 +81,8 @@ def confidence(base: Column, grounded: Column, complete: Column, citations: Colu
     share = invalid / F.greatest(F.lit(1), invalid + citations)
     value = F.when(invalid > 0, value * F.greatest(F.lit(0.55), 1.0 - 0.6 * share)).otherwise(value)
     value = F.when(errors > 0, value * 0.9).otherwise(value)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(CEILING), value)), 3)
+    # A double's decimals and its thousandfold fall on different sides of a half: the thousandfold decides, as in SQL on doubles.
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(CEILING), value)) * 1000) / 1000
 
 
 def packed(ranked: DataFrame, most: int = MAX_CHARS, least_rest: int = LEAST_REST) -> DataFrame:

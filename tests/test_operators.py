@@ -215,6 +215,12 @@ def test_confidence(spark):
     assert (found[1], found[2], found[3]) == (0.97, 0.936, 0.515) and found[4] < found[2]
 
 
+def test_confidence_rounds_the_double(spark):
+    """0.5115 is a double just below that, as its thousandfold tells."""
+    row = spark.createDataFrame([(0.55, True, True, 6, 0.25, 0, 0)], "base double, grounded boolean, complete boolean, citations int, overlap double, invalid int, errors int")
+    assert row.select(answers.confidence(*map(F.col, row.columns)).alias("c")).first().c == 0.511
+
+
 def metrics(spark, got, want):
     a = spark.createDataFrame([("c", i, p) for i, p in enumerate(got)], "case_id string, rank int, path string")
     b = spark.createDataFrame([("c", p) for p in want], "case_id string, path string")
