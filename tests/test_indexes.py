@@ -59,6 +59,17 @@ def test_blocks_that_cannot_reach_the_bound_make_no_rows(spark, index):
     assert 0 < made < terms.join(held.postings, "term").count() / 20
 
 
+def test_search_sends_no_more_than_the_best_of_a_task(spark, monkeypatch):
+    """Documents are indexed without a shuffle, and what is shuffled of a search is k rows of a query and task; blocks of queries, small tiles and only common terms change nothing."""
+    docs = spark.createDataFrame([(i, f"all some{i % 2} few{i % 50} " * (1 + i % 3)) for i in range(500)], "doc_id long, text string").repartition(2)
+    assert "Exchange hash" not in lexical.counted(lexical.tokenised(docs).withColumn("dl", F.size("tokens").cast("long")))._jdf.queryExecution().toString()
+    held = lexical.build(lexical.tokenised(docs))
+    terms = lexical.query_terms(spark.createDataFrame([(1, "all"), (2, "all some1 few7"), (3, "few9 none"), (4, "none")], "qid int, text string"))
+    want = ranked(lexical.top(lexical.scores(held, terms), 3))
+    assert ranked(lexical.best(held, terms, 3)) == want == ranked(lexical.best(held, terms, 3, query_bytes=32))
+    assert ranked(lexical.best(lexical.LexicalIndex(held.postings, held.corpus), terms, 3)) == want
+
+
 def vector_rows(rng, n, d, clusters=8):
     centres = rng.normal(size=(clusters, d))
     rows = [(i, (centres[i % clusters] + 0.15 * rng.normal(size=d)).tolist()) for i in range(n)]
