@@ -112,6 +112,13 @@ def test_tiles_out_of_reach_are_passed_over(spark, monkeypatch):
     assert {r.doc for r in vectors.nearest(far, asked, 3, known=known).collect()} == {0, 1, 2}
 
 
+def test_reach_is_of_one_tile():
+    """What a task holds is a figure a query, not one for each query and tile."""
+    way = vectors.Pivots(np.eye(2), np.array([np.pi / 6, 0.0]))
+    found = vectors._reach(np.array([[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]), way, 0)
+    assert found.shape == (3,) and found == pytest.approx([1.0, 0.5, 1.0])
+
+
 def rows_of(spark, *rows):
     return spark.createDataFrame(list(rows), "key string, embedding array<double>")
 
