@@ -336,3 +336,11 @@ def test_retry_and_waterfall(spark):
     frame = spark.createDataFrame([("t", "a", None, 1), ("t", "b", "a", 2), ("t", "c", "b", 3), ("t", "d", "lost", 0)], "trace string, span_id string, parent_id string, start int")
     assert {r.span_id: (r.depth, r.place) for r in usage.waterfall(frame).collect()} == {"a": (0, 2), "b": (1, 3), "c": (2, 4), "d": (0, 1)}
     assert spark.range(1).select(usage.retry_delay(F.lit(9), F.lit(True), F.lit(None).cast("double")).alias("d")).first().d == 90.0
+
+
+def test_partitions_of_a_diff_grow_with_its_scan(spark):
+    from pergola.operators import diffs
+
+    rows = spark.createDataFrame([(f"d{i}", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n") for i in range(40)], "diff_id string, text string").repartition(5)
+    lines = diffs.marked(rows)
+    assert lines.rdd.getNumPartitions() == 5 * diffs.PARTS and lines.count() == 40 * 5
