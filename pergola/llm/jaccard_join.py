@@ -8,11 +8,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import WordHashes, documents, key_filter, map_slices, passes, raw, runs_of, signed, spread, struct, written
+from pergola.llm._arrow import WordHashes, documents, key_filter, map_slices, mix, passes, raw, runs_of, signed, spread, struct, written
 from pergola.llm.components import components
 
 #: Words of a shingle; a link needs LEAST / 100 of the union shared.
@@ -130,6 +130,75 @@ def _neighbourhoods(rows: DataFrame, least: int) -> DataFrame:
     return written(components(edges))
 
 
+def size_class(low: int, least: int) -> tuple[int, int, int, int]:
+    """Of the links whose smaller set has `low` shingles or up to a 100 / least-th of it: that many, the larger set's most, parts, spare parts.
+
+    Two such sets differ in at most k shingles, so of k + 1 + 2 * spare parts at least 1 + 2 * spare are the same in both, and one still is when
+    each set leaves out any `spare` of its own.
+    """
+    high = max(low, (100 * low - 1) // least)
+    most = 100 * high // least
+    k = (high + most) * (100 - least) // (100 + least)
+    spare = (k + 2) // 4
+    return high, most, k + 1 + 2 * spare, spare
+
+
+def classes(size: int, least: int) -> list[tuple[int, int, int]]:
+    """low, parts, spare of the classes that a set of this size is in, as the smaller or the larger set of a link."""
+    out, low = [], 1
+    while low <= size:
+        high, most, parts, spare = size_class(low, least)
+        if size <= most:
+            out.append((low, parts, spare))
+        low = high + 1
+    return out
+
+
+def part_keys(own: np.ndarray, low: int, parts: int) -> np.ndarray:
+    """A 64-bit name of what a set holds of each part of all shingles; a part is told by a shingle's hash."""
+    at = ((mix(own) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    upper = np.bincount(at, weights=own >> np.uint64(32), minlength=parts).astype(np.uint64)
+    lower = np.bincount(at, weights=own & np.uint64(0xFFFFFFFF), minlength=parts).astype(np.uint64)
+    return mix(mix((upper << np.uint64(32)) + lower) + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(low))
+
+
+def _narrowed(large: DataFrame, width: int, least: int) -> DataFrame:
+    """node, root: the sets of large neighbourhoods (node, k, text, root) in smaller ones, which linked sets still are in together. A set that links with none drops out.
+
+    Shared passages chain a neighbourhood. Here shingles are dealt into so many parts that linked sets hold the same of some; of the parts that a set has the
+    same as others it leaves out as many as a link can spare, those that most sets have: what a common passage alone fills is mostly among them.
+    """
+
+    def make():
+        hashes, known = WordHashes(), {}
+
+        def step(part: pa.RecordBatch) -> list:
+            nodes, lows, spares, names = [], [], [], []
+            for node, key, root, t in zip(part.column("node").to_pylist(), part.column("k").to_pylist(), part.column("root").to_pylist(), raw(part.column("text"))):
+                own = shingles(words_of(t), hashes, width)
+                if _key(own) != key:
+                    continue
+                if len(own) not in known:
+                    known[len(own)] = classes(len(own), least)
+                for low, parts, spare in known[len(own)]:
+                    nodes.append(np.full(parts, node))
+                    lows.append(np.full(parts, low))
+                    spares.append(np.full(parts, spare))
+                    names.append(signed(mix(part_keys(own, low, parts) + np.uint64(root & (1 << 64) - 1))))
+            return [np.concatenate(c) if c else [] for c in (nodes, lows, spares, names)]
+
+        return step
+
+    shape = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "low", "spare", "part")])
+    parts = written(map_slices(large, make, shape))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
+    commonest = Window.partitionBy("node", "low").orderBy(F.desc("n"), "part")
+    held = written(parts.join(counts, "part").withColumn("place", F.row_number().over(commonest)).where("place > spare").select("node", "part"))
+    pivots = held.groupBy("part").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("part", "pivot")
+    edges = held.join(pivots, "part").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    return components(edges)
+
+
 class Index:
     """Inverted lists of a block of sets: sorted places of sets by shingle, as one sorted array of list * n + set.
 
@@ -140,9 +209,9 @@ class Index:
         self.sets, self.least, self.n = sets, least, len(sets)
         self.skipped = self.again = 0
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        names, ranks = np.unique(np.concatenate(sets), return_inverse=True)
+        self.names, ranks = np.unique(np.concatenate(sets), return_inverse=True)
         self.postings = np.sort(ranks * self.n + np.repeat(np.arange(self.n), self.sizes))
-        self.starts = np.searchsorted(self.postings, np.arange(len(names) + 1) * self.n)
+        self.starts = np.searchsorted(self.postings, np.arange(len(self.names) + 1) * self.n)
         self.ranks = np.split(ranks, np.cumsum(self.sizes)[:-1])
 
     def members(self, rank: int) -> np.ndarray:
@@ -154,14 +223,22 @@ class Index:
         The L longest lists of q are put aside. The others are merged from a heap; sets found in T - L of them at least are candidates, and
         each is looked up in the long lists by binary search.
         """
-        own = self.ranks[q]
-        size = len(own)
+        return self._found(self.ranks[q], int(self.sizes[q]), unwanted)
+
+    def search_for(self, other: np.ndarray, unwanted: np.ndarray) -> np.ndarray:
+        """The same for a set that need not be one of these."""
+        at = np.minimum(np.searchsorted(self.names, other), len(self.names) - 1)
+        return self._found(at[self.names[at] == other], len(other), unwanted)
+
+    def _found(self, own: np.ndarray, size: int, unwanted: np.ndarray) -> np.ndarray:
         t = needed(size, self.least)
+        if len(own) < t:
+            return np.empty(0, np.int64)
         lengths = self.starts[own + 1] - self.starts[own]
         order = np.argsort(lengths, kind="stable")
         longest = int(lengths[order[-1]])
         aside = min(t - 1, int(t / (MU * math.log2(longest + 1) + 1)))
-        short, long = own[order[: size - aside]], own[order[size - aside :]]
+        short, long = own[order[: len(own) - aside]], own[order[len(own) - aside :]]
         sets, counts = self._merged(short, t - aside)
         ok = (counts >= t - aside) & ~unwanted[sets] & (100 * self.sizes[sets] >= self.least * size) & (100 * size >= self.least * self.sizes[sets])
         sets, counts = sets[ok], counts[ok]
@@ -245,27 +322,61 @@ def linked(sets: list[np.ndarray], least: int = LEAST) -> np.ndarray:
     return parent
 
 
+def linked_across(left: list[np.ndarray], right: list[np.ndarray], least: int = LEAST) -> list[tuple[int, int]]:
+    """Places of linked sets, one of either list and none of them empty: as many links as make one component of what links across the lists tie."""
+    index, out = Index(right, least), []
+    label = np.arange(len(left) + len(right))
+    for q, own in enumerate(left):
+        for r in index.search_for(own, label[len(left) :] == label[q]).tolist():
+            if label[len(left) + r] != label[q]:
+                out.append((q, r))
+                label[label == label[len(left) + r]] = label[q]
+    return out
+
+
 def _verify(rows: pa.Table, width: int, least: int) -> pa.Table:
-    """a, b: sets of a group tied to the first of their component. A text that is not of the set it was fetched for is left out."""
+    """a, b: sets of a group tied to the first of their component, or, in a group of two blocks, those tied across them. A text that is not of the set it was fetched for is left out."""
     hashes, own = WordHashes(), {}
+    block = dict(zip(rows.column("k").to_pylist(), rows.column("block").to_pylist()))
     for key, text in zip(rows.column("k").to_pylist(), raw(rows.column("text").combine_chunks())):
         if key not in own:
             found = shingles(words_of(text), hashes, width)
             if _key(found) == key:
                 own[key] = found
     keys = sorted(own)
+    if len(set(block.values())) == 2:
+        left, right = ([k for k in keys if block[k] == b] for b in sorted(set(block.values())))
+        tied = linked_across([own[k] for k in left], [own[k] for k in right], least) if left and right else []
+        return pa.table({"a": pa.array([left[i] for i, _ in tied], pa.binary()), "b": pa.array([right[j] for _, j in tied], pa.binary())})
     label = linked([own[k] for k in keys], least)
     tied = [i for i in range(len(keys)) if label[i] != i]
     return pa.table({"a": pa.array([keys[i] for i in tied], pa.binary()), "b": pa.array([keys[label[i]] for i in tied], pa.binary())})
 
 
 def _grouped(members: DataFrame) -> DataFrame:
-    """k, text, root and part: the groups to be searched. A neighbourhood of more than BLOCK_SHINGLES is dealt into blocks, and every two blocks are a group."""
+    """k, text, root, block and part: the groups to be searched. A neighbourhood of more than BLOCK_SHINGLES is dealt into blocks; each block is a group, and every two."""
     weights = members.groupBy("root").agg(F.sum(F.col("n_shingles") + DOC_WEIGHT).alias("weight"))
     sized = members.join(weights.where(F.col("weight") > BLOCK_SHINGLES).withColumn("blocks", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")).select("root", "blocks"), "root", "left")
     own = F.pmod(_k1(), F.col("blocks").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(own, b) * F.col("blocks") + F.greatest(own, b))
-    return sized.select("k", "text", "root", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(others)).alias("part"))
+    return sized.select("k", "text", "root", F.coalesce(own, F.lit(0)).alias("block"), F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(others)).alias("part"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text of the documents that a filter of the ids in wanted lets through."""
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h")), "h"))
+
+    def make():
+        held = np.frombuffer(sent.value, np.uint8)
+
+        def step(part: pa.RecordBatch) -> list:
+            names = [b"" if i is None else str(i).encode() for i in part.column("doc_id").to_pylist()]
+            kept = part.filter(pa.array(passes(held, np.array([xxhash.xxh64_intdigest(n, 42) for n in names], np.uint64))))
+            return [kept.column("doc_id"), kept.column("text")]
+
+        return step
+
+    return map_slices(docs, make, struct(docs, ("text", T.StringType())))
 
 
 def join(df: DataFrame, width: int = WIDTH, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -273,32 +384,23 @@ def join(df: DataFrame, width: int = WIDTH, least: int = LEAST, text: str = "tex
 
     Equal sets are one from the start. Sets that share one of their rarest shingles, as many as a link can't do without, fall into one
     neighbourhood; within it each asks, by T-occurrence search, which others share enough. Nothing is capped: large neighbourhoods
-    are searched block by block. Sets are held as 64-bit hashes of shingles. Texts without words, and null, have an empty set and their own
+    are narrowed first, and what is still large is searched block by block. Sets are held as 64-bit hashes of shingles. Texts without words, and null, have an empty set and their own
     doc_id as component; rows that share a doc_id are rows of one document each with its own set; rows with a null id link with nothing
     and have a null component; an empty table gives no rows.
     """
     docs = spread(documents(df, text=text, key=key))
-    sc = df.sparkSession.sparkContext
     rows = written(_profiles(docs, width, least))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     near = _neighbourhoods(full, least)
     sets = full.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"))
-    members = written(sets.withColumn("node", _k1()).join(near, "node").select("k", F.col("first").alias("doc_id"), "n_shingles", "root"))
-    wanted = sc.broadcast(key_filter(members.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h")), "h"))
-
-    def make():
-        held = np.frombuffer(wanted.value, np.uint8)
-
-        def step(part: pa.RecordBatch) -> list:
-            names = [b"" if i is None else str(i).encode() for i in part.column("doc_id").to_pylist()]
-            kept = part.filter(pa.array(passes(held, np.array([xxhash.xxh64_intdigest(n, 42) for n in names], np.uint64))))
-            return [kept.column("doc_id"), kept.column("text")]
-
-        return step
-
-    texts = map_slices(docs, make, struct(docs, ("text", T.StringType())))
+    members = written(sets.withColumn("node", _k1()).join(near, "node").select("node", "k", F.col("first").alias("doc_id"), "n_shingles", "root"))
+    heavy = members.groupBy("root").agg(F.sum(F.col("n_shingles") + DOC_WEIGHT).alias("weight")).where(F.col("weight") > BLOCK_SHINGLES).select("root")
+    large = written(members.join(heavy, "root"))
+    if not large.isEmpty():
+        narrowed = written(_narrowed(large.join(_texts(docs, large), "doc_id"), width, least))
+        members = written(members.join(heavy, "root", "left_anti").unionByName(large.drop("root").join(narrowed, "node")))
     shape = "a binary, b binary"
-    links = _grouped(members.join(texts, "doc_id")).groupBy("root", "part").applyInArrow(lambda t: _verify(t, width, least), shape)
+    links = _grouped(members.join(_texts(docs, members), "doc_id")).groupBy("root", "part").applyInArrow(lambda t: _verify(t, width, least), shape)
     tied = components(links)
     named = sets.select("k", "first").join(tied.select(F.col("node").alias("k"), F.col("root").alias("tie")), "k")
     together = named.join(named.groupBy("tie").agg(F.min("first").alias("component_id")), "tie").select("k", "component_id")

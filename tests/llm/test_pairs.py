@@ -113,6 +113,59 @@ def test_heap_puts_lists_back_and_skips():
     assert index.again > 100 and index.skipped > 20
 
 
+def links_of(sets, other, least):
+    return {(a, b) for a, x in enumerate(sets) for b, y in enumerate(other) if 100 * len(np.intersect1d(x, y)) >= least * len(np.union1d(x, y))}
+
+
+@pytest.mark.parametrize("least", [80, 85])
+def test_linked_sets_hold_the_same_of_enough_parts(least):
+    rng = np.random.default_rng(least)
+    fresh = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for size in (*range(1, 40), 150, 700):
+        for _ in range(20):
+            shared = fresh(size)
+            mine, other = (np.unique(np.append(shared, fresh(rng.integers(0, size // 4 + 1)))) for _ in range(2))
+            if not links_of([mine], [other], least):
+                continue
+            common = set(jaccard_join.classes(len(mine), least)) & set(jaccard_join.classes(len(other), least))
+            assert any((jaccard_join.part_keys(mine, low, n) == jaccard_join.part_keys(other, low, n)).sum() > 2 * spare for low, n, spare in common)
+
+
+def test_search_across_blocks_ties_what_links_there():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 120).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(120) < p, rng.integers(0, 1 << 60, 120).astype(np.uint64), base)) for p in np.linspace(0, 0.2, 60)]
+    left, right = sets[::2], sets[1::2]
+    want, found = links_of(left, right, 85), jaccard_join.linked_across(left, right, 85)
+    assert want and set(found) <= want
+    classes = lambda pairs: {frozenset(c) for c in merged([{("l", a), ("r", b)} for a, b in pairs])}
+    assert classes(found) == classes(want)
+    assert jaccard_join.Index(right, 85).search_for(np.array([1, 2, 3], np.uint64), np.zeros(len(right), bool)).tolist() == []
+
+
+def merged(groups):
+    out = []
+    for g in groups:
+        for other in [o for o in out if o & g]:
+            out.remove(other)
+            g = g | other
+        out.append(g)
+    return out
+
+
+def test_a_passage_that_many_share_makes_no_large_group(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 4000)
+    passage = prose(rng, 30, 3000)
+    texts = [f"{prose(rng, 100, 3000)} {passage} {prose(rng, 70, 3000)}" for _ in range(60)]
+    texts += [t.replace("w1", "v1", 1) for t in texts[:9]]
+    rows = list(enumerate(texts))
+    held, sizes = jaccard_join._grouped, []
+    monkeypatch.setattr(jaccard_join, "_grouped", lambda members: sizes.extend(r["count"] for r in members.groupBy("root").count().collect()) or held(members))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == components_of(rows)
+    assert max(sizes) < 15
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 3)]
