@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pergola.session import CLEANUP
+
 #: Bytes of text that one step works on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 3 << 19
 #: Words a task remembers the hash of before it starts anew.
@@ -197,10 +199,6 @@ def dropped(spark: SparkSession, where: str) -> None:
     files.delete(path, True)
 
 
-#: Lets Spark delete a job's shuffle files when the job has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def saved(df: DataFrame, *parts: str) -> str:
     """The folder of a new table of the rows in the shared folder, cut by the columns in parts; it goes when the session's JVM ends.
 
