@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pergola.llm._arrow import WordHashes, documents, key_filter, map_slices, mix, passes, raw, release, signed, spread, struct, written
+from pergola.llm._arrow import WordHashes, documents, dropped, key_filter, map_slices, mix, passes, raw, release, saved, signed, spread, struct, written
 from pergola.llm.components import components
 from pergola.llm.jaccard_join import shingles, words_of
 
@@ -245,12 +245,19 @@ def deduplicate(df: DataFrame, width: int = WIDTH, least: int = LEAST, miss: flo
     """
     needed = least_matches(least, miss)
     docs = spread(documents(df, text=text, key=key))
-    rows = written(_profiles(docs, width))
-    grouped = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    spark, profiled = df.sparkSession, _profiles(docs, width)
+    first_table = saved(profiled)
+    profiles = spark.read.schema(profiled.schema).parquet(first_table)
+    grouped = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     sets = written(grouped.withColumn("node", F.monotonically_increasing_id()))
-    postings = written(_postings(sets))
+    # signatures are in sets now, and bands are no longer needed once those that sets share are written: neither is kept twice
+    rows = written(profiles.select("doc_id", "n_shingles", "k"))
+    dropped(spark, first_table)
+    all_bands = saved(_postings(sets))
+    postings = spark.read.schema("band long, node long").parquet(all_bands)
     shared = postings.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("band", "pivot")
     members = written(postings.join(shared, "band"))
+    dropped(spark, all_bands)
     stars = written(_compared(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, needed, least))
     nodes = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     full = _sets(docs, written(sets.join(nodes, "node").select("node", "k", "doc_id")), width)

@@ -9,7 +9,7 @@ import pytest
 from conftest import prose
 from test_pairs import family, shingles
 
-from pergola.llm import fim, minhash
+from pergola.llm import _arrow, fim, minhash
 
 
 def classes(rows, least=80):
@@ -135,3 +135,11 @@ def test_rank_and_select():
         held = fim.Bits(bits)
         assert (held.rank(np.arange(n + 1)) == np.concatenate([[0], np.cumsum(bits)])).all()
         assert (held.select(np.arange(int(bits.sum()))) == np.flatnonzero(bits)).all()
+
+
+def test_signatures_and_bands_are_kept_once(spark, awkward, tmp_path, monkeypatch):
+    places = iter(range(10_000))
+    monkeypatch.setattr(_arrow, "shared_dir", lambda spark: f"file://{tmp_path}/{next(places)}")
+    assert minhash.deduplicate(awkward).count() == awkward.count()
+    held = [set(spark.read.parquet(str(p)).columns) for p in tmp_path.iterdir() if any(p.glob("*.parquet"))]
+    assert sum("sig" in columns for columns in held) == 1 and {"band", "node"} not in held
