@@ -67,7 +67,7 @@ class Engine:
         tell("chunk", files=judged.where("skip_reason IS NULL").count())
         chunks = materialise(chunking.last_by_id(chunking.chunks(kept.select("path", "content"), self.settings.max_lines, self.settings.overlap)).withColumnRenamed("chunk_id", "doc").withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("start_line", "doc"))))
         tell("embed", chunks=chunks.count())
-        held = lexical.build(lexical.tokenised(chunks.withColumn("text", F.concat_ws("\n", "path", F.coalesce("symbol", "path"), "symbol", "content")), "doc"))
+        held = lexical.build_texts(chunks.withColumn("text", F.concat_ws("\n", "path", F.coalesce("symbol", "path"), "symbol", "content")), "doc")
         vectors = self.provider.embed(chunks.select(F.col("doc").alias("key"), F.concat_ws("\n", "path", F.substring("content", 1, 8000)).alias("text"))).where("embedding IS NOT NULL").withColumnRenamed("key", "doc")
         overview = chunking.repo_map(kept.select("path", "content"), chunks)
         tell("write", index_id=index_id)

@@ -168,3 +168,14 @@ def test_table_without_its_file_is_no_version(spark, tmp_path):
     vectors.VectorStore(rows_of(spark, ("a", [1.0, 0.0]))).save(where)
     rows_of(spark, ("z", [1.0, 0.0])).write.parquet(f"{where}/v00000002-left")
     assert vectors.VectorStore.load(spark, where).version == 1
+
+
+def test_texts_are_counted_as_their_tokens(spark):
+    """Words are told apart in slices of texts, not by expressions over each of a row's words; compound words, the cap and odd texts count as they did."""
+    odd = ["openHarborByID drain_queue sha256Hash", "KKelvin İstanbul aB", " ".join(f"w{i}_x" for i in range(4100)), " ".join(f"w{i}_x" if i % 3 else f"plain{i}" for i in range(4100)), "éa_b c", "____x9Y __", "HTTPServer2Go A1B2 Ab the THE_", "\x00a\x00bc", "tail9"]
+    docs = spark.createDataFrame(list(enumerate([None, "", " ", "x", *odd, " ".join(f"ww{i % 9}" for i in range(5000))])), "doc_id long, text string").repartition(2)
+    found = lexical.counted_texts(docs)
+    assert "split(" not in found._jdf.queryExecution().toString()
+    want = lexical.counted(lexical.tokenised(docs).withColumn("dl", F.greatest(F.size("tokens"), F.lit(1)).cast("long")))
+    rows = lambda held: sorted((r.doc, r.dl, sorted(zip(r.terms, r.tfs))) for r in held.collect())
+    assert rows(found) == rows(want)
