@@ -64,3 +64,16 @@ def test_emptied_and_unknown(spark, tmp_path):
     assert gone.removed == 1 and own.index().postings.count() == 0 and own.index().terms.count() == 0
     assert tuple(own.index().corpus.first()) == (0, 1.0)
     assert own.update(frame(spark, {2: "back again"})).added == 1 and own.index().terms.where(F.col("df") != 1).count() == 0
+
+
+def test_terms_stay_where_they_are(spark, tmp_path):
+    """A segment whose documents are all alive is read as it is; else the few dead are left out without a shuffle of terms."""
+    held = increments.Increments(spark, f"file://{tmp_path}/moved")
+    texts = {i: f"some words of number{i}" for i in range(40)}
+    held.update(frame(spark, texts))
+    plan = lambda: held.index().vectors._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan()
+    held.update(frame(spark, {**texts, 3: "another text"}))
+    assert "Exchange hash" not in plan() and held.index().vectors.count() == 40
+    held.compact()
+    assert "Join" not in plan() and held.index().vectors.count() == 40
