@@ -111,3 +111,13 @@ def test_broken_files_give_what_they_can():
     for text in ("class A {", "function f( {\n}\n", "}}}}", "((((", "class A {\n  f() {\n", "const", "`", "/*", "", None):
         for language in declarations.GRAMMARS:
             declarations.outline_of(text, language, 5)
+
+
+def test_outlines_are_python_objects_of_a_few_files_at_once():
+    import pyarrow as pa
+
+    texts = ["def a():\n    return 1\n", None, "class B:\n    def c(self):\n        return 2\n", "x = 1\n" * (declarations.BYTES // 4)] * 200
+    parts = list(declarations.outlines(pa.array(texts[:3] * 200 + texts[:4]), pa.array(["python"] * 604), 20))
+    assert sum(map(len, parts)) == 604 and max(map(len, parts)) <= declarations.ROWS and len(parts[-1]) == 1
+    assert [f["found"][0]["symbol"] for f in parts[0].to_pylist()[::3]] == ["a"] * len(parts[0][::3])
+    assert parts[0].to_pylist()[1] == {"imports": None, "found": None}
