@@ -8,6 +8,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ BLOCK_WORDS = 500_000
 PART_WORDS = 250_000
 #: Words of a block that are turned into identifiers at once.
 RUN_WORDS = 1 << 20
+#: Bytes of identifiers and texts that leave a block at once; a longer document leaves by itself.
+OUT_BYTES = 4 << 20
 
 
 def words_of(text: str | None, table: Merges) -> list[str]:
@@ -225,6 +228,24 @@ def _assembled(texts: pa.Table, coded: pa.Table, pieces: Pieces | None) -> Itera
             yield name, ids.astype("<u4"), pieces.text(ids) if pieces else None
 
 
+def assembled(block: pa.Table, pieces: Pieces | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The documents of a block in batches of about OUT_BYTES. block: its row of documents, which has data, and its rows of coded words, which have none."""
+    coded = pc.is_null(block.column("data"))
+    out, size = [], 0
+    for name, ids, text in _assembled(block.filter(pc.invert(coded)), block.filter(coded), pieces):
+        out.append((name, ids.tobytes(), len(ids), text))
+        size += ids.nbytes + len(text or "")
+        if size >= OUT_BYTES:
+            yield _columns(out, schema)
+            out, size = [], 0
+    if out:
+        yield _columns(out, schema)
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens for each row; with decoded also the text that decode() makes of the ids.
 
@@ -250,13 +271,13 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
 
     plain = to_arrow_schema(schema)
 
-    def assemble(own: pa.Table, more: pa.Table) -> pa.Table:
-        rows = _assembled(own, more, Pieces(merges(where)) if decoded else None)
-        out = [(n, i.tobytes(), len(i), t) for n, i, t in rows]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(plain), plain)], schema=plain)
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from assembled(pa.Table.from_batches(batches), Pieces(merges(where)) if decoded else None, plain)
+        release()
 
-    texts = both.where("kind = 'texts'").select("block", "names", "lengths", "data").repartition(max(1, count), "block")
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
+    texts = both.where("kind = 'texts'").select("block", "names", "lengths", "data")
+    rows = texts.unionByName(found, allowMissingColumns=True).repartition(max(1, count), "block")
+    return rows.groupBy("block").applyInArrow(assemble, schema)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:

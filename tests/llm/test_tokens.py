@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from pergola.llm import bpe_codec, token_counts
@@ -81,3 +82,21 @@ def test_each_distinct_word_is_encoded_in_one_part(spark, awkward):
         for w in bpe_codec._unbatch(bytes(r.words)).column("word").to_pylist():
             parts.setdefault(w, set()).add(r.part)
     assert all(len(p) == 1 for p in parts.values()) and len({min(p) for p in parts.values()}) == 5
+
+
+def test_a_block_leaves_in_batches(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "OUT_BYTES", 2000)
+    table, block = merges(SPACED), bpe_codec._Block()
+    for k, t in enumerate(texts()):
+        block.add(k, t, table)
+    names = pa.schema([("block", pa.int64()), ("names", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("data", pa.binary()), ("n", pa.int64()), ("kind", pa.string())])
+    docs, words = block.rows(names, 0).to_pylist()
+    ids = [bpe_codec.word_ids(w, table) for w in bpe_codec._unbatch(words["data"]).column("word").to_pylist()]
+    sizes = np.array([len(i) for i in ids])
+    coded = {"block": 0, "numbers": bpe_codec.packed(np.diff(np.arange(len(ids)), prepend=0)), "sizes": bpe_codec.packed(sizes), "ids": bpe_codec.packed(np.concatenate(ids))}
+    kinds = [*(names.field(c) for c in ("block", "names", "lengths", "data")), *(pa.field(c, pa.binary()) for c in ("numbers", "sizes", "ids"))]
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("decoded", pa.string())])
+    rows = pa.Table.from_pylist([{f.name: r.get(f.name) for f in kinds} for r in (coded, docs)], pa.schema(kinds))
+    found = list(bpe_codec.assembled(rows, bpe_codec.Pieces(table), out))
+    assert len(found) > 20 and max(b.nbytes for b in found) < 8000
+    assert [(r["doc_id"], r["decoded"]) for b in found for r in b.to_pylist()] == list(enumerate(texts()))
