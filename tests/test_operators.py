@@ -344,3 +344,15 @@ def test_partitions_of_a_diff_grow_with_its_scan(spark):
     rows = spark.createDataFrame([(f"d{i}", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n") for i in range(40)], "diff_id string, text string").repartition(5)
     lines = diffs.marked(rows)
     assert lines.rdd.getNumPartitions() == 5 * diffs.PARTS and lines.count() == 40 * 5
+
+
+def test_lines_of_a_diff_are_sorted_once(spark):
+    from pergola.operators import diffs
+
+    lines = diffs.marked(fixtures.DIFFS.frame(spark))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(lines).count("Sort [") == 1
+    # Of a file only the lines that tell something of it are sorted again.
+    few = diffs.marked(spark.createDataFrame([("d", "x\n--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n-a\n+b\n+c\n")], "diff_id string, text string"))
+    assert [(r.path, r.hunks) for r in diffs.files(few).collect()] == [("x", 1)]
+    assert [(r.type, r.old_line, r.new_line, r.position) for r in diffs.diff_lines(few).orderBy("position").collect()] == [("removed", 1, None, 1), ("added", None, 1, 2), ("added", None, 2, 3)]
