@@ -179,3 +179,17 @@ def test_texts_are_counted_as_their_tokens(spark):
     want = lexical.counted(lexical.tokenised(docs).withColumn("dl", F.greatest(F.size("tokens"), F.lit(1)).cast("long")))
     rows = lambda held: sorted((r.doc, r.dl, sorted(zip(r.terms, r.tfs))) for r in held.collect())
     assert rows(found) == rows(want)
+
+
+def test_a_file_of_many_terms_numbers_them(spark):
+    import random
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(8))
+    texts = [" ".join(word(rng.randrange(200_000)) for _ in range(2000)) for _ in range(400)]
+    held = lexical.build_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    columns = [g.column(k) for f in held.vectors.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups)) for k in range(m.num_columns)]
+    assert sum(c.total_uncompressed_size for c in columns if c.path_in_schema.startswith("terms")) < 6_000_000
+    assert held.terms.count() == len({w for t in texts for w in t.split()})
