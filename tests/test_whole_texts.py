@@ -32,6 +32,8 @@ def ends(spark, smallest, tmp_path_factory):
 SAID = {
     "bm25_term_stats": lambda rows: [r.df for r in rows if r.term == "tailword"] == [3] and len(rows) == 57 + 2 * LONG + 1,
     "csr_offsets": lambda rows: [r.past - r.first for r in rows if r.term == "tailword"] == [3] and max(r.past for r in rows) == 57 + 2 * LONG + 3,
+    "incremental_term_stats": lambda rows: [r.df for r in rows if r.term == "tailword"] == [3] and len(rows) == 57 + 2 * LONG + 1,
+    "incremental_topk": lambda rows: {r.doc_id for r in rows} == {0, 7, 9},
 }
 
 
