@@ -35,6 +35,7 @@ SAID = {
     "incremental_term_stats": lambda rows: [r.df for r in rows if r.term == "tailword"] == [3] and len(rows) == 57 + 2 * LONG + 1,
     "incremental_topk": lambda rows: {r.doc_id for r in rows} == {0, 7, 9},
     "index_build": lambda rows: [(r.n, r.postings, r.terms) for r in rows] == [(60, 57 + 2 * LONG + 3, 57 + 2 * LONG + 1)],
+    "lexical_topk": lambda rows: {r.doc_id for r in rows} == {0, 7, 9},
 }
 
 
