@@ -37,6 +37,7 @@ SAID = {
     "index_build": lambda rows: [(r.n, r.postings, r.terms) for r in rows] == [(60, 57 + 2 * LONG + 3, 57 + 2 * LONG + 1)],
     "lexical_topk": lambda rows: {r.doc_id for r in rows} == {0, 7, 9},
     "rrf_fusion": lambda rows: {r.doc_id for r in rows if r.qid == 0 and r.lexical_rank is not None} == {0, 7, 9},
+    "diversify_topk": lambda rows: {r.doc_id for r in rows if r.qid == 0} == {0, 7, 9, 50},
 }
 
 
