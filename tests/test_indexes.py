@@ -193,3 +193,40 @@ def test_a_file_of_many_terms_numbers_them(spark):
     columns = [g.column(k) for f in held.vectors.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups)) for k in range(m.num_columns)]
     assert sum(c.total_uncompressed_size for c in columns if c.path_in_schema.startswith("terms")) < 6_000_000
     assert held.terms.count() == len({w for t in texts for w in t.split()})
+
+
+def test_queries_of_the_same_terms_are_searched_once(spark, index, monkeypatch):
+    """Words that no document has don't tell queries apart, nor does their order; every query has its rows all the same."""
+    held, rows = index
+    asked = [(i, f"{'common mid1 rare5' if i % 2 else 'rare5 mid1 common'} absent{i}") for i in range(40)] + [(90, rows[7][1]), (91, "common")]
+    terms = lexical.query_terms(spark.createDataFrame(asked, "qid int, text string"))
+    sent, asked_of = [], lexical._asked
+    monkeypatch.setattr(lexical, "_asked", lambda pairs: sent.append(pairs.num_rows) or asked_of(pairs))
+    found = lexical.best(held, terms, 4)
+    assert sum(sent) <= 3 + len(set(rows[7][1].split())) + 1
+    assert ranked(found) == ranked(lexical.top(lexical.scores(held, terms), 4))
+
+
+def test_blocks_of_queries_are_tasks_of_their_own(spark, index, monkeypatch):
+    """A union of parts of one partition each is one task for Spark, which would search all blocks one after the other."""
+    held, rows = index
+    terms = lexical.query_terms(spark.createDataFrame(rows[::7], "qid long, text string"), "qid")
+    monkeypatch.setattr(lexical, "HELD_ROWS", 100)
+    monkeypatch.setattr(lexical, "POSTINGS_A_ROW", 1000)
+    tasks, write = [], lexical.materialise
+
+    def counting(df, *args, **options):
+        before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("written"))
+        spark.sparkContext.setJobGroup("written", "")
+        out = write(df, *args, **options)
+        spark.sparkContext._jsc.clearJobGroup()
+        tracker = spark.sparkContext.statusTracker()
+        jobs = set(tracker.getJobIdsForGroup("written")) - before
+        tasks.append(max((s.numTasks for j in jobs for i in tracker.getJobInfo(j).stageIds for s in [tracker.getStageInfo(i)] if s), default=0))
+        return out
+
+    monkeypatch.setattr(lexical, "materialise", counting)
+    found = lexical.best(held, terms, 4)
+    assert tasks[-1] == spark.sparkContext.defaultParallelism
+    monkeypatch.undo()
+    assert ranked(found) == ranked(lexical.top(lexical.scores(held, terms), 4))
