@@ -207,6 +207,34 @@ def test_queries_of_the_same_terms_are_searched_once(spark, index, monkeypatch):
     assert ranked(found) == ranked(lexical.top(lexical.scores(held, terms), 4))
 
 
+def test_tiles_that_cannot_reach_a_bound_are_passed_over(monkeypatch):
+    """Of queries and documents of two vocabularies those of a kind meet; the best are those of all scores."""
+    import pyarrow as pa
+
+    from pergola.operators.best import Best
+
+    rng = np.random.default_rng(5)
+    side = lambda i: rng.choice(60, size=8, replace=False) + 60 * (i % 2)
+    docs = [np.sort(side(i)) for i in range(600)]
+    asked = {i: np.sort(side(i)) for i in range(50)} | {60: np.arange(120)}
+    weight = 1 + rng.random(120)
+    pairs = pa.table({"qid": [q for q, t in asked.items() for _ in t], "h": [int(h) for t in asked.values() for h in t], "idf": [float(weight[h]) for t in asked.values() for h in t]})
+    part = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([8] * 600), pa.array([d.tolist() for d in docs]), pa.array([[1 + (i + j) % 3 for j in range(8)] for i in range(600)])], names=["doc", "dl", "hashes", "tfs"])
+    for name, value in (("SCORED_DOCS", 64), ("ASKED", 7), ("DENSE_ROWS", 5)):
+        monkeypatch.setattr(lexical, name, value)
+    own, made, add = lexical._asked(pairs), [], np.bincount
+    monkeypatch.setattr(lexical.np, "bincount", lambda x, weights=None, minlength=0: (made.append(minlength) if weights is not None else None) or add(x, weights=weights, minlength=minlength))
+    best = Best(np.full(len(own.qids), -np.inf), 3, 0)
+    lexical._tile(own, part, 8.0, best)
+    found = best.cut()
+    assert sum(made) < 0.7 * len(asked) * 600
+    tf = lambda i, h: 1 + (i + int(np.searchsorted(docs[i], h))) % 3
+    score = lambda q, i: round(sum(weight[h] * tf(i, h) * 2.5 / (tf(i, h) + 1.5) for h in np.intersect1d(asked[q], docs[i])), lexical.PLACES)
+    want = sorted((q, -s, i) for q in asked for s, i in sorted(((score(q, i), i) for i in range(600)), key=lambda x: (-x[0], x[1]))[:3] if s > 0)
+    rows = sorted((own.qids[q].as_py(), -s, d) for q, s, d in zip(*(found.column(c).to_pylist() for c in ("q", "score", "doc"))))
+    assert [(q, d) for q, _, d in rows] == [(q, i) for q, _, i in want] and np.allclose([s for _, s, _ in rows], [s for _, s, _ in want], atol=2e-6)
+
+
 def test_blocks_of_queries_are_tasks_of_their_own(spark, index, monkeypatch):
     """A union of parts of one partition each is one task for Spark, which would search all blocks one after the other."""
     held, rows = index
